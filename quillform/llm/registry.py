@@ -1,6 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import q_quality
+from . import q_decontaminate, q_quality, q_simhash
 
-QUERIES = {**q_quality.QUERIES}
-ORACLES = {**q_quality.ORACLES}
+_ALL = (q_simhash, q_quality, q_decontaminate)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}
