@@ -73,3 +73,15 @@ def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; none for null."""
     flat = F.translate(F.coalesce(text, F.lit("")), BREAKS, " " * len(BREAKS))
     return F.array_remove(F.split(flat, " ", -1), "")
+
+
+def running(df: DataFrame, lens: str, name: str, block: int = 64) -> DataFrame:
+    """Add ``name``: for each element of the array ``lens`` the sum of the elements before it, by sums of blocks."""
+    add = lambda a, x: a + x
+    zero = F.lit(0).cast("long")
+    part = lambda at, n: F.aggregate(F.slice(at, n[0], n[1]), zero, add)
+    blocks = F.when(F.size(lens) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / block).cast("int")), lambda k: part(lens, (k * block + 1, F.lit(block)))))
+    df = df.withColumn("r_blocks", blocks)
+    df = df.withColumn("r_upto", F.transform("r_blocks", lambda _, k: part("r_blocks", (F.lit(1), k))))
+    at = F.transform(lens, lambda _, i: F.get("r_upto", F.floor(i / block).cast("int")) + part(lens, (F.floor(i / block).cast("int") * block + 1, i % block)))
+    return df.withColumn(name, F.when(F.size(lens) > 0, at).otherwise(F.array().cast("array<bigint>"))).drop("r_blocks", "r_upto")
