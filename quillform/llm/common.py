@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,19 @@ def running(df: DataFrame, lens: str, name: str, block: int = 64) -> DataFrame:
     df = df.withColumn("r_upto", F.transform("r_blocks", lambda _, k: part("r_blocks", (F.lit(1), k))))
     at = F.transform(lens, lambda _, i: F.get("r_upto", F.floor(i / block).cast("int")) + part(lens, (F.floor(i / block).cast("int") * block + 1, i % block)))
     return df.withColumn(name, F.when(F.size(lens) > 0, at).otherwise(F.array().cast("array<bigint>"))).drop("r_blocks", "r_upto")
+
+
+def put_file(root: str, name: str, raw: bytes) -> None:
+    """Write a file of a shared folder from an executor: under a temporary name, then renamed, so that it is whole or absent."""
+    fs, at = pafs.FileSystem.from_uri(root)
+    fs.create_dir(at, recursive=True)
+    temp = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp, compression=None) as out:
+        out.write(raw)
+    fs.move(temp, f"{at}/{name}")
+
+
+def get_file(root: str, name: str) -> bytes:
+    fs, at = pafs.FileSystem.from_uri(root)
+    with fs.open_input_stream(f"{at}/{name}", compression=None) as f:
+        return f.read()
