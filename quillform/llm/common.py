@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: The white space of every word contract, besides the blank: tab to carriage return.
 BREAKS = "\t\n\x0b\f\r"
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python ``BATCH_ROWS`` at a time where the session has Spark's own default of 10,000.
+
+    Batches of whole texts otherwise take some hundred megabytes per task, in the JVM and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

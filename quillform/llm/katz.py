@@ -27,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, get_file, parts_for, put_file, scratch
+from .blobs import bucket_of, pack_ints, pack_keys, pack_sorted, unpack_ints, unpack_keys, unpack_sorted
+from .common import byte_size, get_file, parts_for, put_file, scratch, small_batches
 
 K = 5
 CHUNK_TOKENS = 1 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Stands for the end; no word holds a blank.
 END = b" end "
 FOLDS, HELD = 7, 2
@@ -114,38 +115,18 @@ class Bigrams:
         return np.log10(left / (1 - seen / self.one.tokens_p))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed byte planes."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
-
-
-def _to5(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from5(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1).astype(np.int64)
-
-
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-
 class Chunk:
     """Documents as word numbers; number 0 is the end."""
 
-    def __init__(self, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray, keys: np.ndarray):
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray, keys: np.ndarray, buckets: int):
         self.ids, self.sizes, self.tokens, self.keys = ids, sizes, tokens, keys
         self.held = np.array([held_out(i) for i in ids], bool)
         self.train = np.repeat(~self.held, sizes)
-        self.order = np.argsort(keys)  # words as they are sent
+        self.bucket = bucket_of(keys, buckets)
+        self.order = np.lexsort((keys & np.uint64((1 << 40) - 1), self.bucket))  # words as they are sent
+        self.rank = np.empty(len(keys), np.int64)
+        self.rank[self.order] = np.arange(len(keys))
+        self.cuts = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1)).tolist()
         starts = np.cumsum(sizes) - sizes
         self.history = np.concatenate(([0], tokens[:-1]))
         self.history[starts] = 0
@@ -153,30 +134,29 @@ class Chunk:
     def dump(self) -> bytes:
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
         none = np.array([i is None for i in self.ids], np.uint8)
-        parts = [zstandard.compress(x, 1) for x in (ids.tobytes(), none.tobytes(), self.keys.tobytes())] + [_pack(self.sizes), _pack(self.tokens)]
+        parts = [zstandard.compress(x, 1) for x in (ids.tobytes(), none.tobytes(), self.keys.tobytes())] + [pack_ints(self.sizes), pack_ints(self.tokens)]
         return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
     @classmethod
-    def load(cls, raw: bytes) -> Chunk:
+    def load(cls, raw: bytes, buckets: int) -> Chunk:
         parts, at = [], 0
         while at < len(raw):
             n = int.from_bytes(raw[at : at + 8], "little")
             parts.append(raw[at + 8 : at + 8 + n])
             at += 8 + n
         ids, none, keys = (np.frombuffer(zstandard.decompress(x), k) for x, k in zip(parts, (np.int64, np.uint8, np.uint64), strict=False))
-        return cls([None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)], _unpack(parts[3]), _unpack(parts[4]), keys)
+        return cls([None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)], unpack_ints(parts[3]), unpack_ints(parts[4]), keys, buckets)
 
-    def words(self, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    def words(self) -> list[tuple[int, bytes, bytes]]:
         """(bucket, keys, training counts) of the distinct words."""
         count = np.bincount(self.tokens[self.train], minlength=len(self.keys))[self.order]
         keys = self.keys[self.order]
-        cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1)).tolist()
-        return [(k, _to5(keys[x:y]), _pack(count[x:y])) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+        return [(k, pack_sorted(keys[x:y]), pack_ints(count[x:y])) for k, (x, y) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)) if y > x]
 
     def set_counts(self, replies: list[tuple[int, bytes]]) -> None:
         """Each word's training count in the corpus, from replies by bucket."""
         self.count = np.empty(len(self.keys), np.int64)
-        self.count[self.order] = np.concatenate([_unpack(raw) for _, raw in sorted(replies)])
+        self.count[self.order] = np.concatenate([unpack_ints(raw) for _, raw in sorted(replies)])
 
     def set_pairs(self) -> None:
         """Distinct bigrams with histories that training knows, sorted by history and follower; ``place`` is each token's."""
@@ -187,7 +167,7 @@ class Chunk:
         skip = int(len(pair) and pair[0] == -1)
         pair, self.place, self.seen = pair[skip:], self.place - skip, self.seen[skip:]
         first, second = pair >> 32, pair & 0xFFFFFFFF
-        order = np.lexsort((self.keys[second], self.keys[first]))
+        order = np.lexsort((self.keys[second], self.rank[first]))
         back = np.empty(len(order) + 1, np.int64)
         back[order] = np.arange(len(order))
         back[-1] = -1
@@ -195,16 +175,16 @@ class Chunk:
         self.first, self.second, self.seen = first[order], second[order], self.seen[order]
         self.heads = np.flatnonzero(np.concatenate(([True], self.first[1:] != self.first[:-1]))) if len(order) else np.array([], np.int64)
 
-    def pairs(self, buckets: int) -> list[tuple]:
+    def pairs(self) -> list[tuple]:
         """(bucket, history keys, followers of each, follower keys, training counts, followers' word counts)."""
         hist = self.keys[self.first[self.heads]]
-        cuts = np.searchsorted(_bucket(hist, buckets), np.arange(buckets + 1)).tolist()
+        cuts = np.searchsorted(self.rank[self.first[self.heads]], self.cuts).tolist()
         ends = np.append(self.heads, len(self.first))
         out = []
         for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if y > x:
                 a, b = ends[x], ends[y]
-                out.append((k, _to5(hist[x:y]), _pack(np.diff(ends[x : y + 1])), _to5(self.keys[self.second[a:b]]), _pack(self.seen[a:b]), _pack(self.count[self.second[a:b]])))
+                out.append((k, pack_sorted(hist[x:y]), pack_ints(np.diff(ends[x : y + 1])), pack_keys(self.keys[self.second[a:b]]), pack_ints(self.seen[a:b]), pack_ints(self.count[self.second[a:b]])))
         return out
 
     def scores(self, one: Unigrams, two: Bigrams, pair_counts: np.ndarray, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,9 +230,9 @@ def _store(folder: str, buckets: int):
 
         def flush():
             keys = np.array([xxhash.xxh64_intdigest(w) for w in local], np.uint64)
-            chunk, name = Chunk(ids, np.array(sizes), np.array(tokens, np.int64), keys), (task << 24) | number
+            chunk, name = Chunk(ids, np.array(sizes), np.array(tokens, np.int64), keys, buckets), (task << 24) | number
             put_file(folder, f"{name}.chunk", chunk.dump())
-            rows = chunk.words(buckets)
+            rows = chunk.words()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((name, *r) for r in rows), strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "keys", "counts"])
 
         for b in batches:
@@ -274,24 +254,24 @@ def _store(folder: str, buckets: int):
 
 def _add_words(t: pa.Table) -> pa.Table:
     bucket, chunks = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
-    keys, counts = [_from5(x) for x in t.column("keys").to_pylist()], [_unpack(x) for x in t.column("counts").to_pylist()]
+    keys, counts = [unpack_sorted(x) for x in t.column("keys").to_pylist()], [unpack_ints(x) for x in t.column("counts").to_pylist()]
     value, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate(counts), len(value)).astype(np.int64)
     rows, at = [], 0
     for chunk, k in zip(chunks, keys, strict=True):
-        rows.append(("reply", chunk, bucket, None, _pack(total[back[at : at + len(k)]]), None, None, None))
+        rows.append(("reply", chunk, bucket, None, pack_ints(total[back[at : at + len(k)]]), None, None, None))
         at += len(k)
     known = total > 0
-    return _rows([*rows, ("model", None, bucket, _to5(value[known]), _pack(total[known]), None, None, _stats(total))])
+    return _rows([*rows, ("model", None, bucket, pack_sorted(value[known]), pack_ints(total[known]), None, None, _stats(total))])
 
 
 def _ask(folder: str, buckets: int):
     def run(t: pa.Table) -> pa.Table:
         name = t.column("chunk")[0].as_py()
-        chunk = Chunk.load(get_file(folder, f"{name}.chunk"))
+        chunk = Chunk.load(get_file(folder, f"{name}.chunk"), buckets)
         chunk.set_counts(list(zip(t.column("bucket").to_pylist(), t.column("counts").to_pylist(), strict=True)))
         chunk.set_pairs()
-        rows = [(name, *r) for r in chunk.pairs(buckets)]
+        rows = [(name, *r) for r in chunk.pairs()]
         return pa.table([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.binary()) for k in range(7)], ["chunk", "bucket", "hists", "sizes", "keys", "counts", "words"])
 
     return run
@@ -300,10 +280,10 @@ def _ask(folder: str, buckets: int):
 def _add_pairs(t: pa.Table) -> pa.Table:
     bucket, chunks = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
     read = lambda name, f: [f(x) for x in t.column(name).to_pylist()]
-    hists, sizes, keys = read("hists", _from5), read("sizes", _unpack), read("keys", _from5)
+    hists, sizes, keys = read("hists", unpack_sorted), read("sizes", unpack_ints), read("keys", unpack_keys)
     value, hist = np.unique(np.concatenate(hists), return_inverse=True)
     owner = np.repeat(hist, np.concatenate(sizes))
-    key, count, word = np.concatenate(keys), np.concatenate(read("counts", _unpack)), np.concatenate(read("words", _unpack))
+    key, count, word = np.concatenate(keys), np.concatenate(read("counts", unpack_ints)), np.concatenate(read("words", unpack_ints))
     order = np.lexsort((key, owner))
     new = np.concatenate(([True], (owner[order][1:] != owner[order][:-1]) | (key[order][1:] != key[order][:-1])))
     first = order[new]
@@ -324,23 +304,23 @@ def _add_pairs(t: pa.Table) -> pa.Table:
         mine = h[hist[a : a + len(hs)]]
         # The rest's occurrences can exceed 32 bits: two halves.
         halves = np.concatenate([mine[:, : 2 * K + 1], mine[:, 2 * K + 1 :] & 0xFFFFFFFF, mine[:, 2 * K + 1 :] >> 32], axis=1)
-        rows.append(("reply", chunk, bucket, None, _pack(total[place[b : b + len(ks)]]), _pack(halves.T.reshape(-1)), None, None))
+        rows.append(("reply", chunk, bucket, None, pack_ints(total[place[b : b + len(ks)]]), pack_ints(halves.T.reshape(-1)), None, None))
         a, b = a + len(hs), b + len(ks)
     live = h[:, 0] > 0
     followers = np.bincount(who[seen], minlength=len(value))
-    model = ("model", None, bucket, _to5(value[live]), _pack(followers[live]), _to5(key[first[seen]]), _pack(total[seen]), _stats(total))
+    model = ("model", None, bucket, pack_sorted(value[live]), pack_ints(followers[live]), pack_keys(key[first[seen]]), pack_ints(total[seen]), _stats(total))
     return _rows([*rows, model])
 
 
-def _evaluate(folder: str, one: Unigrams, two: Bigrams):
+def _evaluate(folder: str, buckets: int, one: Unigrams, two: Bigrams):
     def run(t: pa.Table) -> pa.Table:
-        chunk = Chunk.load(get_file(folder, f"{t.column('chunk')[0].as_py()}.chunk"))
+        chunk = Chunk.load(get_file(folder, f"{t.column('chunk')[0].as_py()}.chunk"), buckets)
         told = list(zip(t.column("bucket").to_pylist(), t.column("counts").to_pylist(), t.column("others").to_pylist(), strict=True))
         chunk.set_counts([(k, c) for k, c, o in told if o is None])
         chunk.set_pairs()
         pairs = sorted((k, c, o) for k, c, o in told if o is not None)
-        counts = np.concatenate([_unpack(c) for _, c, _ in pairs]) if pairs else np.array([], np.int64)
-        halves = np.concatenate([_unpack(o).reshape(_HISTORY + 1, -1).T for _, _, o in pairs]) if pairs else np.zeros((0, _HISTORY + 1), np.int64)
+        counts = np.concatenate([unpack_ints(c) for _, c, _ in pairs]) if pairs else np.array([], np.int64)
+        halves = np.concatenate([unpack_ints(o).reshape(_HISTORY + 1, -1).T for _, _, o in pairs]) if pairs else np.zeros((0, _HISTORY + 1), np.int64)
         h = np.concatenate([halves[:, : 2 * K + 1], halves[:, 2 * K + 1 : 2 * K + 2] | halves[:, 2 * K + 2 :] << 32], axis=1)
         known, base, score = chunk.scores(one, two, counts, h)
         n = len(chunk.ids)
@@ -368,6 +348,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
     is read, as a table does.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     root = root or scratch(spark, "katz")
     folder = f"{root}/chunks"
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -381,4 +362,4 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
     asked = one_replies.groupBy("chunk").applyInArrow(_ask(folder, buckets), "chunk long, bucket long, hists binary, sizes binary, keys binary, counts binary, words binary")
     two_replies, m = _keep(asked.groupBy("bucket").applyInArrow(_add_pairs, _REPLY), root, 2)
     two = Bigrams([0, *m[2:]], one)
-    return one_replies.unionByName(two_replies).groupBy("chunk").applyInArrow(_evaluate(folder, one, two), out)
+    return one_replies.unionByName(two_replies).groupBy("chunk").applyInArrow(_evaluate(folder, buckets, one, two), out)
