@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, materialize, parts_for
+from .common import byte_size, materialize, parts_for, small_batches
 
 WINDOW = 10
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Every n-th text position keeps its suffix position.
 SAMPLE = 8
 BLOCK_BYTES = 16 << 20
@@ -209,7 +209,7 @@ def _with_block(docs: DataFrame, text: str, items: list[tuple[int, str | None]])
 
         def shard(rows: pa.RecordBatch, docs: list[np.ndarray]):
             found = search_shard(docs, phrases)
-            items = [[phrases.ids[k] for k in found[i][0]] if i in found else [] for i in range(len(docs))]
+            items = [list(dict.fromkeys(phrases.ids[k] for k in found[i][0])) if i in found else [] for i in range(len(docs))]
             spans = [[{"first": a, "last": b - 1} for a, b in _spans(found[i][1])] if i in found else [] for i in range(len(docs))]
             new = [pa.array([len(w) for w in docs], kinds[0]), pa.array(items, kinds[1]), pa.array(spans, kinds[2])]
             return pa.RecordBatch.from_arrays([*rows.columns, *new], [*names, "d_n_words", "d_items", "d_spans"])
@@ -233,10 +233,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
     """All rows and columns of ``docs`` with d_n_words, d_items (ids of items with occurring windows) and d_spans.
 
     Spans are maximal runs of hit words (numbers of the first and last word). Null texts have no words; items without
-    words have no windows; equal items are each reported, null item ids as null; repeated rows are searched each; empty
+    words have no windows; rows with equal item ids are one item, null ids one too; repeated rows are searched each; empty
     tables on either side give rows without hits, or none. Columns of ``docs`` that begin with ``d_`` are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("d_")])
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text")
     if parts_for(byte_size(items, "text"), BLOCK_BYTES) == 1:
         return _with_block(docs, text, next(_blocks(items)))

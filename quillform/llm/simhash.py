@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -60,6 +60,7 @@ def _signed(x: int) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """``docs`` with a column ``name`` (long, the fingerprint's bits); an old column of that name is replaced."""
     docs = docs.drop(name)
+    small_batches(docs.sparkSession)
     out = docs.withColumn(name, F.lit(0).cast("long")).schema
 
     def run(batches):
@@ -216,4 +217,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     staged = materialize(with_fingerprint(docs, text, "sim_fp").withColumn("sim_row", F.monotonically_increasing_id()), "simhash-docs")
     prints = staged.select(F.col("sim_fp").alias("fp"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("sim_row").alias("row"))
     chosen = materialize(groups(prints, "no_id", "id", "row").select(F.col("best.row").alias("sim_row")).distinct(), "simhash-kept")
-    return staged.join(chosen, "sim_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Always by shuffle: what is kept grows with the rows.
+    return staged.join(chosen.hint("merge"), "sim_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
