@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: The white space of every word contract, besides the blank: tab to carriage return.
 BREAKS = "\t\n\x0b\f\r"
 BATCH_ROWS = 1000
+#: The column that holds an input row as it was.
+ROW = "quill_row"
+#: Partitions up to which each bounded group gets one of its own.
+MOST_PARTS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +85,38 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-total // each))
 
 
+def spread(df: DataFrame, groups: int, key: str) -> DataFrame:
+    """``df`` by ``key`` in about as many partitions as it has groups of bounded size, so that a task holds few of them.
+
+    From ``MOST_PARTS`` groups on, or the session's number of shuffle partitions if that is larger, partitions take several.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, min(groups, MOST_PARTS)), key)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` with all its columns in the struct ``ROW``: operators add columns beside it without meeting names of the input."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))
+
+
+def unpacked(df: DataFrame, **changed: Column) -> DataFrame:
+    """The columns that ``packed`` took in, some changed."""
+    row = F.col(ROW)
+    for name, value in changed.items():
+        row = row.withField(f"`{name}`", value)
+    return df.select(row.alias(ROW)).select(f"{ROW}.*")
+
+
+def arrow_column(batch, name: str):
+    """A column of an Arrow batch, or a field of a struct column by ``column.field``."""
+    head, _, field = name.partition(".")
+    column = batch.column(batch.schema.get_field_index(head))
+    if not field:
+        return column
+    # Nulls of the struct itself don't occur: every row has one.
+    return column.field(column.type.get_field_index(field))
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; none for null."""
     flat = F.translate(F.coalesce(text, F.lit("")), BREAKS, " " * len(BREAKS))
@@ -93,10 +129,10 @@ def running(df: DataFrame, lens: str, name: str, block: int = 64) -> DataFrame:
     zero = F.lit(0).cast("long")
     part = lambda at, n: F.aggregate(F.slice(at, n[0], n[1]), zero, add)
     blocks = F.when(F.size(lens) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / block).cast("int")), lambda k: part(lens, (k * block + 1, F.lit(block)))))
-    df = df.withColumn("r_blocks", blocks)
-    df = df.withColumn("r_upto", F.transform("r_blocks", lambda _, k: part("r_blocks", (F.lit(1), k))))
-    at = F.transform(lens, lambda _, i: F.get("r_upto", F.floor(i / block).cast("int")) + part(lens, (F.floor(i / block).cast("int") * block + 1, i % block)))
-    return df.withColumn(name, F.when(F.size(lens) > 0, at).otherwise(F.array().cast("array<bigint>"))).drop("r_blocks", "r_upto")
+    df = df.withColumn("quill_blocks", blocks)
+    df = df.withColumn("quill_upto", F.transform("quill_blocks", lambda _, k: part("quill_blocks", (F.lit(1), k))))
+    at = F.transform(lens, lambda _, i: F.get("quill_upto", F.floor(i / block).cast("int")) + part(lens, (F.floor(i / block).cast("int") * block + 1, i % block)))
+    return df.withColumn(name, F.when(F.size(lens) > 0, at).otherwise(F.array().cast("array<bigint>"))).drop("quill_blocks", "quill_upto")
 
 
 def put_file(root: str, name: str, raw: bytes) -> None:

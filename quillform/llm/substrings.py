@@ -23,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, parts_for
+from .blobs import bucket_of, pack_array, pack_bytes, pack_sorted, unpack_array, unpack_bytes, unpack_sorted
+from .common import byte_size, parts_for, small_batches, spread
 
 WINDOW = 50
 GRAM = 24
 #: Bytes of text in a chunk, and bytes of text whose anchors share a bucket.
-CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes that are hashed at a time, and strings that are sorted at a time.
-SEGMENT = 1 << 20
-STRINGS = 1 << 20
+SEGMENT = 1 << 18
+STRINGS = 1 << 18
 
 _POSITION = np.uint64((1 << 21) - 1)
 _NOBODY = np.iinfo(np.int64).max  # a null id is smaller than none
@@ -108,23 +109,9 @@ class Anchors:
         return [rows[part], offsets[part] + lo - starts[part], count.astype(np.uint8), (anchor - lo).astype(np.uint8), key[anchor], context]
 
 
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-
 def _small(key: np.ndarray) -> np.ndarray:
     """The 40 low bits that stand for a key within its bucket."""
-    return key & np.uint64((1 << 40) - 1)
-
-
-def _to5(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from5(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+    return (key & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
 def _chunk(t: pa.Table) -> tuple[int, np.ndarray, list[bytes]]:
@@ -139,14 +126,14 @@ def _send_keys(buckets: int):
     def run(t: pa.Table) -> pa.Table:
         chunk, ids, texts = _chunk(t)
         a = Anchors(texts)
-        bucket, small, doc = _bucket(a.key, buckets), _small(a.key), ids[a.row]
+        bucket, small, doc = bucket_of(a.key, buckets), _small(a.key), ids[a.row]
         order = np.lexsort((doc, small, bucket))
         bucket, small, doc = bucket[order], small[order], doc[order]
         head = np.flatnonzero(np.concatenate(([True], (small[1:] != small[:-1]) | (bucket[1:] != bucket[:-1])))) if len(order) else np.array([], np.int64)
         last = np.append(head[1:], len(order)) - 1
         several = doc[head] != doc[last] if len(order) else np.array([], bool)
         cuts = np.searchsorted(bucket[head], np.arange(buckets + 1))
-        rows = [(chunk, k, _to5(small[head[x:y]]), np.packbits(several[x:y]).tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+        rows = [(chunk, k, pack_sorted(small[head[x:y]]), np.packbits(several[x:y]).tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
         return _table(rows, "chunk bucket keys several", 2)
 
     return run
@@ -158,7 +145,7 @@ def _table(rows: list[tuple], names: str, ints: int) -> pa.Table:
 
 def _survivors(t: pa.Table) -> pa.Table:
     """Of a bucket's keys, those in two documents, for each chunk that has them."""
-    chunks, keys = t.column("chunk").to_pylist(), [_from5(x) for x in t.column("keys").to_pylist()]
+    chunks, keys = t.column("chunk").to_pylist(), [unpack_sorted(x) for x in t.column("keys").to_pylist()]
     sizes = [len(k) for k in keys]
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(t.column("several").to_pylist(), sizes, strict=True)])
     every = np.concatenate(keys)
@@ -168,7 +155,7 @@ def _survivors(t: pa.Table) -> pa.Table:
     rows, at, bucket = [], 0, t.column("bucket")[0].as_py()
     for chunk, k in zip(chunks, keys, strict=True):
         if (mine := lives[back[at : at + len(k)]]).any():
-            rows.append((chunk, bucket, _to5(k[mine])))
+            rows.append((chunk, bucket, pack_sorted(k[mine])))
         at += len(k)
     return _table(rows, "chunk bucket keys", 2)
 
@@ -178,13 +165,13 @@ class Survivors:
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], kept: pa.Table, buckets: int):
         a = Anchors(texts)
-        bucket, small = _bucket(a.key, buckets), _small(a.key)
+        bucket, small = bucket_of(a.key, buckets), _small(a.key)
         live = np.zeros(len(a.key), bool)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k, raw in zip(kept.column("bucket").to_pylist(), kept.column("keys").to_pylist(), strict=True):
             mine = order[cuts[k] : cuts[k + 1]]
-            live[mine] = np.isin(small[mine], _from5(raw))
+            live[mine] = np.isin(small[mine], unpack_sorted(raw))
         at = np.flatnonzero(live)
         at = at[np.lexsort((a.at[at], ids[a.row[at]], a.print[at], small[at], bucket[at]))]
         self.row, self.at, self.count, self.lead, self.key, self.print, self.bucket = (x[at] for x in (a.row, a.at, a.count, a.lead, a.key, a.print, bucket))
@@ -205,7 +192,7 @@ def _send_contexts(buckets: int):
             if y > x:
                 r = s.rep[x:y]
                 raw = b"".join(texts[i][p : p + c] for i, p, c in zip(s.row[r].tolist(), s.at[r].tolist(), (s.count[r].astype(np.int64) + WINDOW - 1).tolist(), strict=True))
-                rows.append((chunk, k, *(v[r].tobytes() for v in (s.key, s.print, s.doc, s.count, s.lead)), raw))
+                rows.append((chunk, k, *(pack_array(v[r]) for v in (s.key, s.print, s.doc, s.count, s.lead)), pack_bytes(raw)))
         return _table(rows, names, 2)
 
     return run
@@ -255,10 +242,10 @@ def _repeated(data: np.ndarray, key: np.ndarray, doc: np.ndarray, at: np.ndarray
 
 def _settle(t: pa.Table) -> pa.Table:
     """Of a bucket's contexts, the strings that a smaller document has, for each chunk in the order it sent."""
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
+    read = lambda name, kind: [unpack_array(x, kind) for x in t.column(name).to_pylist()]
     keys = read("keys", np.uint64)
     key, shape, doc, count, lead = np.concatenate(keys), *(np.concatenate(read(n, k)) for n, k in (("prints", np.uint64), ("docs", np.int64), ("counts", np.uint8), ("leads", np.uint8)))
-    data = np.concatenate(read("bytes", np.uint8))
+    data = np.concatenate([unpack_bytes(x) for x in t.column("bytes").to_pylist()])
     lengths = count.astype(np.int64) + WINDOW - 1
     at = np.cumsum(lengths) - lengths
     order = np.lexsort((doc, shape, key))
@@ -276,7 +263,7 @@ def _settle(t: pa.Table) -> pa.Table:
     mask = np.where(doc > doc[head[group]], every, found[group])
     cuts = np.cumsum([0, *map(len, keys)]).tolist()
     bucket = t.column("bucket")[0].as_py()
-    return _table([(c, bucket, mask[x:y].tobytes()) for c, x, y in zip(t.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)], "chunk bucket masks", 2)
+    return _table([(c, bucket, pack_array(mask[x:y])) for c, x, y in zip(t.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)], "chunk bucket masks", 2)
 
 
 def _finish(buckets: int):
@@ -294,7 +281,7 @@ def _finish(buckets: int):
         if kept.num_rows:
             s = Survivors(ids, texts, kept, buckets)
             masks = told.filter(pa.array(is_mask)).sort_by("bucket")
-            mask = np.frombuffer(b"".join(masks.column("masks").to_pylist()), np.uint32)
+            mask = np.concatenate([unpack_array(x, np.uint32) for x in masks.column("masks").to_pylist()])
             every = ((np.uint64(1) << s.count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
             mine = np.where(s.doc > s.doc[s.rep[s.group]], every, mask[s.group])
             for j in range(WINDOW - GRAM + 1):
@@ -327,14 +314,17 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     Null texts are empty; texts under 50 bytes lose nothing; rows with equal ids don't remove each other's strings; a
     null id is smaller than none; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
     total = byte_size(docs, "text")
     chunks, buckets = parts_for(total, CHUNK_BYTES), parts_for(total, BUCKET_BYTES)
     rows = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
-    by_chunk = rows.groupBy("chunk")
+    by_chunk = spread(rows, chunks, "chunk").groupBy("chunk")
+    to_chunk = lambda df: spread(df, chunks, "chunk").groupBy("chunk")
+    to_bucket = lambda df: spread(df, buckets, "bucket").groupBy("bucket")
     sent = by_chunk.applyInArrow(_send_keys(buckets), "chunk long, bucket long, keys binary, several binary")
-    kept = sent.groupBy("bucket").applyInArrow(_survivors, _SURVIVORS)
-    contexts = by_chunk.cogroup(kept.groupBy("chunk")).applyInArrow(_send_contexts(buckets), _CONTEXTS)
-    masks = contexts.groupBy("bucket").applyInArrow(_settle, _MASKS)
+    kept = to_bucket(sent).applyInArrow(_survivors, _SURVIVORS)
+    contexts = by_chunk.cogroup(to_chunk(kept)).applyInArrow(_send_contexts(buckets), _CONTEXTS)
+    masks = to_bucket(contexts).applyInArrow(_settle, _MASKS)
     told = kept.withColumn("masks", F.lit(None).cast("binary")).unionByName(masks.withColumn("keys", F.lit(None).cast("binary")))
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_finish(buckets), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return by_chunk.cogroup(to_chunk(told)).applyInArrow(_finish(buckets), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
