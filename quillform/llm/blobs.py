@@ -7,7 +7,7 @@ import zstandard
 
 
 def _planes(x: np.ndarray, kind: str, width: int) -> bytes:
-    raw = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), -1)[:, :width]
+    raw = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize)[:, :width]
     return zstandard.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_size, materialize, parts_for, small_batches
+from .common import ROW, arrow_column, byte_size, materialize, packed, parts_for, small_batches, unpacked
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -215,7 +215,7 @@ def _with_block(docs: DataFrame, text: str, items: list[tuple[int, str | None]])
             return pa.RecordBatch.from_arrays([*rows.columns, *new], [*names, "d_n_words", "d_items", "d_spans"])
 
         for batch in batches:
-            texts, held, size, first = batch.column(batch.schema.get_field_index(text)), [], 0, 0
+            texts, held, size, first = arrow_column(batch, text), [], 0, 0
             for i in range(batch.num_rows):
                 w = split_words(texts[i].as_py())
                 held.append(np.fromiter((get(x, 0) for x in w), np.int64, len(w)))
@@ -278,17 +278,17 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with the columns of ``docs``."""
-    return find(docs, benchmark, text).filter(F.size("d_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(find(packed(docs), benchmark, f"{ROW}.{text}").filter(F.size("d_spans") == 0))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """All rows of ``docs``, with the merged spans of benchmark windows cut out of the texts."""
-    found = find(docs, benchmark, text)
-    schema = docs.schema
+    found = find(packed(docs), benchmark, f"{ROW}.{text}")
+    out = found.select("*", F.lit(None).cast("string").alias("d_text")).schema
 
     def run(batches):
         for b in batches:
-            texts = [cut(t, [(s["first"], s["last"]) for s in spans]) for t, spans in zip(b.column(b.schema.get_field_index(text)).to_pylist(), b.column(b.schema.get_field_index("d_spans")).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(b.schema.get_field_index(c)) for c in schema.names], schema.names)
+            texts = [cut(t, [(s["first"], s["last"]) for s in spans]) for t, spans in zip(arrow_column(b, f"{ROW}.{text}").to_pylist(), arrow_column(b, "d_spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "d_text"])
 
-    return found.mapInArrow(run, schema)
+    return unpacked(found.mapInArrow(run, out), **{text: F.col("d_text")})

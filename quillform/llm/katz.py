@@ -333,9 +333,9 @@ def _keep(df: DataFrame, root: str, order: int) -> tuple[DataFrame, list[int]]:
     """Store the replies and an order's part of the model; the model's totals."""
     path = f"{root}/order={order}"
     df.write.partitionBy("part").option("compression", "none").parquet(path)
-    model = df.sparkSession.read.parquet(f"{path}/part=model").select("stats")
-    sums = model.agg(*[F.sum(F.get("stats", F.lit(k))) for k in range(K + 3)]).first()
-    replies = df.sparkSession.read.schema(_REPLY.removeprefix("part string, ")).parquet(f"{path}/part=reply")
+    stored = df.sparkSession.read.schema(_REPLY).parquet(path)  # no part has files if no chunk had anything to ask
+    sums = stored.filter("part = 'model'").agg(*[F.sum(F.get("stats", F.lit(k))) for k in range(K + 3)]).first()
+    replies = stored.filter("part = 'reply'").drop("part")
     return replies, [int(x or 0) for x in sums]
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, running
+from .common import ROW, materialize, packed, running, unpacked
 
 THRESHOLD = 0.9
 FULL = 0.999
@@ -35,7 +35,7 @@ PATTERNS = {
 }
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
-_SPAN = "array<struct<start:bigint,end:bigint,rank:int,kind:string,value:string,before:string,after:string>>"
+_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,before:string,after:string>>"
 
 
 def _digits(x: Column) -> Column:
@@ -81,7 +81,7 @@ def with_entities(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda x, i: F.when(
                 _valid(kind, x),  # noqa: B023
                 F.struct(
-                    start(i).alias("start"), (start(i) + F.char_length(x)).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), value(x).alias("value"),  # noqa: B023
+                    start(i).alias("start"), F.lit(rank).alias("rank"), (start(i) + F.char_length(x)).alias("end"), F.lit(kind).alias("kind"), value(x).alias("value"),  # noqa: B023
                     F.right(F.get("e_between", i), F.lit(NEAR)).alias("before"), F.substring(F.get("e_between", i + 1), 1, NEAR).alias("after"),
                 ),
             ),
@@ -174,8 +174,10 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``: entities replaced by their kind, disclosing terms removed or generalised."""
     found = find(docs, doc_id, text).dropDuplicates(["d_doc", "d_hash"])
-    rows = docs.withColumn("s_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    both = rows.join(found, rows[doc_id].eqNullSafe(found["d_doc"]) & (rows["s_hash"] == found["d_hash"]), "left")
+    rows = packed(docs)
+    said = F.col(f"{ROW}.{text}")
+    rows = rows.withColumn("s_hash", F.xxhash64(F.coalesce(said, F.lit(""))))
+    both = rows.join(found, F.col(f"{ROW}.{doc_id}").eqNullSafe(F.col("d_doc")) & (F.col("s_hash") == F.col("d_hash")), "left")
     entity = F.transform("e_spans", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.concat(F.lit("["), F.upper(e["kind"]), F.lit("]")).alias("by")))
     term = F.transform("t_spans", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= FULL, F.lit("")).otherwise(F.concat(F.lit("[related to "), t["value"], F.lit("]"))).alias("by")))
     both = both.withColumn("s_all", F.array_sort(F.concat(entity, term)))
@@ -184,9 +186,9 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         "s_all",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("end")),
         lambda a, s: F.when(s["start"] < a["end"], F.struct(a["out"].alias("out"), F.greatest(a["end"], s["end"]).alias("end"))).otherwise(
-            F.struct(F.concat(a["out"], F.substring(F.col(text), a["end"].cast("int") + 1, (s["start"] - a["end"]).cast("int")), s["by"]).alias("out"), s["end"].alias("end"))
+            F.struct(F.concat(a["out"], F.substring(said, a["end"].cast("int") + 1, (s["start"] - a["end"]).cast("int")), s["by"]).alias("out"), s["end"].alias("end"))
         ),
     )
     both = both.withColumn("s_made", step)
-    clean = F.when(F.size("s_all") > 0, F.concat(F.col("s_made.out"), F.substring(F.col(text), F.col("s_made.end").cast("int") + 1, F.char_length(F.col(text))))).otherwise(F.col(text))
-    return both.select(*[clean.alias(c) if c == text else rows[c] for c in docs.columns])
+    clean = F.when(F.size("s_all") > 0, F.concat(F.col("s_made.out"), F.substring(said, F.col("s_made.end").cast("int") + 1, F.char_length(said)))).otherwise(said)
+    return unpacked(both, **{text: clean})

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, words
+from .common import ROW, materialize, packed, unpacked, words
 
 #: Relative error of a quantile.
 ACCURACY = 0.01
@@ -157,4 +157,4 @@ def decide(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataF
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return judge(docs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(judge(packed(docs), f"{ROW}.text", f"{ROW}.lang", f"{ROW}.source").filter("kept"))

@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running
+from .common import ROW, packed, running, unpacked
 
 #: A candidate: possessive and anchored at its run's begin, so that matching is linear.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
@@ -162,7 +162,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None, text: str = "text", path: str = "source") -> DataFrame:
     """All rows of ``docs`` with each secret of the text replaced by ``REPLACEMENT``; other texts stay as they are."""
-    found = scan(docs, model, text, path)
+    found = scan(packed(docs), model, f"{ROW}.{text}", f"{ROW}.{path}")
     parts = F.zip_with("s_between", "s_findings", lambda a, f: F.concat(a, F.when(f["secret"], F.lit(REPLACEMENT)).otherwise(F.coalesce(f["candidate"], F.lit("")))))
-    clean = F.when(F.exists("s_findings", lambda f: f["secret"]), F.array_join(parts, "")).otherwise(F.col(text))
-    return found.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.exists("s_findings", lambda f: f["secret"]), F.array_join(parts, "")).otherwise(F.col(f"{ROW}.{text}"))
+    return unpacked(found, **{text: clean})

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import ROW, arrow_column, materialize, packed, small_batches, unpacked
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -65,7 +65,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
 
     def run(batches):
         for b in batches:
-            got = pa.array([_signed(fingerprint(x)) for x in b.column(b.schema.get_field_index(text)).to_pylist()], pa.int64())
+            got = pa.array([_signed(fingerprint(x)) for x in arrow_column(b, text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, name])
 
     return docs.mapInArrow(run, out)
@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` of each component, that with the smallest id (null ids last, then any one), all columns kept."""
-    staged = materialize(with_fingerprint(docs, text, "sim_fp").withColumn("sim_row", F.monotonically_increasing_id()), "simhash-docs")
-    prints = staged.select(F.col("sim_fp").alias("fp"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("sim_row").alias("row"))
+    staged = materialize(with_fingerprint(packed(docs), f"{ROW}.{text}", "sim_fp").withColumn("sim_row", F.monotonically_increasing_id()), "simhash-docs")
+    prints = staged.select(F.col("sim_fp").alias("fp"), F.col(f"{ROW}.{doc_id}").isNull().alias("no_id"), F.col(f"{ROW}.{doc_id}").alias("id"), F.col("sim_row").alias("row"))
     chosen = materialize(groups(prints, "no_id", "id", "row").select(F.col("best.row").alias("sim_row")).distinct(), "simhash-kept")
     # Always by shuffle: what is kept grows with the rows.
-    return staged.join(chosen.hint("merge"), "sim_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(staged.join(chosen.hint("merge"), "sim_row", "left_semi"))

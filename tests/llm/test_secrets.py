@@ -1,0 +1,70 @@
+import random
+import re
+
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from quillform.llm import q_secrets, secrets
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.production_model(spark)
+
+
+def test_held_out_accuracy(spark):
+    found = secrets.synthetic_findings(spark)
+    part = F.pmod(F.xxhash64("candidate"), F.lit(4))
+    m = secrets.train(found.filter(part > 0))
+    c = F.col
+    p = found.filter(part == 0).select(secrets.features(c("candidate"), c("before"), c("after"), c("path")).alias("f"), "label").withColumn("p", F.expr(secrets.forest_sql(m, "f")))
+    right = p.agg(F.avg((c("p") >= 0.5).cast("int").eqNullSafe(c("label")).cast("int")), F.count("*")).first()
+    assert right[0] > 0.97 and right[1] > 1000
+
+
+def test_sql_is_the_forest(spark, model):
+    c = F.col
+    rows = secrets.synthetic_findings(spark, 600).select(secrets.features(c("candidate"), c("before"), c("after"), c("path")).alias("f")).withColumn("p", F.expr(secrets.forest_sql(model, "f"))).select("f.*", "p")
+    got = model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(rows))
+    assert got.agg(F.max(F.abs(vector_to_array("probability")[1] - F.col("p")))).first()[0] < 1e-9
+
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+ROWS = [
+    (1, f'And then token = "{HEX}" and more', "src0"), (2, f"see commit {HEX} for it", "src0"), (3, "placeholder key: example_key_name_1234567", "docs/x"), (4, None, None), (5, "", "a"),
+    (6, f"É日\U0001f600 password: '{HEX[:32]}'\n" * 3, None), (7, "word " * 50_000 + f'TOKEN="{HEX}"', "x"), (8, "1" * 50_000, "x"), (9, "a1" * 9 + " " + "b2" * 9, "x"), (1, f'And then token = "{HEX}" and more', "src0"),
+]
+
+
+def test_positions_against_regular_expressions(spark, model):
+    rng = random.Random(1)
+    many = " ".join(rng.choice(("id ", "x=")) + "".join(rng.choice("abc123-_/") for _ in range(20)) for _ in range(700))
+    rows = [*ROWS, (20, many, "p")]
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, source string, s_found string, r_blocks int")
+    for r in secrets.scan(df, model).collect():
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.CANDIDATE, r.text or "")]
+        assert [(f.start, f.end, f.candidate) for f in (r.s_findings or [])] == want
+
+
+def test_secrets_are_told_from_look_alikes(spark, model):
+    got = {}
+    for r in secrets.scan(spark.createDataFrame(ROWS, "doc_id long, text string, source string"), model).collect():
+        got.setdefault(r.doc_id, [f.secret for f in (r.s_findings or [])])
+    assert got[1] == [True] and got[2] == [False] and got[3] == [False] and got[6] == [True] * 3 and got[7] == [True] and got[4] == got[5] == []
+
+
+def test_redact_changes_secrets_only(spark, model):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    out = secrets.redact(df, model)
+    assert out.columns == df.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[1] == 'And then token = "[SECRET]" and more' and got[2] == ROWS[1][1] and got[4] is None and got[5] == "" and HEX[:32] not in got[6] and got[9] == ROWS[8][1]
+
+
+def test_query_and_empty_table(spark, tables):
+    docs = [(d, t, "en", s, None) for d, t, s in ROWS]
+    rows = q_secrets.op6_secret_scan(spark, tables(documents=docs)).collect()
+    assert {r.doc_id for r in rows if r.secret} >= {1, 6, 7} and len([r for r in rows if r.doc_id == 1]) == 2
+    assert q_secrets.op6_secret_scan(spark, tables()).collect() == []
