@@ -17,8 +17,10 @@ IDENTITIES = (
     ("registration", (" matricula ", " registro funcional ")), ("full_name", (" nome completo ", " nome do servidor ", " nome do solicitante ")), ("legal_name", (" razao social ", " legal name ")), ("trade_name", (" nome fantasia ", " trade name ")),
 )
 TEXT_LIKE = ("text", "multiline", "cnpj", "cpf", "cep", "phone", "email", "integer")
-#: Words that name no template by themselves.
-STOP_WORDS = ("de", "da", "do", "das", "dos", "e", "a", "o", "para", "the", "of", "and")
+#: Words that name no template, and endings that mark a copy or a version.
+STOP_WORDS = ("a", "an", "and", "da", "das", "de", "do", "document", "documento", "dos", "e", "for", "form", "formulario", "modelo", "of", "o", "os", "para", "template", "the")
+COPY_WORDS = ("copy", "copia", "copias", "duplicate", "duplicado", "duplicada", "new", "novo", "nova")
+VERSION_WORDS = ("version", "versao", "revision", "revisao", "rev")
 SIMILAR = 0.84
 
 
@@ -80,36 +82,72 @@ def duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(F.col(key), F.sha2(text, 256).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(key).alias("first")).filter("n > 1")
 
 
-def name_tokens(x: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(name_key(x), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)))
+def template_key(x: Column) -> Column:
+    """A name's words without stop words, and without copy and version marks at the end."""
+    kept = F.array_join(F.filter(F.split(name_key(x), " "), lambda t: (t != "") & ~t.isin(*STOP_WORDS)), " ")
+    ending = rf"(?:(?:^| )(?:{'|'.join(COPY_WORDS)}|v?[0-9]+|(?:{'|'.join(VERSION_WORDS)}) [0-9]+))+$"
+    return F.regexp_replace(kept, ending, "")
 
 
 def similar_names(names: DataFrame, name: str = "name", least: float = SIMILAR) -> DataFrame:
     """(a, b, score): pairs of different distinct names whose similarity reaches ``least``, a < b.
 
-    The score is the best of the character ratio of the normalised names, and 0.91 where the words of one are all in the
-    other (two words at least). Pairs are found through their common words, not among all names; names without a common
-    word are not compared.
+    1 for equal normalised names, .99 for equal keys, .98 for keys equal without blanks; else the best of the character
+    ratio of the keys, .98 of that without blanks, the share of common words, and .91 where one key's words (two at least)
+    are all in the other. Keys under five letters match nothing else, keys with one common word of several need a ratio of
+    .86. Pairs are found through common words and through equal compact keys, not among all names: keys without a common
+    word are compared only if they begin or end with the same four letters.
     """
-    n = names.select(F.col(name).alias("name")).distinct().withColumn("norm", name_key(F.col("name"))).withColumn("words", name_tokens(F.col("name"))).filter("norm <> ''")
-    words = n.select("name", "norm", "words", F.explode("words").alias("word"))
-    a, b = words.alias("a"), words.alias("b")
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.name") < F.col("b.name")) & F.col("a.norm").isNotNull())
-    cols = lambda: [F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.col("a.norm").alias("na"), F.col("b.norm").alias("nb"), F.size(F.array_intersect("a.words", "b.words")).alias("common"), F.size("a.words").alias("ka"), F.size("b.words").alias("kb")]
-    # Two names can reach 0.84 by characters only if the shorter has 0.84 / 1.16 of the longer's length.
-    near = F.least(F.length("a.norm"), F.length("b.norm")) * 2.0 >= least * (F.length("a.norm") + F.length("b.norm"))
-    inside = (F.size(F.array_intersect("a.words", "b.words")) == F.least(F.size("a.words"), F.size("b.words"))) & (F.least(F.size("a.words"), F.size("b.words")) >= 2)
-    close = pairs.filter(near | inside).select(*cols()).distinct()
+    n = names.select(F.col(name).alias("name")).distinct().withColumn("norm", name_key(F.col("name"))).withColumn("key", template_key(F.col("name")))
+    n = n.filter("norm <> ''").withColumn("compact", F.replace("key", F.lit(" "), F.lit(""))).withColumn("words", F.array_distinct(F.filter(F.split("key", " "), lambda t: t != "")))
+    marks = F.concat(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("n:"), "norm"), F.concat(F.lit("c:"), "compact"), F.concat(F.lit("b:"), F.left("compact", F.lit(4))), F.concat(F.lit("e:"), F.right("compact", F.lit(4)))))
+    met = n.withColumn("mark", F.explode(marks))
+    a, b = met.alias("a"), met.alias("b")
+    pairs = a.join(b, (F.col("a.mark") == F.col("b.mark")) & (F.col("a.name") < F.col("b.name")))
+    cols = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("name", "norm", "key", "compact", "words")]
+    p = pairs.select(*cols).dropDuplicates(["name_a", "name_b"])
+    common, fewest = F.size(F.array_intersect("words_a", "words_b")), F.least(F.size("words_a"), F.size("words_b"))
+    p = p.withColumn("common", common).withColumn("fewest", fewest).withColumn("jaccard", F.try_divide(common, F.size(F.array_union("words_a", "words_b"))))
+    # Ratios of strings of lengths m and n are at most 2 min / (m + n): only pairs that can reach the threshold are compared in Python.
+    room = 2.0 * F.least(F.length("compact_a"), F.length("compact_b")) >= least * (F.length("compact_a") + F.length("compact_b")) - 2
+    p = p.filter((F.col("norm_a") == F.col("norm_b")) | room | ((common == fewest) & (fewest >= 2)) | (F.col("jaccard") >= least))
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
+        return pd.Series([difflib.SequenceMatcher(None, q, r).ratio() for q, r in zip(x, y, strict=True)], dtype="float64")
 
-    scored = close.withColumn("r", ratio("na", "nb"))
-    held = F.when((F.col("common") == F.least("ka", "kb")) & (F.least("ka", "kb") >= 2), F.greatest(F.col("r"), F.lit(0.91))).otherwise(F.col("r"))
-    weak = (F.col("common") == 1) & (F.col("ka") > 1) & (F.col("kb") > 1) & (F.col("r") < 0.86)
-    score = F.when(F.col("na") == F.col("nb"), 1.0).otherwise(F.round(held, 4))
-    return scored.withColumn("score", score).filter(~weak & (F.col("score") >= least)).select("a", "b", "score")
+    p = p.withColumn("whole", ratio("key_a", "key_b")).withColumn("tight", ratio("compact_a", "compact_b"))
+    best = F.greatest("whole", F.col("tight") * 0.98, "jaccard", F.when((common == fewest) & (fewest >= 2), 0.91).otherwise(0.0))
+    weak = ((common == 0) & (F.col("whole") < 0.92)) | ((common == 1) & (F.size("words_a") > 1) & (F.size("words_b") > 1) & (F.col("whole") < 0.86) & (F.col("jaccard") < 0.75))
+    short = F.least(F.length("compact_a"), F.length("compact_b")) < 5
+    no_key = (F.col("key_a") == "") | (F.col("key_b") == "")
+    score = F.when(F.col("norm_a") == F.col("norm_b"), 1.0).when(no_key, 0.0).when(F.col("key_a") == F.col("key_b"), 0.99).when(F.col("compact_a") == F.col("compact_b"), 0.98).when(short | weak, 0.0).otherwise(F.round(best, 4))
+    return p.withColumn("score", score).filter(F.col("score") >= least).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score")
+
+
+def suffixes(key: Column) -> Column:
+    """The last one to four words of a key, normalised."""
+    w = F.filter(F.split(identity_text(key), " "), lambda t: t != "")
+    n = F.size(w)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.least(n, F.lit(4))), lambda k: F.array_join(F.slice(w, n - k + 1, k), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+#: Labels too general to match by, and single words that are not.
+GENERIC = ("nome", "data", "valor", "descricao", "observacao", "responsavel", "numero", "titulo", "campo", "item")
+STRONG = ("cpf", "cnpj", "cep", "telefone", "celular", "matricula", "razao social", "nome fantasia")
+
+
+def suffix_matches(answers: DataFrame, fields: DataFrame, key: str) -> DataFrame:
+    """(key, field_id, answer_key): fields whose label is the ending of exactly one saved key, and of one field only.
+
+    ``answers`` has ``answer_key``, ``fields`` field_id and label. General labels match nothing; others need two words and seven letters.
+    """
+    label = identity_text(F.col("label"))
+    safe = ~label.isin(*GENERIC, "") & (label.isin(*STRONG) | ((F.size(F.split(label, " ")) >= 2) & (F.length(label) >= 7)))
+    f = fields.withColumn("norm", label).filter(safe).withColumn("same", F.count("*").over(W.partitionBy(key, "norm"))).filter("same = 1")
+    s = answers.select(key, "answer_key", F.explode(suffixes(F.col("answer_key"))).alias("norm")).distinct()
+    s = s.withColumn("keys", F.count("*").over(W.partitionBy(key, "norm"))).filter("keys = 1")
+    return f.join(s, [key, "norm"]).select(key, "field_id", "answer_key")
 
 
 def prune(favorites: DataFrame, existing: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-from . import forms, records
+from . import detection, forms, records
 
-QUERIES = {**forms.QUERIES, **records.QUERIES}
-ORACLES = {**forms.ORACLES, **records.ORACLES}
+QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES}
+ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES}

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillform.operators import graph, history, matching, records, rules, tags
+from quillform.operators import detect, graph, history, layout, matching, records, rules, tags
 
 
 def parsed(spark, token):
@@ -112,3 +112,55 @@ def test_history(spark):
     base = spark.createDataFrame([("a", "old"), ("c", "old")], "k string, v string")
     ch = spark.createDataFrame([("a", "new", False, 1), ("a", "gone", True, 2), ("d", "add", False, 1)], "k string, v string, deleted boolean, at int")
     assert {tuple(r) for r in history.upsert(base, ch, ["k"], [F.col("at")]).collect()} == {("c", "old"), ("d", "add")}
+
+
+def test_template_keys(spark):
+    names = ["Modelo de Contrato (cópia) v2", "Contrato", "Termo versão 3", "O Termo", "2024"]
+    assert [r.k for r in spark.createDataFrame([(n,) for n in names], "n string").select(matching.template_key(F.col("n")).alias("k")).collect()] == ["contrato", "contrato", "termo", "termo", ""]
+
+
+def test_masks_do_not_overlap(spark):
+    text = "UF: __ Nome: XXXX R$ 000.000,00 {campo.id} {{tag}} (00) 00000-0000 contato@empresa.com.br a__b"
+    got = spark.createDataFrame([(text,)], "t string").select(detect.masks(F.col("t")).alias("m")).first().m
+    assert [(x.kind, text[x.start : x.end]) for x in got] == [("underscores", "__"), ("letters", "XXXX"), ("currency", "R$ 000.000,00"), ("braces", "{campo.id}"), ("phone", "(00) 00000-0000"), ("email", "contato@empresa.com.br")]
+    assert [x.confidence for x in got][:3] == [0.91, 0.91, 0.82]
+
+
+def test_labels_of_records(spark):
+    rows = [(1, 0, None, None, None, "1. Dados gerais"), (1, 1, None, None, None, "Nome completo"), (1, 2, None, None, None, "______"), (1, 3, 0, 0, 0, "Cargo"), (1, 4, 0, 0, 1, ""), (1, 5, 0, 1, 0, "___"), (1, 6, None, None, None, "Data: __/__/____")]
+    df = spark.createDataFrame(rows, "doc int, ordinal int, table_index int, row_index int, cell_index int, text string")
+    got = {r.ordinal: (r.role, r.section, r.label, r.label_source) for r in detect.annotate(df).collect()}
+    assert got[2] == ("fill_area", "1. Dados gerais", "Nome completo", "nearby") and got[4][2:] == ("Cargo", "left") and got[5][2:] == ("Cargo", "column") and got[6][2:] == ("Data", "same_text")
+
+
+def test_sheets_and_repairs(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 3, "a | b | c"), (1, 0, 1, 1, "____"), (1, 0, 2, 3, "x"), (1, 0, 3, 1, "short")], "doc int, table_index int, row_index int, n_cells int, text string")
+    assert [r.row_index for r in detect.editable_sheets(rows).collect()] == [0]
+    cells = spark.createDataFrame([(1, 0, 0, 1, "__", True, 0.9), (1, 0, 1, 1, "__", True, 0.9), (1, 0, 2, 1, " ", False, 0.8), (1, 0, 3, 1, "", False, 0.5), (1, 0, 2, 2, "", False, 0.9)], "doc int, table_index int, row_index int, cell_index int, text string, editable boolean, label_confidence double")
+    assert [(r.row_index, r.cell_index) for r in detect.consistency_repairs(cells).collect()] == [(2, 1)]
+
+
+def test_rescoring(spark):
+    def score(base, *codes):
+        r = spark.range(1).select(detect.rescore(F.lit(base), F.array(*[F.lit(c) for c in codes]) if codes else F.expr("cast(array() as array<string>)")).alias("s")).first().s
+        return (r.confidence, r.band, r.priority, r.selected)
+
+    assert score(0.9) == (0.9, "high", "ready", True) and score(0.9, "poor", "agree") == (0.54, "low", "required", False) and score(0.95, "agree") == (1.0, "high", "ready", True) and score(0.9, "pdf") == (0.88, "high", "recommended", True)
+
+
+def test_layout_operators(spark):
+    e = spark.createDataFrame([("t", "b", "X", 0)], "template_id string, field_id string, section string, pos int")
+    f = spark.createDataFrame([("t", "a", "Y", 0), ("t", "b", "Y", 1), ("t", "c", None, 2)], "template_id string, field_id string, section string, pos int")
+    assert {(r.field_id, r.section) for r in layout.normalize_sections(e, f).collect()} == {("a", "Y"), ("b", "X"), ("c", "Outros")}
+    c = spark.createDataFrame([(1, 1, "b", 5), (1, 0, "a", 6)], "row int, column int, text string, order int")
+    assert [tuple(r) for r in layout.static_rows(c, "row").collect()] == [(1, 5, "a | b")]
+    b = spark.createDataFrame([(1, "Sim"), (1, "Não"), (2, "Sim"), (2, "Talvez"), (3, "Nada consta"), (3, "Consta débito")], "cell int, label string")
+    assert {r.cell for r in layout.choice_groups(b, "cell").collect()} == {1, 3}
+    p = spark.createDataFrame([(["Data de início", "Data de fim", "Data de hoje"],), (["x"],), (["a b", "b a"],)], "l array<string>").select(layout.common_prefix(F.col("l")).alias("p")).collect()
+    assert [r.p for r in p] == ["Data de", "x", ""]
+
+
+def test_suffix_matches_are_unique_and_safe(spark):
+    a = spark.createDataFrame([(1, "auto.nome_completo"), (1, "x.data"), (1, "a.cpf"), (1, "b.cpf"), (1, "chefe.razao_social")], "k int, answer_key string")
+    f = spark.createDataFrame([(1, "f1", "Nome Completo"), (1, "f2", "Data"), (1, "f3", "CPF"), (1, "f4", "Razão Social"), (1, "f5", "Outro rótulo"), (1, "f6", "Outro rótulo")], "k int, field_id string, label string")
+    assert {(r.field_id, r.answer_key) for r in matching.suffix_matches(a, f, "k").collect()} == {("f1", "auto.nome_completo"), ("f4", "chefe.razao_social")}
