@@ -1,6 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-from . import detection, forms, records
+from . import detection, forms, records, stores
 
-QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES}
-ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES}
+QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES, **stores.QUERIES}
+ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES, **stores.ORACLES}
