@@ -11,7 +11,7 @@ occurrence. A document begins after an end token.
 
 Chunks of documents are stored once in the shared folder as word numbers with their vocabulary. Each chunk sends its
 distinct words, later its distinct bigrams, to hash buckets with their training counts; buckets add up, store their part
-of the model (tables partitioned by order), and reply to each chunk in the order it asked. A hot word or pair is one
+of the model (tables partitioned by order; once the discounts are known, the backoff weights), and reply to each chunk in the order it asked. A hot word or pair is one
 entry per chunk, and a chunk evaluates its own tokens by recursion over the replies.
 """
 
@@ -229,8 +229,12 @@ def _store(folder: str, buckets: int):
         local: dict[bytes, int] = {END: 0}
 
         def flush():
-            keys = np.array([xxhash.xxh64_intdigest(w) for w in local], np.uint64)
-            chunk, name = Chunk(ids, np.array(sizes), np.array(tokens, np.int64), keys, buckets), (task << 24) | number
+            keys, flat = np.array([xxhash.xxh64_intdigest(w) for w in local], np.uint64), np.array(tokens, np.int64)
+            # Frequent words get small numbers, which compress better; the end stays 0.
+            order = np.concatenate(([0], 1 + np.argsort(-np.bincount(flat, minlength=len(keys))[1:], kind="stable")))
+            number_of = np.empty(len(order), np.int64)
+            number_of[order] = np.arange(len(order))
+            chunk, name = Chunk(ids, np.array(sizes), number_of[flat], keys[order], buckets), (task << 24) | number
             put_file(folder, f"{name}.chunk", chunk.dump())
             rows = chunk.words()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((name, *r) for r in rows), strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "keys", "counts"])
@@ -277,6 +281,20 @@ def _ask(folder: str, buckets: int):
     return run
 
 
+def _two(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def _halves(h: np.ndarray) -> bytes:
+    """Counts of histories; the rest's occurrences can exceed 32 bits and go in two halves."""
+    return pack_ints(np.concatenate([h[:, : 2 * K + 1], h[:, 2 * K + 1 :] & 0xFFFFFFFF, h[:, 2 * K + 1 :] >> 32], axis=1).T.reshape(-1))
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    halves = unpack_ints(raw).reshape(_HISTORY + 1, -1).T
+    return np.concatenate([halves[:, : 2 * K + 1], halves[:, 2 * K + 1 : 2 * K + 2] | halves[:, 2 * K + 2 :] << 32], axis=1)
+
+
 def _add_pairs(t: pa.Table) -> pa.Table:
     bucket, chunks = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
     read = lambda name, f: [f(x) for x in t.column(name).to_pylist()]
@@ -301,14 +319,11 @@ def _add_pairs(t: pa.Table) -> pa.Table:
     h[:, 2 * K + 1] = np.bincount(who[big], words[big], len(value))
     rows, a, b = [], 0, 0
     for chunk, hs, ks in zip(chunks, hists, keys, strict=True):
-        mine = h[hist[a : a + len(hs)]]
-        # The rest's occurrences can exceed 32 bits: two halves.
-        halves = np.concatenate([mine[:, : 2 * K + 1], mine[:, 2 * K + 1 :] & 0xFFFFFFFF, mine[:, 2 * K + 1 :] >> 32], axis=1)
-        rows.append(("reply", chunk, bucket, None, pack_ints(total[place[b : b + len(ks)]]), pack_ints(halves.T.reshape(-1)), None, None))
+        rows.append(("reply", chunk, bucket, None, pack_ints(total[place[b : b + len(ks)]]), _halves(h[hist[a : a + len(hs)]]), None, None))
         a, b = a + len(hs), b + len(ks)
     live = h[:, 0] > 0
     followers = np.bincount(who[seen], minlength=len(value))
-    model = ("model", None, bucket, pack_sorted(value[live]), pack_ints(followers[live]), pack_keys(key[first[seen]]), pack_ints(total[seen]), _stats(total))
+    model = ("model", None, bucket, pack_sorted(value[live]), pack_ints(followers[live]), _halves(h[live]), _two(pack_keys(key[first[seen]]), pack_ints(total[seen])), _stats(total))
     return _rows([*rows, model])
 
 
@@ -320,8 +335,7 @@ def _evaluate(folder: str, buckets: int, one: Unigrams, two: Bigrams):
         chunk.set_pairs()
         pairs = sorted((k, c, o) for k, c, o in told if o is not None)
         counts = np.concatenate([unpack_ints(c) for _, c, _ in pairs]) if pairs else np.array([], np.int64)
-        halves = np.concatenate([unpack_ints(o).reshape(_HISTORY + 1, -1).T for _, _, o in pairs]) if pairs else np.zeros((0, _HISTORY + 1), np.int64)
-        h = np.concatenate([halves[:, : 2 * K + 1], halves[:, 2 * K + 1 : 2 * K + 2] | halves[:, 2 * K + 2 :] << 32], axis=1)
+        h = np.concatenate([_whole(o) for _, _, o in pairs]) if pairs else np.zeros((0, _HISTORY), np.int64)
         known, base, score = chunk.scores(one, two, counts, h)
         n = len(chunk.ids)
         return pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array([one.tokens] * n, pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -339,12 +353,34 @@ def _keep(df: DataFrame, root: str, order: int) -> tuple[DataFrame, list[int]]:
     return replies, [int(x or 0) for x in sums]
 
 
+def _weigh(two: Bigrams):
+    def run(batches):
+        for b in batches:
+            out = [two.log_alpha(_whole(raw)).astype("<f4") for raw in b.column(2).to_pylist()]
+            alpha = pa.array([zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for x in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), alpha], ["bucket", "histories", "log_alpha"])
+
+    return run
+
+
+def weights(spark, root: str) -> DataFrame:
+    """(bucket, history, log_alpha): the stored backoff weights, a row per history (its 40 bits within the bucket)."""
+
+    def run(batches):
+        for b in batches:
+            for bucket, keys, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<f4").reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array(unpack_sorted(keys)), pa.array(found.astype(float))], ["bucket", "history", "log_alpha"])
+
+    return spark.read.parquet(f"{root}/weights").select("bucket", "histories", "log_alpha").mapInArrow(run, "bucket long, history long, log_alpha double")
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str | None = None) -> DataFrame:
     """Train on the documents of the training folds and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty and score their end; equal rows are scored and counted each; a null id is in training; an empty
-    table gives an empty result. ``root`` is a new folder for the model (``order=1`` and ``order=2``, each with
-    ``part=model``), in a file system that executors share. ``docs`` must give the same rows in a partition each time it
+    table gives an empty result. ``root`` is a new folder for the model (counts in ``order=1`` and ``order=2``, each with
+    ``part=model``, and backoff weights in ``weights``), in a file system that executors share. ``docs`` must give the same rows in a partition each time it
     is read, as a table does.
     """
     spark = docs.sparkSession
@@ -362,4 +398,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
     asked = one_replies.groupBy("chunk").applyInArrow(_ask(folder, buckets), "chunk long, bucket long, hists binary, sizes binary, keys binary, counts binary, words binary")
     two_replies, m = _keep(asked.groupBy("bucket").applyInArrow(_add_pairs, _REPLY), root, 2)
     two = Bigrams([0, *m[2:]], one)
+    stored = spark.read.schema(_REPLY).parquet(f"{root}/order=2").filter("part = 'model'").select("bucket", "keys", "others")
+    stored.mapInArrow(_weigh(two), "bucket long, histories binary, log_alpha binary").write.option("compression", "none").parquet(f"{root}/weights")
     return one_replies.unionByName(two_replies).groupBy("chunk").applyInArrow(_evaluate(folder, buckets, one, two), out)

@@ -92,3 +92,14 @@ def test_nothing_in_training(spark):
     held = next(i for i in range(100) if katz.held_out(i))
     rows = katz.score(spark.createDataFrame([(held, "a b", "x")], "doc_id long, text string, score string")).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in rows] == [(True, 3, 0, 0, 0.0)]
+
+
+def test_stored_weights_are_those_of_brute_force(spark, documents, tmp_path):
+    rows = [(r[0], r[1]) for r in documents]
+    root = f"file://{tmp_path}/model"
+    katz.score(spark.createDataFrame(rows, "doc_id long, text string"), root=root).count()
+    got = {(r.bucket, r.history): r.log_alpha for r in katz.weights(spark, root).collect()}
+    model, buckets = Model(rows), 1 + max(b for b, _ in got)
+    keys = {v: np.array([katz.xxhash.xxh64_intdigest(v)], np.uint64) for v in model.alpha}
+    want = {(int(katz.bucket_of(k, buckets)[0]), int(k[0]) & ((1 << 40) - 1)): math.log10(model.alpha[v]) for v, k in keys.items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
