@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quillform.llm import privacy, q_privacy
@@ -50,6 +51,15 @@ def test_disclosing_terms_are_found_and_others_left(spark, tables):
     assert all("term" in rows[i] for i in range(5)) and not any("term" in rows[100 + i] for i in range(200))
 
 
+def test_sql_finds_the_same_spans(spark, tables):
+    sf_dir = tables(documents=HIDDEN + REST + ALONE + [(500 + i, t, "en", "s", None) for i, t in enumerate(TEXTS[:6])])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = sorted(con.execute(q_privacy.SQL).fetchall())
+    got = sorted(tuple(r) for r in q_privacy.op9_pii_sanitise(spark, sf_dir).collect())
+    assert got == want and sum("term" in r[-1] for r in got) == 6
+
+
 def test_copies_are_one_context(spark, tables):
     copies = [(i, HIDDEN[0][1], "en", "s", None) for i in range(9)]
     rows = q_privacy.op9_pii_sanitise(spark, tables(documents=copies + REST)).collect()
