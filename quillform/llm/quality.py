@@ -25,7 +25,7 @@ MIN_GROUP = 100
 #: Interquartile ranges that the fence reaches beyond the quartiles.
 REACH = 6.0
 #: Metric -> (has a lower fence, slack).
-METRICS = {"word_length": (True, 2.0), "symbol_share": (False, 0.1), "dup_line_share": (False, 0.3), "repeat_share": (False, 0.2)}
+METRICS = {"word_length": (True, 2.0), "symbol_share": (False, 0.05), "dup_line_share": (False, 0.5), "repeat_share": (False, 0.3)}
 #: Groups up to which the table of fences is broadcast: a few hundred bytes each.
 BROADCAST_GROUPS = 20_000
 
@@ -119,10 +119,11 @@ def fences(bins: DataFrame, *keys: str) -> DataFrame:
 def group_fences(rows: DataFrame) -> DataFrame:
     """One row of fences for each (q_lang, q_source), backed off to the language or the corpus where the group is small."""
     groups = materialize(sketch(rows), "quality-sketch")
-    own, lang, all_ = fences(groups, "q_lang", "q_source"), fences(merge(groups, "q_lang"), "q_lang"), fences(merge(groups))
+    own, lang, whole = fences(groups, "q_lang", "q_source"), fences(merge(groups, "q_lang"), "q_lang"), fences(merge(groups)).first()
     names = [c for c in own.columns if c.startswith(("low_", "high_"))]
-    up = own.alias("o").join(lang.alias("l"), F.col("o.q_lang").eqNullSafe(F.col("l.q_lang"))).crossJoin(F.broadcast(all_.alias("a")))  # one row
-    best = [F.when(F.col("o.n_docs") >= MIN_GROUP, F.col(f"o.{c}")).when(F.col("l.n_docs") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in names]
+    up = own.alias("o").join(lang.alias("l"), F.col("o.q_lang").eqNullSafe(F.col("l.q_lang")))
+    corpus = {c: F.lit(whole[c] if whole else None).cast("double") for c in names}  # one row of numbers
+    best = [F.when(F.col("o.n_docs") >= MIN_GROUP, F.col(f"o.{c}")).when(F.col("l.n_docs") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(corpus[c]).alias(c) for c in names]
     return up.select(F.col("o.q_lang").alias("f_lang"), F.col("o.q_source").alias("f_source"), *best)
 
 
