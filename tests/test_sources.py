@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quillform.sources import ooxml, stores
+from quillform.sources import ooxml, packages, stores
 from quillform.streaming import upserts
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -74,3 +74,23 @@ def test_windowed_counts(spark, tmp_path):
     q = upserts.windowed_counts(events, "ts", "kind").writeStream.format("memory").queryName("counts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.kind, r.n) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_packages(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "ok.zip", "w") as z:
+        z.writestr("a/b.txt", "x" * 50)
+        z.writestr("c.txt", "y")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../evil.txt", "x")
+    (tmp_path / "no.zip").write_bytes(b"nothing")
+    got = {r.path.rsplit("/", 1)[1]: (r.entries, r.bytes, r.problem) for r in packages.limits(packages.read_entries(spark, str(tmp_path))).collect()}
+    assert got == {"ok.zip": (2, 51, None), "bad.zip": (1, 1, "unsafe path"), "no.zip": (0, 0, "broken")}
+
+
+def test_fingerprints_ignore_what_is_outside_word(spark, tmp_path):
+    for name, extra, body in (("a", "1", "same"), ("b", "2", "same"), ("c", "1", "other")):
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
+            z.writestr("docProps/x.xml", extra)
+            z.writestr("word/document.xml", body)
+    got = {r.path.rsplit("/", 1)[1]: r.fingerprint for r in packages.fingerprints(spark, str(tmp_path)).collect()}
+    assert got["a.docx"] == got["b.docx"] != got["c.docx"]
