@@ -39,11 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     Where it is unset, a local master gets a folder of this machine; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/checkpoints"
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file:///tmp/checkpoints"
+    return qualified(spark, named)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system: executors open files there without Hadoop's defaults."""
+    at, fs = hadoop(spark, path)
+    whole = fs.makeQualified(at).toString().rstrip("/")
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def scratch(spark: SparkSession, name: str) -> str:
