@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepare
 from .tokens import default_path
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -93,6 +94,7 @@ def format_conversations(rows: DataFrame, path: str | None = None, learn: str =
     null conv_id are one conversation; an empty table gives an empty result.
     """
     path = path or default_path()
+    prepare(rows.sparkSession)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

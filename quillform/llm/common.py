@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 #: The white space of every word contract, besides the blank: tab to carriage return.
 BREAKS = "\t\n\x0b\f\r"
 BATCH_ROWS = 1000
@@ -23,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python ``BATCH_ROWS`` at a time where the session has Spark's own default of 10,000.
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs on executors: send them this package, and hand it ``BATCH_ROWS`` rows at a time where the session has
+    Spark's own default of 10,000.
 
     Batches of whole texts otherwise take some hundred megabytes per task, in the JVM and in the worker.
     """
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
@@ -130,16 +134,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " ", -1), "")
 
 
-def running(df: DataFrame, lens: str, name: str, block: int = 64) -> DataFrame:
-    """Add ``name``: for each element of the array ``lens`` the sum of the elements before it, by sums of blocks."""
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    part = lambda at, n: F.aggregate(F.slice(at, n[0], n[1]), zero, add)
-    blocks = F.when(F.size(lens) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / block).cast("int")), lambda k: part(lens, (k * block + 1, F.lit(block)))))
-    df = df.withColumn("quill_blocks", blocks)
-    df = df.withColumn("quill_upto", F.transform("quill_blocks", lambda _, k: part("quill_blocks", (F.lit(1), k))))
-    at = F.transform(lens, lambda _, i: F.get("quill_upto", F.floor(i / block).cast("int")) + part(lens, (F.floor(i / block).cast("int") * block + 1, i % block)))
-    return df.withColumn(name, F.when(F.size(lens) > 0, at).otherwise(F.array().cast("array<bigint>"))).drop("quill_blocks", "quill_upto")
+_BLOCK = 64
+
+
+def _sum(array: str, begin: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(array, begin, n), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def with_blocks(df: DataFrame, lens: str) -> DataFrame:
+    """Add ``quill_upto``: for each block of the array ``lens`` the sum of the blocks before it."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / _BLOCK).cast("int")), lambda k: _sum(lens, k * _BLOCK + 1, F.lit(_BLOCK)))
+    df = df.withColumn("quill_blocks", F.when(F.size(lens) > 0, blocks))
+    return df.withColumn("quill_upto", F.transform("quill_blocks", lambda _, k: _sum("quill_blocks", F.lit(1), k))).drop("quill_blocks")
+
+
+def sum_before(lens: str, i: Column) -> Column:
+    """The sum of the elements of ``lens`` before the i-th (from 0), after ``with_blocks``."""
+    block = F.floor(i / _BLOCK).cast("int")
+    return F.get("quill_upto", block) + _sum(lens, block * _BLOCK + 1, i % _BLOCK)
+
+
+def running(df: DataFrame, lens: str, name: str) -> DataFrame:
+    """Add ``name``: for each element of the array ``lens`` the sum of the elements before it."""
+    at = F.transform(lens, lambda _, i: sum_before(lens, i))
+    return with_blocks(df, lens).withColumn(name, F.when(F.size(lens) > 0, at).otherwise(F.array().cast("array<bigint>"))).drop("quill_upto")
 
 
 def put_file(root: str, name: str, raw: bytes) -> None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_column, byte_size, materialize, packed, parts_for, small_batches, unpacked
+from .common import ROW, arrow_column, byte_size, materialize, packed, parts_for, prepare, unpacked
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -237,7 +237,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
     tables on either side give rows without hits, or none. Columns of ``docs`` that begin with ``d_`` are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("d_")])
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     items = benchmark.select("item_id", "text")
     if parts_for(byte_size(items, "text"), BLOCK_BYTES) == 1:
         return _with_block(docs, text, next(_blocks(items)))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, pack_ints, pack_keys, pack_sorted, unpack_ints, unpack_keys, unpack_sorted
-from .common import byte_size, get_file, parts_for, put_file, scratch, small_batches
+from .common import byte_size, get_file, parts_for, put_file, scratch, prepare
 
 K = 5
 CHUNK_TOKENS = 1 << 20
@@ -384,7 +384,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
     is read, as a table does.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     root = root or scratch(spark, "katz")
     folder = f"{root}/chunks"
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, small_batches
+from .common import materialize, prepare
 from .tokens import default_path, encoder
 
 LENGTH = 2048
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     are documents like any other; an empty table has no pieces. Ids are unsigned 32-bit, little-endian, in ``ids``.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     mine = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("p_source"), F.col(text).alias("p_text"))
     tokens = materialize(tokenize(mine, path or default_path(), "p_text", "p_source"), "pack-tokens")
     parts = materialize(tokens.groupBy("p_source", "part").agg(F.sum("n").alias("n")), "pack-parts")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_column, materialize, packed, small_batches, unpacked
+from .common import ROW, arrow_column, materialize, packed, prepare, unpacked
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -60,7 +60,7 @@ def _signed(x: int) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """``docs`` with a column ``name`` (long, the fingerprint's bits); an old column of that name is replaced."""
     docs = docs.drop(name)
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     out = docs.withColumn(name, F.lit(0).cast("long")).schema
 
     def run(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, pack_array, pack_bytes, pack_sorted, unpack_array, unpack_bytes, unpack_sorted
-from .common import byte_size, parts_for, small_batches, spread
+from .common import byte_size, parts_for, prepare, spread
 
 WINDOW = 50
 GRAM = 24
@@ -314,7 +314,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     Null texts are empty; texts under 50 bytes lose nothing; rows with equal ids don't remove each other's strings; a
     null id is smaller than none; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
     total = byte_size(docs, "text")
     chunks, buckets = parts_for(total, CHUNK_BYTES), parts_for(total, BUCKET_BYTES)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_size, hadoop, parts_for
+from .common import byte_size, hadoop, parts_for, prepare
 
 REVISIT_BYTES = 100
 ROLL_BYTES = 32 << 20
@@ -114,6 +114,7 @@ def write(pages: DataFrame, out: str, roll: int = ROLL_BYTES, shard_bytes: int =
     an empty manifest.
     """
     spark = pages.sparkSession
+    prepare(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     shards = parts_for(byte_size(pages, "html"), shard_bytes)
     keyed = pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
@@ -179,6 +180,7 @@ def read(spark: SparkSession, out: str, payload: bool = True) -> DataFrame:
 
     ``payload`` is null for revisits, and for all if not asked for.
     """
+    prepare(spark)
     files = manifest(spark, out)
     n = max(1, files.count())
 
