@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, packed, running, unpacked
+from .common import ROW, materialize, packed, running, sum_before, unpacked, with_blocks
 
 THRESHOLD = 0.9
 FULL = 0.999
@@ -150,21 +150,25 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     held = mine.select("d_doc", key.alias("d_hash"), F.explode(terms(F.col("d_text"))).alias("term")).join(_fit(told), "term")
     held = materialize(held.groupBy("d_doc", "d_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", F.struct("kind", "disclosure")))).alias("told")), "privacy-held")
     texts = mine.withColumn("d_hash", key).alias("a").join(_fit(held).alias("b"), F.col("a.d_doc").eqNullSafe(F.col("b.d_doc")) & (F.col("a.d_hash") == F.col("b.d_hash")))
-    texts = texts.select("a.d_doc", "a.d_hash", "a.d_text", "b.told").dropDuplicates(["d_doc", "d_hash"])
+    texts = texts.select("a.d_doc", "a.d_hash", "a.d_text", "b.told")
     word = r"[^\x20\x09-\x0D]++"
     out = texts.withColumn("w_found", F.regexp_extract_all("d_text", F.lit(word), F.lit(0))).withColumn("w_between", F.split("d_text", word, -1))
-    out = running(out.withColumn("w_lens", F.zip_with("w_between", "w_found", lambda a, b: F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0)))), "w_lens", "w_at")
+    out = with_blocks(out.withColumn("w_lens", F.zip_with("w_between", "w_found", lambda a, b: F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0)))), "w_lens")
     lead = lambda x: F.char_length(x) - F.char_length(F.regexp_replace(x, r"^[^\p{L}\p{N}]++", ""))
     bare = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")
-    begin = lambda x, i: F.get("w_at", i) + F.char_length(F.get("w_between", i)) + lead(x)
+    # Positions and kinds only of the words that are told.
+    out = out.withColumn("w_terms", F.map_keys("told")).withColumn("w_low", F.transform("w_found", lambda x: F.lower(bare(x))))
+    out = out.withColumn("w_hits", F.filter(F.transform("w_low", lambda x, i: F.when(F.array_contains("w_terms", x), i)), lambda i: i.isNotNull()))
+    begin = lambda i: sum_before("w_lens", i) + F.char_length(F.get("w_between", i)) + lead(F.get("w_found", i))
     spans = F.transform(
-        "w_found",
-        lambda x, i: F.when(
-            F.map_contains_key("told", F.lower(bare(x))),
-            F.struct(begin(x, i).alias("start"), (begin(x, i) + F.char_length(bare(x))).alias("end"), F.lit("term").alias("kind"), F.element_at("told", F.lower(bare(x)))["kind"].alias("value"), F.element_at("told", F.lower(bare(x)))["disclosure"].alias("disclosure")),
+        "w_hits",
+        lambda i: F.struct(
+            begin(i).alias("start"), (begin(i) + F.char_length(bare(F.get("w_found", i)))).alias("end"), F.lit("term").alias("kind"),
+            F.element_at("told", F.get("w_low", i))["kind"].alias("value"), F.element_at("told", F.get("w_low", i))["disclosure"].alias("disclosure"),
         ),
     )
-    spans = materialize(out.select("d_doc", "d_hash", F.filter(spans, lambda x: x.isNotNull()).alias("t_spans")), "privacy-spans")
+    # Where the texts are; then equal rows count once.
+    spans = materialize(out.select("d_doc", "d_hash", spans.alias("t_spans")), "privacy-spans").dropDuplicates(["d_doc", "d_hash"])
     both = rows.alias("a").join(_fit(spans).alias("b"), F.col("a.d_doc").eqNullSafe(F.col("b.d_doc")) & (F.col("a.d_hash") == F.col("b.d_hash")), "left")
     # A term inside an entity is gone with it.
     clear = F.filter(F.coalesce("b.t_spans", none), lambda t: ~F.exists("a.e_spans", lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])))
