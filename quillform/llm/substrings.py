@@ -9,7 +9,8 @@ are ordered only through their first 50 bytes, by most-significant-digit passes
 2. Second digit: an anchor's whole context (all strings that share it, 75 bytes at most). A chunk sends each context
    once, with its smallest document; an equal context in a smaller document settles all its strings.
 3. Contexts that differ around an anchor go through passes of eight bytes, string by string; what is equal after fifty
-   bytes is a repeated string.
+   bytes is a repeated string. An anchor with more than ``HOT`` contexts in all would be a group without bound: each of
+   its strings goes to a bucket of its own digit instead (128 bits of two hashes), once per chunk.
 
 Chunks and buckets hold a bounded number of bytes each, whatever the corpus; texts are shuffled once.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import bucket_of, pack_array, pack_bytes, pack_sorted, unpack_array, unpack_bytes, unpack_sorted
+from .blobs import bucket_of, pack_array, pack_bytes, pack_ints, pack_sorted, unpack_array, unpack_bytes, unpack_ints, unpack_sorted
 from .common import byte_size, parts_for, prepare, spread
 
 WINDOW = 50
@@ -34,13 +35,16 @@ BUCKET_BYTES = 8 << 20
 #: Bytes that are hashed at a time, and strings that are sorted at a time.
 SEGMENT = 1 << 18
 STRINGS = 1 << 18
+#: Contexts of one anchor, added up over chunks, above which its strings are dealt one by one.
+HOT = 10_000
 
 _POSITION = np.uint64((1 << 21) - 1)
 _NOBODY = np.iinfo(np.int64).max  # a null id is smaller than none
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SURVIVORS = "chunk long, bucket long, keys binary"
+_SENT = "chunk long, bucket long, keys binary, several binary, contexts binary"
+_SURVIVORS = "chunk long, bucket long, keys binary, hot binary"
 _CONTEXTS = "chunk long, bucket long, keys binary, prints binary, docs binary, counts binary, leads binary, bytes binary"
-_MASKS = "chunk long, bucket long, masks binary"
+_MASKS = "chunk long, bucket long, masks binary, least binary"
 
 
 @functools.cache
@@ -106,7 +110,8 @@ class Anchors:
         context = _mix((sums[end] - sums[lo]) * inverse[lo]) ^ ((count.astype(np.uint64) << np.uint64(8)) | (anchor - lo).astype(np.uint64))
         part = np.searchsorted(starts, lo, "right") - 1
         rows, offsets = np.array([r for r, _, _ in held]), np.array([a for _, a, _ in held])
-        return [rows[part], offsets[part] + lo - starts[part], count.astype(np.uint8), (anchor - lo).astype(np.uint8), key[anchor], context]
+        # Anchors have small hashes by choice: mixed again, they spread evenly over buckets.
+        return [rows[part], offsets[part] + lo - starts[part], count.astype(np.uint8), (anchor - lo).astype(np.uint8), _mix(key[anchor] + np.uint64(_BASE)), context]
 
 
 def _small(key: np.ndarray) -> np.ndarray:
@@ -127,14 +132,17 @@ def _send_keys(buckets: int):
         chunk, ids, texts = _chunk(t)
         a = Anchors(texts)
         bucket, small, doc = bucket_of(a.key, buckets), _small(a.key), ids[a.row]
-        order = np.lexsort((doc, small, bucket))
-        bucket, small, doc = bucket[order], small[order], doc[order]
-        head = np.flatnonzero(np.concatenate(([True], (small[1:] != small[:-1]) | (bucket[1:] != bucket[:-1])))) if len(order) else np.array([], np.int64)
-        last = np.append(head[1:], len(order)) - 1
-        several = doc[head] != doc[last] if len(order) else np.array([], bool)
+        order = np.lexsort((a.print, small, bucket))
+        if not len(order):
+            return _table([], "chunk bucket keys several contexts", 2)
+        bucket, small, doc, shape = bucket[order], small[order], doc[order], a.print[order]
+        new = np.concatenate(([True], (small[1:] != small[:-1]) | (bucket[1:] != bucket[:-1])))
+        head = np.flatnonzero(new)
+        several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+        contexts = np.add.reduceat((new | np.concatenate(([True], shape[1:] != shape[:-1]))).astype(np.int64), head)
         cuts = np.searchsorted(bucket[head], np.arange(buckets + 1))
-        rows = [(chunk, k, pack_sorted(small[head[x:y]]), np.packbits(several[x:y]).tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-        return _table(rows, "chunk bucket keys several", 2)
+        rows = [(chunk, k, pack_sorted(small[head[x:y]]), np.packbits(several[x:y]).tobytes(), pack_ints(contexts[x:y])) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+        return _table(rows, "chunk bucket keys several contexts", 2)
 
     return run
 
@@ -143,21 +151,28 @@ def _table(rows: list[tuple], names: str, ints: int) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], pa.int64() if k < ints else pa.binary()) for k, n in enumerate(names.split())})
 
 
-def _survivors(t: pa.Table) -> pa.Table:
-    """Of a bucket's keys, those in two documents, for each chunk that has them."""
-    chunks, keys = t.column("chunk").to_pylist(), [unpack_sorted(x) for x in t.column("keys").to_pylist()]
-    sizes = [len(k) for k in keys]
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(t.column("several").to_pylist(), sizes, strict=True)])
-    every = np.concatenate(keys)
-    value, back, count = np.unique(every, return_inverse=True, return_counts=True)
-    lives = count > 1
-    lives[back[several]] = True
-    rows, at, bucket = [], 0, t.column("bucket")[0].as_py()
-    for chunk, k in zip(chunks, keys, strict=True):
-        if (mine := lives[back[at : at + len(k)]]).any():
-            rows.append((chunk, bucket, pack_sorted(k[mine])))
-        at += len(k)
-    return _table(rows, "chunk bucket keys", 2)
+def _survivors(most: int):
+    """Of a bucket's keys, those in two documents, for each chunk that has them; hot are those with more than ``most`` contexts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        chunks, keys = t.column("chunk").to_pylist(), [unpack_sorted(x) for x in t.column("keys").to_pylist()]
+        sizes = [len(k) for k in keys]
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(t.column("several").to_pylist(), sizes, strict=True)])
+        every = np.concatenate(keys)
+        value, back, count = np.unique(every, return_inverse=True, return_counts=True)
+        lives = count > 1
+        lives[back[several]] = True
+        hot = np.bincount(back, np.concatenate([unpack_ints(x) for x in t.column("contexts").to_pylist()]), len(value)) > most
+        rows, at, bucket = [], 0, t.column("bucket")[0].as_py()
+        for chunk, k in zip(chunks, keys, strict=True):
+            mine = back[at : at + len(k)]
+            on = lives[mine]
+            if on.any():
+                rows.append((chunk, bucket, pack_sorted(k[on]), np.packbits(hot[mine[on]]).tobytes()))
+            at += len(k)
+        return _table(rows, "chunk bucket keys hot", 2)
+
+    return run
 
 
 class Survivors:
@@ -166,18 +181,52 @@ class Survivors:
     def __init__(self, ids: np.ndarray, texts: list[bytes], kept: pa.Table, buckets: int):
         a = Anchors(texts)
         bucket, small = bucket_of(a.key, buckets), _small(a.key)
-        live = np.zeros(len(a.key), bool)
+        live, hot = np.zeros(len(a.key), bool), np.zeros(len(a.key), bool)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k, raw in zip(kept.column("bucket").to_pylist(), kept.column("keys").to_pylist(), strict=True):
-            mine = order[cuts[k] : cuts[k + 1]]
-            live[mine] = np.isin(small[mine], unpack_sorted(raw))
+        for k, raw, bits in zip(kept.column("bucket").to_pylist(), kept.column("keys").to_pylist(), kept.column("hot").to_pylist(), strict=True):
+            mine, told = order[cuts[k] : cuts[k + 1]], unpack_sorted(raw)
+            place = np.minimum(np.searchsorted(told, small[mine]), len(told) - 1)
+            live[mine] = told[place] == small[mine]
+            hot[mine] = live[mine] & np.unpackbits(np.frombuffer(bits, np.uint8), count=len(told)).astype(bool)[place]
         at = np.flatnonzero(live)
         at = at[np.lexsort((a.at[at], ids[a.row[at]], a.print[at], small[at], bucket[at]))]
         self.row, self.at, self.count, self.lead, self.key, self.print, self.bucket = (x[at] for x in (a.row, a.at, a.count, a.lead, a.key, a.print, bucket))
-        self.doc = ids[self.row]
+        self.doc, hot = ids[self.row], hot[at]
         new = np.concatenate(([True], (self.key[1:] != self.key[:-1]) | (self.print[1:] != self.print[:-1]))) if len(at) else np.array([], bool)
         self.rep, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.is_hot = hot[self.rep]
+        self.cold = np.flatnonzero(~self.is_hot)  # among the representatives
+        # Strings of hot anchors: whose they are, which of its strings, and the distinct ones by two hashes.
+        mine = np.flatnonzero(self.is_hot)
+        n = self.count[self.rep[mine]].astype(np.int64)
+        self.hot_rep = np.repeat(mine, n)
+        self.hot_string = np.arange(len(self.hot_rep)) - np.repeat(np.cumsum(n) - n, n)
+        raw = b"".join(texts[i][p : p + c] for i, p, c in zip(self.row[self.rep[mine]].tolist(), self.at[self.rep[mine]].tolist(), (n + WINDOW - 1).tolist(), strict=True))
+        first, second = _string_hashes(np.frombuffer(raw, np.uint8), np.repeat(np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1), n) + self.hot_string)
+        order = np.lexsort((self.doc[self.rep[self.hot_rep]], second, first))
+        first, second = first[order], second[order]
+        new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))) if len(order) else np.array([], bool)
+        self.hot_of = np.empty(len(order), np.int64)
+        self.hot_of[order] = np.cumsum(new) - 1
+        self.hot_first, self.hot_second, self.hot_doc = first[new], second[new], self.doc[self.rep[self.hot_rep[order[new]]]]
+        self.hot_bucket = bucket_of(self.hot_first, buckets)
+
+
+def _cuts(bucket: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the runs of sorted bucket numbers."""
+    at = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+    return [(k, x, y) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+
+
+def _string_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string of ``WINDOW`` bytes, in slices."""
+    out = []
+    for base in (_BASE, 0xD6E8FEB86659FD93):
+        power = np.array([pow(base, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
+        parts = [_mix(((data[at[k : k + STRINGS // 8, None] + np.arange(WINDOW)].astype(np.uint64) + np.uint64(1)) * power).sum(axis=1, dtype=np.uint64)) for k in range(0, len(at), STRINGS // 8)] if len(at) else []
+        out.append(np.concatenate(parts) if parts else np.array([], np.uint64))
+    return out[0], out[1]
 
 
 def _send_contexts(buckets: int):
@@ -187,12 +236,13 @@ def _send_contexts(buckets: int):
             return _table([], names, 2)
         chunk, ids, texts = _chunk(docs)
         s = Survivors(ids, texts, kept, buckets)
-        cuts, rows = np.searchsorted(s.bucket[s.rep], np.arange(buckets + 1)), []
-        for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if y > x:
-                r = s.rep[x:y]
-                raw = b"".join(texts[i][p : p + c] for i, p, c in zip(s.row[r].tolist(), s.at[r].tolist(), (s.count[r].astype(np.int64) + WINDOW - 1).tolist(), strict=True))
-                rows.append((chunk, k, *(pack_array(v[r]) for v in (s.key, s.print, s.doc, s.count, s.lead)), pack_bytes(raw)))
+        rows = []
+        for k, x, y in _cuts(s.bucket[s.rep[s.cold]], buckets):
+            r = s.rep[s.cold[x:y]]
+            raw = b"".join(texts[i][p : p + c] for i, p, c in zip(s.row[r].tolist(), s.at[r].tolist(), (s.count[r].astype(np.int64) + WINDOW - 1).tolist(), strict=True))
+            rows.append((chunk, k, *(pack_array(v[r]) for v in (s.key, s.print, s.doc, s.count, s.lead)), pack_bytes(raw)))
+        for k, x, y in _cuts(s.hot_bucket, buckets):
+            rows.append((chunk, k, pack_array(s.hot_first[x:y]), pack_array(s.hot_second[x:y]), pack_array(s.hot_doc[x:y]), None, None, None))
         return _table(rows, names, 2)
 
     return run
@@ -240,8 +290,30 @@ def _repeated(data: np.ndarray, key: np.ndarray, doc: np.ndarray, at: np.ndarray
     return mask
 
 
+def _least(t: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """(chunk, smallest document of each of its hot strings)."""
+    read = lambda name, kind: [unpack_array(x, kind) for x in t.column(name).to_pylist()]
+    firsts = read("keys", np.uint64)
+    if not firsts:
+        return []
+    first, second, doc = np.concatenate(firsts), np.concatenate(read("prints", np.uint64)), np.concatenate(read("docs", np.int64))
+    order = np.lexsort((second, first))
+    new = np.concatenate(([True], (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])))
+    head = np.flatnonzero(new)
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(np.append(head, len(order))))
+    cuts = np.cumsum([0, *map(len, firsts)]).tolist()
+    return [(c, least[x:y]) for c, x, y in zip(t.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+
+
 def _settle(t: pa.Table) -> pa.Table:
-    """Of a bucket's contexts, the strings that a smaller document has, for each chunk in the order it sent."""
+    """Of a bucket's contexts, the strings that a smaller document has, and of its hot strings the smallest document, for each chunk in the order it sent."""
+    names, bucket = "chunk bucket masks least", t.column("bucket")[0].as_py()
+    is_hot = t.column("bytes").is_null().to_numpy(zero_copy_only=False)
+    rows = [(c, bucket, None, pack_array(x)) for c, x in _least(t.filter(pa.array(is_hot)))]
+    t = t.filter(pa.array(~is_hot))
+    if not t.num_rows:
+        return _table(rows, names, 2)
     read = lambda name, kind: [unpack_array(x, kind) for x in t.column(name).to_pylist()]
     keys = read("keys", np.uint64)
     key, shape, doc, count, lead = np.concatenate(keys), *(np.concatenate(read(n, k)) for n, k in (("prints", np.uint64), ("docs", np.int64), ("counts", np.uint8), ("leads", np.uint8)))
@@ -262,8 +334,8 @@ def _settle(t: pa.Table) -> pa.Table:
     every = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     mask = np.where(doc > doc[head[group]], every, found[group])
     cuts = np.cumsum([0, *map(len, keys)]).tolist()
-    bucket = t.column("bucket")[0].as_py()
-    return _table([(c, bucket, pack_array(mask[x:y])) for c, x, y in zip(t.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)], "chunk bucket masks", 2)
+    rows += [(c, bucket, pack_array(mask[x:y]), None) for c, x, y in zip(t.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+    return _table(rows, names, 2)
 
 
 def _finish(buckets: int):
@@ -276,12 +348,16 @@ def _finish(buckets: int):
         sizes = np.array([len(x) for x in texts], np.int64)
         base = np.cumsum(sizes) - sizes
         edges = np.zeros(int(sizes.sum()) + 1, np.int32)
-        is_mask = told.column("masks").is_valid().to_numpy(zero_copy_only=False) if told.num_rows else np.array([], bool)
-        kept = told.filter(pa.array(~is_mask))
+        kept = told.filter(told.column("keys").is_valid()) if told.num_rows else told
         if kept.num_rows:
             s = Survivors(ids, texts, kept, buckets)
-            masks = told.filter(pa.array(is_mask)).sort_by("bucket")
-            mask = np.concatenate([unpack_array(x, np.uint32) for x in masks.column("masks").to_pylist()])
+            pick = lambda name, kind: [unpack_array(x, kind) for x in told.filter(told.column(name).is_valid()).sort_by("bucket").column(name).to_pylist()]
+            mask = np.zeros(len(s.rep), np.uint32)
+            if len(s.cold):
+                mask[s.cold] = np.concatenate(pick("masks", np.uint32))
+            if len(s.hot_rep):
+                gone = s.doc[s.rep[s.hot_rep]] > np.concatenate(pick("least", np.int64))[s.hot_of]
+                np.bitwise_or.at(mask, s.hot_rep[gone], np.uint32(1) << s.hot_string[gone].astype(np.uint32))
             every = ((np.uint64(1) << s.count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
             mine = np.where(s.doc > s.doc[s.rep[s.group]], every, mask[s.group])
             for j in range(WINDOW - GRAM + 1):
@@ -322,9 +398,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     by_chunk = spread(rows, chunks, "chunk").groupBy("chunk")
     to_chunk = lambda df: spread(df, chunks, "chunk").groupBy("chunk")
     to_bucket = lambda df: spread(df, buckets, "bucket").groupBy("bucket")
-    sent = by_chunk.applyInArrow(_send_keys(buckets), "chunk long, bucket long, keys binary, several binary")
-    kept = to_bucket(sent).applyInArrow(_survivors, _SURVIVORS)
+    sent = by_chunk.applyInArrow(_send_keys(buckets), _SENT)
+    kept = to_bucket(sent).applyInArrow(_survivors(HOT), _SURVIVORS)
     contexts = by_chunk.cogroup(to_chunk(kept)).applyInArrow(_send_contexts(buckets), _CONTEXTS)
     masks = to_bucket(contexts).applyInArrow(_settle, _MASKS)
-    told = kept.withColumn("masks", F.lit(None).cast("binary")).unionByName(masks.withColumn("keys", F.lit(None).cast("binary")))
+    told = kept.unionByName(masks, allowMissingColumns=True)
     return by_chunk.cogroup(to_chunk(told)).applyInArrow(_finish(buckets), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
