@@ -123,7 +123,8 @@ def disclosing(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
     if pairs.isEmpty():
         return pairs.select("term", "kind", F.lit(0.0).alias("disclosure"))
     wanted = materialize(pairs.select("term").distinct(), "privacy-candidates")
-    seen = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).join(_fit(wanted), "term").groupBy("term").agg(F.count("*").alias("df_t"))
+    # Outer explodes: for plain ones the optimizer infers filters that split every text twice.
+    seen = docs.select(F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).join(_fit(wanted), "term").groupBy("term").agg(F.count("*").alias("df_t"))
     total = docs.count()
     pmi = F.log2(F.col("df_et") * F.lit(float(total)) / (F.col("df_e") * F.col("df_t").cast("double")))
     share = F.when(F.col("df_e") < total, pmi / F.log2(F.lit(float(total)) / F.col("df_e")))
@@ -147,7 +148,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     none = F.expr(f"cast(array() as {kind})")
     if told.isEmpty():
         return rows.select("d_doc", "d_hash", "e_spans", none.alias("t_spans"))
-    held = mine.select("d_doc", key.alias("d_hash"), F.explode(terms(F.col("d_text"))).alias("term")).join(_fit(told), "term")
+    held = mine.select("d_doc", key.alias("d_hash"), F.explode_outer(terms(F.col("d_text"))).alias("term")).join(_fit(told), "term")
     held = materialize(held.groupBy("d_doc", "d_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", F.struct("kind", "disclosure")))).alias("told")), "privacy-held")
     texts = mine.withColumn("d_hash", key).alias("a").join(_fit(held).alias("b"), F.col("a.d_doc").eqNullSafe(F.col("b.d_doc")) & (F.col("a.d_hash") == F.col("b.d_hash")))
     texts = texts.select("a.d_doc", "a.d_hash", "a.d_text", "b.told")
