@@ -1,4 +1,4 @@
-"""Streams of changes into keyed tables (beyond the reference: it has no streams)."""
+"""Streams of changes into keyed tables (an addition: the form engine itself has none)."""
 
 from __future__ import annotations
 
