@@ -11,6 +11,10 @@ more than ``WIDE`` nodes is keyed by its chain of two segments instead, where a
 one raised bit of the second segment; no pair is lost by it. The table of wide values has at most 5 * 2^13 rows. Buckets
 emit a spanning forest of their links, never all pairs, and components are found by alternating large-star and
 small-star steps over tables in the shared folder.
+
+``keep_one`` drops edited copies too: texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more. There the
+fingerprints differ in some ten bits; segments for a budget of twice that would have three bits and let every pair meet.
+Its candidates meet in bands of MinHashes instead, and are checked on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -33,6 +37,13 @@ WIDE = 4096
 #: Side of the tiles in which a bucket's pairs are compared.
 TILE = 1024
 _BLOCK = 1 << 15
+#: Near copies of ``keep_one``: words of a shingle, least Jaccard similarity, and the bands of MinHashes in which candidates meet.
+WORDS = 5
+SIMILAR = 0.8
+BANDS, ROWS = 24, 5
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: Compared nodes up to which their table is broadcast (two longs each).
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -212,10 +223,100 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(found, "fp").select("doc_id", "fp", F.col("best").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` of each component, that with the smallest id (null ids last, then any one), all columns kept."""
-    staged = materialize(with_fingerprint(packed(docs), f"{ROW}.{text}", "sim_fp").withColumn("sim_row", F.monotonically_increasing_id()), "simhash-docs")
-    prints = staged.select(F.col("sim_fp").alias("fp"), F.col(f"{ROW}.{doc_id}").isNull().alias("no_id"), F.col(f"{ROW}.{doc_id}").alias("id"), F.col("sim_row").alias("row"))
-    chosen = materialize(groups(prints, "no_id", "id", "row").select(F.col("best.row").alias("sim_row")).distinct(), "simhash-kept")
+def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; of all its words if they are fewer; none without words."""
+    words = (text or "").encode().lower().split()
+    size, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
+    if not words:
+        return np.array([], np.uint64)
+    return np.unique(np.array([digest(b" ".join(words[k : k + size]), SEED) for k in range(len(words) - size + 1)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each of ``BANDS`` groups of ``ROWS`` MinHashes of a set; sets of Jaccard similarity j share one with 1 - (1 - j^ROWS)^BANDS."""
+    if not len(hashes):
+        return []
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        low = np.minimum(low, (_FACTORS[:, None] * hashes[None, k : k + 4096]).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def _sketched(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` with sim_node (equal for equal shingle sets), sim_size and sim_bands."""
+    prepare(docs.sparkSession)
+    schema = docs.withColumns({"sim_node": F.lit(0).cast("long"), "sim_size": F.lit(0).cast("long"), "sim_bands": F.array(F.lit(0).cast("long"))}).schema
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(x, shingle) for x in arrow_column(b, text).to_pylist()]
+            node = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64())
+            new = [node, pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole shingle sets have a Jaccard similarity of ``similar`` or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("best.row").alias("sim_row"))
+    wanted = materialize(wanted, "simhash-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(x, shingle).view(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    texts = staged.select("sim_row", F.col(text).alias("sim_text")).join(wanted, "sim_row").select("node", "sim_text")
+    sets = materialize(texts.mapInArrow(run, "node long, hashes array<long>"), "simhash-sets")
+    # Merge joins, which split a node of many pairs among tasks.
+    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).hint("merge"), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")).hint("merge")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").filter(both / (F.size("x") + F.size("y") - both) >= F.lit(similar)).select("a", "b")
+
+
+def _near(nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar: float) -> DataFrame:
+    """(node, root) of the components by similar shingle sets, roots left out.
+
+    Nodes that share a band are compared with one of the band's nodes first. Pairs that this has not brought into one
+    component are then compared each, so a large group of near copies costs a comparison or so a band and node.
+    """
+    rows = nodes.select("node", "size", F.explode("bands").alias("band"))
+    lead = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node", "size")).alias("lead")).filter("n > 1")
+    met = materialize(rows.join(lead, "band").select("band", "node", "size", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")), "simhash-bands")
+    fits = lambda x, y: F.least(x, y) / F.greatest(x, y) >= F.lit(similar)
+    ordered = (F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    first = met.filter((F.col("node") != F.col("lead")) & fits("size", "lead_size")).withColumnsRenamed({"node": "p", "lead": "q"}).select(*ordered).distinct()
+    first = materialize(first, "simhash-pairs")
+    edges = materialize(_similar(first, nodes, staged, text, shingle, similar), "simhash-links")
+    root = components(edges)
+    placed = met.join(root, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    members = placed.groupBy("band", "root").agg(F.collect_list(F.struct("node", "size")).alias("m"))
+    mixed = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    members = materialize(members.join(mixed, "band", "left_semi"), "simhash-members")
+    x, y = members.alias("x"), members.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))).select(F.explode("x.m").alias("u"), F.col("y.m").alias("m"))
+    rest = rest.select("u", F.explode("m").alias("v")).filter(fits("u.size", "v.size")).select(F.col("u.node").alias("p"), F.col("v.node").alias("q")).select(*ordered).distinct()
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "simhash-pairs")
+    if rest.isEmpty():
+        return root
+    more = materialize(_similar(rest, nodes, staged, text, shingle, similar), "simhash-links")
+    return components(edges.union(more))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """One row of ``docs`` of each component, that with the smallest id (null ids last, then any one), all columns kept.
+
+    Texts link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similar`` or more. Candidates share
+    a band of MinHashes, and each is checked on the whole sets. Texts without words are one group.
+    """
+    staged = materialize(_sketched(packed(docs), f"{ROW}.{text}", shingle).withColumn("sim_row", F.monotonically_increasing_id()), "simhash-docs")
+    prints = staged.select("sim_node", "sim_size", "sim_bands", F.struct(F.col(f"{ROW}.{doc_id}").isNull().alias("no_id"), F.col(f"{ROW}.{doc_id}").alias("id"), F.col("sim_row").alias("row")).alias("one"))
+    nodes = prints.groupBy(F.col("sim_node").alias("node")).agg(F.min("one").alias("best"), F.first("sim_size").alias("size"), F.first("sim_bands").alias("bands"))
+    nodes = materialize(nodes, "simhash-nodes")
+    root = _near(nodes, staged, f"{ROW}.{text}", shingle, similar)
+    rooted = nodes.select("node", "best").join(root, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
+    chosen = materialize(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("sim_row")), "simhash-kept")
     # Always by shuffle: what is kept grows with the rows.
     return unpacked(staged.join(chosen.hint("merge"), "sim_row", "left_semi"))

@@ -98,5 +98,23 @@ def test_keep_one_keeps_the_smallest_id_with_all_columns(spark, documents):
     assert len(rows) == len(comp) and {r.doc_id for r in rows} == set(comp)
 
 
+def test_keep_one_drops_edited_copies_and_no_less_similar_texts(spark):
+    rng, texts, near, far = random.Random(9), [], 0, 0
+    sets = lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 400))]
+        copy = list(base)
+        for k in rng.sample(range(len(copy)), len(copy) * rng.choice((1, 2, 6)) // 100):
+            copy[k] = "edited"
+        x, y = sets(" ".join(base)), sets(" ".join(copy))
+        similar = len(x & y) / len(x | y) >= 0.8
+        near, far = near + similar, far + (not similar)
+        texts.append((" ".join(base), " ".join(copy), similar))
+    assert near >= 20 and far >= 10
+    rows = [(2 * i + k, pair[k]) for i, pair in enumerate(texts) for k in range(2)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i + k for i, pair in enumerate(texts) for k in range(2) if not (k and pair[2])}
+
+
 def test_empty_table(spark, tables):
     assert q_simhash.op7_simhash_near_dedup(spark, tables()).collect() == []
