@@ -89,23 +89,66 @@ def template_key(x: Column) -> Column:
     return F.regexp_replace(kept, ending, "")
 
 
+def _segments(m: int) -> list[tuple[int, int]]:
+    """(begin, end) of the segments of a key of m letters: one more than the insertions and deletions that a ratio of .92 with a key no shorter leaves."""
+    k = min(m, 8 * m // 46 + 1)
+    return [(i * m // k, (i + 1) * m // k) for i in range(k)]
+
+
+def _own(key: str) -> list[str]:
+    return [f"{len(key)}:{i}:{key[a:z]}" for i, (a, z) in enumerate(_segments(len(key)))]
+
+
+def _probes(key: str) -> list[str]:
+    """Where a key meets the segments of keys no longer than it: at all shifts that the insertions and deletions of a ratio of .92 allow."""
+    n, out = len(key), set()
+    for m in range(-(-46 * n // 54), n + 1):
+        edits = 8 * (m + n) // 100
+        for i, (a, z) in enumerate(_segments(m)):
+            for shift in range(-((edits - n + m) // 2), (edits + n - m) // 2 + 1):
+                if a + shift >= 0 and z + shift <= n:
+                    out.add(f"{m}:{i}:{key[a + shift : z + shift]}")
+    return sorted(out)
+
+
+def _without_common_word(n: DataFrame) -> DataFrame:
+    """Pairs (aliases a, b) of rows of ``n`` that hold all whose keys have a ratio of .92 or more.
+
+    Such keys are at most 8 % of their letters in insertions and deletions apart, each of which touches one segment of the
+    shorter key: one segment at least is whole in the longer.
+    """
+
+    @F.pandas_udf("array<string>")
+    def own(keys: pd.Series) -> pd.Series:
+        return keys.map(_own)
+
+    @F.pandas_udf("array<string>")
+    def probes(keys: pd.Series) -> pd.Series:
+        return keys.map(_probes)
+
+    keyed = n.filter(F.length("compact") >= 5)
+    x, y = keyed.select(F.col("name").alias("x"), F.explode(own("key")).alias("mark")), keyed.select(F.col("name").alias("y"), F.explode(probes("key")).alias("mark"))
+    met = x.join(y, "mark").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return met.join(n.alias("a"), F.col("x") == F.col("a.name")).join(n.alias("b"), F.col("y") == F.col("b.name"))
+
+
 def similar_names(names: DataFrame, name: str = "name", least: float = SIMILAR) -> DataFrame:
     """(a, b, score): pairs of different distinct names whose similarity reaches ``least``, a < b.
 
     1 for equal normalised names, .99 for equal keys, .98 for keys equal without blanks; else the best of the character
     ratio of the keys, .98 of that without blanks, the share of common words, and .91 where one key's words (two at least)
     are all in the other. Keys under five letters match nothing else, keys with one common word of several need a ratio of
-    .86. Pairs are found through common words and through equal compact keys, not among all names: keys without a common
-    word are compared only if they begin or end with the same four letters.
+    .86, keys without a common word one of .92. Pairs are found through common words, equal compact keys and segments that
+    any two keys of ratio .92 share, not among all names; none is missed.
     """
     n = names.select(F.col(name).alias("name")).distinct().withColumn("norm", name_key(F.col("name"))).withColumn("key", template_key(F.col("name")))
     n = n.filter("norm <> ''").withColumn("compact", F.replace("key", F.lit(" "), F.lit(""))).withColumn("words", F.array_distinct(F.filter(F.split("key", " "), lambda t: t != "")))
-    marks = F.concat(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("n:"), "norm"), F.concat(F.lit("c:"), "compact"), F.concat(F.lit("b:"), F.left("compact", F.lit(4))), F.concat(F.lit("e:"), F.right("compact", F.lit(4)))))
+    marks = F.concat(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("n:"), "norm"), F.concat(F.lit("c:"), "compact")))
     met = n.withColumn("mark", F.explode(marks))
     a, b = met.alias("a"), met.alias("b")
     pairs = a.join(b, (F.col("a.mark") == F.col("b.mark")) & (F.col("a.name") < F.col("b.name")))
     cols = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("name", "norm", "key", "compact", "words")]
-    p = pairs.select(*cols).dropDuplicates(["name_a", "name_b"])
+    p = pairs.select(*cols).union(_without_common_word(n).select(*cols)).dropDuplicates(["name_a", "name_b"])
     common, fewest = F.size(F.array_intersect("words_a", "words_b")), F.least(F.size("words_a"), F.size("words_b"))
     p = p.withColumn("common", common).withColumn("fewest", fewest).withColumn("jaccard", F.try_divide(common, F.size(F.array_union("words_a", "words_b"))))
     # Ratios of strings of lengths m and n are at most 2 min / (m + n): only pairs that can reach the threshold are compared in Python.

@@ -1,3 +1,6 @@
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
 from quillform.operators import detect, graph, history, layout, matching, records, rules, tags
@@ -73,6 +76,29 @@ def test_similar_names(spark):
     assert got[("Termo de Referencia", "Termo de Referência")] == 1.0 and ("Contrato de Obra", "Contrato de Obras") in got and not any("Ata" in p or "Parecer" in p for p in got)
 
 
+def _brute_pairs(spark, names):
+    """Pairs of names without a common word whose keys have a ratio of .92 or more, by comparing all."""
+    df = spark.createDataFrame([(n,) for n in names], "name string").select("name", matching.template_key(F.col("name")).alias("key"))
+    keys = sorted((r.name, r.key) for r in df.collect())
+    return {(a, b) for i, (a, x) in enumerate(keys) for b, y in keys[i + 1 :] if not set(x.split()) & set(y.split()) and difflib.SequenceMatcher(None, x, y).ratio() >= 0.92}
+
+
+def _edited_names():
+    rng, names = random.Random(5), {"zolicitacao administrativaz", "solicitacao administrativas"}
+    for _ in range(60):
+        base = " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(6, 15))) for _ in range(rng.randrange(1, 4)))
+        words = [rng.choice(("z" + w[1:], w + "x", w[1:], w[:3] + "k" + w[3:], w[:4] + w[5:])) for w in base.split(" ")]
+        names |= {base, " ".join(words), base[1:] + "z", "y" + base}
+    return sorted(names)
+
+
+def test_similar_names_without_a_common_word_equal_all_pairs(spark):
+    names = _edited_names()
+    want = _brute_pairs(spark, names)
+    got = {(r.a, r.b) for r in matching.similar_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert ("solicitacao administrativas", "zolicitacao administrativaz") in want and len(want) > 30 and want <= got
+
+
 def test_identity_matches_refuse_ties(spark):
     def field(i, label, kind="text", section=""):
         return (1, i, label, kind, section, "")
