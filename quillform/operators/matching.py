@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import identity_text, name_key
+from .graph import components
 
 #: Common identities and the words in a label or id that name them.
 IDENTITIES = (
@@ -168,6 +169,18 @@ def similar_names(names: DataFrame, name: str = "name", least: float = SIMILAR)
     return p.withColumn("score", score).filter(F.col("score") >= least).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score")
 
 
+def similar_groups(templates: DataFrame, key: str, name: str = "name", least: float = SIMILAR) -> DataFrame:
+    """(key, name, grp): templates in a connected group of two or more by similar names; ``grp`` is the group's smallest key.
+
+    Templates of the same name are linked too; names without letters or digits are like nothing, not even themselves.
+    """
+    t = templates.select(F.col(key).alias("key"), F.col(name).alias("name")).filter(name_key(F.col("name")) != "")
+    links = similar_names(t, "name", least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    placed = t.join(components(t.select(F.col("name").alias("node")).distinct(), links), F.col("name") == F.col("node"))
+    groups = placed.groupBy(F.col("grp").alias("g")).agg(F.min("key").alias("grp"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return placed.select("key", "name", F.col("grp").alias("g")).join(groups, "g").select(F.col("key").alias(key), "name", "grp")
+
+
 def suffixes(key: Column) -> Column:
     """The last one to four words of a key, normalised."""
     w = F.filter(F.split(identity_text(key), " "), lambda t: t != "")

@@ -72,6 +72,13 @@ def similar_name_pairs(spark, sf_dir):
     return matching.similar_names(names)
 
 
+@query(None)
+def similar_name_groups(spark, sf_dir):
+    """Connected groups of all templates (parts) by similar names."""
+    names = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
+    return matching.similar_groups(names, "p_partkey")
+
+
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, CAST(n_nationkey * 3 % 25 AS INT) AS v FROM nation WHERE n_nationkey % 4 <> 1), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r AS (SELECT n_nationkey AS u, n_nationkey AS v FROM nation UNION SELECT r.u, s.v FROM r JOIN s ON r.v = s.u)
 SELECT u AS node, min(v) AS grp FROM r GROUP BY u""")

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillform.functions import text
 from quillform.operators import detect, graph, history, layout, matching, records, rules, tags
 
 
@@ -99,6 +100,36 @@ def test_similar_names_without_a_common_word_equal_all_pairs(spark):
     assert ("solicitacao administrativas", "zolicitacao administrativaz") in want and len(want) > 30 and want <= got
 
 
+def _slow_score(x, y, k, m):
+    """The reference's similarity of two names by their normalised names and keys."""
+    if not x or not y or x == y:
+        return float(bool(x) and x == y)
+    if not k or not m or k == m:
+        return 0.99 if k and k == m else 0.0
+    p, q, a, b = k.replace(" ", ""), m.replace(" ", ""), set(k.split()), set(m.split())
+    if p == q:
+        return 0.98
+    ratio = lambda u, v: difflib.SequenceMatcher(None, u, v).ratio()
+    whole, share, least = ratio(k, m), len(a & b) / len(a | b), min(len(a), len(b))
+    if min(len(p), len(q)) < 5 or (not a & b and whole < 0.92) or (len(a & b) == 1 and len(a) > 1 and len(b) > 1 and whole < 0.86 and share < 0.75):
+        return 0.0
+    return round(max(whole, 0.98 * ratio(p, q), share, 0.91 if len(a & b) == least >= 2 else 0), 4)
+
+
+def test_similar_groups_equal_all_pairs(spark):
+    names = [*_edited_names()[:80], "Contrato de Obra", "contrato de obra", "Contrato de Obras", "Ata", "Ata", "Parecer", "--", "--", "zolicitacao administrativaz", "solicitacao administrativas"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    rows = [tuple(r) for r in df.select("id", text.name_key(F.col("name")), matching.template_key(F.col("name"))).orderBy("name", "id").collect()]
+    up = {r[0]: r[0] for r in rows}
+    for i, (a, x, k) in enumerate(rows):
+        for b, y, m in rows[i + 1 :]:
+            if _slow_score(x, y, k, m) >= 0.84 and up[a] != up[b]:
+                low, high = sorted((up[a], up[b]))
+                up = {n: low if g == high else g for n, g in up.items()}
+    want = {(n, g) for n, g in up.items() if list(up.values()).count(g) > 1}
+    assert {(r.id, r.grp) for r in matching.similar_groups(df, "id").collect()} == want and len(want) > 20
+
+
 def test_identity_matches_refuse_ties(spark):
     def field(i, label, kind="text", section=""):
         return (1, i, label, kind, section, "")
