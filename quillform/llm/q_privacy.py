@@ -28,23 +28,23 @@ _VALID = {"email": "TRUE", "ip": f"regexp_full_match(x, '{privacy._IP[1:-1]}')",
 _VALUE = {"email": "lower(x)", "ip": "x", "card": _DIGITS, "phone": _DIGITS}
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, {r} AS rank, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS b FROM d" for r, (k, p) in enumerate(_PLAIN.items()))
 _AT = "list_sum(list_transform(b[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)"
-_BARE = r"regexp_replace(@, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
-_TERMS = r"list_distinct(list_filter(list_transform(regexp_split_to_array(lower(@), '[\x20\x09-\x0D]+'), lambda w: " + _BARE.replace("@", "w") + r"), lambda w: regexp_full_match(w, '\p{L}[\p{L}''-]{2,}')))"
+_TERM = r"[\p{L}\p{M}\p{N}]+([_''-]+[\p{L}\p{M}\p{N}]+)*"
+_TERMS = rf"list_distinct(list_transform(list_filter(regexp_extract_all(@, '{_TERM}'), lambda w: length(w) >= 3 AND regexp_matches(w, '\p{{L}}')), lambda w: lower(w)))"
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({_FOUND}),
-u AS (SELECT doc_id, rank, kind, m[i] AS x, CAST({_AT} AS BIGINT) AS start, right(b[i], {privacy.NEAR}) AS before, left(b[i + 1], {privacy.NEAR}) AS after FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
-e AS (SELECT doc_id, rank, kind, start, start + length(x) AS stop, before, after, CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _VALUE.items())} END AS value FROM u WHERE CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _VALID.items())} END),
-c AS (SELECT doc_id, kind, value, lower(CASE WHEN length(before) >= {privacy.NEAR} THEN regexp_replace(before, '^\S*', '') ELSE before END || ' ' || CASE WHEN length(after) >= {privacy.NEAR} THEN regexp_replace(after, '\S*$', '') ELSE after END) AS context FROM e),
-o AS (SELECT kind, value, count(DISTINCT doc_id) AS df_e FROM c GROUP BY ALL HAVING count(DISTINCT context) >= {privacy.SUPPORT}),
-p AS (SELECT kind, value, df_e, term, count(DISTINCT doc_id) AS df_et FROM (SELECT kind, value, df_e, doc_id, context, unnest({_TERMS.replace('@', 'context')}) AS term FROM c JOIN o USING (kind, value)) GROUP BY kind, value, df_e, term HAVING count(DISTINCT context) >= {privacy.SUPPORT}),
-w AS (SELECT term, count(*) AS df_t FROM (SELECT unnest({_TERMS.replace('@', 't')}) AS term FROM d) WHERE term IN (SELECT term FROM p) GROUP BY term),
+u AS (SELECT doc_id, rank, kind, m[i] AS x, CAST({_AT} AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
+e AS (SELECT doc_id, rank, kind, start, start + length(x) AS stop, CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _VALUE.items())} END AS value FROM u WHERE CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _VALID.items())} END),
+o AS (SELECT kind, value, count(DISTINCT doc_id) AS df_e FROM e GROUP BY ALL),
+p AS (SELECT kind, value, term, count(*) AS df_et FROM (SELECT kind, value, unnest({_TERMS.replace('@', 't')}) AS term FROM (SELECT DISTINCT kind, value, doc_id FROM e) JOIN d USING (doc_id)) GROUP BY ALL),
+w AS (SELECT term, count(*) AS df_t FROM (SELECT unnest({_TERMS.replace('@', 't')}) AS term FROM d) GROUP BY term),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
-told AS (SELECT DISTINCT term FROM p JOIN w USING (term) CROSS JOIN n WHERE df_e < n AND log2(df_et * n / (df_e * CAST(df_t AS DOUBLE))) / log2(n / df_e) >= {privacy.THRESHOLD}),
-tw AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS m, string_split_regex(t, '[^\x20\x09-\x0D]+') AS b FROM d WHERE list_has_any({_TERMS.replace('@', 't')}, (SELECT coalesce(list(term), []) FROM told))),
+l AS (SELECT term, df_e / n AS own, (df_et + {privacy.PRIOR} * (df_e / n)) / (df_t + {privacy.PRIOR}) AS likely FROM p JOIN o USING (kind, value) JOIN w USING (term) CROSS JOIN n WHERE df_e < n),
+told AS (SELECT DISTINCT term FROM l WHERE log2(likely / own) / -log2(own) >= {privacy.THRESHOLD} AND -log2(likely) <= {privacy.LEFT}),
+tw AS (SELECT doc_id, regexp_extract_all(t, '{_TERM}') AS m, string_split_regex(t, '{_TERM}') AS b FROM d WHERE list_has_any({_TERMS.replace('@', 't')}, (SELECT coalesce(list(term), []) FROM told))),
 tu AS (SELECT doc_id, m[i] AS x, CAST({_AT} AS BIGINT) AS place FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM tw)),
-ts AS (SELECT doc_id, 9 AS rank, 'term' AS kind, place + length(x) - length(regexp_replace(x, '^[^\p{{L}}\p{{N}}]+', '')) AS start, length({_BARE.replace('@', 'x')}) AS size FROM tu WHERE lower({_BARE.replace('@', 'x')}) IN (SELECT term FROM told)),
+ts AS (SELECT doc_id, 9 AS rank, 'term' AS kind, place AS start, length(x) AS size FROM tu WHERE lower(x) IN (SELECT term FROM told)),
 a AS (SELECT doc_id, rank, kind, start, stop FROM e UNION ALL SELECT doc_id, rank, kind, start, start + size FROM ts WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = ts.doc_id AND ts.start < e.stop AND e.start < ts.start + ts.size)),
 g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
   string_agg(kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY start, rank) FILTER (WHERE kind <> 'term') AS base,

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import duckdb
@@ -60,10 +61,43 @@ def test_sql_finds_the_same_spans(spark, tables):
     assert got == want and sum("term" in r[-1] for r in got) == 6
 
 
-def test_copies_are_one_context(spark, tables):
+def test_copies_are_documents(spark, tables):
+    """Wherever the word stands its reader learns the address, also if all those texts are copies."""
     copies = [(i, HIDDEN[0][1], "en", "s", None) for i in range(9)]
     rows = q_privacy.op9_pii_sanitise(spark, tables(documents=copies + REST)).collect()
-    assert not any("term" in r.spans for r in rows)
+    assert all(("term" in r.spans) == (r.doc_id < 9) for r in rows)
+
+
+def test_one_document_is_no_evidence_and_distance_does_not_matter(spark, tables):
+    """A term far from its entity counts like one beside it; a word seen once with its entity leaves 1.58 bits."""
+    far = [(i, f"Vexilla9 {FILL * 40} reach q{i % 1}@far.example {FILL}", "en", "s", None) for i in range(3)]
+    once = [(50, f"Solitudo {FILL} s@once.example", "en", "s", None)]
+    rows = {r.doc_id: r.spans for r in q_privacy.op9_pii_sanitise(spark, tables(documents=far + once + REST)).collect()}
+    assert all("term:0:8" in rows[i] for i in range(3)) and "term" not in rows[50]
+
+
+def disclosed(docs):
+    """Terms and their best entity by the formulas, pair by pair."""
+    word = re.compile(r"[^\W_]+(?:[_'-]+[^\W_]+)*")
+    of = [(set(x for x in (m[0].lower() for m in word.finditer(t or "")) if len(x) >= 3 and re.search(r"[^\W\d_]", x)), {(k, (t[a:z].lower() if k == "email" else t[a:z] if k == "ip" else re.sub("[^0-9]", "", t[a:z]))) for a, _, z, k in base(t)}) for _, t, *_ in docs]
+    out = {}
+    for e in set().union(*(x for _, x in of)):
+        df_e = sum(e in x for _, x in of)
+        for t in set().union(*(w for w, x in of if e in x)):
+            both, df_t = sum(t in w and e in x for w, x in of), sum(t in w for w, _ in of)
+            p = df_e / len(of)
+            likely = (both + privacy.PRIOR * p) / (df_t + privacy.PRIOR)
+            if df_e < len(of) and math.log2(likely / p) / -math.log2(p) >= privacy.THRESHOLD and -math.log2(likely) <= privacy.LEFT:
+                out[t] = max(out.get(t, (0, "")), (round(math.log2(likely / p) / -math.log2(p), 9), e[0]))
+    return out
+
+
+def test_against_formulas_with_a_term_of_two_kinds(spark):
+    twice = [(600 + i, f"{FILL} Quorra o'neil_7 has z@q.org2 and 10.0.0.9 and +1 (555) 123-45{i % 2}7 {FILL}", "en", "s", None) for i in range(4)]
+    docs = HIDDEN + REST + ALONE + twice + [(700, None, None, None, None), (701, "", None, None, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").fillna("", ["text"])
+    got = {r.term: (r.disclosure, r.kind) for r in privacy.disclosing(privacy.entities(rows), rows).collect()}
+    assert got == disclosed(docs) and got["quorra"][1] == "ip" and "o'neil_7" in got and "ordinary" not in got
 
 
 def test_sanitise_replaces_and_keeps_columns(spark):
