@@ -1,34 +1,43 @@
 """Deterministic sharded WARC archives: write, commit, read back.
 
-Records are range-sorted by page into shards; each shard's task streams its records into gzip members, rolls to a new
-file once the compressed size reaches ``ROLL_BYTES``, regenerates every header and digest, and writes under temporary
-names. A finished file is renamed to its final name, and a table of files (the manifest) is renamed into place only when
-all shards are done: readers see the files that the manifest lists, or nothing. Records depend on their rows only (ids
-by UUID5, a fixed date), so a task that runs again, after an executor was lost, writes the same bytes.
+Records are range-sorted by page and payload digest into shards. Shard borders are exact: keys and sizes (no payloads)
+are sorted once, and a shard begins wherever the running total of bytes passes a multiple of the shard size, so that
+borders follow from the table alone, and a page id that holds many rows is split by digest. Each shard's task streams its
+records into gzip members, rolls to a new file once the compressed size reaches ``ROLL_BYTES``, regenerates every header
+and digest, and writes under temporary names. A finished file is renamed to its final name, and a table of files (the
+manifest) is renamed into place only when all shards are done: readers see the files that the manifest lists, or nothing.
+Records depend on their rows only (ids by UUID5, a fixed date), so a task that runs again, after an executor was lost,
+writes the same bytes.
 
 Of records with equal payloads of ``REVISIT_BYTES`` bytes or more that with the smallest page id is the response and
-others revisit it. Which they are is found by an aggregation over digests; the decisions travel through the same range
+others revisit it. Which they are is found by an aggregation over digests; the decisions travel through the same
 exchange as the pages, just before their page, so payloads are shuffled once.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import io
 import uuid
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import byte_size, hadoop, parts_for, prepare
+from .common import hadoop, materialize, prepare
 
 REVISIT_BYTES = 100
 ROLL_BYTES = 32 << 20
 SHARD_BYTES = 32 << 20
+#: Bytes that a record counts for besides its payload when borders are drawn.
+HEAD_BYTES = 500
+#: Shards at most: larger tables get larger shards.
+MOST_SHARDS = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 6
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,16 +98,20 @@ class _Roller:
         self._write(member)
         self.records, self.last = self.records + 1, page_id
         if self.size >= self.roll:
-            self.close()
+            self._finish()
 
     def _write(self, raw: bytes) -> None:
         self.out.write(raw)
         self.sum.update(raw)
         self.size += len(raw)
 
-    def close(self) -> None:
-        if self.out is None:
-            return
+    def close(self) -> list[tuple]:
+        """The rows of the manifest for the shard."""
+        if self.out is not None:
+            self._finish()
+        return self.done
+
+    def _finish(self) -> None:
         self.out.close()
         self.fs.create_dir(f"{self.root}/data", recursive=True)
         self.fs.move(self.temp, f"{self.root}/data/{self.name}")
@@ -106,18 +119,47 @@ class _Roller:
         self.number, self.out = self.number + 1, None
 
 
+def borders(keyed: DataFrame, size: int) -> list[tuple[bool, int, str]]:
+    """The first key of each shard but the first, from (page_id, digest, n): (whether there is an id, the id, the digest).
+
+    Rows of equal key stay together.
+    """
+    key = [F.col("page_id").isNotNull().alias("some"), F.coalesce("page_id", F.lit(0)).alias("id"), "digest"]
+    one = keyed.groupBy(*key).agg(F.sum(F.col("n") + HEAD_BYTES).alias("n")).orderBy("some", "id", "digest")
+    one = materialize(one.withColumn("part", F.spark_partition_id()), "warc-keys")
+    parts = one.groupBy("part").agg(F.sum("n").alias("n"))
+    base = parts.select(F.col("part"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))  # a row for each task
+    upto = F.sum("n").over(W.partitionBy("part").orderBy("some", "id", "digest").rowsBetween(W.unboundedPreceding, 0))
+    at = one.select("part", "some", "id", "digest", "n", upto.alias("upto")).join(F.broadcast(base), "part")
+    shard = F.floor((F.col("base") + F.col("upto") - F.col("n")) / size)
+    first = at.groupBy(shard.alias("shard")).agg(F.min(F.struct("some", "id", "digest")).alias("k")).orderBy("shard")
+    return [tuple(r.k) for r in first.collect()][1:]  # MOST_SHARDS at most
+
+
 def write(pages: DataFrame, out: str, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write (page_id, url, html) under ``out``, a folder in a file system that executors share; returns the manifest.
 
-    Null html is empty. Null page ids come first and count as larger than all others when the response of a group is
-    chosen. Of rows with equal page and payload the first is what the page is, others revisit it. An empty table gives
-    an empty manifest.
+    Other columns are left out, whatever their names. Page ids are integers; texts of digits are cast. Null html is
+    empty. Null page ids come first and count as larger than all others when the response of a group is chosen. Of rows
+    with equal page and payload the first is what the page is, others revisit it. An empty table gives an empty
+    manifest. An archive is written once: a folder that has a manifest is refused.
     """
     spark = pages.sparkSession
     prepare(spark)
+    final, fs = hadoop(spark, f"{out}/manifest")
+    if fs.exists(final):
+        raise FileExistsError(f"{out} has a manifest")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    shards = parts_for(byte_size(pages, "html"), shard_bytes)
-    keyed = pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
+    keyed = materialize(pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("n")), "warc-digests")
+    total = keyed.agg(F.sum(F.col("n") + HEAD_BYTES)).first()[0] or 0
+    starts = borders(keyed, max(shard_bytes, -(-total // MOST_SHARDS)))
+    shards = len(starts) + 1
+
+    @F.pandas_udf("int")
+    def shard(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        keys = zip(page_id.notna().tolist(), page_id.fillna(0).astype("int64").tolist(), digest.tolist(), strict=True)
+        return pd.Series([bisect.bisect_right(starts, k) for k in keys], dtype="int32")
+
     large = keyed.filter(F.col("n") >= REVISIT_BYTES).select("page_id", "digest")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
     first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
@@ -125,34 +167,35 @@ def write(pages: DataFrame, out: str, roll: int = ROLL_BYTES, shard_bytes: int =
     rows = pages.select("page_id", F.lit(1).alias("kind"), F.sha2("html", 256).alias("digest"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(
         told.select("page_id", F.lit(0).alias("kind"), "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     )
-    sorted_ = rows.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "digest", "url")
+    rows = rows.withColumn("shard", shard(F.col("page_id").cast("string"), "digest") if shards > 1 else F.lit(0))
+    sorted_ = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches):
-        roller = _Roller(out, TaskContext.get().partitionId(), roll)
-        page, revisits, before, copy = object(), {}, None, 0
+        roller, key, refers, copy = None, object(), None, 0
+        done = []
         for b in batches:
-            for page_id, kind, digest, of, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if page_id != page:
-                    page, revisits, before = page_id, {}, None
+            for page_id, kind, digest, of, url, html, number in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if roller is None or roller.shard != number:
+                    if roller is not None:
+                        done += roller.close()
+                    roller = _Roller(out, number, roll)
+                if (page_id, digest) != key:
+                    key, refers, copy = (page_id, digest), None, -1
                 if not kind:
-                    revisits[digest] = (of,)
+                    refers = (of,)
                     continue
-                copy = copy + 1 if digest == before else 0
-                payload, before = html.encode(), digest
-                refers = revisits.get(digest)
-                if refers is None and copy and len(payload) >= REVISIT_BYTES:
+                copy, payload = copy + 1, html.encode()
+                if copy and refers is None and len(payload) >= REVISIT_BYTES:
                     refers = (page_id,)
                 roller.add(page_id, page_record(page_id, url, payload, refers, copy))
-        roller.close()
-        if roller.done:
-            cols = zip(*roller.done, strict=True)
+        if roller is not None:
+            done += roller.close()
+        if done:
+            cols = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "shard", "records", "bytes", "sha256", "first_page", "last_page"])
 
     sorted_.mapInArrow(run, _MANIFEST).write.mode("overwrite").parquet(f"{out}/_manifest")
-    at, fs = hadoop(spark, f"{out}/_manifest")
-    final, _ = hadoop(spark, f"{out}/manifest")
-    fs.delete(final, True)
-    if not fs.rename(at, final):
+    if not fs.rename(hadoop(spark, f"{out}/_manifest")[0], final):
         raise OSError(f"the manifest could not be moved to {out}/manifest")
     fs.delete(hadoop(spark, f"{out}/_temporary")[0], True)
     return manifest(spark, out)
@@ -178,7 +221,8 @@ def _parse(stream) -> dict[str, str] | None:
 def read(spark: SparkSession, out: str, payload: bool = True) -> DataFrame:
     """Every page record of the files in the manifest; block and payload digests and record counts are verified.
 
-    ``payload`` is null for revisits, and for all if not asked for.
+    ``payload`` is null for revisits, and for all if not asked for; empty payloads are empty. Null page ids and URLs come
+    back null. A manifest without files gives no rows; a folder without manifest, or damaged files, an error.
     """
     prepare(spark)
     files = manifest(spark, out)

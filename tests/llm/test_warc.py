@@ -2,6 +2,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillform.llm import q_warc, warc
 
@@ -50,6 +51,31 @@ def test_files_roll_and_are_deterministic(spark, tmp_path):
     assert runs[0] == runs[1]
 
 
+def test_borders_follow_from_the_table(spark, tmp_path):
+    """Three writes of 2,500 rows in different partitions, a third of them without an id, give the same shards and digests."""
+    rows = [(None if i % 3 == 0 else i, f"http://x/{i}", f"{i % 400} " * (20 + i % 90)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    runs = []
+    for k, parts in enumerate((3, 7, 1)):
+        m = warc.write(df.repartition(parts).withColumn("shard", F.lit("x")), f"file://{tmp_path}/{k}", roll=50_000, shard_bytes=100_000).orderBy("file").collect()
+        runs.append([tuple(r) for r in m])
+    assert runs[0] == runs[1] == runs[2]
+    by = {}
+    for r in runs[0]:
+        by[r[1]] = by.get(r[1], 0) + r[2]
+    size = sum(len(h) + warc.HEAD_BYTES for _, _, h in rows)
+    assert len(by) == -(-size // 100_000) and max(by.values()) < 2 * min(list(by.values())[:-1])
+    back = warc.read(spark, f"file://{tmp_path}/0")
+    assert sorted(((r.page_id, r.payload_bytes) for r in back.collect()), key=str) == sorted(((p, len(h)) for p, _, h in rows), key=str)
+
+
+def test_an_archive_is_written_once(spark, tmp_path):
+    out = f"file://{tmp_path}/once"
+    warc.write(frame(spark), out)
+    with pytest.raises(FileExistsError):
+        warc.write(frame(spark), out)
+
+
 def test_reader_gives_urls_and_payloads_back(spark, tmp_path):
     out = f"file://{tmp_path}/w"
     warc.write(frame(spark), out)
