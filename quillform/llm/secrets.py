@@ -1,9 +1,14 @@
 """Secret scan with a random forest that removes false positives (native: DataFrame functions and Spark ML only).
 
-Candidates are runs of 16 or more characters ``[A-Za-z0-9+/_-]`` with a digit. A random forest judges each from its
-length, character transitions, dictionary coverage, path and neighbouring words. It is trained with Spark ML from
-labelled findings, and its trees are then written as one SQL expression, so that scanning is a single projection over
-the documents: nothing is exploded, joined or shuffled, and whole texts are scanned.
+Candidates are of three kinds: what stands in a credential's place (after a key such as ``password`` in a text, JSON, YAML,
+XML, a header or a command line; before the ``@`` of a URL), tokens of named forms with dots, and any run of 16 or more
+characters ``[A-Za-z0-9+/_-]``. A random forest judges each from its length, character transitions, dictionary coverage,
+path and neighbouring words. It is trained with Spark ML from labelled findings, and its trees are then written as one
+SQL expression, so that scanning is a single projection over the documents: nothing is exploded, joined or shuffled, and
+whole texts are scanned.
+
+Labelled findings come from texts in which secrets and look-alikes were planted (``planted.py``): candidates are found in
+them as in any text, and a candidate is a secret if it overlaps a planted one, so labels don't follow from features.
 """
 
 from __future__ import annotations
@@ -13,17 +18,31 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import planted
 from .common import ROW, packed, running, unpacked
 
-#: A candidate: possessive and anchored at its run's begin, so that matching is linear.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+_KEYS = (
+    r"passw(?:or)?d|passwd|pwd|passphrase|passwort|senha|contrase(?:n|ñ)a|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key"
+    r"|credentials?|authorization|auth[_-]?key"
+)
+#: A credential's place, up to the value; bounded, so that matching is linear.
+_PLACE = rf"(?i:(?:{_KEYS})[A-Za-z0-9_.-]{{0,24}}[\"'\]]{{0,2}}\s{{0,3}}(?::=|=>|[:=>]|(?<=--[a-z-]{{3,30}})\x20)\s{{0,3}}[\"'`]?(?:(?:bearer|basic)\x20)?)"
+_VALUE = r"[^\s\"'`<>]{5,255}[^\s\"'`<>,;)}\].]"
+_LOGIN = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'<>]{0,64}:"
+_WORD = r"[^\s/@\"'<>]{3,128}(?=@)"
+_HOOK = r"(?:hooks\.slack\.com/services|discord(?:app)?\.com/api/webhooks)/"
+_DOTTED = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+)"
+_RUN = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: What of a match stands before the candidate.
+LEAD = rf"(?:{_PLACE}(?={_VALUE})|{_LOGIN}(?={_WORD})|{_HOOK}(?={_RUN}))"
+CANDIDATE = rf"(?:{_PLACE}{_VALUE}|{_LOGIN}{_WORD}|{_HOOK}{_RUN}|{_DOTTED}|(?<![A-Za-z0-9+/_-]){_RUN})"
 #: Characters of context on either side.
 NEAR = 48
 #: Findings at this probability or above are secrets.
 CUTOFF = 0.5
-TREES, DEPTH, SEED = 24, 6, 7
-#: Labelled findings that the forest is fitted on at most.
-LABELLED = 6000
+TREES, DEPTH, SEED = 32, 9, 7
+#: Planted texts that labelled findings are taken from, and findings that the forest is fitted on at most.
+TEXTS, LABELLED = 6000, 20_000
 REPLACEMENT = "[SECRET]"
 
 #: Words that names, placeholders and identifiers are made of.
@@ -38,8 +57,13 @@ DICTIONARY = (
     "template test text theme thumb time title toggle token total track true type update upload user util value version video view wall web widget width window with word world write your"
 ).split()
 _WORDS = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
+#: Transitions that are common inside words of European languages.
+_COMMON = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur|la|el|un|us|ta|ei|ie|qu|ss|ge|ei|do|da|os"
 
-FEATURES = ("length", "distinct", "transitions", "digits", "uppers", "hex", "separators", "dictionary", "test_path", "credential", "harmless", "assigned", "quoted", "prefix", "longest_run")
+FEATURES = (
+    "length", "distinct", "transitions", "common", "digits", "uppers", "letters", "hex", "separators", "symbols", "dictionary", "test_path", "place", "password", "login", "harmless", "assigned", "quoted", "prefix", "reference",
+    "placeholder", "locator", "closed", "longest_run", "neighbours",
+)
 
 
 def features(c: Column, before: Column, after: Column, path: Column) -> Column:
@@ -47,69 +71,87 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
     n = F.char_length(c).cast("double")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     runs = F.regexp_replace(classes, r"(.)\1*+", "$1")
-    left, low = F.lower(before), F.lower(F.coalesce(path, F.lit("")))
+    left, low, low_c = F.lower(before), F.lower(F.coalesce(path, F.lit(""))), F.lower(c)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     share = lambda x: F.char_length(x) / n
     return F.struct(
         n.alias("length"),
         (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"),
         ((F.char_length(runs) - 1) / n).alias("transitions"),
+        (F.regexp_count(low_c, F.lit(f"(?={_COMMON})")) / n).alias("common"),
         share(F.regexp_replace(c, "[^0-9]", "")).alias("digits"),
         share(F.regexp_replace(c, "[^A-Z]", "")).alias("uppers"),
+        share(F.regexp_replace(c, "[^A-Za-z]", "")).alias("letters"),
         flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
         share(F.regexp_replace(c, "[^/_+-]", "")).alias("separators"),
-        (1 - share(F.regexp_replace(F.lower(c), f"(?:{_WORDS})", ""))).alias("dictionary"),
+        share(F.regexp_replace(c, "[A-Za-z0-9/_+-]", "")).alias("symbols"),
+        (1 - share(F.regexp_replace(low_c, f"(?:{_WORDS})", ""))).alias("dictionary"),
         flag(low.rlike("test|spec|fixture|example|sample|mock|demo|docs?/")).alias("test_path"),
-        flag(left.rlike("(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|signing[_-]?key)[a-z_]*[\"']?\\s{0,2}[=:]?>?\\s{0,2}[\"']?$")).alias("credential"),
-        flag(F.concat(left, F.lit(" "), F.lower(F.substring(after, 1, 12))).rlike("\\b(?:commit|sha1|sha256|md5|hash|digest|checksum|uuid|guid|etag|revision|rev|image|src|href|url|id|example|sample|dummy|placeholder|isbn|order|tracking|version|build|font|base64|https?)\\b")).alias("harmless"),
+        flag(left.rlike(rf"{_PLACE}$")).alias("place"),
+        flag(left.rlike(r"(?:passw|pwd|senha|contrase)[a-z0-9_.-]{0,24}[\"'\]]{0,2}\s{0,3}(?::=|=>|[:=>\x20])\s{0,3}[\"'`]?$")).alias("password"),
+        flag(left.rlike(r"://[^\s/:@]{0,64}:$") & after.startswith("@")).alias("login"),
+        flag(F.concat(left, F.lit(" "), F.lower(F.substring(after, 1, 12))).rlike("\\b(?:commit|sha1|sha256|sha512|md5|hash|integrity|digest|checksum|uuid|guid|etag|revision|rev|image|src|href|id|example|sample|dummy|placeholder|isbn|order|tracking|version|build|font|base64|ssh-rsa|public)\\b")).alias("harmless"),
         flag(left.rlike("[=:]>?\\s{0,2}[\"']?$")).alias("assigned"),
         flag(left.rlike("[\"'`]$") & after.rlike("^[\"'`]")).alias("quoted"),
-        flag(c.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|eyJ|SG_|npm_|pypi-)")).alias("prefix"),
+        flag(c.rlike("^(?:A[KS]IA[A-Z0-9]{12}|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|eyJ|SG\\.|npm_|pypi-)") | left.rlike(f"{_HOOK}$")).alias("prefix"),
+        flag(c.rlike(r"^[$%{<@*\[(]|\$\{|\{\{|\(|\)$|(?i:environ|getenv|process\.env|\bself\.|\bthis\.|config\.|settings\.|vault:|secretref|params\.|req\.)")).alias("reference"),
+        flag(low_c.rlike(r"example|change.?me|your[_-]|[_-]here|placeholder|dummy|x{4}|\*{3}|\.{3}|0{6}|12345|abcde|sample|redacted|insert|replace|^(?:string|required|optional|undefined|boolean|integer|password|username|disabled|enabled|default)")).alias("placeholder"),
+        flag(low_c.rlike(r"^(?:https?:|\.{0,2}/|[a-z]:\\)|://|\.(?:com|org|net|html?|php|js|css|png|jpe?g|gif|svg|json|ya?ml|py|java|go|ts|md|txt|pem)\b")).alias("locator"),
+        flag(after.rlike(r"^[\"'`]?\s{0,2}(?:[,;})\]<\n]|$)")).alias("closed"),
         # The longest run of one class of characters.
         (F.array_max(F.transform(F.regexp_extract_all(classes, F.lit(r"((.)\2*+)"), F.lit(1)), lambda x: F.char_length(x))) / n).alias("longest_run"),
+        # Prose on both sides: words of small letters.
+        (flag(left.rlike(r"[a-z]{2,}[,.]?\x20$")) + flag(after.rlike(r"^[,.]?\x20[a-z]{2,}"))).alias("neighbours"),
     )
 
 
-def synthetic_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """(candidate, before, after, path, label): invented labelled findings, the same on every call.
+def _found(docs: DataFrame, text: str, path: str) -> DataFrame:
+    """``docs`` with s_between (texts between matches) and s_seen: start, end, candidate, lead, its neighbours and features."""
+    out = docs.withColumn("s_found", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CANDIDATE), F.lit(0)))
+    out = out.withColumn("s_between", F.when(F.size("s_found") > 0, F.split(F.col(text), CANDIDATE, -1)))
+    out = out.withColumn("s_lens", F.zip_with("s_between", "s_found", lambda a, b: F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0))))
+    out = running(out, "s_lens", "s_at")
+    parts = F.transform(
+        "s_found",
+        lambda m, i: F.struct(
+            F.regexp_replace(m, f"^{LEAD}", "").alias("c"), m.alias("m"), (F.get("s_at", i) + F.char_length(F.get("s_between", i)) + F.char_length(m)).alias("end"),
+            F.right(F.concat(F.when((i > 0) & (F.char_length(F.get("s_between", i)) < NEAR), F.right(F.get("s_found", i - 1), F.lit(NEAR))).otherwise(F.lit("")), F.right(F.get("s_between", i), F.lit(NEAR))), F.lit(NEAR)).alias("b"),
+            F.substring(F.concat(F.get("s_between", i + 1), F.coalesce(F.get("s_found", i + 1), F.lit(""))), 1, NEAR).alias("a"),
+        ),
+    )
+    out = out.withColumn("s_parts", F.when(F.size("s_found") > 0, parts))
+    lead = lambda p: F.left(p["m"], F.char_length(p["m"]) - F.char_length(p["c"]))
+    seen = F.transform(
+        "s_parts",
+        lambda p: F.struct(
+            (p["end"] - F.char_length(p["c"])).alias("start"), p["end"].alias("end"), p["c"].alias("candidate"), lead(p).alias("lead"),
+            F.concat(p["b"], lead(p)).alias("before"), p["a"].alias("after"), features(p["c"], F.concat(p["b"], lead(p)), p["a"], F.col(path)).alias("features"),
+        ),
+    )
+    return out.withColumn("s_seen", seen)
+
+
+def labelled(texts: DataFrame) -> DataFrame:
+    """(candidate, before, after, path, template, label) of (text, path, template, secrets array<struct<start, end>>).
 
-    Labels follow from how a finding was made: random strings in a credential's place are secrets; digests, ids, paths,
-    identifiers and placeholders are not, wherever they stand.
+    A candidate is a secret (1) if it overlaps one of ``secrets``.
     """
-    h = lambda salt: F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256)
-    pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(xs))) + 1).cast("int"))
-    b64 = F.regexp_replace(F.base64(F.unhex(h("b"))), "[+/=]", "7")
-    hexes = lambda n: F.substring(F.concat(h("x"), h("y")), 1, n)
-    word = lambda s: pick(s, *DICTIONARY)
-    name = pick("n", "token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "AWS_SECRET_ACCESS_KEY", "client_secret", "TOKEN", "signing_key", "db_password")
-    given = F.concat(pick("l", "", "set ", "the ", "export ", "const ", "in that of ", "la de "), name, pick("e", " = \"", "=\"", ": \"", "=", ": ", "=> '", " = '"))
-    other = F.concat(pick("l", "see ", "at ", "of the ", "with ", ""), pick("o", "commit ", "sha256:", "md5 ", "uuid=", "id: ", "etag \"", "href=\"", "src=", "checksum ", "version ", "order ", "hash = \"", "digest: \"", "revision ", "url "))
-    prose = pick("pr", "and then the ", "la casa de ", "und der ", "in ", "of this ", "(", "- ", "\n", "")
-    kinds = [
-        # (label, candidate, text before)
-        (1, hexes(40), given), (1, hexes(32), given), (1, F.substring(b64, 1, 40), given), (1, F.substring(b64, 1, 24), given), (1, F.substring(b64, 3, 20), given), (1, hexes(64), given),
-        (1, F.concat(pick("p", "AKIA", "ASIA"), F.upper(F.substring(b64, 1, 16))), F.when(F.col("id") % 3 == 0, prose).otherwise(given)),
-        (1, F.concat(pick("p", "ghp_", "gho_", "xoxb-", "sk_live_", "glpat-", "npm_"), F.substring(b64, 1, 36)), F.when(F.col("id") % 3 == 0, prose).otherwise(given)),
-        (0, hexes(40), other), (0, hexes(64), other), (0, hexes(32), other), (0, hexes(40), prose), (0, F.concat_ws("-", F.substring(h("x"), 1, 8), F.substring(h("y"), 1, 4), F.substring(h("z"), 1, 4), F.substring(h("w"), 1, 4), F.substring(h("v"), 1, 12)), F.when(F.col("id") % 2 == 0, other).otherwise(given)),
-        (0, F.concat_ws("_", word("a"), word("b"), word("c"), F.col("id").cast("string")), F.when(F.col("id") % 2 == 0, given).otherwise(prose)),
-        (0, F.concat_ws("/", word("a"), word("b"), word("c"), word("d"), F.col("id").cast("string")), F.when(F.col("id") % 2 == 0, other).otherwise(prose)),
-        (0, F.concat_ws("-", word("a"), word("b"), word("c"), word("d"), F.col("id").cast("string")), prose),
-        (0, F.rpad(F.concat(pick("q", "example", "changeme", "yourtoken", "placeholder", "xxxxxxxx", "00000000", "12345678"), F.lit("123")), 20, "0"), given),
-        (0, F.rpad(F.lit("x1"), 24, "x"), given), (0, F.lpad(F.abs(F.xxhash64("id")).cast("string"), 18, "4"), F.when(F.col("id") % 2 == 0, other).otherwise(prose)),
-        (0, F.concat(word("a"), word("b"), word("c"), F.lit("s2")), prose),
-    ]
-    k = F.pmod(F.col("id"), F.lit(len(kinds)))
-    cand, before, label = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
-    for i, (mark, c, b) in enumerate(kinds):
-        cand, before, label = F.when(k == i, c).otherwise(cand), F.when(k == i, b).otherwise(before), F.when(k == i, mark).otherwise(label)
-    closing = F.when(F.substring(before, -1, 1).isin("\"", "'"), F.substring(before, -1, 1)).otherwise(pick("af", " ", "\n", " the ", ", ", ""))
-    path = pick("path", "src/app.py", "config/prod.env", "src0", "src12", "tests/test_api.py", "docs/guide.md", "web", "")
-    return spark.range(0, rows, 1, 1).select(cand.alias("candidate"), before.alias("before"), closing.alias("after"), path.alias("path"), label.alias("label"))
+    found = _found(texts, "text", "path").select("path", "template", "secrets", F.explode_outer("s_seen").alias("s")).filter(F.col("s").isNotNull())
+    label = F.exists("secrets", lambda x: (x["start"] < F.col("s.end")) & (F.col("s.start") < x["end"])).cast("int")
+    return found.select("s.candidate", "s.before", "s.after", "path", "template", label.alias("label"))
+
+
+def planted_findings(spark: SparkSession, texts: int = TEXTS, held_out: bool | None = None) -> DataFrame:
+    """Labelled findings of planted texts; ``held_out``: only of templates that are kept from training, or only of others."""
+    rows = planted.texts(texts)
+    rows = [r for r in rows if held_out is None or planted.held_out(r[2]) == held_out]
+    return labelled(spark.createDataFrame(rows, "text string, path string, template string, secrets array<struct<start:int,end:int>>"))
 
 
 def train(findings: DataFrame, limit: int = LABELLED) -> RandomForestClassificationModel:
     """Fit the forest on (candidate, before, after, path, label), at most ``limit`` rows (the smallest by hash)."""
-    rows = findings.orderBy(F.xxhash64(*findings.columns)).limit(limit) if findings.count() > limit else findings
+    rows = findings.select("candidate", "before", "after", "path", "label")
+    rows = rows.orderBy(F.xxhash64(*rows.columns)).limit(limit)
     flat = rows.select(features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label").coalesce(1)
     made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(made)
@@ -128,41 +170,43 @@ def forest_sql(model: RandomForestClassificationModel, struct: str) -> str:
     return "(" + " + ".join(node(t._java_obj.rootNode()) for t in model.trees) + f") / {len(model.trees)}"
 
 
+_FITTED: dict[str, RandomForestClassificationModel] = {}
+
+
 def production_model(spark: SparkSession) -> RandomForestClassificationModel:
-    return train(synthetic_findings(spark))
+    """The forest on all planted findings, fitted once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _FITTED:
+        _FITTED.clear()
+        _FITTED[app] = train(planted_findings(spark))
+    return _FITTED[app]
+
+
+def _scan(rows: DataFrame, model: RandomForestClassificationModel | None, text: str, path: str) -> DataFrame:
+    out = _found(rows, text, path)
+    tree = forest_sql(model or production_model(rows.sparkSession), "x.features")
+    out = out.withColumn("s_probability", F.expr(f"transform(s_seen, x -> {tree})"))
+    judged = F.zip_with("s_seen", "s_probability", lambda x, p: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["candidate"].alias("candidate"), p.alias("probability"), (p >= CUTOFF).alias("secret"), x["features"].alias("features"), x["lead"].alias("lead")))
+    return out.withColumn("s_findings", judged)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, text: str = "text", path: str = "source") -> DataFrame:
-    """All rows and columns of ``docs`` with ``s_findings``: start, end (code points), candidate, probability, secret, and features.
+    """All rows and columns of ``docs`` with ``s_findings``: start, end (code points), candidate, probability, secret, features, lead.
 
-    Null and empty texts have no findings; null paths count as empty; repeated rows are scanned each; an empty table
-    gives an empty result. Columns of ``docs`` that begin with ``s_`` are replaced.
+    Null and empty texts have no findings (null); null paths count as empty; repeated rows are scanned each; an empty
+    table gives an empty result. A column of ``docs`` that is called ``s_findings`` is replaced; all others stay.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.startswith("s_")])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumn("s_found", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CANDIDATE), F.lit(0)))
-    out = out.withColumn("s_between", F.when(F.size("s_found") > 0, F.split(F.col(text), CANDIDATE, -1)))
-    out = out.withColumn("s_lens", F.zip_with("s_between", "s_found", lambda a, b: F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0))))
-    out = running(out, "s_lens", "s_at")
-    found = F.transform(
-        "s_found",
-        lambda c, i: F.struct(
-            (F.get("s_at", i) + F.char_length(F.get("s_between", i))).alias("start"),
-            (F.get("s_at", i) + F.char_length(F.get("s_between", i)) + F.char_length(c)).alias("end"),
-            c.alias("candidate"),
-            features(c, F.concat(F.when((i > 0) & (F.char_length(F.get("s_between", i)) < NEAR), F.right(F.get("s_found", i - 1), F.lit(NEAR))).otherwise(F.lit("")), F.right(F.get("s_between", i), F.lit(NEAR))), F.substring(F.get("s_between", i + 1), 1, NEAR), F.col(path)).alias("features"),
-        ),
-    )
-    out = out.withColumn("s_seen", F.when(F.size("s_found") > 0, found))
-    tree = forest_sql(model or production_model(docs.sparkSession), "x.features")
-    out = out.withColumn("s_probability", F.expr(f"transform(s_seen, x -> {tree})"))
-    judged = F.zip_with("s_seen", "s_probability", lambda x, p: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["candidate"].alias("candidate"), p.alias("probability"), (p >= CUTOFF).alias("secret"), x["features"].alias("features")))
-    return out.withColumn("s_findings", judged).select(*names, "s_between", "s_findings")
+    out = _scan(packed(docs), model, f"{ROW}.{text}", f"{ROW}.{path}")
+    return out.select(*[F.col(f"{ROW}.`{c}`") for c in docs.columns if c != "s_findings"], "s_findings")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None, text: str = "text", path: str = "source") -> DataFrame:
-    """All rows of ``docs`` with each secret of the text replaced by ``REPLACEMENT``; other texts stay as they are."""
-    found = scan(packed(docs), model, f"{ROW}.{text}", f"{ROW}.{path}")
-    parts = F.zip_with("s_between", "s_findings", lambda a, f: F.concat(a, F.when(f["secret"], F.lit(REPLACEMENT)).otherwise(F.coalesce(f["candidate"], F.lit("")))))
+    """All rows of ``docs`` with each secret of the text replaced by ``REPLACEMENT``; other texts stay as they are.
+
+    Null texts stay null, empty ones empty; repeated rows are changed alike; all columns keep their names and other
+    values; an empty table gives an empty result.
+    """
+    found = _scan(packed(docs), model, f"{ROW}.{text}", f"{ROW}.{path}")
+    parts = F.zip_with("s_between", "s_findings", lambda a, f: F.concat(a, F.coalesce(f["lead"], F.lit("")), F.when(f["secret"], F.lit(REPLACEMENT)).otherwise(F.coalesce(f["candidate"], F.lit("")))))
     clean = F.when(F.exists("s_findings", lambda f: f["secret"]), F.array_join(parts, "")).otherwise(F.col(f"{ROW}.{text}"))
     return unpacked(found, **{text: clean})
