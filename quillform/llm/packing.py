@@ -1,16 +1,21 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens. Each window of ``length`` tokens credits each queue with its target
-share (the queue's share of all tokens, so that all queues end together); a queue serves what its credit allows and
-carries the rest, its deficit, to the next window. Served one by one to the queue whose credit is due first, token j of
-a queue of T tokens is due at time (2j + 1) / 2T: the rotation that keeps every deficit within a token or so. Because
-due times are known in closed form, ``served`` gives what each queue has served before *any* window, deficits included,
-so tasks fill their own windows without waiting for each other and agree exactly at their borders.
+Every source is a queue of its documents' tokens, with a target share of the mixture. In each round every queue that
+isn't dry adds its quantum, in proportion to its target, to its deficit; a token costs ``Rounds.cost``, and the queue is
+served, in the order of names, while its deficit is more than half of that. What is left, positive or negative, is
+carried to the next round, whatever windows and tasks end in between. Quanta are at most half the cost, so a visit serves
+a token or none, and every window of ``length`` tokens holds the target shares to within a token or two of each queue.
+A queue that runs dry leaves the rotation: the rounds get shorter and the others fill the windows in proportion to their
+targets. Without targets a queue's target is its share of all tokens, so that all run dry together, at the end: the one
+mixture that can be held until everything is packed.
+
+After d rounds a queue of quantum w has been served (d * w, in costs, rounded to the nearest token) tokens, or all it
+has. So ``served`` gives in closed form what every queue had been served before any window, and with it the deficits
+that are carried into it: tasks fill their own windows without waiting for each other and agree exactly at their borders.
 
 A window without its last tokens is cut into sequences whose lengths are powers of two, which need no padding; only
-integers are used, so a retried task gives the same pieces.
-
-More than ``QUEUES`` sources are dealt into that many queues by hash.
+integers are used, so a retried task gives the same pieces. Queues are one row a source in the driver and in each worker
+(some 100 bytes; their number isn't limited).
 """
 
 from __future__ import annotations
@@ -29,57 +34,76 @@ from .tokens import default_path, encoder
 
 LENGTH = 2048
 END = 1
-QUEUES = 256
+#: Elements of a matrix of windows and queues that is worked on at once.
+BLOCK = 1 << 20
 _TOKENS = "part int, first long, n long, ids binary"
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Rounds:
-    """The schedule of queues with ``totals`` tokens each over windows of ``length`` tokens."""
+    """Deficit round-robin over queues with ``totals`` tokens each, cut into windows of ``length`` tokens.
+
+    ``targets`` are weights of any scale; missing, zero and negative ones stand for the smallest quantum. Quanta are
+    integers, the largest of as many bits as keep all arithmetic within 64.
+    """
 
-    def __init__(self, totals: list[int], length: int = LENGTH):
+    def __init__(self, totals: list[int], length: int = LENGTH, targets: list[float] | None = None):
         self.length, self.total = length, sum(totals)
-        self.bits = max([1, *(t.bit_length() for t in totals)]) + 1
-        # Due times are integers of self.bits + 1 bits; beyond 64-bit products Python's integers take over.
-        self.kind = np.int64 if self.bits + 2 + self.total.bit_length() < 62 else object
-        self.totals = np.array(totals, self.kind)
+        most = max([1, *totals])
+        weights = [float(w) if w and w > 0 else 0.0 for w in targets] if targets else totals
+        top = max([*weights, 0]) or 1
+        self.bits = min(60 - most.bit_length(), 30, most.bit_length() if not targets else 30)
+        exact = not targets and most.bit_length() <= self.bits
+        self.quanta = np.array([t if exact else max(1, round(w / top * (1 << self.bits))) for t, w in zip(totals, weights, strict=True)], np.int64)
+        self.quanta = np.maximum(self.quanta, 1)
+        self.totals = np.array(totals, np.int64)
+        self.cost = 2 << self.bits
+        #: Rounds after which each queue is dry.
+        self.dry = -(-(((2 * self.totals - 1) << self.bits) + 1) // self.quanta)
+        self.rounds = int(self.dry.max(initial=0))
         full, rest = divmod(self.total, length)
         powers = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        self.full, self.tail = full, np.cumsum([full * length, *powers]).tolist()
+        self.full, self.tail = full, np.cumsum([full * length, *powers], dtype=np.int64)
 
     def border(self, window: np.ndarray) -> np.ndarray:
         """Tokens served in all before each window; the tail's windows are powers of two."""
-        tail = np.array(self.tail, self.kind)
-        return np.where(window < self.full, window.astype(self.kind) * self.length, tail[np.clip((window - self.full).astype(np.int64), 0, len(self.tail) - 1)])
+        return np.where(window < self.full, window * self.length, self.tail[np.clip(window - self.full, 0, len(self.tail) - 1)])
 
-    def _due_before(self, due: np.ndarray) -> np.ndarray:
-        """Tokens of each queue that are due before the given times: times x queues."""
-        x = due.astype(self.kind)[:, None] * self.totals[None, :] - 1
-        return np.minimum(((x >> self.bits) + 1) // 2, self.totals[None, :])
+    def after(self, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of each queue that are served in the first so many rounds: rounds x queues."""
+        credit = np.minimum(rounds[:, None], self.dry[None, :]) * self.quanta[None, :]
+        return np.minimum((((credit - 1) >> self.bits) + 1) // 2, self.totals[None, :])
 
-    def served(self, window: np.ndarray) -> np.ndarray:
-        """What each queue has served before each window: windows x queues, rows adding up to the border."""
+    def _rounds(self, window: np.ndarray) -> np.ndarray:
+        """Whole rounds before each window."""
         goal = self.border(window)
-        low, high = np.zeros(len(goal), self.kind), np.full(len(goal), (2 << self.bits) + 1, self.kind)
-        for _ in range(self.bits + 3):
+        low, high = np.zeros(len(goal), np.int64), np.full(len(goal), self.rounds + 1, np.int64)
+        while (high - low > 1).any():
             mid = (low + high) // 2
-            fits = self._due_before(mid).sum(axis=1) <= goal
+            fits = self.after(mid).sum(axis=1) <= goal
             low, high = np.where(fits, mid, low), np.where(fits, high, mid)
-        out = self._due_before(low)
-        tied = self._due_before(low + 1) - out
-        # Tokens due at the same time are served in the order of queues.
-        room = (goal - out.sum(axis=1))[:, None]
-        before = np.cumsum(tied, axis=1) - tied
-        return out + np.clip(room - before, 0, tied)
+        return low
+
+    def served(self, window: np.ndarray) -> np.ndarray:
+        """What each queue has served before each window: windows x queues, rows adding up to the border."""
+        whole = self._rounds(window)
+        out = self.after(whole)
+        # The round in which the window begins serves queues in their order until the window before is full.
+        visit = self.after(whole + 1) - out
+        room = (self.border(window) - out.sum(axis=1))[:, None]
+        return out + np.clip(room - (np.cumsum(visit, axis=1) - visit), 0, visit)
+
+    def deficits(self, window: np.ndarray) -> np.ndarray:
+        """Deficits that are carried into each window, in tokens; 0 for dry queues."""
+        served = self.served(window)
+        owed = (self._rounds(window)[:, None] * self.quanta[None, :]) / self.cost - served
+        return np.where(served < self.totals[None, :], owed, 0.0)
 
     def rank(self, queue: int, token: int) -> int:
         """Tokens that all queues serve before a token of a queue."""
-        due = ((2 * token + 1) << self.bits) // int(self.totals[queue])
-        out = 0
-        for s, total in enumerate(self.totals.tolist()):
-            x = (due + (s < queue)) * total - 1
-            out += min(((x >> self.bits) + 1) // 2, total)
-        return out
+        turn = ((2 * token + 1) << self.bits) // int(self.quanta[queue])
+        before, after = self.after(np.array([turn, turn + 1]))
+        return int(before.sum() + (after - before)[:queue].sum() + token - before[queue])
 
     def window(self, queue: int, token: int) -> int:
         rank = self.rank(queue, token)
@@ -120,47 +144,53 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if raw[:1] == b"\4" else "<u2", offset=1)
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, length: int = LENGTH, targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row for each piece: doc_id, p_source, start, length, ids_crc32, doc_tokens, sequence_id, offset and its ids.
 
-    Null and empty texts are one piece of the end id; null sources are a queue of their own; null ids and repeated rows
-    are documents like any other; an empty table has no pieces. Ids are unsigned 32-bit, little-endian, in ``ids``.
+    ``targets`` are shares (of any scale) by source; sources that it doesn't name have the smallest quantum, as those
+    with 0; sources that have no tokens don't count. Null and empty texts are one piece of the end id; null sources are a
+    queue of their own; null ids and repeated rows are documents like any other; an empty table has no pieces. Ids are
+    unsigned 32-bit, little-endian, in ``ids``.
     """
     spark = docs.sparkSession
     prepare(spark)
     mine = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("p_source"), F.col(text).alias("p_text"))
     tokens = materialize(tokenize(mine, path or default_path(), "p_text", "p_source"), "pack-tokens")
     parts = materialize(tokens.groupBy("p_source", "part").agg(F.sum("n").alias("n")), "pack-parts")
-    sources = parts.select("p_source").distinct()
-    name = F.coalesce(F.concat(F.lit("="), "p_source"), F.lit(""))
-    if sources.count() > QUEUES:
-        name = F.pmod(F.xxhash64("p_source"), F.lit(QUEUES)).cast("string")
-    queued = parts.select("p_source", "part", "n", name.alias("queue"))
-    totals = {r[0]: int(r[1]) for r in queued.groupBy("queue").agg(F.sum("n")).collect()}  # QUEUES rows at most
-    names = sorted(totals)
+    totals = {r[0]: int(r[1]) for r in parts.groupBy("p_source").agg(F.sum("n")).collect()}  # a row for each source
+    names = sorted(totals, key=lambda q: (q is not None, str(q)))
     if not names:
         return tokens.selectExpr("doc_id", "p_source", *[f"cast(0 as bigint) {c}" for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], "ids")
-    rounds, number = Rounds([totals[q] for q in names], length), {q: k for k, q in enumerate(names)}
-    # Where a task's share of a queue begins: one row for each queue, source and task.
-    begin = F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part", F.col("p_source").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    begins = queued.select(F.col("p_source").alias("b_source"), F.col("part").alias("b_part"), F.col("queue"), begin.cast("long").alias("begin"))
+    rounds = Rounds([totals[q] for q in names], length, None if targets is None else [targets.get(q, 0) for q in names])
+    sent = spark.sparkContext.broadcast((rounds, {q: k for k, q in enumerate(names)}))
+    # Where a task's share of a queue begins: one row for each source and task.
+    begin = F.coalesce(F.sum("n").over(W.partitionBy("p_source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = parts.select(F.col("p_source").alias("b_source"), F.col("part").alias("b_part"), begin.cast("long").alias("begin"))
     rows = tokens.join(begins, tokens["p_source"].eqNullSafe(begins["b_source"]) & (tokens["part"] == begins["b_part"]))
-    rows = rows.select("doc_id", "p_source", "queue", (F.col("begin") + F.col("first")).alias("at"), "n", "ids")
+    rows = rows.select("doc_id", "p_source", (F.col("begin") + F.col("first")).alias("at"), "n", "ids")
     schema = mine.select("doc_id", "p_source").schema
     for f in spark.createDataFrame([], _PIECES + ", ids binary").schema:
         schema = schema.add(f)
 
     def run(batches):
+        rounds, number = sent.value
+        step = max(10, min(2000, BLOCK // 25 // len(number)))
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                yield from _pieces(b.slice(k, 2000), rounds, number, schema.names)
+            for k in range(0, b.num_rows, step):
+                yield from _pieces(b.slice(k, step), rounds, number, schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def shares(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, p_source, tokens, share): the mixture that each sequence of packed pieces got."""
+    got = pieces.groupBy("sequence_id", "p_source").agg(F.sum("length").alias("tokens"))
+    return got.select("*", (F.col("tokens") / F.sum("tokens").over(W.partitionBy("sequence_id"))).alias("share"))
+
+
 def _pieces(b: pa.RecordBatch, rounds: Rounds, number: dict[str, int], names: list[str]):
-    queue = np.array([number[q] for q in b.column(2).to_pylist()])
-    at, n = b.column(3).to_numpy(), b.column(4).to_numpy()
+    queue = np.array([number[q] for q in b.column(1).to_pylist()])
+    at, n = b.column(2).to_numpy(), b.column(3).to_numpy()
     # The windows from each queue's first to last token here; a run of neighbours shares its borders.
     order = np.lexsort((at, queue))
     runs, spans = [], []
@@ -174,13 +204,14 @@ def _pieces(b: pa.RecordBatch, rounds: Rounds, number: dict[str, int], names: li
             runs.append([i])
     ranges = [(rounds.window(q, a), rounds.window(q, z - 1)) for q, a, z in spans]
     windows = np.unique(np.concatenate([np.arange(lo, hi + 2) for lo, hi in ranges]))
-    served = rounds.served(windows)
+    step = max(1, BLOCK // len(rounds.totals))
+    served = np.concatenate([rounds.served(windows[k : k + step]) for k in range(0, len(windows), step)])
     share = np.diff(served, axis=0) if len(windows) > 1 else served[:0]
     ahead = np.cumsum(share, axis=1) - share  # tokens of earlier queues in the window
     row, start, length, sequence, offset = [], [], [], [], []
     for (q, _, _), mine, (lo, hi) in zip(spans, runs, ranges, strict=True):
         k = int(np.searchsorted(windows, lo))
-        borders, lead = served[k : k + hi - lo + 2, q].astype(np.int64), ahead[k : k + hi - lo + 1, q].astype(np.int64)
+        borders, lead = served[k : k + hi - lo + 2, q], ahead[k : k + hi - lo + 1, q]
         for i in mine:
             a, z = int(at[i]), int(at[i] + n[i])
             w = int(np.searchsorted(borders, a, "right")) - 1
@@ -193,7 +224,7 @@ def _pieces(b: pa.RecordBatch, rounds: Rounds, number: dict[str, int], names: li
                     sequence.append(lo + w)
                     offset.append(int(lead[w]) + a - int(borders[w]))
                 a, w = stop, w + 1
-    ids = {i: _unpack(b.column(5)[i].as_py()).astype("<u4") for i in set(row)}
+    ids = {i: _unpack(b.column(4)[i].as_py()).astype("<u4") for i in set(row)}
     raw = [ids[i][s : s + m].tobytes() for i, s, m in zip(row, start, length, strict=True)]
     take = pa.array(row, pa.int64())
     whole = [start, length, [zlib.crc32(x) for x in raw], n[row].tolist(), sequence, offset]
