@@ -15,32 +15,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("q_features.n_words"), F.col("q_features.word_chars"), F.col("q_features.n_symbols"), F.col("q_features.n_dup_lines"), F.col("q_features.n_repeat_words"), "base_failed", "kept")
 
 
-def _fence_sql(keys: str, source: str) -> str:
-    group = f"GROUP BY {keys + ', ' if keys else ''}metric"
+def _marks_sql(keys: str, source: str) -> str:
     by = f"PARTITION BY {keys + ', ' if keys else ''}metric"
-    cols = []
-    for name, (below, slack) in quality.METRICS.items():
-        reach = f"({quality.REACH} * (q3 - q1) + {slack})"
-        if below:
-            cols.append(f"max(CASE WHEN metric = '{name}' THEN q1 - {reach} END) AS low_{name}")
-        cols.append(f"max(CASE WHEN metric = '{name}' THEN q3 + {reach} END) AS high_{name}")
-    return f"""SELECT {keys + ', ' if keys else ''}max(n_docs) AS n_docs, {', '.join(cols)} FROM (
-      SELECT {keys + ', ' if keys else ''}metric, max(n_docs) AS n_docs, min(CASE WHEN 4 * upto >= n_docs THEN value END) AS q1, min(CASE WHEN 4 * upto >= 3 * n_docs THEN value END) AS q3 FROM (
+    cols = [f"min(CASE WHEN metric = '{m}' AND 10 * upto >= {t} * n_docs THEN value END) AS {m}_{t}" for m in quality.METRICS for t in quality.TENTHS]
+    return f"""SELECT {keys + ', ' if keys else ''}CAST(max(n_docs) AS BIGINT) AS n_docs, {', '.join(cols)} FROM (
         SELECT {keys + ', ' if keys else ''}metric, CASE WHEN bin IS NULL THEN 0.0 ELSE 2 * pow({quality.GAMMA!r}, bin) / ({quality.GAMMA!r} + 1) END AS value,
           sum(n) OVER ({by} ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({by}) AS n_docs
-        FROM (SELECT {keys + ', ' if keys else ''}metric, bin, sum(n) AS n FROM {source} {group}, bin)) {group}) {'GROUP BY ' + keys if keys else ''}"""
+        FROM (SELECT {keys + ', ' if keys else ''}metric, bin, sum(n) AS n FROM {source} GROUP BY ALL)) {'GROUP BY ' + keys if keys else ''}"""
 
 
-def _best(name: str) -> str:
-    return f"CASE WHEN o.n_docs >= {quality.MIN_GROUP} THEN o.{name} WHEN l.n_docs >= {quality.MIN_GROUP} THEN l.{name} ELSE a.{name} END"
+def _at(name: str) -> str:
+    p = quality.PRIOR
+    return f"((o.n_docs * o.{name} + {p} * ((l.n_docs * l.{name} + {p} * a.{name}) / (l.n_docs + {p}))) / (o.n_docs + {p}))"
 
 
 def _inside() -> str:
     out = []
-    for name, (below, _) in quality.METRICS.items():
-        out.append(f"{name} <= {_best('high_' + name)}")
+    for name, (count, of, below) in quality.METRICS.items():
+        low, mid, high = (_at(f"{name}_{t}") for t in quality.TENTHS)
+        out.append(f"{count} - {quality.NOISE} * sqrt({count}) <= ({high} + {quality.REACH} * ({high} - {mid})) * {of}")
         if below:
-            out.append(f"{name} >= {_best('low_' + name)}")
+            out.append(f"{count} + {quality.NOISE} * sqrt({count}) >= ({low} - {quality.REACH} * ({mid} - {low})) * {of}")
     return " AND ".join(out)
 
 
@@ -74,7 +69,7 @@ WITH w AS (
   SELECT lang, source, metric, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {quality.math.log(quality.GAMMA)!r}) AS INT) END AS bin, count(*) AS n
   FROM (UNPIVOT (SELECT lang, source, word_length, symbol_share, dup_line_share, repeat_share FROM m) ON word_length, symbol_share, dup_line_share, repeat_share INTO NAME metric VALUE value)
   GROUP BY ALL
-), o AS ({_fence_sql('lang, source', 'bins')}), l AS ({_fence_sql('lang', 'bins')}), a AS ({_fence_sql('', 'bins')})
+), o AS ({_marks_sql('lang, source', 'bins')}), l AS ({_marks_sql('lang', 'bins')}), a AS ({_marks_sql('', 'bins')})
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ({_inside()}) AS kept
 FROM m JOIN o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a
 """

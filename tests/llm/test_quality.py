@@ -32,20 +32,62 @@ def test_outliers_go_and_ordinary_texts_stay(spark, tables, documents):
     assert not got[500] and not got[501] and all(got[p[0]] for p in plain if base(p[1])[4] * 2 <= base(p[1])[0])
 
 
+FEATURES = "named_struct('n_words', 100L, 'word_chars', {}, 'n_symbols', {}, 'n_dup_lines', 0L, 'n_repeat_words', 0L, 'n_lines', 1L) q_features"
+
+
 def test_sketch_quantiles_and_merging(spark):
-    rows = spark.range(1, 1001).selectExpr("if(id % 2 = 0, 'a', 'b') q_lang", "'s' q_source", "named_struct('n_words', 1L, 'word_chars', id, 'n_symbols', 0L, 'n_dup_lines', 0L, 'n_repeat_words', 0L, 'n_lines', 1L) q_features")
+    rows = spark.range(1, 1001).selectExpr("if(id % 2 = 0, 'a', 'b') q_lang", "'s' q_source", FEATURES.format("100 * id", "0L"))
     bins = quality.sketch(rows)
-    mark = quality.fences(quality.merge(bins)).first()
+    mark = quality.marks(quality.merge(bins)).first()
     assert mark.n_docs == 1000
-    assert mark.high_word_length == pytest.approx(750 + 6 * 500 + 2, rel=0.02)
-    own = {r.q_lang: r.n_docs for r in quality.fences(bins, "q_lang", "q_source").collect()}
+    assert [mark[f"word_length_{t}"] for t in quality.TENTHS] == pytest.approx([100, 500, 900], rel=0.02)
+    own = {r.q_lang: r.n_docs for r in quality.marks(bins, "q_lang", "q_source").collect()}
     assert own == {"a": 500, "b": 500}
+    fence = quality.fences(bins).filter("f_lang = 'a'").first()
+    assert fence.high_word_length == pytest.approx(900 + quality.REACH * 400, rel=0.03) and fence.high_symbol_share == 0
+
+
+def test_fences_move_with_their_group_only(spark):
+    """Every threshold is a quantile: a group with ten times the symbols gets ten times the fence, others keep theirs."""
+
+    def fenced(factor):
+        rows = spark.range(20_000).selectExpr("'en' q_lang", "concat('s', id % 10) q_source", FEATURES.format("500L", f"if(id % 10 = 3, {factor}, 1) * (1 + cast(id / 10 as bigint) % 20)"))
+        bins = quality.sketch(rows)
+        own = {r.q_source: (r.symbol_share_5, r.symbol_share_9) for r in quality.marks(bins, "q_lang", "q_source").collect()}
+        return own, {r.f_source: r.high_symbol_share for r in quality.fences(bins).collect()}
+
+    (own, high), (own_10, high_10) = fenced(1), fenced(10)
+    assert {s for s in own if own[s] != own_10[s]} == {"s3"} and own_10["s3"] == pytest.approx([10 * x for x in own["s3"]], rel=0.03)
+    assert high_10["s3"] == pytest.approx(10 * high["s3"], rel=0.06)
+    assert all(high_10[s] == pytest.approx(high[s], rel=0.02) for s in high if s != "s3")
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """One odd document is no group of its own: its fence is nearly that of its language, by degrees and not by a switch."""
+    many = "select 'en' q_lang, 's' q_source, {} from range(1, 2001)".format(FEATURES.format("500 + id % 50", "0L"))
+    few = "select 'en' q_lang, 't' q_source, {} from range({})"
+    high = []
+    for n in (1, 50, 100, 200, 800):
+        rows = spark.sql(many).union(spark.sql(few.format(FEATURES.format("2000L + id % 50", "0L"), n)))
+        high.append(quality.fences(quality.sketch(rows)).filter("f_source = 't'").first().high_word_length)
+    assert high == sorted(high) and high[0] < 7.5 and 11 < high[2] < 15 and high[-1] > 17
+
+
+def test_labelled_documents_of_the_small_table(spark):
+    """Documents of odd id, which no constant was chosen on: none of quality 1 goes that passes the base rule."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("doc_id % 2 = 1")
+    rows = q_quality.op8_quality_rules(spark, sf_dir).filter("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in rows}
+    assert n.get((1, False), 0) == 0 and n.get((0, False), 0) > n.get((0, True), 0)
 
 
 def test_keep_has_the_columns_of_its_input(spark, documents):
     df = spark.createDataFrame([(*r, "k", True) for r in documents], "doc_id long, text string, lang string, source string, n_chars long, q_words string, `odd name.x` boolean")
     kept = quality.keep(df)
     assert kept.columns == df.columns and 0 < kept.count() < len(documents)
+    judged = quality.judge(df)
+    assert judged.columns == [*df.columns, "q_features", "base_failed", "kept"] and {r.q_words for r in judged.collect()} == {"k"}
 
 
 def test_empty_table(spark, tables):
