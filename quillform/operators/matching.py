@@ -17,7 +17,8 @@ IDENTITIES = (
     ("cnpj", (" cnpj ",)), ("cpf", (" cpf ",)), ("email", (" email ", " e mail ")), ("phone", (" telefone ", " celular ", " whatsapp ", " phone ")), ("cep", (" cep ", " codigo postal ")),
     ("registration", (" matricula ", " registro funcional ")), ("full_name", (" nome completo ", " nome do servidor ", " nome do solicitante ")), ("legal_name", (" razao social ", " legal name ")), ("trade_name", (" nome fantasia ", " trade name ")),
 )
-TEXT_LIKE = ("text", "multiline", "cnpj", "cpf", "cep", "phone", "email", "integer")
+#: Types whose answers are texts that can stand for each other.
+TEXT_LIKE = ("text", "email", "phone", "cpf", "cnpj", "cep", "currency", "integer", "percentage")
 #: Words that name no template, and endings that mark a copy or a version.
 STOP_WORDS = ("a", "an", "and", "da", "das", "de", "do", "document", "documento", "dos", "e", "for", "form", "formulario", "modelo", "of", "o", "os", "para", "template", "the")
 COPY_WORDS = ("copy", "copia", "copias", "duplicate", "duplicado", "duplicada", "new", "novo", "nova")
@@ -38,27 +39,34 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def match_score(s: str, t: str) -> Column:
-    """How surely two described fields (columns label_norm, type, section_norm, semantic of aliases s and t) are the same: 0..100."""
+    """How surely two described fields (columns label_norm, type, section_norm, semantic, context of aliases s and t) are the same: 0..100.
+
+    ``context`` is an identity that was worked out from where a field stands, or an empty text.
+    """
     c = lambda side, name: F.col(f"{side}.{name}")
     fits = compatible(c(s, "type"), c(t, "type"))
     same_section = (c(s, "section_norm") != "") & (c(s, "section_norm") == c(t, "section_norm"))
     by_label = F.when(fits, 96).otherwise(82) + F.when(c(s, "type") == c(t, "type"), 2).otherwise(0) + F.when(same_section, 2).otherwise(0)
     by_meaning = F.lit(90) + F.when(same_section, 3).otherwise(0)
-    return F.when((c(s, "label_norm") != "") & (c(s, "label_norm") == c(t, "label_norm")), F.least(by_label, F.lit(100))).when((c(s, "semantic") != "") & (c(s, "semantic") == c(t, "semantic")) & fits, by_meaning).otherwise(0)
+    by_context = (c(s, "context") != "") & (c(s, "context") == c(t, "context")) & fits
+    return F.when(by_context, 99).when((c(s, "label_norm") != "") & (c(s, "label_norm") == c(t, "label_norm")), F.least(by_label, F.lit(100))).when((c(s, "semantic") != "") & (c(s, "semantic") == c(t, "semantic")) & fits, by_meaning).otherwise(0)
 
 
 def identity_matches(source: DataFrame, target: DataFrame, key: str, least: int = 90) -> DataFrame:
     """(key, target_id, source_id, score): unambiguous pairs of described fields.
 
     A target whose two best sources tie gets none; a source that several targets want goes to the single strongest.
-    Candidates come from equal labels and equal meanings (two equi-joins), never from all pairs.
+    Candidates come from equal contexts, labels and meanings (three equi-joins), never from all pairs. Without a column
+    ``context`` no field has one.
     """
-    s, t = source.alias("s"), target.alias("t")
+    s, t = (df if "context" in df.columns else df.withColumn("context", F.lit("")) for df in (source, target))
+    s, t = s.alias("s"), t.alias("t")
     on = F.col(f"s.{key}") == F.col(f"t.{key}")
     label = s.join(t, on & (F.col("s.label_norm") == F.col("t.label_norm")) & (F.col("s.label_norm") != ""))
+    place = s.join(t, on & (F.col("s.context") == F.col("t.context")) & (F.col("s.context") != ""))
     meaning = s.join(t, on & (F.col("s.semantic") == F.col("t.semantic")) & (F.col("s.semantic") != ""))
     cols = [F.col(f"t.{key}").alias(key), F.col("t.field_id").alias("target_id"), F.col("s.field_id").alias("source_id"), match_score("s", "t").alias("score")]
-    pairs = label.select(*cols).union(meaning.select(*cols)).filter(F.col("score") >= least).distinct()
+    pairs = label.select(*cols).union(meaning.select(*cols)).union(place.select(*cols)).filter(F.col("score") >= least).distinct()
 
     def single(df: DataFrame, side: str) -> DataFrame:
         w = W.partitionBy(key, side)
@@ -189,21 +197,41 @@ def suffixes(key: Column) -> Column:
 
 
 #: Labels too general to match by, and single words that are not.
-GENERIC = ("nome", "data", "valor", "descricao", "observacao", "responsavel", "numero", "titulo", "campo", "item")
-STRONG = ("cpf", "cnpj", "cep", "telefone", "celular", "matricula", "razao social", "nome fantasia")
+GENERIC = ("campo", "data", "descricao", "item", "nome", "observacao", "opcao", "quantidade", "responsavel", "tipo", "unidade", "valor")
+STRONG = ("cep", "cnpj", "cpf", "email", "e mail", "matricula", "telefone", "celular", "whatsapp")
+
+
+def safe_label(label: Column) -> Column:
+    """Whether a normalised label is specific enough to match a saved answer by."""
+    return ~label.isin(*GENERIC, "") & (label.isin(*STRONG) | ((F.size(F.split(label, " ")) >= 2) & (F.length(label) >= 7)))
 
 
 def suffix_matches(answers: DataFrame, fields: DataFrame, key: str) -> DataFrame:
-    """(key, field_id, answer_key): fields whose label is the ending of exactly one saved key, and of one field only.
+    """(key, field_id, answer_key): fields whose label is the ending of exactly one saved key that no field before them took.
 
-    ``answers`` has ``answer_key``, ``fields`` field_id and label. General labels match nothing; others need two words and seven letters.
+    ``answers`` has ``answer_key``, ``fields`` has field_id, label and pos. Labels must be safe and stand once. A key that
+    a field has taken is free for none after it, in the order of ``pos``. Labels that can compete for a key end in the
+    same word, so each last word of a form is settled by itself.
     """
-    label = identity_text(F.col("label"))
-    safe = ~label.isin(*GENERIC, "") & (label.isin(*STRONG) | ((F.size(F.split(label, " ")) >= 2) & (F.length(label) >= 7)))
-    f = fields.withColumn("norm", label).filter(safe).withColumn("same", F.count("*").over(W.partitionBy(key, "norm"))).filter("same = 1")
-    s = answers.select(key, "answer_key", F.explode(suffixes(F.col("answer_key"))).alias("norm")).distinct()
-    s = s.withColumn("keys", F.count("*").over(W.partitionBy(key, "norm"))).filter("keys = 1")
-    return f.join(s, [key, "norm"]).select(key, "field_id", "answer_key")
+    f = fields.withColumn("norm", identity_text(F.col("label"))).withColumn("same", F.count("*").over(W.partitionBy(key, "norm"))).filter(safe_label(F.col("norm")) & (F.col("same") == 1))
+    s = answers.filter(~F.startswith("answer_key", F.lit("@"))).select(key, "answer_key", F.explode(suffixes(F.col("answer_key"))).alias("norm")).distinct()
+    pairs = f.join(s, [key, "norm"]).select(key, "field_id", "pos", "answer_key", F.element_at(F.split("norm", " "), -1).alias("last"))
+    schema = pairs.select(key, "field_id", "answer_key").schema
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for (_, field_id), keys in rows.sort_values(["pos", "answer_key"]).groupby(["pos", "field_id"], sort=True)["answer_key"]:
+            free = [k for k in keys if k not in used]
+            if len(free) == 1:
+                used.add(free[0])
+                out.append((rows[key].iloc[0], field_id, free[0]))
+        return pd.DataFrame(out, columns=[key, "field_id", "answer_key"])
+
+    # Keys that one field wants, of fields that want one key, need no settling.
+    alone = pairs.withColumn("wants", F.count("*").over(W.partitionBy(key, "field_id"))).withColumn("wanted", F.count("*").over(W.partitionBy(key, "answer_key")))
+    clear = (F.col("wants") == 1) & (F.col("wanted") == 1)
+    settled = alone.filter(~clear).drop("wants", "wanted").groupBy(key, "last").applyInPandas(settle, schema)
+    return alone.filter(clear).select(key, "field_id", "answer_key").union(settled)
 
 
 def prune(favorites: DataFrame, existing: DataFrame, key: str) -> DataFrame:

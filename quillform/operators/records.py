@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -70,30 +72,25 @@ def header_asof(rows: DataFrame, headers: DataFrame, key: str, at: str, value: s
     return both.union(mine).withColumn("h_last", F.last("h_value", ignorenulls=True).over(w)).filter("h_row = 1").select("h_rest.*", F.col("h_last.v").alias(value))
 
 
-#: Signals of a candidate and their weights.
-SIGNALS = (("label", 0.35), ("mask", 0.30), ("position", 0.20), ("section", 0.10), ("style", 0.05))
-HIGH, MEDIUM = 0.85, 0.65
-
-
-def score(signals: dict[str, Column]) -> Column:
-    """STRUCT<confidence, band, evidence>: weights of the signals that hold, clamped to [0, 1]; evidence in the order of SIGNALS."""
-    held = F.filter(F.array(*[F.when(signals[n], F.struct(F.lit(n).alias("code"), F.lit(w).alias("weight"))) for n, w in SIGNALS if n in signals]), lambda x: x.isNotNull())
-    total = F.round(F.least(F.aggregate(held, F.lit(0.0), lambda a, x: a + x["weight"]), F.lit(1.0)), 4)
-    band = F.when(total >= HIGH, "high").when(total >= MEDIUM, "medium").otherwise("low")
-    return F.struct(total.alias("confidence"), band.alias("band"), F.transform(held, lambda x: x["code"]).alias("evidence"))
-
-
 def dedupe(candidates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The best candidate of each key: first by ``order``, which must be total."""
     return candidates.withColumn("d_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("d_rank = 1").drop("d_rank")
 
 
 def suppress_owned(candidates: DataFrame, key: str) -> DataFrame:
-    """Drop candidates (key, cand, kind, places) all of whose places belong to a table of the same document."""
-    owned = candidates.filter("kind = 'table'").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("owned"))
-    held = candidates.join(owned, key, "left")
-    inside = (F.col("kind") != "table") & F.col("owned").isNotNull() & (F.size(F.array_except("places", "owned")) == 0)
-    return held.filter(~F.coalesce(inside, F.lit(False))).drop("owned")
+    """Drop candidates (key, cand, kind, places) all of whose places lie in one table of the same document.
+
+    Tables add ``suppressed``, how many they took; a candidate counts for the first table (by cand) that holds it. A
+    candidate meets only the tables that own its first place.
+    """
+    c = candidates.withColumn("s_id", F.struct(key, "cand"))
+    tables = c.filter("kind = 'table'").select(F.col(key).alias("t_key"), F.col("cand").alias("t_cand"), F.col("places").alias("t_places"), F.explode("places").alias("t_at"))
+    inner = c.filter("kind <> 'table' AND size(places) > 0").select(key, "cand", "places", F.array_min("places").alias("at"))
+    held = inner.join(tables, (F.col(key) == F.col("t_key")) & (F.col("at") == F.col("t_at"))).filter(F.size(F.array_except("places", "t_places")) == 0)
+    first = held.groupBy(key, "cand").agg(F.min("t_cand").alias("t_cand"))
+    took = first.groupBy(key, F.col("t_cand").alias("cand")).agg(F.count("*").alias("suppressed"))
+    left = candidates.join(first.select(key, "cand"), [key, "cand"], "left_anti")
+    return left.join(took, [key, "cand"], "left").select(*candidates.columns, F.coalesce("suppressed", F.lit(0)).alias("suppressed"))
 
 
 def numbered_table(cells: DataFrame, key: str, number: str) -> DataFrame:
@@ -116,13 +113,42 @@ def field_id(label: Column) -> Column:
     return F.concat(F.lit("auto."), F.when(slug.rlike("^[0-9]"), F.concat(F.lit("campo_"), slug)).otherwise(slug))
 
 
-def unique_ids(df: DataFrame, base: str, order: list[str], *keys: str) -> DataFrame:
-    """Add ``unique_id``: base, base_2, base_3... in order; a suffixed id that is itself another's base moves on by the bases' count."""
-    w = W.partitionBy(*keys, base).orderBy(*order)
-    ranked = df.withColumn("u_n", F.row_number().over(w))
-    made = F.when(F.col("u_n") == 1, F.col(base)).otherwise(F.concat_ws("_", base, "u_n"))
-    ranked = ranked.withColumn("u_id", made)
-    bases = df.select(*keys, F.col(base).alias("u_id")).distinct().withColumn("u_taken", F.lit(True))
-    clash = ranked.join(bases, [*keys, "u_id"], "left")
-    total = F.count("*").over(W.partitionBy(*keys))
-    return clash.withColumn("u_all", total).select(*df.columns, F.when((F.col("u_n") > 1) & F.col("u_taken"), F.concat_ws("_", base, (F.col("u_n") + F.col("u_all")).cast("string"))).otherwise(F.col("u_id")).alias("unique_id"))
+def unique_ids(df: DataFrame, base: str, order: list[str], *keys: str, taken: DataFrame | None = None, name: str = "unique_id") -> DataFrame:
+    """Add ``name``: base, or the first of base_2, base_3... that no row before (in ``order``) and no row of ``taken`` has.
+
+    ``taken`` has the keys and ``base``. Names can clash only if they are equal without their numbers at the end, so each
+    such stem is settled by itself: by a window where it has one base and nothing taken, else row by row.
+    """
+    stem = F.regexp_replace(F.col(base), r"(?:_[0-9]+)+$", "")
+    rows = df.withColumn("u_stem", stem)
+    by = W.partitionBy(*keys, "u_stem")
+    rows = rows.withColumn("u_n", F.row_number().over(by.orderBy(*order))).withColumn("u_single", F.min(base).over(by) == F.max(base).over(by))
+    if taken is not None:
+        had = taken.select(*keys, F.col(base).alias("u_had")).withColumn("u_stem", F.regexp_replace("u_had", r"(?:_[0-9]+)+$", "")).groupBy(*keys, "u_stem").agg(F.collect_set("u_had").alias("u_taken"))
+        rows = rows.join(had, [*keys, "u_stem"], "left")
+    else:
+        rows = rows.withColumn("u_taken", F.lit(None).cast("array<string>"))
+    alone = F.col("u_single") & F.col("u_taken").isNull()
+    simple = F.when(F.col("u_n") == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.col("u_n").cast("string")))
+    given = rows.filter(F.coalesce(alone, F.lit(True))).select(*df.columns, simple.alias(name))
+    slim = rows.filter(~alone).select(F.struct(*df.columns).alias("u_row"), *[F.col(k).alias(f"u_k{i}") for i, k in enumerate(keys)], "u_stem", "u_n", F.col(base).alias("u_base"), "u_taken")
+    schema = slim.select("u_row", F.col("u_base").alias("u_made")).schema
+
+    def settle(t: pa.Table) -> pa.Table:
+        turn = np.argsort(t.column("u_n").to_numpy(), kind="stable")
+        had, bases, following = t.column("u_taken")[0].as_py(), t.column("u_base").to_pylist(), {}
+        used, made = set(had or ()), [None] * len(bases)
+        for i in turn.tolist():
+            b = bases[i]
+            out = b
+            if b in used:
+                n = following.get(b, 2)
+                while f"{b}_{n}" in used:
+                    n += 1
+                out, following[b] = f"{b}_{n}", n + 1
+            used.add(out)
+            made[i] = out
+        return pa.table([t.column("u_row"), pa.array(made, pa.string())], ["u_row", "u_made"])
+
+    settled = slim.groupBy(*[f"u_k{i}" for i in range(len(keys))], "u_stem").applyInArrow(settle, schema)
+    return given.unionByName(settled.select(*[F.col(f"u_row.`{c}`") for c in df.columns], F.col("u_made").alias(name)))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import formats
 from ..functions.text import casefold, digits_only, is_empty
+from .graph import stored
 from .tags import valid_id
 
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -19,6 +20,7 @@ def condition_matches(op: Column, expected: Column, actual: Column, actual_is_bo
     """Whether a field is visible. ``op`` is equals, not_equals, truthy or anything else, which always holds.
 
     Texts are compared without case; a boolean answer is compared with the words for true; a missing answer reads None.
+    Any answer that isn't empty is truthy, the texts "false" and "0" too; a boolean is what it says.
     """
     said = F.coalesce(casefold(actual), F.lit("none"))
     said = F.when(actual.isNull(), "none").otherwise(said)
@@ -26,7 +28,9 @@ def condition_matches(op: Column, expected: Column, actual: Column, actual_is_bo
     if actual_is_bool is not None:
         as_bool = casefold(expected).isin("1", "true", "yes", "sim", "checked").cast("string")
         equal = F.when(actual_is_bool, said == as_bool).otherwise(equal)
-    holds = ~said.isin("none", "false", "")
+    holds = actual.isNotNull() & (actual != "")
+    if actual_is_bool is not None:
+        holds = F.when(actual_is_bool, said == "true").otherwise(holds)
     return F.when(op == "equals", equal).when(op == "not_equals", said != casefold(expected)).when(op == "truthy", holds).otherwise(F.lit(True))
 
 
@@ -120,9 +124,10 @@ def cycles(edges: DataFrame, key: str, node: str, to: str) -> DataFrame:
     """
     e = edges.select(F.col(key).alias("k"), F.col(node).alias("n"), F.col(to).alias("t")).distinct()
     most = e.groupBy("k").count().agg(F.max("count")).first()[0] or 0
-    step, length = e, 1
+    step, length = stored(e), 1
     while length < most:
-        step = step.alias("a").join(step.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.t") == F.col("b.n"))).select("a.k", "a.n", "b.t")
+        # Stored each round: a plan that joins itself would double.
+        step = stored(step.alias("a").join(step.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.t") == F.col("b.n"))).select("a.k", "a.n", "b.t"))
         length *= 2
     return step.select(F.col("k").alias(key), F.col("t").alias(node)).distinct()
 

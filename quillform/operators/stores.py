@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import is_empty
+from .records import unique_ids
 
 #: Where a label or type comes from that a person has set.
 MANUAL = ("manual", "user")
@@ -44,17 +45,8 @@ def suppress_overlaps(candidates: DataFrame, keys: list[str], authority: Column)
 
 
 def free_names(wanted: DataFrame, taken: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Add ``free``: the name, or name_2, name_3... beyond those in ``taken`` and among the wanted themselves.
-
-    ``taken`` has ``name``. Numbers continue after the largest suffix that is taken, so each name is free.
-    """
-    base = F.regexp_extract("name", r"^(.*?)(?:_([0-9]+))?$", 1)
-    number = F.coalesce(F.regexp_extract("name", r"^(.*?)(?:_([0-9]+))?$", 2).try_cast("int"), F.lit(1))
-    both = taken.select(base.alias("t_base"), number.alias("t_n")).union(taken.select(F.col("name").alias("t_base"), F.lit(1).alias("t_n")))
-    top = both.groupBy("t_base").agg(F.max("t_n").alias("t_top"))
-    rows = wanted.join(top, F.col(name) == F.col("t_base"), "left")
-    n = F.row_number().over(W.partitionBy(name).orderBy(*order)) + F.coalesce("t_top", F.lit(0))
-    return rows.withColumn("f_n", n).select(*wanted.columns, F.when(F.col("f_n") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("f_n").cast("string"))).alias("free"))
+    """Add ``free``: the name, or the first of name_2, name_3... that is neither in ``taken`` (column ``name``) nor given before."""
+    return unique_ids(wanted, name, order, taken=taken.select(F.col("name").alias(name)), name="free")
 
 
 def toggle(favorites: Column, item: Column) -> Column:

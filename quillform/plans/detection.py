@@ -20,12 +20,24 @@ def query(sql: str | None):
     return keep
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'cpf@5-19@0.98' WHEN 1 THEN 'underscores@7-11@0.91,currency@16-25@0.98' WHEN 2 THEN 'letters@0-4@0.74' ELSE '' END AS masks FROM customer""")
+#: Texts with masks, and their kinds, places and confidences.
+_MASKED = (
+    ("CPF: 000.000.000-00 fim", "cpf@5-19@0.91"),
+    ("Banco: ____ ou: R$ XX,XXX", "underscores@7-11@0.91,currency@16-25@0.91"),
+    ("XXXX sem rotulo", "letters@0-4@0.74"),
+    ("nada aqui", ""),
+    ("Fone： (83) XXXX-XXXX e (00) 00000-0000", "letters@6-20@0.91,phone@23-38@0.74"),
+    ("E-mail: teste@domínio.com.br, {unidade.órgão}", "email@8-28@0.91,braces@30-45@0.82"),
+    ("Valor: R$ 000 . 000,00 em __/__/____", "currency@7-22@0.91,underscores@26-36@0.74"),
+    ("Nome: {nome} {{tag}} e-mail@empresa.com", "braces@6-12@0.98,email@21-39@0.74"),
+)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, (_, w) in enumerate(_MASKED)) + " END AS masks FROM customer")
 def inline_masks(spark, sf_dir):
     """Masks in texts that are built from customers: kind, begin, end, confidence."""
-    k = F.col("c_custkey") % 4
-    text = F.when(k == 0, "CPF: 000.000.000-00 fim").when(k == 1, "Banco: ____ ou: R$ XX,XXX").when(k == 2, "XXXX sem rotulo").otherwise(F.concat(F.lit("nada aqui "), "c_name"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")).select("c_custkey", detect.masks(F.col("text")).alias("m"))
+    texts = F.array(*[F.lit(t) for t, _ in _MASKED])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.get(texts, (F.col("c_custkey") % 8).cast("int")).alias("text")).select("c_custkey", detect.masks(F.col("text")).alias("m"))
     said = F.transform("m", lambda x: F.concat(x["kind"], F.lit("@"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit("@"), x["confidence"].cast("string")))
     return rows.select("c_custkey", F.array_join(said, ",").alias("masks"))
 
@@ -87,7 +99,7 @@ c AS (SELECT *, round(greatest(0, least(1, base + CASE WHEN agree THEN 0.1 ELSE
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, confidence, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS band,
  CASE WHEN confidence < 0.65 THEN 'required' WHEN confidence < 0.85 OR sect OR poor THEN 'recommended' ELSE 'ready' END AS priority, confidence >= 0.8 AS selected FROM d""")
 def candidate_scoring(spark, sf_dir):
-    given = F.array(F.when(F.col("l_returnflag") == "A", "agree"), F.when(F.col("l_linestatus") == "O", "section_only"), F.when(F.col("l_partkey") % 10 == 0, "poor"))
+    given = F.array(F.when(F.col("l_returnflag") == "A", "label_agreement"), F.when(F.col("l_linestatus") == "O", "section_only"), F.when(F.col("l_partkey") % 10 == 0, "poor_label"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", detect.rescore(0.6 + (F.col("l_linenumber") % 4) * 0.1, F.filter(given, lambda x: x.isNotNull())).alias("s"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.*")
 
@@ -132,7 +144,7 @@ SELECT f.k, CAST(field_id AS BIGINT) AS field_id, answer_key FROM f JOIN a ON f.
 def suffix_matches(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     a = c.select(F.col("c_nationkey").alias("k"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "cliente.nome completo ").otherwise("auto.conta "), F.col("c_custkey").cast("string")).alias("answer_key"))
-    f = c.filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("field_id"), F.concat(F.lit("Nome Completo "), F.col("c_custkey").cast("string")).alias("label"))
+    f = c.filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("field_id"), F.col("c_custkey").alias("pos"), F.concat(F.lit("Nome Completo "), F.col("c_custkey").cast("string")).alias("label"))
     return matching.suffix_matches(a, f, "k")
 
 

@@ -223,15 +223,18 @@ def repeat_rows(spark, sf_dir):
 
 # ---------------------------------------------------------------- rules
 
+#: Answers: a number of the event, and for some a text that reads like false, an empty one, or none.
+_SAID = "CASE event_id % 11 WHEN 2 THEN 'false' WHEN 3 THEN 'None' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE json_extract_string(props, '$.k') END"
 _OPS = "CASE event_id % 4 WHEN 0 THEN 'equals' WHEN 1 THEN 'not_equals' WHEN 2 THEN 'truthy' ELSE 'other' END"
 
 
-@query(f"""WITH e AS (SELECT event_id, {_OPS} AS op, lower(coalesce(json_extract_string(props, '$.k'), 'none')) AS said, CAST(event_id % 7 AS VARCHAR) AS expected FROM events)
-SELECT event_id, CASE op WHEN 'equals' THEN said = expected WHEN 'not_equals' THEN said <> expected WHEN 'truthy' THEN said NOT IN ('none', 'false', '') ELSE TRUE END AS visible FROM e""")
+@query(f"""WITH e AS (SELECT event_id, {_OPS} AS op, {_SAID} AS raw, lower(coalesce({_SAID}, 'none')) AS said, CAST(event_id % 7 AS VARCHAR) AS expected FROM events)
+SELECT event_id, CASE op WHEN 'equals' THEN said = expected WHEN 'not_equals' THEN said <> expected WHEN 'truthy' THEN raw IS NOT NULL AND raw <> '' ELSE TRUE END AS visible FROM e""")
 def condition_visibility(spark, sf_dir):
-    k = F.col("event_id") % 4
+    k, m = F.col("event_id") % 4, F.col("event_id") % 11
+    said = F.when(m == 2, "false").when(m == 3, "None").when(m == 4, "").when(m == 5, None).otherwise(F.get_json_object("props", "$.k"))
     op = F.when(k == 0, "equals").when(k == 1, "not_equals").when(k == 2, "truthy").otherwise("other")
-    return table(spark, sf_dir, "events").select("event_id", rules.condition_matches(op, (F.col("event_id") % 7).cast("string"), F.get_json_object("props", "$.k")).alias("visible"))
+    return table(spark, sf_dir, "events").select("event_id", rules.condition_matches(op, (F.col("event_id") % 7).cast("string"), said).alias("visible"))
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'percentage' WHEN 2 THEN 'cep' ELSE 'text' END AS kind,

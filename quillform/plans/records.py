@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from ..operators import history, matching, records
+from ..operators import detect, history, matching, records
 from ..operators.graph import components
 from ..sources import ooxml
 from ..sources.stores import paste_tsv
@@ -109,8 +109,11 @@ def profile_resolve(spark, sf_dir):
     target = s.select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("target_id"))
     near = c.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name")
     pick = lambda df: df.groupBy("nation", "target_id").agg(F.min("c_name").alias("value"))
-    both = target.join(near, "nation")
-    stages = [pick(both.filter("c_custkey = target_id")), pick(both.filter("c_custkey % 10 = target_id % 10")), pick(both)]
+    # Answers are aggregated by what each stage matches on before they meet the targets: no stage pairs all of a nation.
+    exact = target.join(near.withColumnRenamed("c_custkey", "target_id"), ["nation", "target_id"])
+    digit = near.groupBy("nation", (F.col("c_custkey") % 10).alias("digit")).agg(F.min("c_name").alias("c_name"))
+    any_ = near.groupBy("nation").agg(F.min("c_name").alias("c_name"))
+    stages = [pick(exact), pick(target.withColumn("digit", F.col("target_id") % 10).join(digit, ["nation", "digit"])), pick(target.join(any_, "nation"))]
     return matching.resolve(target, stages, "nation")
 
 
@@ -132,30 +135,19 @@ def identity_ambiguity(spark, sf_dir):
     return matching.identity_matches(s, t, "k")
 
 
-_SCORED = """SELECT d.doc_id, quality, lang, n_chars, least(round((CASE WHEN quality = 1 THEN 0.35 ELSE 0 END) + (CASE WHEN toxic = 0 THEN 0.3 ELSE 0 END) + (CASE WHEN n_chars > 1000 THEN 0.2 ELSE 0 END) + (CASE WHEN lang = 'en' THEN 0.1 ELSE 0 END) + (CASE WHEN source < 'src2' THEN 0.05 ELSE 0 END), 4), 1.0) AS confidence,
- array_to_string(list_filter([CASE WHEN quality = 1 THEN 'label' END, CASE WHEN toxic = 0 THEN 'mask' END, CASE WHEN n_chars > 1000 THEN 'position' END, CASE WHEN lang = 'en' THEN 'section' END, CASE WHEN source < 'src2' THEN 'style' END], lambda x: x IS NOT NULL), ',') AS evidence FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
-
-
-@query(f"SELECT doc_id, confidence, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS band, evidence FROM ({_SCORED})")
-def score_candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    s = records.score({"label": F.col("quality") == 1, "mask": F.col("toxic") == 0, "position": F.col("n_chars") > 1000, "section": F.col("lang") == "en", "style": F.col("source") < "src2"})
-    return rows.select("doc_id", s.alias("s")).select("doc_id", "s.confidence", "s.band", F.array_join("s.evidence", ",").alias("evidence"))
-
-
 @query("SELECT source, lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1")
 def dedupe_candidates(spark, sf_dir):
     return records.dedupe(table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], [F.desc("n_chars"), F.asc("doc_id")])
 
 
 @query("""WITH c AS (SELECT o_custkey AS doc, o_orderkey AS cand, CASE WHEN o_orderpriority = '1-URGENT' THEN 'table' ELSE 'field' END AS kind, list(DISTINCT l_linenumber) AS places FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
-o AS (SELECT doc, list_distinct(flatten(list(places))) AS owned FROM c WHERE kind = 'table' GROUP BY doc)
-SELECT c.doc, cand, kind FROM c LEFT JOIN o USING (doc) WHERE kind = 'table' OR owned IS NULL OR NOT list_has_all(owned, places)""")
+h AS (SELECT c.doc, c.cand, min(t.cand) AS t_cand FROM c JOIN c AS t ON c.doc = t.doc AND c.kind = 'field' AND t.kind = 'table' AND list_has_all(t.places, c.places) GROUP BY ALL)
+SELECT c.doc, cand, kind, (SELECT count(*) FROM h WHERE h.doc = c.doc AND t_cand = c.cand) AS suppressed FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc = c.doc AND h.cand = c.cand)""")
 def region_ownership(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("places"))
     c = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     c = c.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("cand"), F.when(F.col("o_orderpriority") == "1-URGENT", "table").otherwise("field").alias("kind"), "places")
-    return records.suppress_owned(c, "doc").select("doc", "cand", "kind")
+    return records.suppress_owned(c, "doc").select("doc", "cand", "kind", "suppressed")
 
 
 @query("""WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events)
@@ -170,12 +162,18 @@ def numbered_table(spark, sf_dir):
     return records.numbered_table(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_partkey, l_suppkey FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_returnflag) > 1 EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'")
+_PEERS = "SELECT l_suppkey AS doc, 0 AS table_index, CAST(l_orderkey % 40 AS INT) AS row_index, CAST(l_linenumber AS INT) AS cell_index, max(l_partkey) AS p FROM lineitem GROUP BY ALL"
+
+
+@query(f"""WITH c AS ({_PEERS}), w AS (SELECT doc, cell_index FROM c WHERE p % 3 = 0 GROUP BY ALL HAVING count(DISTINCT row_index) >= 2)
+SELECT doc, row_index, cell_index, CAST(0.68 AS DOUBLE) AS confidence FROM c WHERE p % 3 = 1 AND p % 4 > 0 AND EXISTS (SELECT 1 FROM w WHERE w.doc = c.doc AND w.cell_index = c.cell_index)""")
 def consistency_repair(spark, sf_dir):
-    """Pairs whose rows disagree, unless an open row settles them."""
+    """Blank cells (a third of all) in columns that other rows can edit; a quarter of them have too weak a label."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    g = l.groupBy("l_partkey", "l_suppkey").agg(F.count_distinct("l_returnflag").alias("flags"), F.count_if(F.col("l_linestatus") == "O").alias("open"))
-    return g.filter("flags > 1 AND open = 0").select("l_partkey", "l_suppkey")
+    c = l.groupBy(F.col("l_suppkey").alias("doc"), F.lit(0).alias("table_index"), (F.col("l_orderkey") % 40).cast("int").alias("row_index"), F.col("l_linenumber").cast("int").alias("cell_index")).agg(F.max("l_partkey").alias("p"))
+    k = F.col("p") % 3
+    cells = c.select("doc", "table_index", "row_index", "cell_index", F.when(k == 0, "____").when(k == 1, "").otherwise("texto").alias("text"), (k == 0).alias("editable"), F.when(F.col("p") % 4 == 0, 0.7).otherwise(0.74).alias("label_confidence"))
+    return detect.consistency_repairs(cells).select("doc", "row_index", "cell_index", "confidence")
 
 
 _GRID = "SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, l_linenumber % 2 AS header, CAST(1 + l_quantity % 3 AS INT) AS span, l_partkey FROM lineitem"

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillform.functions import text
-from quillform.operators import detect, graph, history, layout, matching, records, rules, tags
+from quillform.operators import detect, graph, history, layout, matching, records, rules, stores, tags
 
 
 def parsed(spark, token):
@@ -38,10 +38,10 @@ def test_fill_pattern_sees_tags_of_values(spark):
 
 
 def test_conditions(spark):
-    rows = [("equals", "integral", "Integral", True), ("equals", "x", None, False), ("equals", "none", None, True), ("not_equals", "Parcial", "Integral", True), ("truthy", None, "", False), ("truthy", None, "sim", True), ("whatever", None, None, True)]
+    rows = [("equals", "integral", "Integral", True), ("equals", "x", None, False), ("equals", "none", None, True), ("not_equals", "Parcial", "Integral", True), ("truthy", None, "", False), ("truthy", None, "sim", True), ("truthy", None, "false", True), ("truthy", None, "None", True), ("truthy", None, "0", True), ("truthy", None, None, False), ("whatever", None, None, True)]
     df = spark.createDataFrame(rows, "op string, expected string, actual string, want boolean")
     assert all(r.got is r.want for r in df.select("want", rules.condition_matches(F.col("op"), F.col("expected"), F.col("actual")).alias("got")).collect())
-    flag = spark.createDataFrame([("equals", "sim", "true", True), ("equals", "no", "true", False)], "op string, expected string, actual string, want boolean")
+    flag = spark.createDataFrame([("equals", "sim", "true", True), ("equals", "no", "true", False), ("truthy", None, "true", True), ("truthy", None, "false", False)], "op string, expected string, actual string, want boolean")
     assert all(r.got is r.want for r in flag.select("want", rules.condition_matches(F.col("op"), F.col("expected"), F.col("actual"), F.lit(True)).alias("got")).collect())
     assert spark.range(1).select(rules.parse_condition(F.lit("tipo = Integral ")).alias("c")).first().c == ("tipo", "equals", "Integral")
     assert spark.range(1).select(rules.parse_condition(F.lit("regra-sem-igual")).alias("c")).first().c is None
@@ -145,13 +145,19 @@ def test_records(spark):
     rows = spark.createDataFrame([(1, 1, 2), (1, 3, 1), (2, 0, 1)], "doc int, start int, span int")
     got = {(r.doc, r.start): r.header for r in records.overlap_headers(rows, cells, ["doc"], 4).collect()}
     assert got == {(1, 1): "a / b", (1, 3): "b"}
-    c = spark.createDataFrame([(1, 1, "table", [10, 11]), (1, 2, "field", [10]), (1, 3, "field", [9, 10]), (2, 4, "field", [10])], "doc int, cand int, kind string, places array<int>")
-    assert {r.cand for r in records.suppress_owned(c, "doc").collect()} == {1, 3, 4}
+    c = spark.createDataFrame([(1, 1, "table", [10, 11]), (1, 2, "field", [10]), (1, 3, "field", [9, 10]), (2, 4, "field", [10]), (1, 5, "table", [12, 13]), (1, 6, "field", [11, 12]), (1, 7, "field", [12])], "doc int, cand int, kind string, places array<int>")
+    # One table must hold a candidate whole: two together don't.
+    assert {(r.cand, r.suppressed) for r in records.suppress_owned(c, "doc").collect()} == {(1, 1), (3, 0), (4, 0), (5, 1), (6, 0)}
     o = spark.createDataFrame([(["A => a", " B ", "", "C => a"],)], "raw array<string>").select(records.options(F.col("raw")).alias("o")).first().o
     assert [tuple(x) for x in o] == [("A", "a"), ("B", "B")]
     u = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x_2"), (4, "x")], "pos int, base string")
     ids = [r.unique_id for r in records.unique_ids(u, "base", ["pos"]).collect()]
     assert len(set(ids)) == 4 and "x" in ids and "x_2" in ids
+    u = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a_2"), (4, "a_6"), (5, "b"), (6, "b"), (7, "a")], "pos int, base string")
+    assert {r.pos: r.unique_id for r in records.unique_ids(u, "base", ["pos"]).collect()} == {1: "a", 2: "a_2", 3: "a_2_2", 4: "a_6", 5: "b", 6: "b_2", 7: "a_3"}
+    taken = spark.createDataFrame([("a",), ("a_3",), ("b_2",)], "name string")
+    free = {r.pos: r.free for r in stores.free_names(u.filter("pos <> 4").withColumnRenamed("base", "file"), taken, "file", ["pos"]).collect()}
+    assert free == {1: "a_2", 2: "a_4", 3: "a_2_2", 5: "b", 6: "b_3", 7: "a_5"}
     assert spark.range(1).select(records.field_id(F.lit("1 Nome do Cliente")).alias("x")).first().x == "auto.campo_1_nome_do_cliente"
 
 
@@ -180,7 +186,7 @@ def test_masks_do_not_overlap(spark):
     text = "UF: __ Nome: XXXX R$ 000.000,00 {campo.id} {{tag}} (00) 00000-0000 contato@empresa.com.br a__b"
     got = spark.createDataFrame([(text,)], "t string").select(detect.masks(F.col("t")).alias("m")).first().m
     assert [(x.kind, text[x.start : x.end]) for x in got] == [("underscores", "__"), ("letters", "XXXX"), ("currency", "R$ 000.000,00"), ("braces", "{campo.id}"), ("phone", "(00) 00000-0000"), ("email", "contato@empresa.com.br")]
-    assert [x.confidence for x in got][:3] == [0.91, 0.91, 0.82]
+    assert [x.confidence for x in got][:3] == [0.91, 0.91, 0.74]
 
 
 def test_labels_of_records(spark):
@@ -202,7 +208,7 @@ def test_rescoring(spark):
         r = spark.range(1).select(detect.rescore(F.lit(base), F.array(*[F.lit(c) for c in codes]) if codes else F.expr("cast(array() as array<string>)")).alias("s")).first().s
         return (r.confidence, r.band, r.priority, r.selected)
 
-    assert score(0.9) == (0.9, "high", "ready", True) and score(0.9, "poor", "agree") == (0.54, "low", "required", False) and score(0.95, "agree") == (1.0, "high", "ready", True) and score(0.9, "pdf") == (0.88, "high", "recommended", True)
+    assert score(0.9) == (0.9, "high", "ready", True) and score(0.9, "poor_label", "label_agreement") == (0.54, "low", "required", False) and score(0.95, "label_agreement") == (1.0, "high", "ready", True) and score(0.9, "pdf_reconstruction") == (0.88, "high", "recommended", True)
 
 
 def test_layout_operators(spark):
@@ -218,6 +224,18 @@ def test_layout_operators(spark):
 
 
 def test_suffix_matches_are_unique_and_safe(spark):
-    a = spark.createDataFrame([(1, "auto.nome_completo"), (1, "x.data"), (1, "a.cpf"), (1, "b.cpf"), (1, "chefe.razao_social")], "k int, answer_key string")
-    f = spark.createDataFrame([(1, "f1", "Nome Completo"), (1, "f2", "Data"), (1, "f3", "CPF"), (1, "f4", "Razão Social"), (1, "f5", "Outro rótulo"), (1, "f6", "Outro rótulo")], "k int, field_id string, label string")
-    assert {(r.field_id, r.answer_key) for r in matching.suffix_matches(a, f, "k").collect()} == {("f1", "auto.nome_completo"), ("f4", "chefe.razao_social")}
+    a = spark.createDataFrame([(1, "auto.nome_completo"), (1, "x.data"), (1, "a.cpf"), (1, "b.cpf"), (1, "chefe.razao_social"), (1, "x.opcao"), (2, "cliente.nome completo"), (2, "nome completo"), (2, "@other/nome completo"), (3, "um.celular"), (3, "dois.celular")], "k int, answer_key string")
+    f = spark.createDataFrame(
+        [(1, "f1", "Nome Completo", 1), (1, "f2", "Data", 2), (1, "f3", "CPF", 3), (1, "f4", "Razão Social", 4), (1, "f5", "Outro rótulo", 5), (1, "f6", "Outro rótulo", 6), (1, "f7", "Opção", 7), (2, "g1", "Cliente nome completo", 1), (2, "g2", "Nome completo", 2), (3, "h", "Celular", 1)],
+        "k int, field_id string, label string, pos int",
+    )
+    got = {(r.field_id, r.answer_key) for r in matching.suffix_matches(a, f, "k").collect()}
+    # The first field takes its key, which leaves one key for the second.
+    assert got == {("f1", "auto.nome_completo"), ("f4", "chefe.razao_social"), ("g1", "cliente.nome completo"), ("g2", "nome completo")}
+
+
+def test_score_of_equal_contexts(spark):
+    cols = "k int, field_id string, label_norm string, type string, section_norm string, semantic string, context string"
+    s = spark.createDataFrame([(1, "s", "a", "currency", "", "", "x.y:text"), (1, "s2", "b", "multiline", "", "", "")], cols)
+    t = spark.createDataFrame([(1, "t", "c", "percentage", "", "", "x.y:text"), (1, "t2", "b", "text", "", "", "")], cols)
+    assert [(r.target_id, r.source_id, r.score) for r in matching.identity_matches(s, t, "k").collect()] == [("t", "s", 99)]
