@@ -27,13 +27,17 @@ def unpack_ints(raw: bytes) -> np.ndarray:
     return _unplaned(raw, "<u4", 4)
 
 
-def pack_keys(x: np.ndarray) -> bytes:
-    """The 40 low bits of keys, in any order."""
-    return _planes(x, "<u8", 5)
+def pack_longs(x: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, not negative, as the byte planes that aren't all zero."""
+    x = np.asarray(x, np.int64)
+    if len(x) and int(x.min()) < 0:
+        raise ValueError("negative number")
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + _planes(x, "<u8", width)
 
 
-def unpack_keys(raw: bytes) -> np.ndarray:
-    return _unplaned(raw, "<u8", 5)
+def unpack_longs(raw: bytes) -> np.ndarray:
+    return _unplaned(raw[1:], "<u8", raw[0])
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -43,7 +47,7 @@ def pack_sorted(x: np.ndarray) -> bytes:
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack_keys(raw))
+    return np.cumsum(_unplaned(raw, "<u8", 5))
 
 
 def pack_array(x: np.ndarray) -> bytes:

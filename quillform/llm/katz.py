@@ -1,18 +1,25 @@
 """Katz backoff language model over words, trained and evaluated where the documents are.
 
-Bigram counts are discounted by Good-Turing up to ``K`` occurrences; the freed mass of a history goes to the words not
-seen after it in proportion to their unigram probabilities, with backoff weight
+Counts of n-grams up to ``ORDER`` words are discounted by Good-Turing up to ``K`` occurrences; the freed mass of a history
+goes to the words not seen after it in proportion to their probabilities after the history without its first word, with
+backoff weight
 
-    alpha(v) = (1 - sum of P(w | v) over seen w) / (1 - sum of P(w) over seen w),
+    alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w | h') over seen w),
 
-so that every history's distribution adds up to one. Unigrams are discounted alike; their freed mass is the class of
-unknown words. A history whose followers all occur more than ``K`` times would free nothing: it counts one more, unseen,
-occurrence. A document begins after an end token.
+so that every history's distribution adds up to one, exactly. Unigrams are discounted alike; their freed mass is the class
+of unknown words. A history whose followers all occur more than ``K`` times would free nothing: it counts one more,
+unseen, occurrence. N-grams of three words and more that occur once count as unseen, as Katz proposed (their mass is
+freed too, and how many there are is known from the others). A document begins after an end token; its first tokens have
+histories as long as what came before them.
 
 Chunks of documents are stored once in the shared folder as word numbers with their vocabulary. Each chunk sends its
-distinct words, later its distinct bigrams, to hash buckets with their training counts; buckets add up, store their part
-of the model (tables partitioned by order; once the discounts are known, the backoff weights), and reply to each chunk in the order it asked. A hot word or pair is one
-entry per chunk, and a chunk evaluates its own tokens by recursion over the replies.
+distinct words, then its distinct bigrams, and so on, to hash buckets with their training counts; buckets add up, store
+their part of the model (tables partitioned by order, counts of 64 bits, and the backoff weights once the discounts are
+known), and reply to each chunk in the order it asked. Words are told apart by 128 bits of a hash; from then on they and
+the n-grams that can be histories have numbers, so longer n-grams are compared exactly. An n-gram is sent on only if its
+history and its ending occur twice: others can't. The followers of a history of ``HOT`` occurrences or more are dealt to
+buckets by follower, and its sums are added up by Spark. A hot word or n-gram is one entry per chunk, and a chunk
+evaluates its own tokens by recursion over the replies.
 """
 
 from __future__ import annotations
@@ -27,17 +34,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import bucket_of, pack_ints, pack_keys, pack_sorted, unpack_ints, unpack_keys, unpack_sorted
-from .common import byte_size, get_file, parts_for, put_file, scratch, prepare
+from .blobs import bucket_of, pack_array, pack_longs, pack_sorted, unpack_array, unpack_longs, unpack_sorted
+from .common import byte_size, get_file, materialize, parts_for, put_file, scratch, prepare
 
+ORDER = 3
+#: The longest n-grams that an order can be asked for.
+LONGEST = 16
 K = 5
 CHUNK_TOKENS = 1 << 20
 BUCKET_BYTES = 8 << 20
+#: Occurrences from which a history's followers are dealt to several buckets.
+HOT = 1 << 16
 #: Stands for the end; no word holds a blank.
 END = b" end "
 FOLDS, HELD = 7, 2
-#: Columns of a history's counts: occurrences, followers seen 1..K times, followers that occur 1..K times in all, the rest's occurrences.
-_HISTORY = 2 * K + 2
+#: Columns of a history's sums: occurrences of followers beyond K, followers seen 1..K times, seen followers whose ending occurs 1..K times, the other endings' occurrences.
+SUMS = 2 * K + 2
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -45,6 +57,11 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
 
 
+def unseen(order: int) -> int:
+    """Up to how many occurrences an n-gram counts as unseen."""
+    return 0 if order < 3 else 1
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Factors for counts 0..K from the numbers of types that occur 1..K+1 times (n[0] is unused).
 
@@ -90,137 +107,235 @@ class Unigrams:
         return np.log10((count + 1) / (self.tokens + (self.types + 1)))
 
 
-class Bigrams:
-    """Discounted bigram probabilities and backoff weights of histories (rows of ``_HISTORY`` counts)."""
+class Order:
+    """Discounted probabilities of n-grams and backoff weights of their histories (rows of ``SUMS``, and their occurrences)."""
 
-    def __init__(self, n: list[int], unigrams: Unigrams):
-        self.d, self.one = discounts(n), unigrams
+    def __init__(self, order: int, n: list[int], below: Unigrams | Order):
+        self.order, self.below, self.d = order, below, discounts(n)
+        self.d[1 : unseen(order) + 1] = 0.0
 
-    def total(self, h: np.ndarray) -> np.ndarray:
-        """Occurrences of each history, with the unseen one where nothing is freed."""
-        return h[:, 0] + (self._freed(h) <= 0)
-
-    def _freed(self, h: np.ndarray) -> np.ndarray:
+    def _freed(self, sums: np.ndarray, tot: np.ndarray) -> np.ndarray:
         r = np.arange(1, K + 1)
-        return (h[:, 1 : K + 1] * (r * (1 - self.d[1:]))).sum(axis=1)
+        n = sums[:, 1 : K + 1]
+        return (n * (r * (1 - self.d[1:]))).sum(axis=1) + (tot - sums[:, 0] - (n * r).sum(axis=1))
+
+    def total(self, sums: np.ndarray, tot: np.ndarray) -> np.ndarray:
+        """Occurrences of each history, with the unseen one where nothing is freed."""
+        return tot + (self._freed(sums, tot) <= 0)
 
     def log_p(self, count: np.ndarray, total: np.ndarray) -> np.ndarray:
         return np.log10(factor(self.d, count) * count / total)
 
-    def log_alpha(self, h: np.ndarray) -> np.ndarray:
-        freed = self._freed(h)
-        left = np.where(freed > 0, freed, 1) / self.total(h)
+    def log_alpha(self, sums: np.ndarray, tot: np.ndarray, below: np.ndarray | float) -> np.ndarray:
+        """``below``: the occurrences (by ``total``) of the history without its first word; for bigrams, of all tokens."""
+        freed = self._freed(sums, tot)
+        left = np.where(freed > 0, freed, 1) / self.total(sums, tot)
         r = np.arange(1, K + 1)
-        seen = (h[:, K + 1 : 2 * K + 1] * (r * self.one.d[1:])).sum(axis=1) + h[:, 2 * K + 1]
-        return np.log10(left / (1 - seen / self.one.tokens_p))
+        seen = (sums[:, K + 1 : 2 * K + 1] * (r * self.below.d[1:])).sum(axis=1) + sums[:, 2 * K + 1]
+        return np.log10(left / (1 - seen / below))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Numbers spread over 64 bits."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins of the runs of equal neighbours, with the length at the end; and their values."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.array([], np.int64)
+    return np.append(at, len(x)), x[at]
+
+
+class Grams:
+    """The n-grams of a chunk at one order: its histories, its items, and which of them each position has."""
+
+    def __init__(self, chunk: Chunk, order: int, hist: np.ndarray, occurs: np.ndarray, low: np.ndarray, below: np.ndarray | None):
+        self.buckets, least = chunk.buckets, unseen(order) + 1
+        live = occurs >= least
+        self.hists, first, at = np.unique(hist[live], return_index=True, return_inverse=True)
+        self.tot = occurs[live][first]
+        self.below = None if below is None else below[live][first]
+        self.h_place = np.full(len(hist), -1)
+        self.h_place[live] = at
+        sent = live & (low >= least)
+        pair, first, at = np.unique((self.h_place[sent] << 32) | chunk.tokens[sent], return_index=True, return_inverse=True)
+        self.place = np.full(len(hist), -1)
+        self.place[sent] = at
+        self.owner, self.word, self.low = pair >> 32, chunk.word_id[pair & 0xFFFFFFFF], low[sent][first]
+        self.seen = np.bincount(at[chunk.train[sent]], minlength=len(pair))
+        self.hot = self.tot >= chunk.hot
+        # Histories by bucket and number; cold items with them, hot items by their own bucket.
+        self.h_bucket = (_mix(self.hists) % np.uint64(self.buckets)).astype(np.int64)
+        self.h_order = np.lexsort((self.hists, self.h_bucket))
+        rank = np.empty(len(self.hists), np.int64)
+        rank[self.h_order] = np.arange(len(self.hists))
+        warm = self.hot[self.owner]
+        self.cold = np.flatnonzero(~warm)
+        self.cold = self.cold[np.lexsort((self.word[self.cold], rank[self.owner[self.cold]]))]
+        self.warm = np.flatnonzero(warm)
+        self.w_bucket = (_mix(_mix(self.word[self.warm]) ^ self.hists[self.owner[self.warm]].astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        turn = np.lexsort((self.word[self.warm], self.hists[self.owner[self.warm]], self.w_bucket))
+        self.warm, self.w_bucket = self.warm[turn], self.w_bucket[turn]
+
+    def _message(self, bucket: int, hot: bool, hists: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> tuple:
+        words, at = np.unique(self.word[items], return_inverse=True)
+        below = None if self.below is None else pack_longs(self.below[hists])
+        asc = self.hists[hists]
+        return (bucket, hot, pack_longs(np.diff(asc, prepend=0)), pack_longs(self.tot[hists]), below, pack_longs(sizes), pack_longs(np.diff(words, prepend=0)), pack_longs(at), pack_longs(self.seen[items]), pack_longs(self.low[items]))
+
+    def messages(self) -> list[tuple]:
+        """(bucket, hot, numbers, occurrences and totals below of histories, sizes, followers, which, training counts, endings' counts)."""
+        out = []
+        sizes = np.bincount(self.owner[self.cold], minlength=len(self.hists))[self.h_order]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        cuts, bucket = _runs(self.h_bucket[self.h_order])
+        for b, x, y in zip(bucket.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out.append(self._message(b, False, self.h_order[x:y], sizes[x:y], self.cold[upto[x] : upto[y]]))
+        cuts, bucket = _runs(self.w_bucket)
+        for b, x, y in zip(bucket.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            inner, owner = _runs(self.owner[self.warm[x:y]])
+            out.append(self._message(b, True, owner, np.diff(inner), self.warm[x:y]))
+        return out
+
+    def take(self, replies: list[tuple], told: list[tuple]) -> None:
+        """Replies (hot, bucket, counts, numbers, sums) and (history, sums) of hot histories: ``total`` and ``number`` of items, ``sums`` of histories."""
+        self.total, self.number = np.zeros(len(self.owner), np.int64), np.zeros(len(self.owner), np.int64)
+        self.sums = np.zeros((len(self.hists), SUMS), np.int64)
+        for hot, items in ((False, self.cold), (True, self.warm)):
+            mine = sorted((r for r in replies if r[0] == hot), key=lambda r: r[1])
+            if mine:
+                counts = [unpack_longs(r[2]) for r in mine]
+                self.total[items] = np.concatenate(counts)
+                if mine[0][3] is not None:  # longest n-grams are no histories
+                    bucket = np.repeat([r[1] for r in mine], [len(c) for c in counts])
+                    self.number[items] = ((np.concatenate([unpack_longs(r[3]) for r in mine]) * self.buckets + bucket) << 1) | int(hot)
+            if mine and not hot:
+                self.sums[self.h_order] = np.concatenate([_matrix(r[4]) for r in mine])
+        if told:
+            hist = np.array([h for h, _ in told], np.int64)
+            at = np.searchsorted(self.hists, hist)
+            self.sums[at] = np.array([x for _, x in told], np.int64)
 
 
 class Chunk:
     """Documents as word numbers; number 0 is the end."""
 
-    def __init__(self, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray, keys: np.ndarray, buckets: int):
-        self.ids, self.sizes, self.tokens, self.keys = ids, sizes, tokens, keys
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray, high: np.ndarray, low: np.ndarray, buckets: int, hot: int):
+        self.ids, self.sizes, self.tokens, self.high, self.low, self.buckets, self.hot = ids, sizes, tokens, high, low, buckets, hot
         self.held = np.array([held_out(i) for i in ids], bool)
         self.train = np.repeat(~self.held, sizes)
-        self.bucket = bucket_of(keys, buckets)
-        self.order = np.lexsort((keys & np.uint64((1 << 40) - 1), self.bucket))  # words as they are sent
-        self.rank = np.empty(len(keys), np.int64)
-        self.rank[self.order] = np.arange(len(keys))
-        self.cuts = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1)).tolist()
-        starts = np.cumsum(sizes) - sizes
-        self.history = np.concatenate(([0], tokens[:-1]))
-        self.history[starts] = 0
+        self.bucket = bucket_of(high, buckets)
+        self.order = np.lexsort((low, high & np.uint64((1 << 40) - 1), self.bucket))  # words as they are sent
+        self.starts = np.cumsum(sizes) - sizes
+        self.inside = np.arange(len(tokens)) - np.repeat(self.starts, sizes)
 
     def dump(self) -> bytes:
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
         none = np.array([i is None for i in self.ids], np.uint8)
-        parts = [zstandard.compress(x, 1) for x in (ids.tobytes(), none.tobytes(), self.keys.tobytes())] + [pack_ints(self.sizes), pack_ints(self.tokens)]
+        parts = [zstandard.compress(x, 1) for x in (ids.tobytes(), none.tobytes(), self.high.tobytes(), self.low.tobytes())] + [pack_longs(self.sizes), pack_longs(self.tokens)]
         return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
     @classmethod
-    def load(cls, raw: bytes, buckets: int) -> Chunk:
+    def load(cls, raw: bytes, buckets: int, hot: int) -> Chunk:
         parts, at = [], 0
         while at < len(raw):
             n = int.from_bytes(raw[at : at + 8], "little")
             parts.append(raw[at + 8 : at + 8 + n])
             at += 8 + n
-        ids, none, keys = (np.frombuffer(zstandard.decompress(x), k) for x, k in zip(parts, (np.int64, np.uint8, np.uint64), strict=False))
-        return cls([None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)], unpack_ints(parts[3]), unpack_ints(parts[4]), keys, buckets)
-
-    def words(self) -> list[tuple[int, bytes, bytes]]:
-        """(bucket, keys, training counts) of the distinct words."""
-        count = np.bincount(self.tokens[self.train], minlength=len(self.keys))[self.order]
-        keys = self.keys[self.order]
-        return [(k, pack_sorted(keys[x:y]), pack_ints(count[x:y])) for k, (x, y) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)) if y > x]
-
-    def set_counts(self, replies: list[tuple[int, bytes]]) -> None:
-        """Each word's training count in the corpus, from replies by bucket."""
-        self.count = np.empty(len(self.keys), np.int64)
-        self.count[self.order] = np.concatenate([unpack_ints(raw) for _, raw in sorted(replies)])
-
-    def set_pairs(self) -> None:
-        """Distinct bigrams with histories that training knows, sorted by history and follower; ``place`` is each token's."""
-        both = (self.history << 32) | self.tokens
-        both[self.count[self.history] == 0] = -1
-        pair, self.place = np.unique(both, return_inverse=True)
-        self.seen = np.bincount(self.place[self.train], minlength=len(pair))
-        skip = int(len(pair) and pair[0] == -1)
-        pair, self.place, self.seen = pair[skip:], self.place - skip, self.seen[skip:]
-        first, second = pair >> 32, pair & 0xFFFFFFFF
-        order = np.lexsort((self.keys[second], self.rank[first]))
-        back = np.empty(len(order) + 1, np.int64)
-        back[order] = np.arange(len(order))
-        back[-1] = -1
-        self.place = back[self.place]
-        self.first, self.second, self.seen = first[order], second[order], self.seen[order]
-        self.heads = np.flatnonzero(np.concatenate(([True], self.first[1:] != self.first[:-1]))) if len(order) else np.array([], np.int64)
-
-    def pairs(self) -> list[tuple]:
-        """(bucket, history keys, followers of each, follower keys, training counts, followers' word counts)."""
-        hist = self.keys[self.first[self.heads]]
-        cuts = np.searchsorted(self.rank[self.first[self.heads]], self.cuts).tolist()
-        ends = np.append(self.heads, len(self.first))
-        out = []
-        for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if y > x:
-                a, b = ends[x], ends[y]
-                out.append((k, pack_sorted(hist[x:y]), pack_ints(np.diff(ends[x : y + 1])), pack_keys(self.keys[self.second[a:b]]), pack_ints(self.seen[a:b]), pack_ints(self.count[self.second[a:b]])))
+        ids, none, high, low = (np.frombuffer(zstandard.decompress(x), k) for x, k in zip(parts, (np.int64, np.uint8, np.uint64, np.uint64), strict=False))
+        return cls([None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)], unpack_longs(parts[4]), unpack_longs(parts[5]), high, low, buckets, hot)
+
+    def positions(self, order: int) -> list[int]:
+        """Training tokens that have a history of each length up to ``order``."""
+        return [int((self.train & (self.inside >= m - 2)).sum()) for m in range(2, order + 1)]
+
+    def words(self, order: int) -> list[tuple]:
+        """(bucket, keys, rest of the keys, training counts, positions) of the distinct words."""
+        count = np.bincount(self.tokens[self.train], minlength=len(self.high))[self.order]
+        high, low, out = self.high[self.order], self.low[self.order], []
+        cuts, bucket = _runs(self.bucket[self.order])
+        for b, x, y in zip(bucket.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out.append((b, pack_sorted(high[x:y]), pack_array(low[x:y]), pack_longs(count[x:y]), None if out else self.positions(order)))
         return out
 
-    def scores(self, one: Unigrams, two: Bigrams, pair_counts: np.ndarray, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def set_words(self, replies: list[tuple]) -> None:
+        """Each word's training count and number, from replies (bucket, counts, numbers)."""
+        mine = sorted(replies)
+        counts, ranks = [unpack_longs(r[1]) for r in mine], [unpack_longs(r[2]) for r in mine]
+        self.count, self.word_id = np.empty(len(self.high), np.int64), np.empty(len(self.high), np.int64)
+        self.count[self.order] = np.concatenate(counts)
+        self.word_id[self.order] = np.concatenate(ranks) * self.buckets + np.repeat([r[0] for r in mine], [len(c) for c in counts])
+
+    def grams(self, order: int, replies: dict[int, tuple[list, list]], models: list[Order]) -> list[Grams]:
+        """The n-grams of orders 2 to ``order``; all but the last have had their replies, the last if there are some for it."""
+        start = self.inside == 0
+        history = np.concatenate(([0], self.tokens[:-1]))
+        history[start] = 0
+        hist, occurs, low, below, out = self.word_id[history], self.count[history], self.count[self.tokens], None, []
+        for m in range(2, order + 1):
+            g = Grams(self, m, hist, occurs, low, below)
+            out.append(g)
+            if m in replies:
+                g.take(*replies[m])
+            if m == order:
+                break
+            # The n-gram at a position is the history of the next one.
+            has = g.place >= 0
+            total, number = np.where(has, g.total[g.place] if len(g.total) else 0, 0), np.where(has, g.number[g.place] if len(g.number) else 0, 0)
+            hist, occurs = np.concatenate(([0], number[:-1])), np.concatenate(([0], total[:-1]))
+            occurs[start] = 0
+            low = total
+            whole = models[m - 2].total(g.sums, g.tot)
+            below = np.where(g.h_place >= 0, whole[g.h_place] if len(whole) else 0, 0)
+        return out
+
+    def scores(self, one: Unigrams, models: list[Order], grams: list[Grams]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, model score) of each document."""
         count = self.count[self.tokens]
-        starts = np.cumsum(self.sizes) - self.sizes
-        base = np.add.reduceat(one.base(count), starts)
-        known = np.add.reduceat((count > 0).astype(np.int64), starts)
-        # Backoff: P(w), weighted by the history's alpha if training knows the history; then P(w | v) where (v, w) was seen.
-        alpha, total = np.zeros(len(self.keys)), np.ones(len(self.keys))
-        at = self.first[self.heads]
-        with np.errstate(divide="ignore"):
-            alive = histories[:, 0] > 0
-            alpha[at[alive]], total[at[alive]] = two.log_alpha(histories[alive]), two.total(histories[alive])
-            score = np.log10(one.p(count)) + alpha[self.history]
-        seen = np.append(pair_counts, 0)[self.place]
-        hit = seen > 0
-        score[hit] = two.log_p(seen[hit], total[self.history[hit]])
-        return known, base, np.add.reduceat(score, starts)
+        base = np.add.reduceat(one.base(count), self.starts)
+        known = np.add.reduceat((count > 0).astype(np.int64), self.starts)
+        score = np.log10(one.p(count))
+        for model, g in zip(models, grams, strict=True):
+            if not len(g.hists):
+                continue
+            # Backoff: the shorter history's probability times the weight; then the n-gram's own where it was seen.
+            alpha = model.log_alpha(g.sums, g.tot, one.tokens_p if g.below is None else g.below)
+            has = g.h_place >= 0
+            score = np.where(has, score + alpha[g.h_place], score)
+            seen = np.append(g.total, 0)[g.place]
+            hit = has & (seen > unseen(model.order))
+            score[hit] = model.log_p(seen[hit], model.total(g.sums, g.tot)[g.h_place[hit]])
+        return known, base, np.add.reduceat(score, self.starts)
 
 
-_REPLY = "part string, chunk long, bucket long, keys binary, counts binary, others binary, more binary, stats array<long>"
-_NAMES = [x.split()[0] for x in _REPLY.split(", ")]
-_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+_WORDS = "chunk long, bucket long, keys binary, rest binary, counts binary, positions array<long>"
+_ASKED = "chunk long, bucket long, hot boolean, hists binary, tots binary, belows binary, sizes binary, words binary, which binary, counts binary, lows binary"
+_REPLY = "part string, chunk long, bucket long, hot boolean, keys binary, counts binary, numbers binary, sums binary, tots binary, belows binary, stats array<long>"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], _NAMES)
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    names, kinds = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    return pa.table([pa.array([r[k] for r in rows], _ARROW[t]) for k, t in enumerate(kinds)], list(names))
 
 
 def _stats(count: np.ndarray) -> list[int]:
-    """Tokens, types, and types that occur 1..K+1 times."""
-    return [int(count.sum()), int((count > 0).sum()), *np.bincount(np.minimum(count, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
+    """Occurrences of those that occur twice at least, all occurrences, types, and types that occur 1..K+1 times."""
+    return [int(count[count > 1].sum()), int(count.sum()), int((count > 0).sum()), *np.bincount(np.minimum(count, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
+
+
+def _planes(sums: np.ndarray) -> bytes:
+    return pack_longs(sums.T.reshape(-1))
+
 
+def _matrix(raw: bytes) -> np.ndarray:
+    return unpack_longs(raw).reshape(SUMS, -1).T
 
-def _store(folder: str, buckets: int):
+
+def _store(folder: str, buckets: int, order: int):
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
         ids: list = []
@@ -229,15 +344,15 @@ def _store(folder: str, buckets: int):
         local: dict[bytes, int] = {END: 0}
 
         def flush():
-            keys, flat = np.array([xxhash.xxh64_intdigest(w) for w in local], np.uint64), np.array(tokens, np.int64)
+            raw, flat = b"".join(xxhash.xxh3_128_digest(w) for w in local), np.array(tokens, np.int64)
+            keys = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
             # Frequent words get small numbers, which compress better; the end stays 0.
-            order = np.concatenate(([0], 1 + np.argsort(-np.bincount(flat, minlength=len(keys))[1:], kind="stable")))
-            number_of = np.empty(len(order), np.int64)
-            number_of[order] = np.arange(len(order))
-            chunk, name = Chunk(ids, np.array(sizes), number_of[flat], keys[order], buckets), (task << 24) | number
+            turn = np.concatenate(([0], 1 + np.argsort(-np.bincount(flat, minlength=len(keys))[1:], kind="stable")))
+            number_of = np.empty(len(turn), np.int64)
+            number_of[turn] = np.arange(len(turn))
+            chunk, name = Chunk(ids, np.array(sizes), number_of[flat], keys[turn, 0], keys[turn, 1], buckets, HOT), (task << 24) | number
             put_file(folder, f"{name}.chunk", chunk.dump())
-            rows = chunk.words()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((name, *r) for r in rows), strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "keys", "counts"])
+            return _table(_WORDS, [(name, *r) for r in chunk.words(order)]).combine_chunks().to_batches()[0]
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -258,85 +373,116 @@ def _store(folder: str, buckets: int):
 
 def _add_words(t: pa.Table) -> pa.Table:
     bucket, chunks = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
-    keys, counts = [unpack_sorted(x) for x in t.column("keys").to_pylist()], [unpack_ints(x) for x in t.column("counts").to_pylist()]
-    value, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, np.concatenate(counts), len(value)).astype(np.int64)
+    high, low = [unpack_sorted(x) for x in t.column("keys").to_pylist()], [unpack_array(x, np.uint64) for x in t.column("rest").to_pylist()]
+    count = np.concatenate([unpack_longs(x) for x in t.column("counts").to_pylist()])
+    h, l = np.concatenate(high), np.concatenate(low)
+    turn = np.lexsort((l, h))
+    new = np.concatenate(([True], (h[turn][1:] != h[turn][:-1]) | (l[turn][1:] != l[turn][:-1])))
+    place = np.empty(len(turn), np.int64)
+    place[turn] = np.cumsum(new) - 1
+    total = _sum(place, count, int(new.sum()))
     rows, at = [], 0
-    for chunk, k in zip(chunks, keys, strict=True):
-        rows.append(("reply", chunk, bucket, None, pack_ints(total[back[at : at + len(k)]]), None, None, None))
+    for chunk, k in zip(chunks, high, strict=True):
+        mine = place[at : at + len(k)]
+        rows.append(("reply", chunk, bucket, False, None, pack_longs(total[mine]), pack_longs(mine), None, None, None, None))
         at += len(k)
-    known = total > 0
-    return _rows([*rows, ("model", None, bucket, pack_sorted(value[known]), pack_ints(total[known]), None, None, _stats(total))])
+    first = turn[new]
+    positions = [p for p in t.column("positions").to_pylist() if p]
+    stats = [*_stats(total), *(np.sum(positions, axis=0).tolist() if positions else [])]
+    model = ("model", None, bucket, False, pack_longs(h[first]), pack_longs(total), pack_array(l[first]), None, None, None, stats)
+    return _table(_REPLY, [*rows, model])
+
+
+def _sum(place: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Sums of counts by place, in whole numbers."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, place, count)
+    return out
 
 
-def _ask(folder: str, buckets: int):
+def _told(t: pa.Table, order: int) -> tuple[list, dict[int, tuple[list, list]]]:
+    """What a chunk's rows say: replies on words, and by order (replies, sums of hot histories)."""
+    words, grams = [], {m: ([], []) for m in range(2, order + 1)}
+    for m, bucket, hot, counts, numbers, sums, told in zip(*(t.column(c).to_pylist() for c in ("order", "bucket", "hot", "counts", "numbers", "sums", "told")), strict=True):
+        if m == 1:
+            words.append((bucket, counts, numbers))
+        elif told is not None:
+            grams[m][1].extend((x["hist"], x["sums"]) for x in told)
+        else:
+            grams[m][0].append((hot, bucket, counts, numbers, sums))
+    return words, grams
+
+
+def _ask(folder: str, buckets: int, hot: int, order: int, models: list[Order]):
     def run(t: pa.Table) -> pa.Table:
         name = t.column("chunk")[0].as_py()
-        chunk = Chunk.load(get_file(folder, f"{name}.chunk"), buckets)
-        chunk.set_counts(list(zip(t.column("bucket").to_pylist(), t.column("counts").to_pylist(), strict=True)))
-        chunk.set_pairs()
-        rows = [(name, *r) for r in chunk.pairs()]
-        return pa.table([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.binary()) for k in range(7)], ["chunk", "bucket", "hists", "sizes", "keys", "counts", "words"])
+        chunk = Chunk.load(get_file(folder, f"{name}.chunk"), buckets, hot)
+        words, told = _told(t, order - 1)
+        chunk.set_words(words)
+        return _table(_ASKED, [(name, *r) for r in chunk.grams(order, told, models)[-1].messages()])
 
     return run
 
 
-def _two(a: bytes, b: bytes) -> bytes:
-    return len(a).to_bytes(8, "little") + a + b
+def _add_grams(order: int, last: bool, most: int):
+    least = unseen(order) + 1
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, hot, chunks = t.column("bucket")[0].as_py(), t.column("hot")[0].as_py(), t.column("chunk").to_pylist()
+        read = lambda name: [unpack_longs(x) for x in t.column(name).to_pylist()]
+        hists, sizes = [np.cumsum(x) for x in read("hists")], read("sizes")
+        words = [np.cumsum(w)[i] for w, i in zip(read("words"), read("which"), strict=True)]
+        value, first, hist = np.unique(np.concatenate(hists), return_index=True, return_inverse=True)
+        tot, below = np.concatenate(read("tots"))[first], np.concatenate(read("belows"))[first] if order > 2 else None
+        owner = np.repeat(hist, np.concatenate(sizes))
+        word, count, low = np.concatenate(words), np.concatenate(read("counts")), np.concatenate(read("lows"))
+        turn = np.lexsort((word, owner))
+        new = np.concatenate(([True], (owner[turn][1:] != owner[turn][:-1]) | (word[turn][1:] != word[turn][:-1]))) if len(turn) else np.array([], bool)
+        head, place = turn[new], np.empty(len(turn), np.int64)
+        place[turn] = np.cumsum(new) - 1
+        total = _sum(place, count, len(head))
+        who, ending = owner[head], low[head]
+        seen = total >= least
+        sums = np.zeros((len(value), SUMS), np.int64)
+        sums[:, 0] = _sum(who[total > K], total[total > K], len(value))
+        for r in range(1, K + 1):
+            sums[:, r] = np.bincount(who[total == r], minlength=len(value))
+            sums[:, K + r] = np.bincount(who[seen & (ending == r)], minlength=len(value))
+        big = seen & (ending > K)
+        sums[:, 2 * K + 1] = _sum(who[big], ending[big], len(value))
+        # Only n-grams that occur twice can be histories.
+        number = np.where(total > 1, np.cumsum(total > 1) - 1, 0)
+        rows, a, b = [], 0, 0
+        for chunk, hs, ws in zip(chunks, hists, words, strict=True):
+            mine, items = hist[a : a + len(hs)], place[b : b + len(ws)]
+            rows.append(("reply", chunk, bucket, hot, None, pack_longs(total[items]), None if last else pack_longs(number[items]), None if hot else _planes(sums[mine]), None, None, None))
+            asked = hs[tot[mine] >= most]
+            if not hot and len(asked):
+                rows.append(("ask", chunk, bucket, hot, pack_longs(asked), None, None, None, None, None, None))
+            a, b = a + len(hs), b + len(ws)
+        kept = np.flatnonzero(seen)
+        follower = _lengths(np.bincount(who[kept], minlength=len(value)), word[head[kept]], total[kept])
+        whole = tot < most if not hot else np.ones(len(value), bool)
+        rows.append(("hot" if hot else "model", None, bucket, hot, pack_longs(value[whole]), pack_longs(tot[whole]), None, _planes(sums[whole]), None, None if below is None else pack_longs(below[whole]), _stats(total)))
+        rows.append(("counts", None, bucket, hot, pack_longs(value), follower, None, None, None, None, None))
+        return _table(_REPLY, rows)
 
+    return run
 
-def _halves(h: np.ndarray) -> bytes:
-    """Counts of histories; the rest's occurrences can exceed 32 bits and go in two halves."""
-    return pack_ints(np.concatenate([h[:, : 2 * K + 1], h[:, 2 * K + 1 :] & 0xFFFFFFFF, h[:, 2 * K + 1 :] >> 32], axis=1).T.reshape(-1))
 
+def _lengths(*arrays: np.ndarray) -> bytes:
+    parts = [pack_longs(x) for x in arrays]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
-def _whole(raw: bytes) -> np.ndarray:
-    halves = unpack_ints(raw).reshape(_HISTORY + 1, -1).T
-    return np.concatenate([halves[:, : 2 * K + 1], halves[:, 2 * K + 1 : 2 * K + 2] | halves[:, 2 * K + 2 :] << 32], axis=1)
 
+def _evaluate(folder: str, buckets: int, hot: int, one: Unigrams, models: list[Order]):
+    order = len(models) + 1
 
-def _add_pairs(t: pa.Table) -> pa.Table:
-    bucket, chunks = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
-    read = lambda name, f: [f(x) for x in t.column(name).to_pylist()]
-    hists, sizes, keys = read("hists", unpack_sorted), read("sizes", unpack_ints), read("keys", unpack_keys)
-    value, hist = np.unique(np.concatenate(hists), return_inverse=True)
-    owner = np.repeat(hist, np.concatenate(sizes))
-    key, count, word = np.concatenate(keys), np.concatenate(read("counts", unpack_ints)), np.concatenate(read("words", unpack_ints))
-    order = np.lexsort((key, owner))
-    new = np.concatenate(([True], (owner[order][1:] != owner[order][:-1]) | (key[order][1:] != key[order][:-1])))
-    first = order[new]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    total = np.bincount(place, count, len(first)).astype(np.int64)
-    who, words = owner[first], word[first]
-    seen = total > 0
-    h = np.zeros((len(value), _HISTORY), np.int64)
-    h[:, 0] = np.bincount(who, total, len(value))
-    for r in range(1, K + 1):
-        h[:, r] = np.bincount(who[total == r], minlength=len(value))
-        h[:, K + r] = np.bincount(who[seen & (words == r)], minlength=len(value))
-    big = seen & (words > K)
-    h[:, 2 * K + 1] = np.bincount(who[big], words[big], len(value))
-    rows, a, b = [], 0, 0
-    for chunk, hs, ks in zip(chunks, hists, keys, strict=True):
-        rows.append(("reply", chunk, bucket, None, pack_ints(total[place[b : b + len(ks)]]), _halves(h[hist[a : a + len(hs)]]), None, None))
-        a, b = a + len(hs), b + len(ks)
-    live = h[:, 0] > 0
-    followers = np.bincount(who[seen], minlength=len(value))
-    model = ("model", None, bucket, pack_sorted(value[live]), pack_ints(followers[live]), _halves(h[live]), _two(pack_keys(key[first[seen]]), pack_ints(total[seen])), _stats(total))
-    return _rows([*rows, model])
-
-
-def _evaluate(folder: str, buckets: int, one: Unigrams, two: Bigrams):
     def run(t: pa.Table) -> pa.Table:
-        chunk = Chunk.load(get_file(folder, f"{t.column('chunk')[0].as_py()}.chunk"), buckets)
-        told = list(zip(t.column("bucket").to_pylist(), t.column("counts").to_pylist(), t.column("others").to_pylist(), strict=True))
-        chunk.set_counts([(k, c) for k, c, o in told if o is None])
-        chunk.set_pairs()
-        pairs = sorted((k, c, o) for k, c, o in told if o is not None)
-        counts = np.concatenate([unpack_ints(c) for _, c, _ in pairs]) if pairs else np.array([], np.int64)
-        h = np.concatenate([_whole(o) for _, _, o in pairs]) if pairs else np.zeros((0, _HISTORY), np.int64)
-        known, base, score = chunk.scores(one, two, counts, h)
+        chunk = Chunk.load(get_file(folder, f"{t.column('chunk')[0].as_py()}.chunk"), buckets, hot)
+        words, told = _told(t, order)
+        chunk.set_words(words)
+        known, base, score = chunk.scores(one, models, chunk.grams(order, told, models))
         n = len(chunk.ids)
         return pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array([one.tokens] * n, pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -347,41 +493,76 @@ def _keep(df: DataFrame, root: str, order: int) -> tuple[DataFrame, list[int]]:
     """Store the replies and an order's part of the model; the model's totals."""
     path = f"{root}/order={order}"
     df.write.partitionBy("part").option("compression", "none").parquet(path)
-    stored = df.sparkSession.read.schema(_REPLY).parquet(path)  # no part has files if no chunk had anything to ask
-    sums = stored.filter("part = 'model'").agg(*[F.sum(F.get("stats", F.lit(k))) for k in range(K + 3)]).first()
-    replies = stored.filter("part = 'reply'").drop("part")
-    return replies, [int(x or 0) for x in sums]
+    stored = df.sparkSession.read.schema(_REPLY).parquet(path)
+    size = K + 4 + (LONGEST if order == 1 else 0)
+    sums = stored.filter("part IN ('model', 'hot')").agg(*[F.sum(F.get("stats", F.lit(k))) for k in range(size)]).first()
+    return stored, [int(x or 0) for x in sums]
+
+
+_HOT_ROWS = "chunk long, hist long, tot long, below long, sums array<long>"
+
 
+def _expand(batches):
+    """A row for each hot history: asked for by a chunk, or part of its sums."""
+    for b in batches:
+        for part, chunk, keys, tots, sums, belows in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "chunk", "keys", "counts", "sums", "belows")), strict=True):
+            hist = unpack_longs(keys)
+            n = len(hist)
+            known = part == "hot"
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk] * n, pa.int64()), pa.array(hist), pa.array(unpack_longs(tots) if known else [None] * n, pa.int64()), pa.array(unpack_longs(belows) if known and belows is not None else [None] * n, pa.int64()),
+                    pa.array(_matrix(sums).tolist() if known else [None] * n, pa.list_(pa.int64())),
+                ],
+                ["chunk", "hist", "tot", "below", "sums"],
+            )
 
-def _weigh(two: Bigrams):
+
+def _hot(stored: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(chunk, order, told): sums of the hot histories that each chunk asked for; and (hist, tot, below, sums) of all of them."""
+    rows = stored.filter("part IN ('ask', 'hot')").select("part", "chunk", "keys", "counts", "sums", "belows").mapInArrow(_expand, _HOT_ROWS)
+    rows = materialize(rows, "katz-hot")
+    parts = rows.filter("sums IS NOT NULL").groupBy("hist").agg(F.max("tot").alias("tot"), F.max("below").alias("below"), F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(SUMS)]).alias("sums"))
+    asked = rows.filter("sums IS NULL").select("chunk", "hist").join(parts, "hist")
+    return asked.groupBy("chunk").agg(F.lit(order).alias("order"), F.collect_list(F.struct("hist", "sums")).alias("told")), parts
+
+
+def _weigh(model: Order, one: Unigrams):
     def run(batches):
         for b in batches:
-            out = [two.log_alpha(_whole(raw)).astype("<f4") for raw in b.column(2).to_pylist()]
-            alpha = pa.array([zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for x in out], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), alpha], ["bucket", "histories", "log_alpha"])
+            col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            for keys, tots, sums, belows in zip(col("keys"), col("counts"), col("sums"), col("belows"), strict=True):
+                tot = unpack_longs(tots)
+                below = one.tokens_p if belows is None else unpack_longs(belows)
+                yield pa.RecordBatch.from_arrays([pa.array(unpack_longs(keys)), pa.array(tot), pa.array(model.log_alpha(_matrix(sums), tot, below))], ["history", "occurrences", "log_alpha"])
 
     return run
 
 
-def weights(spark, root: str) -> DataFrame:
-    """(bucket, history, log_alpha): the stored backoff weights, a row per history (its 40 bits within the bucket)."""
-
+def _weigh_hot(model: Order, one: Unigrams):
     def run(batches):
         for b in batches:
-            for bucket, keys, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<f4").reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array(unpack_sorted(keys)), pa.array(found.astype(float))], ["bucket", "history", "log_alpha"])
+            hist, tot, below, sums = (c.to_pylist() for c in b.columns)
+            if hist:
+                low = one.tokens_p if model.order == 2 else np.array(below, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hist, pa.int64()), pa.array(tot, pa.int64()), pa.array(model.log_alpha(np.array(sums, np.int64), np.array(tot, np.int64), low))], ["history", "occurrences", "log_alpha"])
 
-    return spark.read.parquet(f"{root}/weights").select("bucket", "histories", "log_alpha").mapInArrow(run, "bucket long, history long, log_alpha double")
+    return run
+
+
+def weights(spark, root: str) -> DataFrame:
+    """(order, history, occurrences, log_alpha): the stored backoff weights, a row per history (its number)."""
+    return spark.read.parquet(f"{root}/weights").select("order", "history", "occurrences", "log_alpha")
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str | None = None) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str | None = None, order: int = ORDER) -> DataFrame:
     """Train on the documents of the training folds and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null texts are empty and score their end; equal rows are scored and counted each; a null id is in training; an empty
-    table gives an empty result. ``root`` is a new folder for the model (counts in ``order=1`` and ``order=2``, each with
-    ``part=model``, and backoff weights in ``weights``), in a file system that executors share. ``docs`` must give the same rows in a partition each time it
-    is read, as a table does.
+    Null texts are empty and score their end; equal rows are scored and counted each; a null id is in training; ids are
+    integers, and texts of digits are cast; other columns don't matter; an empty table gives an empty result. ``root`` is
+    a new folder for the model (counts in ``order=1`` to ``order=n``, and backoff weights in ``weights`` by order), in a
+    file system that executors share. ``docs`` must give the same rows in a partition each time it is read, as a table
+    does. ``order`` is 2 at least.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -392,12 +573,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
     if docs.isEmpty():
         return spark.createDataFrame([], out)
     buckets = parts_for(byte_size(docs, "text"), BUCKET_BYTES)
-    words = docs.mapInArrow(_store(folder, buckets), "chunk long, bucket long, keys binary, counts binary")
-    one_replies, n = _keep(words.groupBy("bucket").applyInArrow(_add_words, _REPLY), root, 1)
-    one = Unigrams(n[0], n[1], [0, *n[2:]])
-    asked = one_replies.groupBy("chunk").applyInArrow(_ask(folder, buckets), "chunk long, bucket long, hists binary, sizes binary, keys binary, counts binary, words binary")
-    two_replies, m = _keep(asked.groupBy("bucket").applyInArrow(_add_pairs, _REPLY), root, 2)
-    two = Bigrams([0, *m[2:]], one)
-    stored = spark.read.schema(_REPLY).parquet(f"{root}/order=2").filter("part = 'model'").select("bucket", "keys", "others")
-    stored.mapInArrow(_weigh(two), "bucket long, histories binary, log_alpha binary").write.option("compression", "none").parquet(f"{root}/weights")
-    return one_replies.unionByName(two_replies).groupBy("chunk").applyInArrow(_evaluate(folder, buckets, one, two), out)
+    words = docs.mapInArrow(_store(folder, buckets, order), _WORDS)
+    stored, n = _keep(words.groupBy("bucket").applyInArrow(_add_words, _REPLY), root, 1)
+    one, positions = Unigrams(n[1], n[2], [0, *n[3 : K + 4]]), n[K + 4 :]
+    models: list[Order] = []
+
+    def said(stored: DataFrame, m: int) -> DataFrame:
+        return stored.filter("part = 'reply'").select("chunk", F.lit(m).alias("order"), "bucket", "hot", "counts", "numbers", "sums", F.lit(None).cast("array<struct<hist:bigint,sums:array<bigint>>>").alias("told"))
+
+    replies = said(stored, 1)
+    for m in range(2, order + 1):
+        asked = replies.groupBy("chunk").applyInArrow(_ask(folder, buckets, HOT, m, list(models)), _ASKED)
+        stored, n = _keep(asked.groupBy("bucket", "hot").applyInArrow(_add_grams(m, m == order, HOT), _REPLY), root, m)
+        if m > 2:  # n-grams that occur once were not all sent; the rest of the positions are theirs
+            n[3] = max(0, positions[m - 2] - n[0])
+        models.append(Order(m, [0, *n[3 : K + 4]], models[-1] if models else one))
+        told, hot = _hot(stored, m)
+        replies = replies.unionByName(said(stored, m)).unionByName(told, allowMissingColumns=True)
+        model = stored.filter("part = 'model'").select("keys", "counts", "sums", "belows")
+        cold = model.mapInArrow(_weigh(models[-1], one), "history long, occurrences long, log_alpha double")
+        warm = hot.select("hist", "tot", "below", "sums").mapInArrow(_weigh_hot(models[-1], one), "history long, occurrences long, log_alpha double")
+        cold.unionByName(warm).write.option("compression", "zstd").parquet(f"{root}/weights/order={m}")
+    return replies.groupBy("chunk").applyInArrow(_evaluate(folder, buckets, HOT, one, models), out)
