@@ -26,7 +26,8 @@ WINDOW = 10
 SHARD_WORDS = 1 << 18
 #: Every n-th text position keeps its suffix position.
 SAMPLE = 8
-BLOCK_BYTES = 16 << 20
+#: Bytes of items that are searched for at once: some 40 times as much memory in the driver and in each worker.
+BLOCK_BYTES = 1 << 20
 
 #: Bytes of words stay, A-Z are lowered, all others separate.
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -39,23 +40,33 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of items, as word numbers from 2 (0 ends a shard, 1 a run)."""
+    """The distinct windows of a block of items, as word numbers from 2 (0 ends a shard, 1 a run); arrays, but for the words."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
         self.words: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
         self.ids = [i for i, _ in items]
+        tables, lengths, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for k, (_, text) in enumerate(items):
-            w = [self.words.setdefault(x, len(self.words) + 2) for x in split_words(text)]
+            w = np.array([self.words.setdefault(x, len(self.words) + 2) for x in split_words(text)], np.int32)
+            if not len(w):
+                continue
             size = min(window, len(w))
-            for p in range(len(w) - size + 1 if size else 0):
-                owners.setdefault(tuple(w[p : p + size]), set()).add(k)
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.table = np.zeros((len(owners), window), np.int64)
-        for row, w in zip(self.table, owners, strict=True):
-            row[: len(w)] = w
-        self.owners = [np.array(sorted(x)) for x in owners.values()]
-        self.least = int(self.lengths.min()) if len(owners) else 0
+            mine = np.zeros((len(w) - size + 1, window), np.int32)
+            mine[:, :size] = np.lib.stride_tricks.sliding_window_view(w, size)
+            tables.append(mine)
+            lengths.append(np.full(len(mine), size, np.int32))
+            owners.append(np.full(len(mine), k, np.int32))
+        # Shorter windows end in zeros, which no word has: rows differ if windows do.
+        self.table, first, back = np.unique(np.concatenate(tables), axis=0, return_index=True, return_inverse=True)
+        self.lengths = np.concatenate(lengths)[first].astype(np.int64)
+        pairs = np.unique(back.reshape(-1).astype(np.int64) * max(1, len(items)) + np.concatenate(owners))
+        self.owner = (pairs % max(1, len(items))).astype(np.int32)
+        self.upto = np.searchsorted(pairs // max(1, len(items)), np.arange(len(self.table) + 1))
+        self.least = int(self.lengths.min()) if len(self.lengths) else 0
+
+    def owners(self, phrase: int) -> list[int]:
+        """Numbers of the items that have a window."""
+        return self.owner[self.upto[phrase] : self.upto[phrase + 1]].tolist()
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -122,7 +133,7 @@ class FMIndex:
         lo, hi = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(self.bwt), np.int64)
         for back in range(1, table.shape[1] + 1):
             on = lengths[who] >= back
-            c = table[who, np.maximum(lengths[who] - back, 0)]
+            c = table[who, np.maximum(lengths[who] - back, 0)].astype(np.int64)
             lo = np.where(on, self.before[c] + self.rank(c, lo), lo)
             hi = np.where(on, self.before[c] + self.rank(c, hi), hi)
             some = lo < hi
@@ -177,7 +188,7 @@ def search_shard(docs: list[np.ndarray], phrases: Phrases) -> dict[int, tuple[li
     pairs = np.unique(owner_at[at] * len(phrases.lengths) + which)
     items: dict[int, set[int]] = {}
     for d, p in zip((pairs // len(phrases.lengths)).tolist(), (pairs % len(phrases.lengths)).tolist(), strict=True):
-        items.setdefault(d, set()).update(phrases.owners[p].tolist())
+        items.setdefault(d, set()).update(phrases.owners(p))
     by = owner_at[hit]
     for d in items:
         flags = np.zeros(len(docs[d]), bool)
@@ -234,9 +245,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
 
     Spans are maximal runs of hit words (numbers of the first and last word). Null texts have no words; items without
     words have no windows; rows with equal item ids are one item, null ids one too; repeated rows are searched each; empty
-    tables on either side give rows without hits, or none. Columns of ``docs`` that begin with ``d_`` are replaced.
+    tables on either side give rows without hits, or none. Columns of ``docs`` keep their names and values, but for any
+    that have one of the three names that are added: those are replaced.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.startswith("d_")])
+    found = _find(packed(docs), benchmark, f"{ROW}.{text}")
+    return found.select(*[F.col(f"{ROW}.`{c}`") for c in docs.columns if c not in ("d_n_words", "d_items", "d_spans")], "d_n_words", "d_items", "d_spans")
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
+    """``find`` on rows in the struct ``ROW``."""
     prepare(docs.sparkSession)
     items = benchmark.select("item_id", "text")
     if parts_for(byte_size(items, "text"), BLOCK_BYTES) == 1:
@@ -277,13 +294,19 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with the columns of ``docs``."""
-    return unpacked(find(packed(docs), benchmark, f"{ROW}.{text}").filter(F.size("d_spans") == 0))
+    """The rows of ``docs`` without any benchmark window, with the columns of ``docs``.
+
+    Null and empty texts have no windows and stay; repeated rows stay or go together; an empty benchmark keeps all rows.
+    """
+    return unpacked(_find(packed(docs), benchmark, f"{ROW}.{text}").filter(F.size("d_spans") == 0))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """All rows of ``docs``, with the merged spans of benchmark windows cut out of the texts."""
-    found = find(packed(docs), benchmark, f"{ROW}.{text}")
+    """All rows of ``docs``, with the merged spans of benchmark windows cut out of the texts.
+
+    Null texts stay null; a text that is all window becomes what stands around its words; other columns keep their values.
+    """
+    found = _find(packed(docs), benchmark, f"{ROW}.{text}")
     out = found.select("*", F.lit(None).cast("string").alias("d_text")).schema
 
     def run(batches):

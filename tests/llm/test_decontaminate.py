@@ -74,6 +74,27 @@ def test_spans_can_be_cut(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_columns_keep_their_names_and_values(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", "2001-01-01", "x", 5)], "doc_id long, text string, d_date string, quill_row string, d_items int")
+    bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    row = decontaminate.find(docs, bench).first()
+    assert (row.d_date, row.quill_row, row.d_items) == ("2001-01-01", "x", [7]) and decontaminate.clean(docs, bench).columns == docs.columns
+
+
+def test_phrases_are_arrays():
+    items = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(60))) for i in range(300)] + [(900, "w1 w2"), (901, None)]
+    p = decontaminate.Phrases(items)
+    windows = {}
+    for k, (_, t) in enumerate(items):
+        w = decontaminate.split_words(t)
+        size = min(10, len(w))
+        for at in range(len(w) - size + 1 if size else 0):
+            windows.setdefault(tuple(w[at : at + size]), set()).add(k)
+    name = {v: k for k, v in p.words.items()}
+    got = {tuple(name[x] for x in row[:n].tolist()): set(p.owners(i)) for i, (row, n) in enumerate(zip(p.table, p.lengths.tolist(), strict=True))}
+    assert got == windows and p.table.dtype == np.int32
+
+
 def test_empty_tables(spark, tables, documents):
     assert q_decontaminate.op10_benchmark_decontamination(spark, tables()).collect() == []
     rows = q_decontaminate.op10_benchmark_decontamination(spark, tables(documents=documents)).collect()
