@@ -1,6 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-from . import detection, forms, geometry, records, stores
+from . import detection, forms, geometry, labels, records, stores
 
-QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES, **stores.QUERIES, **geometry.QUERIES}
-ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES, **stores.ORACLES, **geometry.ORACLES}
+QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES, **stores.QUERIES, **geometry.QUERIES, **labels.QUERIES}
+ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES, **stores.ORACLES, **geometry.ORACLES, **labels.ORACLES}
