@@ -15,7 +15,7 @@ histories as long as what came before them.
 Chunks of documents are stored once in the shared folder as word numbers with their vocabulary. Each chunk sends its
 distinct words, then its distinct bigrams, and so on, to hash buckets with their training counts; buckets add up, store
 their part of the model (tables partitioned by order, counts of 64 bits, and the backoff weights once the discounts are
-known), and reply to each chunk in the order it asked. Words are told apart by 128 bits of a hash; from then on they and
+known), and reply to each chunk in the order it asked. Words are told apart by 72 bits of a hash; from then on they and
 the n-grams that can be histories have numbers, so longer n-grams are compared exactly. An n-gram is sent on only if its
 history and its ending occur twice: others can't. The followers of a history of ``HOT`` occurrences or more are dealt to
 buckets by follower, and its sums are added up by Spark. A hot word or n-gram is one entry per chunk, and a chunk
@@ -24,9 +24,11 @@ evaluates its own tokens by recursion over the replies.
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -149,19 +151,34 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, len(x)), x[at]
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in the order in which they come, where each comes first, and which each element is."""
+    which, value = pd.factorize(x)
+    first = np.empty(len(value), np.int64)
+    first[which[::-1]] = np.arange(len(x) - 1, -1, -1)
+    return value, first, which
+
+
+def _by_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order by a, then b; equal pairs in any order."""
+    if len(a) and int(b.max()).bit_length() + int(a.max()).bit_length() < 63:
+        return np.argsort((a << int(b.max()).bit_length()) | b)
+    return np.lexsort((b, a))
+
+
 class Grams:
     """The n-grams of a chunk at one order: its histories, its items, and which of them each position has."""
 
     def __init__(self, chunk: Chunk, order: int, hist: np.ndarray, occurs: np.ndarray, low: np.ndarray, below: np.ndarray | None):
         self.buckets, least = chunk.buckets, unseen(order) + 1
         live = occurs >= least
-        self.hists, first, at = np.unique(hist[live], return_index=True, return_inverse=True)
+        self.hists, first, at = _distinct(hist[live])
         self.tot = occurs[live][first]
         self.below = None if below is None else below[live][first]
         self.h_place = np.full(len(hist), -1)
         self.h_place[live] = at
         sent = live & (low >= least)
-        pair, first, at = np.unique((self.h_place[sent] << 32) | chunk.tokens[sent], return_index=True, return_inverse=True)
+        pair, first, at = _distinct((self.h_place[sent] << 32) | chunk.tokens[sent])
         self.place = np.full(len(hist), -1)
         self.place[sent] = at
         self.owner, self.word, self.low = pair >> 32, chunk.word_id[pair & 0xFFFFFFFF], low[sent][first]
@@ -174,7 +191,7 @@ class Grams:
         rank[self.h_order] = np.arange(len(self.hists))
         warm = self.hot[self.owner]
         self.cold = np.flatnonzero(~warm)
-        self.cold = self.cold[np.lexsort((self.word[self.cold], rank[self.owner[self.cold]]))]
+        self.cold = self.cold[_by_two(rank[self.owner[self.cold]], self.word[self.cold])]
         self.warm = np.flatnonzero(warm)
         self.w_bucket = (_mix(_mix(self.word[self.warm]) ^ self.hists[self.owner[self.warm]].astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
         turn = np.lexsort((self.word[self.warm], self.hists[self.owner[self.warm]], self.w_bucket))
@@ -216,26 +233,26 @@ class Grams:
                 self.sums[self.h_order] = np.concatenate([_matrix(r[4]) for r in mine])
         if told:
             hist = np.array([h for h, _ in told], np.int64)
-            at = np.searchsorted(self.hists, hist)
+            turn = np.argsort(self.hists)
+            at = turn[np.searchsorted(self.hists, hist, sorter=turn)]
             self.sums[at] = np.array([x for _, x in told], np.int64)
 
 
 class Chunk:
     """Documents as word numbers; number 0 is the end."""
 
-    def __init__(self, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray, high: np.ndarray, low: np.ndarray, buckets: int, hot: int):
-        self.ids, self.sizes, self.tokens, self.high, self.low, self.buckets, self.hot = ids, sizes, tokens, high, low, buckets, hot
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray, order: np.ndarray, buckets: int, hot: int):
+        #: Words in the order in which they are sent: by bucket and key.
+        self.ids, self.sizes, self.tokens, self.order, self.buckets, self.hot = ids, sizes, tokens, order, buckets, hot
         self.held = np.array([held_out(i) for i in ids], bool)
         self.train = np.repeat(~self.held, sizes)
-        self.bucket = bucket_of(high, buckets)
-        self.order = np.lexsort((low, high & np.uint64((1 << 40) - 1), self.bucket))  # words as they are sent
         self.starts = np.cumsum(sizes) - sizes
         self.inside = np.arange(len(tokens)) - np.repeat(self.starts, sizes)
 
     def dump(self) -> bytes:
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
         none = np.array([i is None for i in self.ids], np.uint8)
-        parts = [zstandard.compress(x, 1) for x in (ids.tobytes(), none.tobytes(), self.high.tobytes(), self.low.tobytes())] + [pack_longs(self.sizes), pack_longs(self.tokens)]
+        parts = [zstandard.compress(x, 1) for x in (ids.tobytes(), none.tobytes())] + [pack_longs(self.sizes), pack_longs(self.tokens), pack_longs(self.order)]
         return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
     @classmethod
@@ -245,18 +262,18 @@ class Chunk:
             n = int.from_bytes(raw[at : at + 8], "little")
             parts.append(raw[at + 8 : at + 8 + n])
             at += 8 + n
-        ids, none, high, low = (np.frombuffer(zstandard.decompress(x), k) for x, k in zip(parts, (np.int64, np.uint8, np.uint64, np.uint64), strict=False))
-        return cls([None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)], unpack_longs(parts[4]), unpack_longs(parts[5]), high, low, buckets, hot)
+        ids, none = (np.frombuffer(zstandard.decompress(x), k) for x, k in zip(parts, (np.int64, np.uint8), strict=False))
+        return cls([None if z else i for i, z in zip(ids.tolist(), none.tolist(), strict=True)], *(unpack_longs(x) for x in parts[2:]), buckets, hot)
 
     def positions(self, order: int) -> list[int]:
         """Training tokens that have a history of each length up to ``order``."""
         return [int((self.train & (self.inside >= m - 2)).sum()) for m in range(2, order + 1)]
 
-    def words(self, order: int) -> list[tuple]:
-        """(bucket, keys, rest of the keys, training counts, positions) of the distinct words."""
-        count = np.bincount(self.tokens[self.train], minlength=len(self.high))[self.order]
-        high, low, out = self.high[self.order], self.low[self.order], []
-        cuts, bucket = _runs(self.bucket[self.order])
+    def words(self, high: np.ndarray, low: np.ndarray, order: int) -> list[tuple]:
+        """(bucket, keys, rest of the keys, training counts, positions) of the distinct words, whose keys these are."""
+        count = np.bincount(self.tokens[self.train], minlength=len(high))[self.order]
+        high, low, out = high[self.order], low[self.order], []
+        cuts, bucket = _runs(bucket_of(high, self.buckets))
         for b, x, y in zip(bucket.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             out.append((b, pack_sorted(high[x:y]), pack_array(low[x:y]), pack_longs(count[x:y]), None if out else self.positions(order)))
         return out
@@ -265,7 +282,7 @@ class Chunk:
         """Each word's training count and number, from replies (bucket, counts, numbers)."""
         mine = sorted(replies)
         counts, ranks = [unpack_longs(r[1]) for r in mine], [unpack_longs(r[2]) for r in mine]
-        self.count, self.word_id = np.empty(len(self.high), np.int64), np.empty(len(self.high), np.int64)
+        self.count, self.word_id = np.empty(len(self.order), np.int64), np.empty(len(self.order), np.int64)
         self.count[self.order] = np.concatenate(counts)
         self.word_id[self.order] = np.concatenate(ranks) * self.buckets + np.repeat([r[0] for r in mine], [len(c) for c in counts])
 
@@ -350,9 +367,11 @@ def _store(folder: str, buckets: int, order: int):
             turn = np.concatenate(([0], 1 + np.argsort(-np.bincount(flat, minlength=len(keys))[1:], kind="stable")))
             number_of = np.empty(len(turn), np.int64)
             number_of[turn] = np.arange(len(turn))
-            chunk, name = Chunk(ids, np.array(sizes), number_of[flat], keys[turn, 0], keys[turn, 1], buckets, HOT), (task << 24) | number
+            high, low = keys[turn, 0], (keys[turn, 1] >> np.uint64(32)).astype(np.uint32)
+            sent = np.lexsort((low, high & np.uint64((1 << 40) - 1), bucket_of(high, buckets)))
+            chunk, name = Chunk(ids, np.array(sizes), number_of[flat], sent, buckets, HOT), (task << 24) | number
             put_file(folder, f"{name}.chunk", chunk.dump())
-            return _table(_WORDS, [(name, *r) for r in chunk.words(order)]).combine_chunks().to_batches()[0]
+            return _table(_WORDS, [(name, *r) for r in chunk.words(high, low, order)]).combine_chunks().to_batches()[0]
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -373,7 +392,7 @@ def _store(folder: str, buckets: int, order: int):
 
 def _add_words(t: pa.Table) -> pa.Table:
     bucket, chunks = t.column("bucket")[0].as_py(), t.column("chunk").to_pylist()
-    high, low = [unpack_sorted(x) for x in t.column("keys").to_pylist()], [unpack_array(x, np.uint64) for x in t.column("rest").to_pylist()]
+    high, low = [unpack_sorted(x) for x in t.column("keys").to_pylist()], [unpack_array(x, np.uint32) for x in t.column("rest").to_pylist()]
     count = np.concatenate([unpack_longs(x) for x in t.column("counts").to_pylist()])
     h, l = np.concatenate(high), np.concatenate(low)
     turn = np.lexsort((l, h))
@@ -436,7 +455,7 @@ def _add_grams(order: int, last: bool, most: int):
         tot, below = np.concatenate(read("tots"))[first], np.concatenate(read("belows"))[first] if order > 2 else None
         owner = np.repeat(hist, np.concatenate(sizes))
         word, count, low = np.concatenate(words), np.concatenate(read("counts")), np.concatenate(read("lows"))
-        turn = np.lexsort((word, owner))
+        turn = _by_two(owner, word)
         new = np.concatenate(([True], (owner[turn][1:] != owner[turn][:-1]) | (word[turn][1:] != word[turn][:-1]))) if len(turn) else np.array([], bool)
         head, place = turn[new], np.empty(len(turn), np.int64)
         place[turn] = np.cumsum(new) - 1
@@ -499,6 +518,12 @@ def _keep(df: DataFrame, root: str, order: int) -> tuple[DataFrame, list[int]]:
     return stored, [int(x or 0) for x in sums]
 
 
+def _release(spark) -> None:
+    """Let Spark delete the exchanges whose results are stored: it does when its garbage collection finds nobody holds them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _HOT_ROWS = "chunk long, hist long, tot long, below long, sums array<long>"
 
 
@@ -582,9 +607,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
         return stored.filter("part = 'reply'").select("chunk", F.lit(m).alias("order"), "bucket", "hot", "counts", "numbers", "sums", F.lit(None).cast("array<struct<hist:bigint,sums:array<bigint>>>").alias("told"))
 
     replies = said(stored, 1)
+    del words
     for m in range(2, order + 1):
+        _release(spark)
         asked = replies.groupBy("chunk").applyInArrow(_ask(folder, buckets, HOT, m, list(models)), _ASKED)
         stored, n = _keep(asked.groupBy("bucket", "hot").applyInArrow(_add_grams(m, m == order, HOT), _REPLY), root, m)
+        del asked
         if m > 2:  # n-grams that occur once were not all sent; the rest of the positions are theirs
             n[3] = max(0, positions[m - 2] - n[0])
         models.append(Order(m, [0, *n[3 : K + 4]], models[-1] if models else one))
@@ -594,4 +622,5 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
         cold = model.mapInArrow(_weigh(models[-1], one), "history long, occurrences long, log_alpha double")
         warm = hot.select("hist", "tot", "below", "sums").mapInArrow(_weigh_hot(models[-1], one), "history long, occurrences long, log_alpha double")
         cold.unionByName(warm).write.option("compression", "zstd").parquet(f"{root}/weights/order={m}")
+    _release(spark)
     return replies.groupBy("chunk").applyInArrow(_evaluate(folder, buckets, HOT, one, models), out)
