@@ -87,11 +87,15 @@ def quality_issues(fields: DataFrame, key: str = "template_id") -> DataFrame:
     """(key, pos, field_id, severity, code) for fields (key, pos, id, label, type, options, depends_on).
 
     ``options`` is an array, ``depends_on`` the id of another field of the template, or null. Confidence rules use
-    ``detection_source``, ``detection_reviewed`` and ``detection_confidence`` where the table has them.
+    ``detection_source``, ``detection_reviewed`` and ``detection_confidence`` where the table has them (and
+    ``detection_band``), table rules ``columns`` (array of raw ids), and rules on the shape of conditions and on cycles
+    ``condition_object`` and ``condition_compares`` (booleans, null without a condition).
     """
     f = fields.withColumn("id", F.trim(F.coalesce("id", F.lit("")))).withColumn("same", F.count("*").over(W.partitionBy(key, "id")))
     known = f.filter("id <> ''").select(F.col(key).alias("k"), F.col("id").alias("known_id")).distinct()
     f = f.join(known, (F.col(key) == F.col("k")) & (F.col("depends_on") == F.col("known_id")), "left")
+    has = lambda *names: all(n in fields.columns for n in names)
+    whole = F.col("condition_object") if has("condition_object") else F.lit(True)
     options = F.transform(F.coalesce("options", F.expr("cast(array() as array<string>)")), lambda x: F.trim(x))
     some = F.filter(options, lambda x: x != "")
     drop = F.col("type") == "dropdown"
@@ -102,12 +106,26 @@ def quality_issues(fields: DataFrame, key: str = "template_id") -> DataFrame:
         ("error", "field.label_missing", is_empty(F.col("label"))),
         ("error", "dropdown.options_missing", drop & (F.size(F.array_distinct(some)) < 2)),
         ("warning", "dropdown.options_duplicate", drop & (F.size(F.array_distinct(some)) < F.size(some))),
-        ("error", "condition.field_unknown", F.col("depends_on").isNotNull() & (F.col("depends_on") != "") & F.col("known_id").isNull()),
-        ("error", "condition.field_missing", F.col("depends_on") == ""),
+        ("error", "condition.field_unknown", whole & F.col("depends_on").isNotNull() & (F.col("depends_on") != "") & F.col("known_id").isNull()),
+        ("error", "condition.field_missing", whole & (F.col("depends_on") == "")),
     ]
-    if "detection_confidence" in fields.columns:
-        unseen = F.col("detection_source").isin("automatic", "assisted", "auto_detection") & ~F.coalesce("detection_reviewed", F.lit(False))
-        rules += [("warning", "detection.low_confidence", unseen & (F.col("detection_confidence") < 0.65)), ("warning", "detection.medium_confidence", unseen & F.col("detection_confidence").between(0.65, 0.8499999999))]
+    if has("columns"):
+        named = F.filter(F.transform(F.coalesce("columns", F.expr("cast(array() as array<string>)")), lambda x: F.trim(x)), lambda x: x != "")
+        tab = F.col("type") == "repeatable_table"
+        rules += [("error", "table.columns_missing", tab & (F.size(named) == 0)), ("error", "table.columns_duplicate", tab & (F.size(F.array_distinct(named)) < F.size(named)))]
+    if has("condition_object", "condition_compares"):
+        rules += [("error", "condition.invalid", ~F.col("condition_object")), ("error", "condition.comparison_missing", F.col("condition_object") & ~F.col("condition_compares"))]
+        once = f.filter((F.col("id") != "") & (F.col("same") == 1)).select(F.col(key).alias("k"), F.col("id").alias("n"), F.when(F.col("condition_object"), F.trim("depends_on")).alias("t"))
+        inner = once.join(once.select("k", F.col("n").alias("t")), ["k", "t"], "left_semi")
+        on = cycles(inner, "k", "n", "t").select(F.col("k").alias("y_k"), F.col("n").alias("y_n"))
+        f = f.join(on, (F.col(key) == F.col("y_k")) & (F.col("id") == F.col("y_n")) & (F.col("same") == 1), "left")
+        rules.append(("error", "condition.cycle", F.col("y_n").isNotNull()))
+    if has("detection_confidence"):
+        band = F.lower(F.trim(F.coalesce("detection_band", F.lit("")))) if has("detection_band") else F.lit("")
+        sure = lambda x: F.coalesce(x, F.lit(False))
+        low, medium = (band == "low") | sure(F.col("detection_confidence") < 0.65), (band == "medium") | sure(F.col("detection_confidence") < 0.85)
+        unseen = F.lower(F.trim("detection_source")).isin("automatic", "assisted", "auto_detection") & ~F.coalesce("detection_reviewed", F.lit(False))
+        rules += [("warning", "detection.low_confidence", unseen & low), ("warning", "detection.medium_confidence", unseen & ~low & medium)]
     found = F.filter(F.array(*[F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"))) for s, c, test in rules]), lambda x: x.isNotNull())
     return f.select(F.col(key), "pos", F.col("id").alias("field_id"), F.explode(found).alias("i")).select(key, "pos", "field_id", "i.severity", "i.code")
 
