@@ -1,6 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-from . import detection, detectors, diagnosis, forms, geometry, labels, records, stores
+from . import detection, detectors, diagnosis, documents, forms, geometry, labels, records, stores
 
-QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES, **stores.QUERIES, **geometry.QUERIES, **labels.QUERIES, **detectors.QUERIES, **diagnosis.QUERIES}
-ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES, **stores.ORACLES, **geometry.ORACLES, **labels.ORACLES, **detectors.ORACLES, **diagnosis.ORACLES}
+QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES, **stores.QUERIES, **geometry.QUERIES, **labels.QUERIES, **detectors.QUERIES, **diagnosis.QUERIES, **documents.QUERIES}
+ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES, **stores.ORACLES, **geometry.ORACLES, **labels.ORACLES, **detectors.ORACLES, **diagnosis.ORACLES, **documents.ORACLES}

@@ -50,8 +50,7 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(path, fingerprint): SHA-256 over the length-prefixed names and contents of each DOCX's ``word/`` parts in order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
 
-    @F.udf("string")
-    def print_of(content):
+    def print_of(content: bytes) -> str | None:
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 h = hashlib.sha256()
@@ -62,4 +61,8 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
         except zipfile.BadZipFile:
             return None
 
-    return files.select("path", print_of("content").alias("fingerprint"))
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([print_of(x.as_py()) for x in b.column(1)], pa.string())], ["path", "fingerprint"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, fingerprint string")
