@@ -481,7 +481,8 @@ def _add_grams(order: int, last: bool, most: int):
             a, b = a + len(hs), b + len(ws)
         kept = np.flatnonzero(seen)
         follower = _lengths(np.bincount(who[kept], minlength=len(value)), word[head[kept]], total[kept])
-        whole = tot < most if not hot else np.ones(len(value), bool)
+        # A longer history without seen followers has weight one and is left out.
+        whole = (tot < most if not hot else np.ones(len(value), bool)) & ((order < 3) | sums.any(axis=1))
         rows.append(("hot" if hot else "model", None, bucket, hot, pack_longs(value[whole]), pack_longs(tot[whole]), None, _planes(sums[whole]), None, None if below is None else pack_longs(below[whole]), _stats(total)))
         rows.append(("counts", None, bucket, hot, pack_longs(value), follower, None, None, None, None, None))
         return _table(_REPLY, rows)
@@ -576,7 +577,10 @@ def _weigh_hot(model: Order, one: Unigrams):
 
 
 def weights(spark, root: str) -> DataFrame:
-    """(order, history, occurrences, log_alpha): the stored backoff weights, a row per history (its number)."""
+    """(order, history, occurrences, log_alpha): the stored backoff weights, a row per history (its number).
+
+    Histories of two words and more without seen followers have weight one and no row.
+    """
     return spark.read.parquet(f"{root}/weights").select("order", "history", "occurrences", "log_alpha")
 
 

@@ -141,6 +141,6 @@ def test_stored_weights_are_those_of_brute_force(spark, documents, tmp_path, mon
     for m in (2, 3):
         want = sorted(said(h) for h in model.alpha if len(h) == m - 1 and (m == 2 or said(h)[0] > 1))
         have = sorted(x for x in got[m] if m == 2 or x[0] > 1)
-        # A hot history without any seen follower has no row: its weight is one.
+        # A longer history without any seen follower has no row: its weight is one.
         missing = Counter(want) - Counter(have)
         assert not Counter(have) - Counter(want) and all(a == 0 for _, a in missing)
