@@ -155,7 +155,7 @@ def readiness(templates: DataFrame, fields: DataFrame, health: DataFrame, key: s
         F.count("*").alias("n"), F.bool_or((F.col("id") != "") & (F.col("same") > 1)).alias("twice"), F.bool_or((F.col("id") != "") & ~valid_id(F.col("id"))).alias("bad"),
         F.bool_or((F.col("type") == "dropdown") & (F.size(F.array_distinct(_filled("options"))) < 2)).alias("few"), F.bool_or((F.col("type") == "repeatable_table") & (F.size(F.coalesce("columns", F.expr(_NONE))) == 0)).alias("bare"), F.collect_set("id").alias("ids"),
     )
-    h = health.select(key, (F.size("malformed") + F.col("unmatched") > 0).alias("broken"))
+    h = health.select(key, ((F.size("malformed") > 0) | (F.col("unmatched") > 0)).alias("broken"))
     rows = templates.join(g, key, "left").join(h, key, "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     tokens = F.forall(_filled("filename_tokens"), lambda t: t.isin(*TOKENS) | F.array_contains(F.coalesce("ids", F.expr(_NONE)), t))

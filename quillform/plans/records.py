@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from ..operators import detect, history, matching, records
+from ..operators import detect, filters, history, matching, records
 from ..operators.graph import components
 from ..sources import ooxml
 from ..sources.stores import paste_tsv
@@ -243,10 +243,8 @@ _NEEDLE = "re"
 @query(f"""WITH u AS (SELECT 'customer' AS kind, c_custkey AS id, c_name || ' ' || c_mktsegment AS t FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name || ' ' || p_type FROM part UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation)
 SELECT kind, id FROM u WHERE contains(lower(t), '{_NEEDLE}')""")
 def global_search(spark, sf_dir):
-    one = lambda name, key, *cols: table(spark, sf_dir, name).select(F.lit(name).alias("kind"), F.col(key).cast("long").alias("id"), F.concat_ws(" ", *cols).alias("t"))
-    parts = [one("customer", "c_custkey", "c_name", "c_mktsegment"), one("supplier", "s_suppkey", "s_name"), one("part", "p_partkey", "p_name", "p_type"), one("nation", "n_nationkey", "n_name")]
-    u = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return u.filter(F.contains(F.lower("t"), F.lit(_NEEDLE))).select("kind", "id")
+    t = lambda name, *cols: table(spark, sf_dir, name).select(*cols)
+    return filters.search(_NEEDLE, customer=t("customer", "c_custkey", "c_name", "c_mktsegment"), supplier=t("supplier", "s_suppkey", "s_name"), part=t("part", "p_partkey", "p_name", "p_type"), nation=t("nation", "n_nationkey", "n_name"))
 
 
 @query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
@@ -257,8 +255,7 @@ def favorites_prune(spark, sf_dir):
 
 @query("SELECT 'customer' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
 def overview_counts(spark, sf_dir):
-    one = lambda name: table(spark, sf_dir, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
-    return one("customer").union(one("orders")).union(one("events")).union(one("documents"))
+    return filters.overview(**{name: table(spark, sf_dir, name) for name in ("customer", "orders", "events", "documents")})
 
 
 # ---------------------------------------------------------------- histories
