@@ -183,7 +183,9 @@ class Grams:
         self.place[sent] = at
         self.owner, self.word, self.low = pair >> 32, chunk.word_id[pair & 0xFFFFFFFF], low[sent][first]
         self.seen = np.bincount(at[chunk.train[sent]], minlength=len(pair))
-        self.hot = self.tot >= chunk.hot
+        self.order, self.hot = order, self.tot >= chunk.hot
+        # Histories that occur in this chunk only: their sums needn't travel.
+        self.own = (np.bincount(self.h_place[live & chunk.train], minlength=len(self.hists)) == self.tot) & ~self.hot
         # Histories by bucket and number; cold items with them, hot items by their own bucket.
         self.h_bucket = (_mix(self.hists) % np.uint64(self.buckets)).astype(np.int64)
         self.h_order = np.lexsort((self.hists, self.h_bucket))
@@ -201,10 +203,10 @@ class Grams:
         words, at = np.unique(self.word[items], return_inverse=True)
         below = None if self.below is None else pack_longs(self.below[hists])
         asc = self.hists[hists]
-        return (bucket, hot, pack_longs(np.diff(asc, prepend=0)), pack_longs(self.tot[hists]), below, pack_longs(sizes), pack_longs(np.diff(words, prepend=0)), pack_longs(at), pack_longs(self.seen[items]), pack_longs(self.low[items]))
+        return (bucket, hot, pack_longs(np.diff(asc, prepend=0)), pack_longs(self.tot[hists]), below, pack_longs(sizes), pack_longs(np.diff(words, prepend=0)), pack_longs(at), pack_longs(self.seen[items]), pack_longs(self.low[items]), np.packbits(self.own[hists]).tobytes())
 
     def messages(self) -> list[tuple]:
-        """(bucket, hot, numbers, occurrences and totals below of histories, sizes, followers, which, training counts, endings' counts)."""
+        """(bucket, hot, numbers, occurrences and totals below of histories, sizes, followers, which, training counts, endings' counts, own histories)."""
         out = []
         sizes = np.bincount(self.owner[self.cold], minlength=len(self.hists))[self.h_order]
         upto = np.concatenate(([0], np.cumsum(sizes)))
@@ -230,7 +232,9 @@ class Grams:
                     bucket = np.repeat([r[1] for r in mine], [len(c) for c in counts])
                     self.number[items] = ((np.concatenate([unpack_longs(r[3]) for r in mine]) * self.buckets + bucket) << 1) | int(hot)
             if mine and not hot:
-                self.sums[self.h_order] = np.concatenate([_matrix(r[4]) for r in mine])
+                self.sums[self.h_order[~self.own[self.h_order]]] = np.concatenate([_matrix(r[4]) for r in mine])
+        local = self.own[self.owner]
+        self.sums[self.own] = _history_sums(self.owner[local], self.total[local], self.low[local], len(self.hists), self.order)[self.own]
         if told:
             hist = np.array([h for h, _ in told], np.int64)
             turn = np.argsort(self.hists)
@@ -329,7 +333,7 @@ class Chunk:
 
 
 _WORDS = "chunk long, bucket long, keys binary, rest binary, counts binary, positions array<long>"
-_ASKED = "chunk long, bucket long, hot boolean, hists binary, tots binary, belows binary, sizes binary, words binary, which binary, counts binary, lows binary"
+_ASKED = "chunk long, bucket long, hot boolean, hists binary, tots binary, belows binary, sizes binary, words binary, which binary, counts binary, lows binary, owns binary"
 _REPLY = "part string, chunk long, bucket long, hot boolean, keys binary, counts binary, numbers binary, sums binary, tots binary, belows binary, stats array<long>"
 _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
@@ -443,9 +447,19 @@ def _ask(folder: str, buckets: int, hot: int, order: int, models: list[Order]):
     return run
 
 
-def _add_grams(order: int, last: bool, most: int):
-    least = unseen(order) + 1
+def _history_sums(who: np.ndarray, total: np.ndarray, ending: np.ndarray, n: int, order: int) -> np.ndarray:
+    """The ``SUMS`` of n histories from their n-grams: history, occurrences, occurrences of the ending."""
+    seen, sums = total > unseen(order), np.zeros((n, SUMS), np.int64)
+    sums[:, 0] = _sum(who[total > K], total[total > K], n)
+    for r in range(1, K + 1):
+        sums[:, r] = np.bincount(who[total == r], minlength=n)
+        sums[:, K + r] = np.bincount(who[seen & (ending == r)], minlength=n)
+    big = seen & (ending > K)
+    sums[:, 2 * K + 1] = _sum(who[big], ending[big], n)
+    return sums
+
 
+def _add_grams(order: int, last: bool, most: int):
     def run(t: pa.Table) -> pa.Table:
         bucket, hot, chunks = t.column("bucket")[0].as_py(), t.column("hot")[0].as_py(), t.column("chunk").to_pylist()
         read = lambda name: [unpack_longs(x) for x in t.column(name).to_pylist()]
@@ -461,25 +475,18 @@ def _add_grams(order: int, last: bool, most: int):
         place[turn] = np.cumsum(new) - 1
         total = _sum(place, count, len(head))
         who, ending = owner[head], low[head]
-        seen = total >= least
-        sums = np.zeros((len(value), SUMS), np.int64)
-        sums[:, 0] = _sum(who[total > K], total[total > K], len(value))
-        for r in range(1, K + 1):
-            sums[:, r] = np.bincount(who[total == r], minlength=len(value))
-            sums[:, K + r] = np.bincount(who[seen & (ending == r)], minlength=len(value))
-        big = seen & (ending > K)
-        sums[:, 2 * K + 1] = _sum(who[big], ending[big], len(value))
+        sums = _history_sums(who, total, ending, len(value), order)
         # Only n-grams that occur twice can be histories.
         number = np.where(total > 1, np.cumsum(total > 1) - 1, 0)
         rows, a, b = [], 0, 0
-        for chunk, hs, ws in zip(chunks, hists, words, strict=True):
+        for chunk, hs, ws, own in zip(chunks, hists, words, t.column("owns").to_pylist(), strict=True):
             mine, items = hist[a : a + len(hs)], place[b : b + len(ws)]
-            rows.append(("reply", chunk, bucket, hot, None, pack_longs(total[items]), None if last else pack_longs(number[items]), None if hot else _planes(sums[mine]), None, None, None))
+            rows.append(("reply", chunk, bucket, hot, None, pack_longs(total[items]), None if last else pack_longs(number[items]), None if hot else _planes(sums[mine[np.unpackbits(np.frombuffer(own, np.uint8), count=len(hs)) == 0]]), None, None, None))
             asked = hs[tot[mine] >= most]
             if not hot and len(asked):
                 rows.append(("ask", chunk, bucket, hot, pack_longs(asked), None, None, None, None, None, None))
             a, b = a + len(hs), b + len(ws)
-        kept = np.flatnonzero(seen)
+        kept = np.flatnonzero(total > unseen(order))
         follower = _lengths(np.bincount(who[kept], minlength=len(value)), word[head[kept]], total[kept])
         # A longer history without seen followers has weight one and is left out.
         whole = (tot < most if not hot else np.ones(len(value), bool)) & ((order < 3) | sums.any(axis=1))
