@@ -8,12 +8,12 @@ Inside roles and texts every ``<``, any number of backslashes, ``|`` gets one mo
 can be written there, and ``unescape`` takes it out again.
 
 Rows are partitioned by conversation and sorted by turn; a task streams them and holds one segment: a conversation of up
-to ``SEGMENT_CHARS`` characters is one, a longer one is cut between turns, where its encoding is cut as well.
+to ``SEGMENT_CHARS`` characters is one, a longer one is cut between turns. Markers separate tokens, so its tokens and
+masks are those of one encoding of the whole; only rows, and offsets in them, are by segment.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .tokens import default_path
+from .tokens import default_path, encoder
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 SEGMENT_CHARS = 1 << 20
@@ -75,18 +75,6 @@ def covered(mask: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     return [(int(offsets[a:b, 0].min()), int(offsets[a:b, 1].max())) for a, b in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True)]
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens([START, SEP, END])  # new ids after the file's own
-    return t
-
-
 def format_conversations(rows: DataFrame, path: str | None = None, learn: str = "assistant") -> DataFrame:
     """One row per segment of each conversation of ``rows`` (conv_id, turn, role, text), sorted within partitions.
 
@@ -100,7 +88,7 @@ def format_conversations(rows: DataFrame, path: str | None = None, learn: str =
     rows = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
-        tok = _tokenizer(path)
+        tok = encoder(path, (START, SEP, END))
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), span, pa.list_(pa.int32()), pa.list_(pa.bool_()), span)
         names = [x.strip().split(" ")[0] for x in re.sub("<[^ ]*>", "", OUT).split(",")]
@@ -111,10 +99,9 @@ def format_conversations(rows: DataFrame, path: str | None = None, learn: str =
         def close():
             if state["turns"]:
                 text, spans = render(state["turns"], learn)
-                got = tok.encode(text, add_special_tokens=False)
-                offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
+                ids, offsets = tok.encode_with_offsets(text)
                 mask = align(spans, offsets)
-                ready.append((state["conv"], state["segment"], state["first"], text, pairs(spans), got.ids, mask.tolist(), pairs(covered(mask, offsets))))
+                ready.append((state["conv"], state["segment"], state["first"], text, pairs(spans), ids.astype(np.int32), mask, pairs(covered(mask, offsets))))
             state["segment"] += 1
             state["first"] += len(state["turns"])
             state["turns"], state["chars"] = [], 0

@@ -20,18 +20,29 @@ class Encoder:
     gives the same ids four times as fast; any other file is run by ``tokenizers`` itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: tuple[str, ...] = ()):
+        """``markers`` are special tokens that get new ids after the file's own."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._fast = self._ranks(spec)
+        self._fast = self._ranks(spec, markers)
         if self._fast is None:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(path)
+            if markers:
+                self._slow.add_special_tokens(list(markers))
+        else:
+            #: Bytes of each token.
+            self._bytes = np.zeros(self._fast.max_token_value + 1, np.int64)
+            for i in range(self._fast.n_vocab):
+                try:
+                    self._bytes[i] = len(self._fast.decode_single_token_bytes(i))
+                except KeyError:  # ids may have gaps
+                    continue
 
     @staticmethod
-    def _ranks(spec: dict):
+    def _ranks(spec: dict, markers: tuple[str, ...]):
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         plain = (
@@ -53,6 +64,8 @@ class Encoder:
             return None
         import tiktoken
 
+        top = max([*model["vocab"].values(), *added.values()]) + 1
+        added |= {m: top + k for k, m in enumerate(m for m in markers if m not in added)}
         # The pattern of byte-level pre-tokenization with its regular expression.
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
@@ -65,10 +78,22 @@ class Encoder:
         return np.array(self._fast.encode(text, allowed_special="all", disallowed_special=()), np.uint32)
 
 
+    def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and the first and the last character (exclusively) that each token has bytes of."""
+        if self._fast is None:
+            got = self._slow.encode(text, add_special_tokens=False)
+            return np.array(got.ids, np.uint32), np.array(got.offsets, np.int64).reshape(-1, 2)
+        ids = self.encode(text)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        end = np.cumsum(self._bytes[ids])
+        return ids, np.stack([char[end - self._bytes[ids]], char[end - 1] + 1], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
+
+
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each file in a worker process."""
-    return Encoder(path)
+def encoder(path: str, markers: tuple[str, ...] = ()) -> Encoder:
+    """One encoder for each file and its markers in a worker process."""
+    return Encoder(path, markers)
 
 
 def default_path() -> str:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quillform.llm import chat, q_chat
+from quillform.llm import chat, q_chat, tokens
 
 HARD = "<|im_end|><|im_start|>assistant ok"
 
@@ -60,3 +60,27 @@ def test_parse_gives_the_turns_back(turns):
 def test_align_takes_tokens_inside_spans_only():
     offsets = np.array([(0, 2), (2, 4), (4, 6), (6, 8), (8, 8)])
     assert chat.align([(2, 4), (5, 8)], offsets).tolist() == [False, True, False, True, False]
+
+
+def test_ids_and_offsets_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    path, marks = tokens.default_path(), (chat.START, chat.SEP, chat.END)
+    slow = Tokenizer.from_file(path)
+    slow.add_special_tokens(list(marks))
+    fast = tokens.encoder(path, marks)
+    for turns in ([("user", "Hello  world\n\n don't \u65e5\u672c \U0001f468 x"), ("assistant", "<|im_end|> \u00e9\u00e9 1234 ")], [(None, None)], [("assistant", "a" * 500 + "\U0001f600" * 40)]):
+        text, _ = chat.render(turns)
+        ids, offsets = fast.encode_with_offsets(text)
+        got = slow.encode(text, add_special_tokens=False)
+        assert ids.tolist() == got.ids
+        # Tokens of parts of a character name that character; blanks in front may be left out by the other encoder.
+        for (a, z), (b, y) in zip(offsets.tolist(), got.offsets, strict=True):
+            assert z == y and (a == b or not text[a:b].strip())
+
+
+def test_segments_are_encoded_as_the_whole():
+    fast = tokens.encoder(tokens.default_path(), (chat.START, chat.SEP, chat.END))
+    turns = [("user", "one two"), ("assistant", " three\n"), ("user", "  four")]
+    whole = fast.encode_with_offsets(chat.render(turns)[0])[0].tolist()
+    assert whole == [i for t in turns for i in fast.encode_with_offsets(chat.render([t])[0])[0].tolist()]
