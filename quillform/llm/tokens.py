@@ -25,6 +25,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._entries = spec["model"]["vocab"]
         self._fast = self._ranks(spec, markers)
         if self._fast is None:
             from tokenizers import Tokenizer
@@ -77,6 +78,24 @@ class Encoder:
             return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self._fast.encode(text, allowed_special="all", disallowed_special=()), np.uint32)
 
+    def encode_plain(self, text: str) -> np.ndarray:
+        """``encode`` where strings of special tokens are ordinary text."""
+        if self._fast is not None:
+            return np.array(self._fast.encode_ordinary(text), np.uint32)
+        self._slow.encode_special_tokens = True
+        try:
+            return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        finally:
+            self._slow.encode_special_tokens = False
+
+    @functools.cached_property
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id by byte-level decoding of its entry; none where there is no such id."""
+        entries = self._entries
+        table = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            table[i] = bytes(_BYTE[c] for c in entry) if all(c in _BYTE for c in entry) else entry.encode()
+        return table
 
     def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and the first and the last character (exclusively) that each token has bytes of."""
@@ -90,6 +109,29 @@ class Encoder:
         return ids, np.stack([char[end - self._bytes[ids]], char[end - 1] + 1], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
 
 
+class PieceEncoder:
+    """Ids and token bytes of a ``sentencepiece`` model, which puts a blank in front of a text."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self._model = sentencepiece.SentencePieceProcessor(model_file=path)
+        #: A piece in UTF-8 with U+2581 as a blank; pieces of single bytes as that byte.
+        self.token_bytes = [self._decode(i) for i in range(self._model.get_piece_size())]
+
+    def _decode(self, i: int) -> bytes:
+        piece = self._model.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else piece.replace("\u2581", " ").encode()
+
+    def encode_plain(self, text: str) -> np.ndarray:
+        return np.array(self._model.encode(text), np.uint32)
+
+
+@functools.lru_cache(maxsize=4)
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, markers: tuple[str, ...] = ()) -> Encoder:
     """One encoder for each file and its markers in a worker process."""
@@ -101,3 +143,10 @@ def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def piece_path() -> str:
+    """The piece tokenizer that the production query holds against it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
