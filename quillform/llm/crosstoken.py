@@ -1,7 +1,7 @@
 """Alignment of the tokens of two tokenizers, by relational joins over token intervals.
 
 Both tokenizers cut the same bytes (a blank and the text). A task takes documents in chunks of bounded text, puts their
-tokens into two tables of byte intervals (doc, k, id, start, stop) and lets DuckDB align them:
+tokens into two tables of byte intervals (doc, k, id, start, stop; documents behind each other) and lets DuckDB align them:
 
 * groups: windows over the offsets where tokens of both end number the groups between them and give the tokens in each;
 * links: pairs that end together, by an equal join; or all pairs that overlap, for which ASOF joins find the first and the last
@@ -20,6 +20,7 @@ import hashlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,23 +29,20 @@ from pyspark.sql import types as T
 from .common import materialize, prepare
 from .tokens import default_path, encoder, piece_encoder, piece_path
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 DUCKDB_MB = 700
 
 #: Tokens that end together, and whether a group ends with them (behind its last tokens, should some be empty).
-_MEET = "SELECT a.doc, a.id AS a, b.id AS b, a.k AS ka, b.k AS kb, a.last AND b.last AS cut FROM a JOIN b ON a.doc = b.doc AND a.stop = b.stop"
+_MEET = "SELECT a.doc, a.id AS a, b.id AS b, a.k AS ka, b.k AS kb, a.last AND b.last AS cut FROM a JOIN b ON a.stop = b.stop"
 #: The first and the last partner of a token by ASOF joins, then those between by number: no more rows than there are links.
 _OVERLAP = """
-WITH lo AS (SELECT a.doc, a.k, a.id, b.k AS first FROM a ASOF JOIN b ON a.doc = b.doc AND a.start < b.stop),
-hi AS (SELECT a.doc, a.k, b.k AS last FROM a ASOF JOIN b ON a.doc = b.doc AND a.stop > b.start)
-SELECT lo.doc, lo.id AS a, b.id AS b FROM lo JOIN hi USING (doc, k), unnest(range(first, last + 1)) r(k2) JOIN b ON b.doc = lo.doc AND b.k = r.k2
+WITH lo AS (SELECT a.doc, a.k, a.id, b.k AS first FROM a ASOF JOIN b ON a.start < b.stop),
+hi AS (SELECT a.k, b.k AS last FROM a ASOF JOIN b ON a.stop > b.start)
+SELECT lo.doc, lo.id AS a, b.id AS b FROM lo JOIN hi USING (k), unnest(range(first, last + 1)) r(k2) JOIN b ON b.k = r.k2
 """
 _LINKS = {"end": "SELECT doc, a, b FROM meet", "overlap": _OVERLAP}
-#: The number of each group in its document, and how many tokens of both lie in it.
-_GROUPS = """
-SELECT doc, sum(1) OVER w AS g, ka - coalesce(lag(ka) OVER w, -1) AS n_a, kb - coalesce(lag(kb) OVER w, -1) AS n_b
-FROM meet WHERE cut WINDOW w AS (PARTITION BY doc ORDER BY ka) ORDER BY doc, ka
-"""
+#: The tokens of both in each group. A document ends with a group, so positions run on through the chunk.
+_GROUPS = "SELECT doc, ka - lag(ka, 1, -1) OVER w AS n_a, kb - lag(kb, 1, -1) OVER w AS n_b FROM meet WHERE cut WINDOW w AS (ORDER BY ka) ORDER BY ka"
 
 
 @functools.lru_cache(maxsize=1)
@@ -58,49 +56,34 @@ def _database():
 
 
 def _intervals(ids: list[np.ndarray], lengths: np.ndarray) -> pa.Table:
-    """Tokens of documents as intervals."""
+    """Tokens of a chunk as intervals of its bytes: documents lie behind each other, in both tables at the same places."""
     doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    stop, k = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int32)
-    at = 0
-    for x in ids:
-        n = len(x)
-        stop[at : at + n] = np.cumsum(lengths[x])
-        k[at : at + n] = np.arange(n)
-        at += n
-    last = np.append((np.diff(stop) != 0) | (np.diff(doc) != 0), True) if len(flat) else np.zeros(0, bool)
-    return pa.table({"doc": doc, "k": k, "id": flat.astype(np.int32), "start": stop - lengths[flat], "stop": stop, "last": last})
-
-
-def _texts(a: list[np.ndarray], b: list[np.ndarray], doc: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> dict[int, str]:
-    """``a1,a2|b1;a3|b2`` of each document from the sizes of its groups in order."""
+    flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+    size = lengths[flat]
+    stop = np.cumsum(size)
+    last = np.append(np.diff(stop) != 0, True) if len(flat) else np.zeros(0, bool)
+    return pa.table({"doc": doc, "k": np.arange(len(flat)), "id": flat, "start": stop - size, "stop": stop, "last": last})
+
+
+def _texts(a: list[np.ndarray], b: list[np.ndarray], doc: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+    """``a1,a2|b1;a3|b2`` of each document from the sizes of its groups in order; empty without tokens."""
     # Tokens by group, those of the first tokenizer in front: runs of sizes n_a, n_b, n_a, n_b, ...
     sizes = np.stack([n_a, n_b], axis=1).reshape(-1)
     begins = np.cumsum(sizes) - sizes
-    ids = np.empty(int(sizes.sum()), np.int64)
+    ids = np.empty(int(sizes.sum()), np.int32)
     of_a = np.repeat(np.arange(len(sizes)) % 2 == 0, sizes)
-    whole = sorted(set(doc.tolist()))
-    ids[of_a] = np.concatenate([a[d] for d in whole]) if whole else 0
-    ids[~of_a] = np.concatenate([b[d] for d in whole]) if whole else 0
-    marks = np.full(len(ids), ",", object)
-    marks[begins[::2]], marks[begins[1::2]] = ";", "|"
-    parts = np.empty(2 * len(ids), object)
-    parts[::2], parts[1::2] = marks, _numerals(int(ids.max()).bit_length() if len(ids) else 0)[ids]
-    out, at = {}, 0
-    for d in whole:
-        n = 2 * (len(a[d]) + len(b[d]))
-        out[d] = "".join(parts[at + 1 : at + n].tolist())
-        at += n
-    return out
-
-
-@functools.lru_cache(maxsize=2)
-def _numerals(bits: int) -> np.ndarray:
-    return np.array([str(i) for i in range(1 << bits)], object)
-
-
-def align_chunk(a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray, b_lengths: np.ndarray, relation: str, digest: bool):
-    """(by document: groups, links, group text or digest, numbers of its pairs and how often), and the chunk's (a, b, n) pairs."""
+    if len(ids):
+        ids[of_a], ids[~of_a] = np.concatenate(a), np.concatenate(b)
+    mark = np.zeros(len(ids), np.int32)
+    mark[begins[::2]], mark[begins[1::2]] = 1, 2
+    edges = np.concatenate(([0], np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)]))).astype(np.int32)
+    mark[edges[:-1][np.diff(edges) > 0]] = 3
+    parts = pc.binary_join_element_wise(pa.array([",", ";", "|", ""]).take(pa.array(mark)), pc.cast(pa.array(ids), pa.string()), "")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), parts), "").to_pylist()
+
+
+def align_chunk(a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray, b_lengths: np.ndarray, relation: str, digest: bool) -> tuple[dict, dict]:
+    """Columns of the documents (``pairs`` numbers those of the chunk, ``times`` tells how often), and the chunk's (a, b, n) pairs."""
     db = _database()
     db.register("a", _intervals(a, a_lengths))
     db.register("b", _intervals(b, b_lengths))
@@ -110,19 +93,21 @@ def align_chunk(a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray,
         db.execute("CREATE OR REPLACE TEMP TABLE pair AS SELECT a, b, n, row_number() OVER (ORDER BY a, b) - 1 AS i FROM (SELECT a, b, count(*) AS n FROM link GROUP BY a, b)")
         groups = db.execute(_GROUPS).fetchnumpy()
         pairs = db.execute("SELECT a, b, n FROM pair ORDER BY i").fetchnumpy()
-        held = db.execute("SELECT doc, list(i ORDER BY i) AS pairs, list(n ORDER BY i) AS times FROM (SELECT link.doc, pair.i, count(*) AS n FROM link JOIN pair ON link.a = pair.a AND link.b = pair.b GROUP BY link.doc, pair.i) GROUP BY doc").fetchall()
+        held = db.execute("SELECT link.doc, CAST(pair.i AS INTEGER) AS i, count(*) AS n FROM link JOIN pair ON link.a = pair.a AND link.b = pair.b GROUP BY link.doc, pair.i ORDER BY link.doc, pair.i").fetchnumpy()
     finally:
         for name in ("meet", "link", "pair"):
             db.execute(f"DROP TABLE IF EXISTS {name}")
         db.unregister("a")
         db.unregister("b")
-    doc = groups["doc"]
-    count = np.bincount(doc, minlength=len(a)) if len(doc) else np.zeros(len(a), np.int64)
-    docs = {}
-    for d, said in _texts(a, b, doc, groups["n_a"], groups["n_b"]).items():
-        docs[d] = [int(count[d]), 0, hashlib.sha256(said.encode()).hexdigest() if digest else said, [], []]
-    for d, numbers, times in held:
-        docs[d][1], docs[d][3], docs[d][4] = sum(times), numbers, times
+    said = _texts(a, b, groups["doc"], groups["n_a"], groups["n_b"])
+    if digest:
+        said = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in said]
+    total = lambda doc, weights=None: np.bincount(doc, weights, minlength=len(a)).astype(np.int64)
+    edges = pa.array(np.concatenate(([0], np.cumsum(total(held["doc"])))).astype(np.int32))
+    docs = {
+        "n_a": [len(x) for x in a], "n_b": [len(x) for x in b], "n_groups": total(groups["doc"]), "n_links": total(held["doc"], held["n"]), "groups": said,
+        "pairs": pa.ListArray.from_arrays(edges, pa.array(held["i"], pa.int32())), "times": pa.ListArray.from_arrays(edges, pa.array(held["n"], pa.int64())),
+    }
     return docs, pairs
 
 
@@ -150,19 +135,19 @@ def chunks(docs: DataFrame, keep: list[str], text: str, a_path: str, b_path: str
             if not said:
                 return none, none
             raw, a, b = f" {said}".encode(), first.encode_plain(f" {said}"), second.encode_plain(said)
-            whole = b"".join([a_bytes[i] for i in a.tolist()]) == raw and b"".join([b_bytes[i] for i in b.tolist()]) == raw
+            whole = b"".join(map(a_bytes.__getitem__, a.tolist())) == raw and b"".join(map(b_bytes.__getitem__, b.tolist())) == raw
             return (a, b) if whole else (none, none)
 
         def made(rows, found):
             nonlocal number
             done, pairs = align_chunk([x for x, _ in found], [x for _, x in found], a_lengths, b_lengths, relation, digest)
-            out = []
-            for d, (r, (a, b)) in enumerate(zip(rows, found, strict=True)):
-                groups, links, said, numbers, times = done.get(d, (0, 0, "", [], []))
-                out.append({"row": r, "n_a": len(a), "n_b": len(b), "n_groups": groups, "n_links": links, "groups": said, "pairs": numbers, "times": times})
-            listed = [{"a": int(x), "b": int(y), "n": int(n)} for x, y, n in zip(pairs["a"], pairs["b"], pairs["n"], strict=True)]
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, number, out, listed), arrow.types, strict=True)], schema=arrow)
+            kind = arrow.field("docs").type
+            doc = pa.StructArray.from_arrays([pa.array(rows, kind.value_type.field("row").type), *[pa.array(done[f.name], f.type) if not isinstance(done[f.name], pa.Array) else done[f.name].cast(f.type) for f in list(kind.value_type)[1:]]], fields=list(kind.value_type))
+            pair = arrow.field("pairs").type.value_type
+            listed = pa.StructArray.from_arrays([pa.array(pairs[f.name], f.type) for f in pair], fields=list(pair))
+            one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(t)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), one(doc, kind), one(listed, arrow.field("pairs").type)], schema=arrow)
 
         rows, found, size = [], [], 0
         for batch in batches:
