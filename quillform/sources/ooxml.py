@@ -11,15 +11,17 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _W14 = "{http://schemas.microsoft.com/office/word/2010/wordml}"
+_ALTERNATE = "{http://schemas.openxmlformats.org/markup-compatibility/2006}AlternateContent"
 _FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
 _RECORD = (
     "path string, ordinal int, story string, table_index int, row_index int, cell_index int, grid_start int, grid_span int, v_merge string, text string, style string, is_bold boolean, is_red boolean, has_marker boolean, "
-    "control_id string, control_kind string, control_options array<string>, legacy_box string, error string"
+    "control_id string, control_kind string, control_options array<string>, legacy_box string, "
+    "block int, depth int, grid int, width int, runs int, bold_runs int, is_numbered boolean, named_boxes int, bare_boxes int, named_legacy int, bare_legacy int, glyph string, has_field boolean, has_object boolean, error string"
 )
 _KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _CONTENT = "<?xml version='1.0' encoding='UTF-8' standalone='yes'?>"
@@ -90,6 +92,44 @@ def _control(sdt: ElementTree.Element) -> tuple[str | None, str | None, list[str
     return name, "dropdown", [x for x in said if x]
 
 
+def _flag(node: ElementTree.Element | None) -> bool:
+    return node is not None and node.get(_W + "val", "true").lower() not in ("0", "false", "off")
+
+
+def _number(node: ElementTree.Element | None, name: str) -> int | None:
+    value = "" if node is None else node.get(_W + name, "")
+    return int(value) if value.removeprefix("-").isdigit() else None
+
+
+def _marks(p: ElementTree.Element) -> tuple:
+    """What of a paragraph isn't text: its runs with text and the bold ones, list style, check boxes by kind and name, the one
+    symbol or drawing of a paragraph without text, and whether it has fields or controls, or any object."""
+    every = list(p.iter())
+    text = "".join(n.text or "" for n in every if n.tag == _W + "t")
+    runs = [r for r in every if r.tag == _W + "r" and "".join(t.text or "" for t in r.iter(_W + "t")).strip()]
+    count = {k: 0 for k in ("named", "bare", "named_old", "bare_old")}
+    for node in every:
+        if node.tag == _W + "sdt":
+            name, kind, _ = _control(node)
+            if kind == "checkbox":
+                count["named" if name else "bare"] += 1
+        elif node.tag == _W + "ffData" and node.find(_W + "checkBox") is not None:
+            count["named_old" if (node.find(_W + "name") is not None and node.find(_W + "name").get(_W + "val", "").strip()) else "bare_old"] += 1
+    symbols = [n for n in every if n.tag == _W + "sym"]
+    # A drawing and its fallback are one.
+    drawings = [n for n in every if n.tag in (_W + "drawing", _W + "pict")]
+    pairs = [n for n in every if n.tag == _ALTERNATE]
+    glyph = None
+    if not text.strip():
+        if len(symbols) == 1 and any(f in symbols[0].get(_W + "font", "").lower() for f in ("wingdings", "webdings")):
+            glyph = "symbol"
+        elif (len(pairs) == 1 and any(n.tag in (_W + "drawing", _W + "pict") for n in pairs[0].iter())) or len(drawings) == 1:
+            glyph = "drawing"
+    fields = any(n.tag in (_W + "sdt", _W + "fldChar") for n in every)
+    bold = sum(_flag(r.find(f"{_W}rPr/{_W}b")) for r in runs)
+    return (len(runs), bold, p.find(f"{_W}pPr/{_W}numPr") is not None, *count.values(), glyph, fields, fields or bool(symbols or drawings))
+
+
 def _legacy(paragraph: ElementTree.Element) -> str | None:
     """The name of a legacy check box (empty without one), or null where there is none."""
     for node in _own(paragraph):
@@ -104,35 +144,39 @@ def records(content: bytes) -> list[tuple]:
     out: list[tuple] = []
     tables = 0
     nowhere = (None, None, None, None, None, None)
+    block = 0
 
-    def paragraph(p, story, place, control):
+    def paragraph(p, story, place, control, shape):
         props = p.find(f"{_W}pPr/{_W}pStyle")
         inner = next((n for n in _own(p) if n.tag == _W + "sdt"), None)
         if inner is not None:
             control = _control(inner)
         bold, text, legacy = p.find(f".//{_W}rPr/{_W}b") is not None, _text(p), _legacy(p)
-        out.append((len(out), story, *place, text, props.get(_W + "val") if props is not None else None, bold, _red(p), "{{" in text or control[1] is not None or legacy is not None, *control, legacy))
+        out.append((len(out), story, *place, text, props.get(_W + "val") if props is not None else None, bold, _red(p), "{{" in text or control[1] is not None or legacy is not None, *control, legacy, block, *shape, *_marks(p)))
         for box in _boxes(p):
-            walk(box, story, place, (None, None, None))
+            walk(box, story, place, (None, None, None), shape)
 
-    def walk(node, story, place, control):
-        nonlocal tables
+    def walk(node, story, place, control, shape):
+        nonlocal tables, block
         for child in node:
+            block += place is nowhere
             if child.tag == _W + "p":
-                paragraph(child, story, place, control)
+                paragraph(child, story, place, control, shape)
             elif child.tag == _W + "tbl":
                 index, tables = tables, tables + 1
+                columns = len(child.findall(f"{_W}tblGrid/{_W}gridCol")) or None
                 for r, row in enumerate(child.findall(_W + "tr")):
-                    start = 0
+                    start = max(0, _number(row.find(f"{_W}trPr/{_W}gridBefore"), "val") or 0)
                     for c, cell in enumerate(row.findall(_W + "tc")):
                         grid, merge = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
                         span = max(1, int(grid.get(_W + "val", "1"))) if grid is not None else 1
-                        walk(cell, story, (index, r, c, start, span, None if merge is None else merge.get(_W + "val", "continue")), control)
+                        here = (shape[0] + 1, columns, _number(cell.find(f"{_W}tcPr/{_W}tcW"), "w"))
+                        walk(cell, story, (index, r, c, start, span, None if merge is None else merge.get(_W + "val", "continue")), control, here)
                         start += span
             elif child.tag == _W + "sdt":
                 body = child.find(_W + "sdtContent")
                 if body is not None:
-                    walk(body, story, place, _control(child))
+                    walk(body, story, place, _control(child), shape)
 
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = [n for n in z.namelist() if n == "word/document.xml"] + sorted(n for n in z.namelist() if n.startswith(("word/header", "word/footer")) and n.endswith(".xml"))
@@ -141,7 +185,7 @@ def records(content: bytes) -> list[tuple]:
                 raise ValueError(f"{name} is larger than {MEMBER_LIMIT} bytes")
             root = ElementTree.fromstring(z.read(name))
             body = root.find(_W + "body") if name == "word/document.xml" else root
-            walk(body if body is not None else root, name.rpartition("/")[2].removesuffix(".xml"), nowhere, (None, None, None))
+            walk(body if body is not None else root, name.rpartition("/")[2].removesuffix(".xml"), nowhere, (None, None, None), (0, None, None))
     return out
 
 
@@ -167,6 +211,19 @@ def parse_docx(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, _RECORD)
 
 
+def layout_inputs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs, cells) of body records as the layout operators read them: doc is the path, tables are numbered from 1 in their
+    order, a cell's text is its paragraphs by line; tables inside cells, headers and footers are left out."""
+    body = records.filter("story = 'document' AND error IS NULL").withColumnRenamed("path", "doc")
+    paragraphs = body.filter("depth = 0").select("doc", "block", "text", "style", "runs", "bold_runs")
+    number = F.dense_rank().over(Window.partitionBy("doc").orderBy("block"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n")
+    cells = body.filter("depth = 1").groupBy("doc", "block", "row_index", "cell_index").agg(
+        F.first("grid_start").alias("start"), F.first("grid_span").alias("span"), lines.alias("text"), F.coalesce(F.first("v_merge") == "continue", F.lit(False)).alias("continues"), F.first("grid").alias("grid")
+    )
+    return paragraphs, cells.select("doc", "block", number.alias("table_index"), "row_index", "cell_index", "start", "span", "text", "continues", "grid")
+
+
 def build_docx(blocks: list[str | list[list[str]]]) -> bytes:
     """A minimal DOCX of paragraphs (texts) and tables (rows of cells); the same bytes for the same blocks."""
     one = lambda p: f'<w:p><w:r><w:t xml:space="preserve">{_escaped(p)}</w:t></w:r></w:p>'
