@@ -1,6 +1,6 @@
 """All queries of the library's own operators, and their SQL."""
 
-from . import axes, detection, detectors, diagnosis, documents, forms, geometry, inference, labels, records, stores
+from . import axes, detection, detectors, diagnosis, documents, forms, geometry, inference, labels, markers, records, stores
 
-QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES, **stores.QUERIES, **geometry.QUERIES, **labels.QUERIES, **detectors.QUERIES, **diagnosis.QUERIES, **documents.QUERIES, **inference.QUERIES, **axes.QUERIES}
-ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES, **stores.ORACLES, **geometry.ORACLES, **labels.ORACLES, **detectors.ORACLES, **diagnosis.ORACLES, **documents.ORACLES, **inference.ORACLES, **axes.ORACLES}
+QUERIES = {**forms.QUERIES, **records.QUERIES, **detection.QUERIES, **stores.QUERIES, **geometry.QUERIES, **labels.QUERIES, **detectors.QUERIES, **diagnosis.QUERIES, **documents.QUERIES, **inference.QUERIES, **axes.QUERIES, **markers.QUERIES}
+ORACLES = {**forms.ORACLES, **records.ORACLES, **detection.ORACLES, **stores.ORACLES, **geometry.ORACLES, **labels.ORACLES, **detectors.ORACLES, **diagnosis.ORACLES, **documents.ORACLES, **inference.ORACLES, **axes.ORACLES, **markers.ORACLES}
