@@ -128,6 +128,20 @@ def _repeat(root, values: dict) -> None:
                 table.insert(at + n - 1, made)
 
 
+def _serialized(root: ElementTree.Element, raw: bytes) -> bytes:
+    """An edited part with the prefixes and all declarations of its source, also those that only values of attributes name."""
+    declared: dict[str, str] = {}
+    for _, (prefix, uri) in ElementTree.iterparse(io.BytesIO(raw), events=["start-ns"]):
+        declared.setdefault(prefix or "", uri)
+    for prefix, uri in declared.items():
+        if not re.fullmatch(r"ns\d+", prefix):  # kept by the writer for itself
+            ElementTree.register_namespace(prefix, uri)
+    out = ElementTree.tostring(root, "unicode")
+    end = re.match(r"""<[^\s/>]+(?:[^>"']|"[^"]*"|'[^']*')*?(?=/?>)""", out).end()
+    missing = [f' xmlns:{p}="{u}"' for p, u in declared.items() if p and f' xmlns:{p}="' not in out[:end]]
+    return f"<?xml version='1.0' encoding='UTF-8' standalone='yes'?>\n{out[:end]}{''.join(missing)}{out[end:]}".encode()
+
+
 def generate(template: bytes, values: dict) -> bytes:
     """The template with its repeated rows, tags, controls and legacy boxes filled; ``Unfilled`` if a tag is left."""
     members, left = [], set()
@@ -138,7 +152,7 @@ def generate(template: bytes, values: dict) -> bytes:
                 root = ElementTree.fromstring(raw)
                 _repeat(root, values)
                 _fill(root, values, left)
-                raw = ElementTree.tostring(root, "utf-8", xml_declaration=True)
+                raw = _serialized(root, raw)
             members.append((name, raw))
     if left:
         raise Unfilled("left: " + ", ".join(sorted(left)))

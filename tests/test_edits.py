@@ -124,3 +124,13 @@ def test_accepted_sets_are_held_to_their_rules(spark):
 
 def test_damaged_packages_have_no_nodes(spark):
     assert pieces.parse(files(spark, b"PK no", package("<x"))).count() == 0
+
+
+def test_completed_documents_keep_declarations():
+    from quillform.sources.generate import generate
+
+    got = xml_of(generate(package(), {"nome": "Ana", "x": "Z"}))
+    declared = lambda xml: sorted(re.findall(r'xmlns:[a-z0-9]+="[^"]*"', xml))
+    assert declared(got) == declared(REAL) and 'mc:Ignorable="w14 wp14"' in got and "ns0:" not in got and "Olá Ana" in got
+    # Twice filled is filled the same way.
+    assert xml_of(generate(generate(package(), {"nome": "Ana", "x": "Z"}), {})) == got
