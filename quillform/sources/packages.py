@@ -46,23 +46,25 @@ def limits(entries: DataFrame) -> DataFrame:
     return g.select("path", "entries", "bytes", problem.alias("problem"))
 
 
+def fingerprint(content: bytes) -> str | None:
+    """SHA-256 over the length-prefixed names and contents of a DOCX's ``word/`` parts in order; null where it is no package."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            h = hashlib.sha256()
+            for name in sorted(n for n in z.namelist() if n.startswith("word/") and not n.endswith("/")):
+                for part in (name.encode(), z.read(name)):
+                    h.update(len(part).to_bytes(8, "big") + part)
+            return h.hexdigest()
+    except zipfile.BadZipFile:
+        return None
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, fingerprint): SHA-256 over the length-prefixed names and contents of each DOCX's ``word/`` parts in order."""
+    """(path, fingerprint) of each DOCX under a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
 
-    def print_of(content: bytes) -> str | None:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                h = hashlib.sha256()
-                for name in sorted(n for n in z.namelist() if n.startswith("word/") and not n.endswith("/")):
-                    for part in (name.encode(), z.read(name)):
-                        h.update(len(part).to_bytes(8, "big") + part)
-                return h.hexdigest()
-        except zipfile.BadZipFile:
-            return None
-
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([print_of(x.as_py()) for x in b.column(1)], pa.string())], ["path", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.string())], ["path", "fingerprint"])
 
     return files.select("path", "content").mapInArrow(run, "path string, fingerprint string")
