@@ -9,21 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` in a table of the shared folder that ``spark.checkpoint.dir`` names, so that lineage ends there.
-
-    The table goes when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names; it goes when the driver's interpreter ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/quillform-graph-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quillform-{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` in a table of the shared folder, so that lineage ends there."""
+    path = scratch(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark, path: str) -> None:

@@ -1,6 +1,6 @@
 """Tables that are published whole: written aside, audited, and made the present version by one small file.
 
-``root/data-<id>`` holds the rows of a version, ``root/_versions/<number>`` names its folder. A reader takes the highest number whose
+``root/data-<id>`` holds the rows of a version, ``root/_versions/<number>`` names its folder, or all folders of one that was extended. A reader takes the highest number whose
 file is complete, so it sees the old version or the new one, never a half: what a lost task or driver leaves behind isn't named
 by any file. Two writers that start from the same version cannot both publish: the second finds its number taken.
 """
@@ -47,18 +47,18 @@ def _told(spark: SparkSession, root: str, number: int) -> dict | None:
         return None
 
 
-def current(spark: SparkSession, root: str, upto: int | None = None) -> tuple[int, str] | None:
-    """(number, folder) of the newest whole version, or of the newest up to one."""
+def current(spark: SparkSession, root: str, upto: int | None = None) -> tuple[int, list[str]] | None:
+    """(number, folders) of the newest whole version, or of the newest up to one."""
     for number in reversed(_numbers(spark, root)):
         if upto is None or number <= upto:
             told = _told(spark, root, number)
             if told:
-                return number, f"{root}/{told['folder']}"
+                return number, told["folders"]
     return None
 
 
-def publish(df: DataFrame, root: str, audit: Callable[[DataFrame], DataFrame] | None = None, expected: int | None = None, keep: int = 2) -> int:
-    """Publish ``df`` as the next version and return its number.
+def publish(df: DataFrame, root: str, audit: Callable[[DataFrame], DataFrame] | None = None, expected: int | None = None, keep: int = 2, extend: bool = False) -> int:
+    """Publish ``df`` as the next version and return its number; with ``extend`` its rows come to those of the present version.
 
     ``audit`` maps the rows as written to a table of problems; if that has any, nothing is published (``Rejected`` names up to 20).
     ``expected`` is the version that ``df`` was made from (0: none); if it isn't the present one, ``Conflict``. Of the versions before,
@@ -76,7 +76,7 @@ def publish(df: DataFrame, root: str, audit: Callable[[DataFrame], DataFrame] |
             found = [r.asDict() for r in audit(spark.read.schema(df.schema).parquet(f"{root}/{folder}")).limit(20).collect()]
             if found:
                 raise Rejected(f"not published: {found}")
-        _commit(spark, root, number + 1, {"folder": folder, "at": time.time()})
+        _commit(spark, root, number + 1, {"folders": [*(now[1] if extend and now else []), folder], "at": time.time()})
     except BaseException:
         at, fs = _fs(spark, f"{root}/{folder}")
         fs.delete(at, True)
@@ -105,7 +105,7 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
     found = current(spark, root, version)
     if not found:
         raise FileNotFoundError(f"nothing is published in {root}")
-    return spark.read.parquet(found[1])
+    return spark.read.parquet(*[f"{root}/{f}" for f in found[1]])
 
 
 def history(spark: SparkSession, root: str) -> list[tuple[int, float]]:
@@ -124,10 +124,11 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2, grace: float = 86_400)
     """Delete all but the newest ``keep`` versions, and folders that no version names and nobody has touched for ``grace`` seconds."""
     known = {n: _told(spark, root, n) for n in _numbers(spark, root)}
     whole = [n for n, told in known.items() if told]
-    old, held = set(whole[: -keep if keep else None]), {told["folder"] for told in known.values() if told}
-    for n in sorted(old):
-        # The name goes last: a version that is named can be read until then by who has begun.
-        for path in (f"{root}/_versions/{n:012d}", f"{root}/{known[n]['folder']}"):
+    old, stay = whole[: -keep if keep else None], {f for n in whole[-keep if keep else len(whole) :] for f in known[n]["folders"]}
+    held = {f for told in known.values() if told for f in told["folders"]}
+    for n in old:
+        # The name goes first, so that nobody begins to read what is about to go; folders that a kept version names stay.
+        for path in (f"{root}/_versions/{n:012d}", *[f"{root}/{f}" for f in known[n]["folders"] if f not in stay]):
             at, fs = _fs(spark, path)
             fs.delete(at, True)
     at, fs = _fs(spark, root)

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillform.sources import backup, ooxml, published
+from quillform.sources import backup, cache, ooxml, published
 
 
 def test_versions_follow_each_other_and_old_ones_stay_readable(spark, tmp_path):
@@ -37,10 +37,47 @@ def test_a_lost_task_leaves_the_old_version(spark, tmp_path):
 def test_half_written_version_files_are_passed_over(spark, tmp_path):
     root = f"file://{tmp_path}/t"
     published.publish(spark.range(10), root)
-    (tmp_path / "t" / "_versions" / f"{2:012d}").write_text('{"folder": "data-')
+    (tmp_path / "t" / "_versions" / f"{2:012d}").write_text('{"folders": ["data-')
     assert published.read(spark, root).count() == 10
 
 
+def test_versions_that_extend_share_folders(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    for n in (1, 2, 3, 4):
+        published.publish(spark.range(n), root, extend=True)
+    assert published.read(spark, root).count() == 10 and published.read(spark, root, 3).count() == 6 and len(glob.glob(f"{tmp_path}/t/data-*")) == 4
+    published.publish(spark.range(5), root)
+    published.publish(spark.range(6), root)
+    assert published.read(spark, root, 5).count() == 5 and len(glob.glob(f"{tmp_path}/t/data-*")) == 2
+
+
+def test_analyses_are_made_once_per_file_and_rules(spark, tmp_path):
+    folder, root = tmp_path / "in", f"file://{tmp_path}/cache"
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"{i}.docx").write_bytes(ooxml.build_docx([f"texto {i}", "{{x}}"]))
+    (folder / "broken.docx").write_bytes(b"no")
+    seen = spark.sparkContext.accumulator(0)
+
+    def analyse(files):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return ooxml.parse_docx(files.select("path", "content").mapInArrow(count, "path string, content binary")).select("path", "ordinal", "text")
+
+    run = lambda rules: sorted((r.path.rpartition("/")[2], r.ordinal or 0, r.text) for r in cache.analysed(spark, f"file://{folder}", "*.docx", analyse, root, rules).collect())
+    first = run("1")
+    assert len(first) == 13 and seen.value == 7 and run("1") == first and seen.value == 7
+    (folder / "0.docx").write_bytes(ooxml.build_docx(["outro texto", "{{yy}}"]))
+    (folder / "1.docx").unlink()
+    (folder / "7.docx").write_bytes(ooxml.build_docx(["novo"]))
+    second = run("1")
+    assert seen.value == 9 and {r[0] for r in second} == {"0.docx", "2.docx", "3.docx", "4.docx", "5.docx", "7.docx", "broken.docx"} and ("0.docx", 0, "outro texto") in second
+    assert run("2") == second and seen.value == 16
+
+
 def test_audits_and_conflicts(spark, tmp_path):
     root = f"file://{tmp_path}/t"
     audit = lambda rows: rows.filter("id > 5")
@@ -51,7 +88,7 @@ def test_audits_and_conflicts(spark, tmp_path):
         published.publish(spark.range(2), root, expected=0)
 
     def meanwhile(rows):
-        published._commit(spark, root, 2, {"folder": "data-x", "at": 0})
+        published._commit(spark, root, 2, {"folders": ["data-x"], "at": 0})
         return rows.limit(0)
 
     with pytest.raises(published.Conflict):
