@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, arrow_column, materialize, packed, prepare, unpacked
@@ -42,6 +42,8 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: Hashes of shingle sets in a tile of a band's members; a task holds two.
+TILE_HASHES = 1 << 21
 #: Compared nodes up to which their table is broadcast (two longs each).
 BROADCAST_ROWS = 200_000
 
@@ -257,10 +259,9 @@ def _sketched(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose whole shingle sets have a Jaccard similarity of ``similar`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("best.row").alias("sim_row"))
-    wanted = materialize(wanted, "simhash-wanted")
+def _sets(wanted: DataFrame, nodes: DataFrame, staged: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(node, hashes): the whole shingle sets of the distinct nodes ``wanted`` (node), stored."""
+    wanted = materialize(wanted.join(nodes, "node").select("node", F.col("best.row").alias("sim_row")), "simhash-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
 
     def run(batches):
@@ -269,40 +270,130 @@ def _similar(pairs: DataFrame, nodes: DataFrame, staged: DataFrame, text: str, s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
     texts = staged.select("sim_row", F.col(text).alias("sim_text")).join(wanted, "sim_row").select("node", "sim_text")
-    sets = materialize(texts.mapInArrow(run, "node long, hashes array<long>"), "simhash-sets")
+    return materialize(texts.mapInArrow(run, "node long, hashes array<long>"), "simhash-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole shingle sets have a Jaccard similarity of ``similar`` or more."""
     # Merge joins, which split a node of many pairs among tasks.
     left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).hint("merge"), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")).hint("merge")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").filter(both / (F.size("x") + F.size("y") - both) >= F.lit(similar)).select("a", "b")
 
 
+def _forest(node: np.ndarray, root: np.ndarray, tile: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Similar pairs that bring the members of a bucket, known to be together by ``root``, into components.
+
+    ``hashes`` holds the sets behind each other. If there are two tiles, only pairs of both are compared. A member's overlaps with
+    all others are counted at once, by marking its shingles; members of its own component are passed over, and the rest is
+    not looked at once all are in one.
+    """
+    _, codes = np.unique(hashes, return_inverse=True)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    _, up = np.unique(root, return_inverse=True)
+    mark, out = np.zeros(int(codes.max()) + 1, bool), []
+    across = tile[0] != tile[-1]
+    for u in range(len(node)):
+        if across and tile[u] != tile[0]:
+            break
+        later = (up != up[u]) & (np.minimum(sizes, sizes[u]) >= similar * np.maximum(sizes, sizes[u]))
+        later[: u + 1] = False
+        if across:
+            later &= tile != tile[0]
+        v = np.flatnonzero(later)
+        if not len(v):
+            continue
+        mine = codes[begins[u] : ends[u]]
+        mark[mine] = True
+        if len(v) * 2 > len(node) - u:
+            both = np.add.reduceat(mark[codes[begins[u] :]], begins[u:] - begins[u], dtype=np.int64)[v - u]
+        else:
+            both = np.array([np.count_nonzero(mark[codes[begins[k] : ends[k]]]) for k in v.tolist()], np.int64)
+        mark[mine] = False
+        for k in v[both / (sizes[u] + sizes[v] - both) >= similar].tolist():
+            if up[k] != up[u]:
+                out.append((int(node[u]), int(node[k])))
+                up[up == up[k]] = up[u]
+    return out
+
+
+def _bucket_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b): what ``_forest`` finds in each band of ``members`` (band, node, size, root).
+
+    A band is cut into tiles of ``TILE_HASHES`` hashes, and a task compares two tiles at a time: its memory is bounded, and no pair is
+    a row. A set goes to as many buckets as its band has tiles, which is one but for bands of very many long sets.
+    """
+    w = Window.partitionBy("band").orderBy("node")
+    m = members.withColumn("tile", F.floor((F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")) / TILE_HASHES).cast("int"))
+    tiles = m.groupBy("band").agg((F.max("tile") + 1).alias("tiles"))
+    other = F.sequence(F.lit(0), F.col("tiles") - 1)
+    m = m.join(tiles, "band").select("band", "node", "root", "tile", F.explode(other).alias("other"))
+    m = m.select(F.xxhash64("band", F.least("tile", "other"), F.greatest("tile", "other")).alias("part"), "band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "node", "root", "tile")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = m.join(sets.hint("merge"), "node").select("part", "band", "lo", "hi", "tile", "node", "root", "hashes")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            lists = t.column("hashes").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            sizes = np.diff(lists.offsets.to_numpy())
+            col = lambda n: t.column(n).to_numpy()
+            found = _forest(col("node"), col("root"), col("tile"), sizes, lists.flatten().to_numpy(), similar) if len(sizes) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+        def same(x, i, y, j):
+            return all(x.column(c)[i].as_py() == y.column(c)[j].as_py() for c in range(4))
+
+        for batch in batches:
+            # Rows of a bucket follow each other, sorted by (part, band, lo, hi).
+            keys = [batch.column(c).to_numpy() for c in range(4)]
+            change = np.zeros(max(batch.num_rows - 1, 0), bool)
+            for k in keys:
+                change |= np.diff(k) != 0
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi == lo:
+                    continue
+                piece = batch.slice(lo, hi - lo)
+                if held and not same(held[-1], held[-1].num_rows - 1, piece, 0):
+                    yield from flush()
+                    held.clear()
+                held.append(piece)
+        if held:
+            yield from flush()
+
+    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "band", "lo", "hi", "tile", "node")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def _near(nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar: float) -> DataFrame:
     """(node, root) of the components by similar shingle sets, roots left out.
 
-    Nodes that share a band are compared with one of the band's nodes first. Pairs that this has not brought into one
-    component are then compared each, so a large group of near copies costs a comparison or so a band and node.
+    Nodes that share a band are compared with one of the band's nodes first. Bands that this has not brought into one
+    component are then compared within, all members that may still link, a spanning forest of the links coming out.
     """
     rows = nodes.select("node", "size", F.explode("bands").alias("band"))
     lead = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node", "size")).alias("lead")).filter("n > 1")
     met = materialize(rows.join(lead, "band").select("band", "node", "size", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")), "simhash-bands")
     fits = lambda x, y: F.least(x, y) / F.greatest(x, y) >= F.lit(similar)
-    ordered = (F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    first = met.filter((F.col("node") != F.col("lead")) & fits("size", "lead_size")).withColumnsRenamed({"node": "p", "lead": "q"}).select(*ordered).distinct()
+    first = met.filter((F.col("node") != F.col("lead")) & fits("size", "lead_size")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     first = materialize(first, "simhash-pairs")
-    edges = materialize(_similar(first, nodes, staged, text, shingle, similar), "simhash-links")
+    sets = _sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, staged, text, shingle)
+    edges = materialize(_similar(first, sets, similar), "simhash-links")
     root = components(edges)
     placed = met.join(root, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
-    members = placed.groupBy("band", "root").agg(F.collect_list(F.struct("node", "size")).alias("m"))
-    mixed = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = materialize(members.join(mixed, "band", "left_semi"), "simhash-members")
-    x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))).select(F.explode("x.m").alias("u"), F.col("y.m").alias("m"))
-    rest = rest.select("u", F.explode("m").alias("v")).filter(fits("u.size", "v.size")).select(F.col("u.node").alias("p"), F.col("v.node").alias("q")).select(*ordered).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "simhash-pairs")
-    if rest.isEmpty():
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    members = materialize(placed.join(mixed, "band", "left_semi"), "simhash-members")
+    if members.isEmpty():
         return root
-    more = materialize(_similar(rest, nodes, staged, text, shingle, similar), "simhash-links")
-    return components(edges.union(more))
+    sets = _sets(members.select("node").distinct(), nodes, staged, text, shingle)
+    more = materialize(_bucket_links(members, sets, similar), "simhash-links")
+    return root if more.isEmpty() else components(edges.union(more))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similar: float = SIMILAR) -> DataFrame:

@@ -116,5 +116,35 @@ def test_keep_one_drops_edited_copies_and_no_less_similar_texts(spark):
     assert kept == {2 * i + k for i, pair in enumerate(texts) for k in range(2) if not (k and pair[2])}
 
 
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE_HASHES, 700, 1])
+def test_buckets_give_the_components_of_all_similar_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_HASHES", tile)
+    rng = random.Random(4)
+    sets, members = {}, []
+    for band in range(6):
+        base = [rng.getrandbits(60) for _ in range(60)]
+        for _ in range(25):
+            node = len(sets) + 1
+            sets[node] = frozenset([*rng.sample(base, rng.choice((50, 55, 58))), *[rng.getrandbits(60) for _ in range(rng.choice((0, 3, 9)))]])
+            members.append((band, node, len(sets[node]), node if rng.random() < 0.7 else 1 + 25 * band))
+    df = spark.createDataFrame(members, "band long, node long, size long, root long")
+    links = simhash._bucket_links(df, spark.createDataFrame([(n, sorted(x)) for n, x in sets.items()], "node long, hashes array<long>"), 0.8).collect()
+    assert all(jaccard(sets[r.a], sets[r.b]) >= 0.8 for r in links) and len(links) < len(sets) * (1 if tile > 10**6 else 40)
+
+    def comps(pairs):
+        up = {n: n for n in sets}
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in [*pairs, *[(n, r) for _, n, _, r in members]]:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+        return {n: find(n) for n in sets}
+
+    every = [(a, b) for i, (k, a, *_) in enumerate(members) for q, b, *_ in members[:i] if k == q and jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(every) > 100 and comps([(r.a, r.b) for r in links]) == comps(every)
+
+
 def test_empty_table(spark, tables):
     assert q_simhash.op7_simhash_near_dedup(spark, tables()).collect() == []
