@@ -1,8 +1,8 @@
 """Secret scan with a random forest that removes false positives (native: DataFrame functions and Spark ML only).
 
 Candidates are of three kinds: what stands in a credential's place (after a key such as ``password`` in a text, JSON, YAML,
-XML, a header or a command line; before the ``@`` of a URL), tokens of named forms with dots, and any run of 16 or more
-characters ``[A-Za-z0-9+/_-]``. A random forest judges each from its length, character transitions, dictionary coverage,
+XML, a header or a command line; before the ``@`` of a URL, whose scheme, user and host are no part of it), blocks of private
+keys, tokens of named forms with dots, and any run of 16 or more characters ``[A-Za-z0-9+/_-]``; each of any length. A random forest judges each from its length, character transitions, dictionary coverage,
 path and neighbouring words. It is trained with Spark ML from labelled findings, and its trees are then written as one
 SQL expression, so that scanning is a single projection over the documents: nothing is exploded, joined or shuffled, and
 whole texts are scanned.
@@ -13,29 +13,40 @@ them as in any text, and a candidate is a secret if it overlaps a planted one, s
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
+import uuid
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import planted
-from .common import ROW, packed, running, unpacked
+from .common import ROW, hadoop, packed, remove, running, shared_folder, unpacked
 
 _KEYS = (
     r"passw(?:or)?d|passwd|pwd|passphrase|passwort|senha|contrase(?:n|ñ)a|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key"
     r"|credentials?|authorization|auth[_-]?key"
 )
-#: A credential's place, up to the value; bounded, so that matching is linear.
+_LOGIN = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'<>]*+:"
+#: A login's password, whole; an at sign follows it.
+_PASS = r"[^\s/@\"'<>]{3,}"
+_WORD = rf"{_PASS}(?=@)"
+#: A credential's place, up to the value; a URL with a login in it, or a block, has its own place.
 _PLACE = rf"(?i:(?:{_KEYS})[A-Za-z0-9_.-]{{0,24}}[\"'\]]{{0,2}}\s{{0,3}}(?::=|=>|[:=>]|(?<=--[a-z-]{{3,30}})\x20)\s{{0,3}}[\"'`]?(?:(?:bearer|basic)\x20)?)"
-_VALUE = r"[^\s\"'`<>]{5,255}[^\s\"'`<>,;)}\].]"
-_LOGIN = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'<>]{0,64}:"
-_WORD = r"[^\s/@\"'<>]{3,128}(?=@)"
+_APART = rf"(?!{_LOGIN}{_WORD}|-----BEGIN )"
+#: A value of any length, without punctuation behind it.
+_VALUE = r"[^\s\"'`<>]{5,}[^\s\"'`<>,;)}\].]"
 _HOOK = r"(?:hooks\.slack\.com/services|discord(?:app)?\.com/api/webhooks)/"
 _DOTTED = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+)"
 _RUN = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: A private key in a block of its own, with its headers; its body has no dash, so matching stays linear.
+_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----(?:\s*+[A-Z][A-Za-z]*+-?[A-Za-z]*+:[^\n]*+\n){0,6}+[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 #: What of a match stands before the candidate.
-LEAD = rf"(?:{_PLACE}(?={_VALUE})|{_LOGIN}(?={_WORD})|{_HOOK}(?={_RUN}))"
-CANDIDATE = rf"(?:{_PLACE}{_VALUE}|{_LOGIN}{_WORD}|{_HOOK}{_RUN}|{_DOTTED}|(?<![A-Za-z0-9+/_-]){_RUN})"
+LEAD = rf"(?:{_PLACE}{_APART}(?={_VALUE})|{_LOGIN}(?={_PASS}$)|{_HOOK}(?={_RUN}))"
+CANDIDATE = rf"(?:{_BLOCK}|{_PLACE}{_APART}{_VALUE}|{_LOGIN}{_WORD}|{_HOOK}{_RUN}|{_DOTTED}|(?<![A-Za-z0-9+/_-]){_RUN})"
 #: Characters of context on either side.
 NEAR = 48
 #: Findings at this probability or above are secrets.
@@ -89,11 +100,11 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
         flag(low.rlike("test|spec|fixture|example|sample|mock|demo|docs?/")).alias("test_path"),
         flag(left.rlike(rf"{_PLACE}$")).alias("place"),
         flag(left.rlike(r"(?:passw|pwd|senha|contrase)[a-z0-9_.-]{0,24}[\"'\]]{0,2}\s{0,3}(?::=|=>|[:=>\x20])\s{0,3}[\"'`]?$")).alias("password"),
-        flag(left.rlike(r"://[^\s/:@]{0,64}:$") & after.startswith("@")).alias("login"),
+        flag(left.rlike(r"://[^\s/:@]*+:$") & after.startswith("@")).alias("login"),
         flag(F.concat(left, F.lit(" "), F.lower(F.substring(after, 1, 12))).rlike("\\b(?:commit|sha1|sha256|sha512|md5|hash|integrity|digest|checksum|uuid|guid|etag|revision|rev|image|src|href|id|example|sample|dummy|placeholder|isbn|order|tracking|version|build|font|base64|ssh-rsa|public)\\b")).alias("harmless"),
         flag(left.rlike("[=:]>?\\s{0,2}[\"']?$")).alias("assigned"),
         flag(left.rlike("[\"'`]$") & after.rlike("^[\"'`]")).alias("quoted"),
-        flag(c.rlike("^(?:A[KS]IA[A-Z0-9]{12}|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|eyJ|SG\\.|npm_|pypi-)") | left.rlike(f"{_HOOK}$")).alias("prefix"),
+        flag(c.rlike("^(?:A[KS]IA[A-Z0-9]{12}|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|eyJ|SG\\.|npm_|pypi-|-----BEGIN )") | left.rlike(f"{_HOOK}$")).alias("prefix"),
         flag(c.rlike(r"^[$%{<@*\[(]|\$\{|\{\{|\(|\)$|(?i:environ|getenv|process\.env|\bself\.|\bthis\.|config\.|settings\.|vault:|secretref|params\.|req\.)")).alias("reference"),
         flag(low_c.rlike(r"example|change.?me|your[_-]|[_-]here|placeholder|dummy|x{4}|\*{3}|\.{3}|0{6}|12345|abcde|sample|redacted|insert|replace|^(?:string|required|optional|undefined|boolean|integer|password|username|disabled|enabled|default)")).alias("placeholder"),
         flag(low_c.rlike(r"^(?:https?:|\.{0,2}/|[a-z]:\\)|://|\.(?:com|org|net|html?|php|js|css|png|jpe?g|gif|svg|json|ya?ml|py|java|go|ts|md|txt|pem)\b")).alias("locator"),
@@ -141,9 +152,10 @@ def labelled(texts: DataFrame) -> DataFrame:
     return found.select("s.candidate", "s.before", "s.after", "path", "template", label.alias("label"))
 
 
-def planted_findings(spark: SparkSession, texts: int = TEXTS, held_out: bool | None = None) -> DataFrame:
-    """Labelled findings of planted texts; ``held_out``: only of templates that are kept from training, or only of others."""
-    rows = planted.texts(texts)
+def planted_findings(spark: SparkSession, texts: int = TEXTS, held_out: bool | None = None, kinds: str = "all") -> DataFrame:
+    """Labelled findings of planted texts; ``held_out``: only of templates that are kept from training, or only of others; ``kinds`` of
+    values: all, those that training sees (seen), or those that are kept from it (unseen)."""
+    rows = planted.texts(texts, kinds=kinds)
     rows = [r for r in rows if held_out is None or planted.held_out(r[2]) == held_out]
     return labelled(spark.createDataFrame(rows, "text string, path string, template string, secrets array<struct<start:int,end:int>>"))
 
@@ -173,12 +185,32 @@ def forest_sql(model: RandomForestClassificationModel, struct: str) -> str:
 _FITTED: dict[str, RandomForestClassificationModel] = {}
 
 
+def _inputs() -> str:
+    """A digest of all that the production forest depends on."""
+    told = json.dumps([planted.texts(TEXTS), FEATURES, CANDIDATE, LEAD, DICTIONARY, inspect.getsource(features), LABELLED, TREES, DEPTH, SEED], default=str)
+    return hashlib.sha256(told.encode()).hexdigest()[:32]
+
+
 def production_model(spark: SparkSession) -> RandomForestClassificationModel:
-    """The forest on all planted findings, fitted once an application."""
+    """The forest on all planted findings, fitted once and kept in the shared folder under a digest of its inputs.
+
+    It is written under a temporary name and renamed; a folder that cannot be read is passed over and fitted anew.
+    """
     app = spark.sparkContext.applicationId
     if app not in _FITTED:
         _FITTED.clear()
-        _FITTED[app] = train(planted_findings(spark))
+        path = f"{shared_folder(spark)}/quillform-forest-{_inputs()}"
+        at, fs = hadoop(spark, path)
+        try:
+            _FITTED[app] = RandomForestClassificationModel.load(path) if fs.exists(at) else None
+        except Exception:  # noqa: BLE001 - whatever is wrong with a stored model, a new one replaces it here
+            _FITTED[app] = None
+        if _FITTED[app] is None:
+            _FITTED[app] = train(planted_findings(spark))
+            temp = f"{path}-{uuid.uuid4().hex}"
+            _FITTED[app].save(temp)
+            if fs.exists(at) or not fs.rename(hadoop(spark, temp)[0], at):
+                remove(spark, temp)
     return _FITTED[app]
 
 
