@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, label_from_id
+from ..functions import labels
+from ..functions.text import casefold
 from ..functions.types import guess
 
 TAG = r"\{\{([^{}]+)\}\}"
@@ -71,7 +72,7 @@ def scan_fields(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     rows = tokens(df, text).withColumn("p", parse(F.col("token"))).filter((F.col("p.kind") == "field") & F.col("p.error").isNull())
     strong = F.min(F.when(F.col("p.type") != "text", F.struct("token_pos", F.col("p.type").alias("type"))))
     got = rows.groupBy(key, F.col("p.field_id").alias("field_id")).agg(F.min("token_pos").alias("first_pos"), F.count("*").alias("occurrences"), strong.alias("s"))
-    return got.select(key, "field_id", "first_pos", "occurrences", label_from_id(F.col("field_id")).alias("label"), F.coalesce("s.type", F.lit("text")).alias("type"))
+    return got.select(key, "field_id", "first_pos", "occurrences", labels.from_id(F.col("field_id")).alias("label"), F.coalesce("s.type", F.lit("text")).alias("type"))
 
 
 def render(df: DataFrame, answers: str, text: str = "text") -> DataFrame:
