@@ -12,7 +12,7 @@ one raised bit of the second segment; no pair is lost by it. The table of wide v
 emit a spanning forest of their links, never all pairs, and components are found by alternating large-star and
 small-star steps over tables in the shared folder.
 
-``keep_one`` drops edited copies too: texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more. There the
+``keep_one`` takes those links, and drops edited copies too: texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more. There the
 fingerprints differ in some ten bits; segments for a budget of twice that would have three bits and let every pair meet.
 Its candidates meet in bands of MinHashes instead, and are checked on the whole shingle sets.
 """
@@ -245,15 +245,16 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketched(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``docs`` with sim_node (equal for equal shingle sets), sim_size and sim_bands."""
+    """``docs`` with sim_node (equal for equal shingle sets), sim_size, sim_bands and sim_fp, the fingerprint."""
     prepare(docs.sparkSession)
-    schema = docs.withColumns({"sim_node": F.lit(0).cast("long"), "sim_size": F.lit(0).cast("long"), "sim_bands": F.array(F.lit(0).cast("long"))}).schema
+    schema = docs.withColumns({"sim_node": F.lit(0).cast("long"), "sim_size": F.lit(0).cast("long"), "sim_bands": F.array(F.lit(0).cast("long")), "sim_fp": F.lit(0).cast("long")}).schema
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(x, shingle) for x in arrow_column(b, text).to_pylist()]
+            texts = arrow_column(b, text).to_pylist()
+            sets = [shingle_set(x, shingle) for x in texts]
             node = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64())
-            new = [node, pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            new = [node, pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())), pa.array([_signed(fingerprint(x)) for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -371,8 +372,15 @@ def _bucket_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFr
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _near(nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar: float) -> DataFrame:
-    """(node, root) of the components by similar shingle sets, roots left out.
+def _printed(staged: DataFrame) -> DataFrame:
+    """(a, b): for each node of ``staged`` (sim_node, sim_fp) the smallest node whose fingerprint is in the same component."""
+    pairs = materialize(staged.select("sim_node", "sim_fp").distinct(), "simhash-prints")
+    best = groups(pairs.select(F.col("sim_fp").alias("fp"), "sim_node"), "sim_node").select(F.col("fp").alias("sim_fp"), F.col("best").alias("a"))
+    return materialize(pairs.join(best.hint("merge"), "sim_fp").filter("a <> sim_node").select("a", F.col("sim_node").alias("b")).distinct(), "simhash-links")
+
+
+def _near(nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar: float, printed: DataFrame) -> DataFrame:
+    """(node, root) of the components by the links ``printed`` (a, b) and by similar shingle sets, roots left out.
 
     Nodes that share a band are compared with one of the band's nodes first. Bands that this has not brought into one
     component are then compared within, all members that may still link, a spanning forest of the links coming out.
@@ -384,7 +392,7 @@ def _near(nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar:
     first = met.filter((F.col("node") != F.col("lead")) & fits("size", "lead_size")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     first = materialize(first, "simhash-pairs")
     sets = _sets(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, staged, text, shingle)
-    edges = materialize(_similar(first, sets, similar), "simhash-links")
+    edges = materialize(_similar(first, sets, similar).union(printed), "simhash-links")
     root = components(edges)
     placed = met.join(root, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
@@ -399,14 +407,14 @@ def _near(nodes: DataFrame, staged: DataFrame, text: str, shingle: int, similar:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """One row of ``docs`` of each component, that with the smallest id (null ids last, then any one), all columns kept.
 
-    Texts link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similar`` or more. Candidates share
+    Texts link if their fingerprints differ in ``MAX_BITS`` bits or fewer, as in ``near_duplicates``, and if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similar`` or more. Candidates share
     a band of MinHashes, and each is checked on the whole sets. Texts without words are one group.
     """
     staged = materialize(_sketched(packed(docs), f"{ROW}.{text}", shingle).withColumn("sim_row", F.monotonically_increasing_id()), "simhash-docs")
     prints = staged.select("sim_node", "sim_size", "sim_bands", F.struct(F.col(f"{ROW}.{doc_id}").isNull().alias("no_id"), F.col(f"{ROW}.{doc_id}").alias("id"), F.col("sim_row").alias("row")).alias("one"))
     nodes = prints.groupBy(F.col("sim_node").alias("node")).agg(F.min("one").alias("best"), F.first("sim_size").alias("size"), F.first("sim_bands").alias("bands"))
     nodes = materialize(nodes, "simhash-nodes")
-    root = _near(nodes, staged, f"{ROW}.{text}", shingle, similar)
+    root = _near(nodes, staged, f"{ROW}.{text}", shingle, similar, _printed(staged))
     rooted = nodes.select("node", "best").join(root, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
     chosen = materialize(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("sim_row")), "simhash-kept")
     # Always by shuffle: what is kept grows with the rows.
