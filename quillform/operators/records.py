@@ -117,7 +117,8 @@ def unique_ids(df: DataFrame, base: str, order: list[str], *keys: str, taken: Da
     """Add ``name``: base, or the first of base_2, base_3... that no row before (in ``order``) and no row of ``taken`` has.
 
     ``taken`` has the keys and ``base``. Names can clash only if they are equal without their numbers at the end, so each
-    such stem is settled by itself: by a window where it has one base and nothing taken, else row by row.
+    such stem is settled by itself: where it has one base, the n-th row gets the n-th name that isn't taken, by a window; else row by
+    row.
     """
     stem = F.regexp_replace(F.col(base), r"(?:_[0-9]+)+$", "")
     rows = df.withColumn("u_stem", stem)
@@ -128,8 +129,13 @@ def unique_ids(df: DataFrame, base: str, order: list[str], *keys: str, taken: Da
         rows = rows.join(had, [*keys, "u_stem"], "left")
     else:
         rows = rows.withColumn("u_taken", F.lit(None).cast("array<string>"))
-    alone = F.col("u_single") & F.col("u_taken").isNull()
-    simple = F.when(F.col("u_n") == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.col("u_n").cast("string")))
+    alone = F.col("u_single")
+    # The numbers of the base's names that are taken, in order; each that isn't above a row's number raises it by one.
+    number = lambda x: F.when(x == F.col(base), 1).otherwise(F.substring(x, F.char_length(base) + 2, F.lit(1 << 20)).try_cast("long"))
+    own = lambda x: (x == F.col(base)) | (x == F.concat_ws("_", base, number(x).cast("string"))) & (number(x) > 1)
+    gone = F.array_sort(F.transform(F.filter(F.coalesce("u_taken", F.expr("cast(array() as array<string>)")), own), number))
+    rows = rows.withColumn("u_at", F.when(F.col("u_single"), F.aggregate(gone, F.col("u_n").cast("long"), lambda m, k: F.when(k <= m, m + 1).otherwise(m))).otherwise(F.col("u_n").cast("long")))
+    simple = F.when(F.col("u_at") == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.col("u_at").cast("string")))
     given = rows.filter(F.coalesce(alone, F.lit(True))).select(*df.columns, simple.alias(name))
     slim = rows.filter(~alone).select(F.struct(*df.columns).alias("u_row"), *[F.col(k).alias(f"u_k{i}") for i, k in enumerate(keys)], "u_stem", "u_n", F.col(base).alias("u_base"), "u_taken")
     schema = slim.select("u_row", F.col("u_base").alias("u_made")).schema
