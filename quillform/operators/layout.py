@@ -51,12 +51,12 @@ def normalize_grid(fields: DataFrame, *group: str) -> DataFrame:
 
 def distinct_labels(columns: DataFrame, key: str) -> DataFrame:
     """Repeated labels of a table's columns give way to labels from their ids, if those are all distinct."""
-    by = W.partitionBy(key)
     repeated = F.count("*").over(W.partitionBy(key, "label")) > 1
     wanted = F.when(F.col("repeated"), F.col("id_label")).otherwise(F.col("label"))
     f = columns.withColumn("repeated", repeated).withColumn("wanted", wanted)
-    fits = F.size(F.collect_set("wanted").over(by)) == F.count("*").over(by)
-    return f.withColumn("fits", fits).select(*columns.columns, F.when(F.col("fits"), F.col("wanted")).otherwise(F.col("label")).alias("shown"))
+    # Counted by label, then by table: no row carries the labels of its table.
+    fits = f.groupBy(key, "wanted").agg(F.count("wanted").alias("n")).groupBy(F.col(key).alias("d_key")).agg(F.every(F.col("n") == 1).alias("fits"))
+    return f.join(fits, F.col(key).eqNullSafe(F.col("d_key")), "left").select(*columns.columns, F.when(F.col("fits"), F.col("wanted")).otherwise(F.col("label")).alias("shown"))
 
 
 def common_prefix(labels: Column) -> Column:

@@ -239,3 +239,10 @@ def test_score_of_equal_contexts(spark):
     s = spark.createDataFrame([(1, "s", "a", "currency", "", "", "x.y:text"), (1, "s2", "b", "multiline", "", "", "")], cols)
     t = spark.createDataFrame([(1, "t", "c", "percentage", "", "", "x.y:text"), (1, "t2", "b", "text", "", "", "")], cols)
     assert [(r.target_id, r.source_id, r.score) for r in matching.identity_matches(s, t, "k").collect()] == [("t", "s", 99)]
+
+
+def test_distinct_labels_keep_no_set_of_labels_in_a_row(spark):
+    rows = [(None, "A", "a1"), (None, "A", "a2"), (1, "A", "a1"), (1, "A", "a1"), (2, "A", "a1"), (2, None, "n"), (3, "B", None)]
+    df = layout.distinct_labels(spark.createDataFrame(rows, "t int, label string, id_label string"), "t")
+    assert sorted(df.select("t", "shown").collect(), key=repr) == sorted([(1, "A"), (1, "A"), (2, "A"), (2, None), (3, "B"), (None, "a1"), (None, "a2")], key=repr)
+    assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
