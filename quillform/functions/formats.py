@@ -66,12 +66,18 @@ def decimal(x: Column, places: int = 2) -> Column:
 def percentage(x: Column) -> Column:
     """Two decimals at most, cut off; the sign is dropped."""
     t = F.regexp_replace(F.trim(F.replace(text(x), F.lit("%"), F.lit(""))), "[^0-9,.-]", "")
-    sep = F.when(F.contains(t, F.lit(",")), F.lit(",")).otherwise(F.lit("."))
-    at = F.instr(t, sep)
-    whole, rest = F.when(at > 0, F.left(t, at - 1)).otherwise(t), F.when(at > 0, F.substring(t, at + 1, F.length(t))).otherwise(F.lit(""))
-    big = F.regexp_replace(digits_only(whole), "^0+(?=[0-9])", "")
-    few = F.left(digits_only(rest), F.lit(2))
-    return F.when(t == "", "").otherwise(F.concat(F.when(big == "", "0").otherwise(big), F.when(few != "", F.concat(F.lit(","), few)).otherwise(F.lit("")), F.lit("%")))
+
+    def split(v: Column) -> Column:
+        """Digits before the first comma and up to two behind it, from a text of digits and commas."""
+        whole = F.substring_index(v, ",", 1)
+        few = F.left(F.replace(F.substring(v, F.char_length(whole) + 2, F.char_length(v)), F.lit(","), F.lit("")), F.lit(2))
+        return F.struct(F.ltrim(whole, F.lit("0")).alias("big"), few.alias("few"))
+
+    # Values that several conditions read are bound once, as the one element of an array: written out, the pattern ran for each of them.
+    once = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
+    comma = lambda v: F.when(F.contains(v, F.lit(",")), F.translate(v, ".-", "")).otherwise(F.translate(v, ".-", ","))
+    written = lambda p: F.concat(F.when(p["big"] == "", "0").otherwise(p["big"]), F.when(p["few"] != "", F.concat(F.lit(","), p["few"])).otherwise(F.lit("")), F.lit("%"))
+    return once(t, lambda v: F.when(v == "", "").otherwise(once(once(comma(v), split), written)))
 
 
 def _weighted(digits: Column, weights: list[int]) -> Column:

@@ -44,3 +44,9 @@ def test_contextual_types_and_aliases(spark):
     assert got == [("cpf", "mask", 0.99), ("dropdown", "options", 1.0), ("currency", "mask", 0.97), ("phone", "label", 0.88)]
     row = spark.range(1).select(types.normalize_type(F.lit(" Money ")).alias("a"), types.normalize_type(F.lit("what")).alias("b"), types.infer(F.lit("x.cpf"), F.lit("Money")).alias("c")).first()
     assert (row.a, row.b, row.c) == ("currency", "text", "currency")
+
+
+def test_percentage_matches_its_pattern_once(spark):
+    df = spark.createDataFrame([("1.234,567 %",), ("1,2,3",), ("1.2.3",), ("-",), (".",), (",5",), ("000",), (None,), ("a",), ("1-2,.-3",)], "x string").select(formats.percentage(F.col("x")).alias("y"))
+    assert [r.y for r in df.collect()] == ["1234,56%", "1,23%", "1,23%", "0%", "0%", "0,5%", "0%", "", "", "12,3%"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
