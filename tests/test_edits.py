@@ -134,3 +134,11 @@ def test_completed_documents_keep_declarations():
     assert declared(got) == declared(REAL) and 'mc:Ignorable="w14 wp14"' in got and "ns0:" not in got and "Olá Ana" in got
     # Twice filled is filled the same way.
     assert xml_of(generate(generate(package(), {"nome": "Ana", "x": "Z"}), {})) == got
+
+
+def test_filled_nodes_are_not_joined_with_themselves(spark):
+    nodes = spark.createDataFrame([(1, 0, 0, "t", "a {{"), (1, 0, 1, "t", "x}} {{y}}"), (1, 0, 2, "br", "\n"), (1, 0, 3, "t", "{{x}}"), (2, 0, 0, "t", "b")], "doc int, ordinal int, node int, kind string, text string")
+    answers = spark.createDataFrame([(1, "x", "11")], "doc int, field_id string, value string")
+    df = edits.filled(nodes, answers)
+    assert sorted(map(tuple, df.collect())) == [(1, 0, 0, "a 11"), (1, 0, 1, " {{y}}"), (1, 0, 2, "\n"), (1, 0, 3, "11"), (2, 0, 0, "b")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
