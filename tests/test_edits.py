@@ -142,3 +142,16 @@ def test_filled_nodes_are_not_joined_with_themselves(spark):
     df = edits.filled(nodes, answers)
     assert sorted(map(tuple, df.collect())) == [(1, 0, 0, "a 11"), (1, 0, 1, " {{y}}"), (1, 0, 2, "\n"), (1, 0, 3, "11"), (2, 0, 0, "b")]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_open_tags_are_found_without_shuffling_nodes(spark):
+    texts = ["a {{nome}} {{checkbox:x}}{{default_or_text:d|sim}}{{repeat:r}} {{ y }}{{y}}", "sem", "{{default_or_text:e| }}"]
+    rows = [(1, i, [(0, "t", t[:4]), (1, "t", t[4:])]) for i, t in enumerate(texts)] + [(2, 0, [(0, "t", "{{x}}")])]
+    whole = spark.createDataFrame(rows, "doc long, ordinal int, nodes array<struct<node:int,kind:string,text:string>>")
+    nodes = whole.selectExpr("doc", "ordinal", "inline(nodes)")
+    answers = spark.createDataFrame([(1, "x", None), (1, "x", "sim"), (1, "y", None), (2, "x", None)], "doc long, field_id string, value string")
+    want = sorted(map(tuple, edits.unfilled(nodes, edits.fill(nodes, answers)).collect()))
+    assert want == [(1, "default_or_text:e|"), (1, "nome"), (1, "y"), (2, "x")]
+    for n in (nodes, whole):
+        assert sorted(map(tuple, edits.open_tags(n, answers).collect())) == want
+    assert "Exchange" not in edits.paragraphs(whole)._jdf.queryExecution().executedPlan().toString()
