@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..operators.graph import stored
 from .packages import MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL
 
 SCHEMA = "folder string, name string, content binary"
@@ -184,6 +185,10 @@ def restore(spark: SparkSession, path: str, root: str, folders: list[str]) -> in
     return published.publish(load(spark, path), root, audit)
 
 
+#: Rows and bytes of sources that a batch of imported packages holds.
+IMPORT_ROWS, IMPORT_BYTES = 64, 32 << 20
+
+
 def import_packages(packages: DataFrame, existing: DataFrame) -> DataFrame:
     """(path, config, source, fingerprint, problem) of template packages (path, content): ``template.json`` (at the top or in the one folder
     that has one) and the one DOCX beside it.
@@ -220,12 +225,24 @@ def import_packages(packages: DataFrame, existing: DataFrame) -> DataFrame:
             return None, None, None, "no package"
 
     def run(batches):
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.string(), pa.string())
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "config", "source", "fingerprint", "problem"])
+
         for b in batches:
+            held, size = [], 0
             for path, raw in zip(b.column(0), b.column(1), strict=True):
-                got = one(raw.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([got[0]], pa.string()), pa.array([got[1]], pa.binary()), pa.array([got[2]], pa.string()), pa.array([got[3]], pa.string())], ["path", "config", "source", "fingerprint", "problem"])
-
-    rows = packages.select("path", "content").mapInArrow(run, schema)
+                held.append((path.as_py(), *one(raw.as_py())))
+                size += len(held[-1][2] or b"")
+                if len(held) >= IMPORT_ROWS or size >= IMPORT_BYTES:
+                    yield batch(held)
+                    held, size = [], 0
+            if held:
+                yield batch(held)
+
+    # Stored, so that a package is opened once and not again for the first of its equals.
+    rows = stored(packages.select("path", "content").mapInArrow(run, schema))
     first = rows.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("path").alias("first"))
     known = existing.select("fingerprint").distinct().withColumn("known", F.lit(True))
     j = rows.join(first, "fingerprint", "left").join(known, "fingerprint", "left")
@@ -241,7 +258,7 @@ def _fingerprint(docx: bytes) -> str | None:
 
 def export_packages(templates: DataFrame) -> DataFrame:
     """(id, content): a package for each template (id, config, source): ``template.json`` and ``template.docx``; equal templates give equal bytes."""
-    from .ooxml import packed
+    from .ooxml import dealt, packed
 
     schema = templates.select("id", F.lit(None).cast("binary").alias("content")).schema
 
@@ -250,4 +267,4 @@ def export_packages(templates: DataFrame) -> DataFrame:
             made = [packed([("template.json", (c or "{}").encode()), ("template.docx", s or b"")]) for c, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], schema.names)
 
-    return templates.select("id", "config", "source").mapInArrow(run, schema)
+    return dealt(templates.select("id", "config", "source")).mapInArrow(run, schema)

@@ -98,3 +98,18 @@ def test_fingerprints_ignore_what_is_outside_word(spark, tmp_path):
             z.writestr("word/document.xml", body)
     got = {r.path.rsplit("/", 1)[1]: r.fingerprint for r in packages.fingerprints(spark, str(tmp_path)).collect()}
     assert got["a.docx"] == got["b.docx"] != got["c.docx"]
+
+
+def test_packages_are_dealt_to_all_tasks_and_opened_once(spark):
+    from pyspark.sql import functions as F
+
+    from quillform.sources import backup, generate, ooxml
+
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("a {{x}}").alias("text"), F.lit(ooxml.build_docx(["a {{x}}"])).alias("source"), F.lit('{"x": "1"}').alias("config"))
+    packages = backup.export_packages(rows)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (ooxml.to_docx(rows, "id", "text"), generate.documents(rows, "id", "source", "config"), packages):
+        assert made.rdd.getNumPartitions() == parts and made.count() == 40
+    got = backup.import_packages(packages.withColumnRenamed("id", "path"), spark.createDataFrame([], "fingerprint string"))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter("problem IS NULL").count() == 1 and got.filter("problem = 'duplicate'").count() == 39
