@@ -28,10 +28,15 @@ SIMILAR = 0.84
 
 def semantic_identity(label: Column, field_id: Column) -> Column:
     context = F.concat(F.lit(" "), identity_text(label), F.lit(" "), identity_text(field_id), F.lit(" "))
-    out = F.lit("")
-    for name, needles in reversed(IDENTITIES):
-        out = F.when(F.greatest(*[F.contains(context, F.lit(n)) for n in needles]) if len(needles) > 1 else F.contains(context, F.lit(needles[0])), name).otherwise(out)
-    return out
+
+    def named(c: Column) -> Column:
+        out = F.lit("")
+        for name, needles in reversed(IDENTITIES):
+            out = F.when(F.greatest(*[F.contains(c, F.lit(n)) for n in needles]) if len(needles) > 1 else F.contains(c, F.lit(needles[0])), name).otherwise(out)
+        return out
+
+    # Bound as a lambda variable: every branch would work out the context anew.
+    return F.get(F.transform(F.array(context), named), F.lit(0))
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -52,28 +57,48 @@ def match_score(s: str, t: str) -> Column:
     return F.when(by_context, 99).when((c(s, "label_norm") != "") & (c(s, "label_norm") == c(t, "label_norm")), F.least(by_label, F.lit(100))).when((c(s, "semantic") != "") & (c(s, "semantic") == c(t, "semantic")) & fits, by_meaning).otherwise(0)
 
 
+def _marks(least: int) -> Column:
+    """ARRAY<STRUCT<score, a, b, c>>: all that a described field can share with another, each with the ``match_score`` that it gives.
+
+    Of several shared marks the highest score holds, but for an equal context, which ``match_score`` puts first.
+    """
+    kind = F.when(F.col("type").isin(*TEXT_LIKE), F.array(F.lit("text-like"))).otherwise(F.array(F.lit("type"), F.col("type")))
+    fits, same = F.array_join(kind, ":"), F.concat(F.lit(":"), F.col("type"))
+    label, place, meaning, section = (F.nullif(F.col(c), F.lit("")) for c in ("label_norm", "context", "semantic", "section_norm"))
+    levels = (
+        (100, label, same, section), (99, place, F.when(F.col("type").isNotNull(), fits)), (98, label, same), (98, label, F.when(F.col("type").isNotNull(), fits), section), (96, label, F.when(F.col("type").isNotNull(), fits)),
+        (93, meaning, F.when(F.col("type").isNotNull(), fits), section), (90, meaning, F.when(F.col("type").isNotNull(), fits)), (84, label, F.lit("any"), section), (82, label, F.lit("any")),
+    )
+    made = [F.when(F.forall(F.array(*by), lambda x: x.isNotNull()), F.struct(F.lit(score).alias("score"), *[x.alias(n) for x, n in zip((*by, F.lit("")), "abc")])) for score, *by in levels if score >= least]
+    return F.filter(F.array(*made), lambda m: m.isNotNull())
+
+
 def identity_matches(source: DataFrame, target: DataFrame, key: str, least: int = 90) -> DataFrame:
-    """(key, target_id, source_id, score): unambiguous pairs of described fields.
+    """(key, target_id, source_id, score): unambiguous pairs of described fields, by ``match_score``.
 
     A target whose two best sources tie gets none; a source that several targets want goes to the single strongest.
-    Candidates come from equal contexts, labels and meanings (three equi-joins), never from all pairs. Without a column
-    ``context`` no field has one.
+    Pairs are no rows: targets of equal descriptions are one, and meet the first and last source of each mark that they
+    share; where these differ, sources tie. Without a column ``context`` no field has one.
     """
     s, t = (df if "context" in df.columns else df.withColumn("context", F.lit("")) for df in (source, target))
-    s, t = s.alias("s"), t.alias("t")
-    on = F.col(f"s.{key}") == F.col(f"t.{key}")
-    label = s.join(t, on & (F.col("s.label_norm") == F.col("t.label_norm")) & (F.col("s.label_norm") != ""))
-    place = s.join(t, on & (F.col("s.context") == F.col("t.context")) & (F.col("s.context") != ""))
-    meaning = s.join(t, on & (F.col("s.semantic") == F.col("t.semantic")) & (F.col("s.semantic") != ""))
-    cols = [F.col(f"t.{key}").alias(key), F.col("t.field_id").alias("target_id"), F.col("s.field_id").alias("source_id"), match_score("s", "t").alias("score")]
-    pairs = label.select(*cols).union(meaning.select(*cols)).union(place.select(*cols)).filter(F.col("score") >= least).distinct()
+    said = ("label_norm", "type", "section_norm", "semantic", "context")
+    ends = lambda x: (F.min(x).alias("low"), F.max(x).alias("high"))
+    whole = F.coalesce("context", F.lit(""))
+    # Equal contexts score 99 where all else is equal too: such sources don't count among those of 100.
+    s = s.select(key, F.struct(F.col("field_id").alias("id")).alias("s"), whole.alias("place"), F.explode(_marks(least)).alias("mark"))
+    s = s.groupBy(key, "mark", F.when(F.col("mark.score") == 100, F.col("place")).otherwise("").alias("s_place")).agg(*ends("s"))
+    t = t.groupBy(key, "field_id").agg(F.array_sort(F.collect_set(F.struct(*said))).alias("said")).withColumn("id", F.struct(F.col("field_id").alias("id")))
+    t = t.groupBy(key, "said").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    each = t.select(key, "said", "first", "last", F.explode("said").alias("one")).select(key, F.struct("said", "first", "last").alias("t"), "one.*")
+    each = each.select(key, "t", whole.alias("t_place"), F.explode(_marks(least)).alias("mark"))
+    met = each.join(s, [key, "mark"]).filter("s_place = '' OR s_place <> t_place").select(key, "t", F.col("mark.score").alias("score"), "low", "high")
 
     def single(df: DataFrame, side: str) -> DataFrame:
-        w = W.partitionBy(key, side)
-        best = df.withColumn("best", F.max("score").over(w)).filter("score = best")
-        return best.withColumn("ties", F.count("*").over(w)).filter("ties = 1").drop("best", "ties")
+        best = df.groupBy(key, side, "score").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy(key, side).agg(F.max_by(F.struct("score", "low", "high"), "score").alias("b"))
+        return best.filter("b.low = b.high").select(key, side, "b.score", F.col("b.low").alias("other"))
 
-    return single(single(pairs, "target_id"), "source_id")
+    wanted = single(met, "t").select(key, F.col("other").alias("s"), "score", F.col("t.first").alias("low"), F.col("t.last").alias("high"))
+    return single(wanted, "s").select(key, F.col("other.id").alias("target_id"), F.col("s.id").alias("source_id"), "score")
 
 
 def resolve(target: DataFrame, stages: list[DataFrame], key: str) -> DataFrame:
