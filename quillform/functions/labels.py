@@ -26,6 +26,8 @@ INSTRUCTION = r"(?i)^\s*(?:informar|informe|descrever|descreva|detalhar|detalhe|
 PROMPT = r"(?i)(?:escolher|selecione|selecionar)\s+(?:um|uma)\s+(?:item|op[cç][aã]o)\.?\s*$"
 WHOLE_PROMPT = r"(?i)^\s*(?:escolher|selecione|selecionar)\s+(?:um|uma)\s+(?:item|op[cç][aã]o)\.?\s*$"
 FOLLOW_UP = r"(?i)^\s*(?:observa[cç][aã]o(?:\s*/\s*justificativa)?|justificativa|complemento|detalhamento|informa[cç][oõ]es? complementares?)\b"
+#: What every place to fill in, tag, box or prompt holds: texts without it need no other pattern.
+FILL_SIGN = r"[{_(@$☐□☑☒]|[Xx]{4}|000|(?i:escolher|selecion)"
 SECTION_NUMBER = r"^\s*\d+(?:\.\d+)*\.?\s*"
 LABEL_TAIL = r"([^:;|]{2,120})\s*[:：]\s*$"
 #: Fill areas and numbered titles as the layer that labels records sees them.
@@ -141,7 +143,8 @@ def is_fill(x: Column) -> Column:
 def has_fill(x: Column) -> Column:
     """Whether a text has a place to fill in, a tag or a box anywhere, or is blank."""
     t = text(x)
-    return (space(x) == "") | reduce(lambda a, b: a | b, [t.rlike(p) for p in (TAG, X_MASK, UNDERSCORE_MASK, PHONE_MASK, CPF_MASK, CURRENCY_MASK, EMAIL_MASK, WHOLE_PROMPT, BOX)])
+    every = reduce(lambda a, b: a | b, [t.rlike(p) for p in (TAG, X_MASK, UNDERSCORE_MASK, PHONE_MASK, CPF_MASK, CURRENCY_MASK, EMAIL_MASK, WHOLE_PROMPT, BOX)])
+    return t.rlike(r"(?U)^\s*$") | (t.rlike(FILL_SIGN) & every)
 
 
 def local(x: Column) -> Column:

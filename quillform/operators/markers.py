@@ -31,21 +31,26 @@ _CELL = ["doc", "table_index", "row_index", "start"]
 
 def alone(text: Column, pattern: str) -> Column:
     """Whether a text is one match of a pattern and white space."""
-    return (F.regexp_count(text, F.lit(pattern)) == 1) & text.rlike(rf"(?U)^\s*(?:{pattern})\s*$")
+    return text.rlike(rf"(?U)^\s*(?:{pattern})\s*$") & (F.regexp_count(text, F.lit(pattern)) == 1)
+
+
+def _bound(x: Column, then) -> Column:
+    """``then`` of a value that is evaluated once, however often ``then`` reads it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
 
 
 def option_text(lines: Column) -> Column:
     """The option that a cell's paragraphs spell: joined by dashes up to a follow-up prompt, without places to fill in, cut at 360."""
     said = F.filter(F.transform(lines, labels.space), lambda x: x != "")
-    follow = F.transform(said, lambda x: x.rlike(labels.FOLLOW_UP))
-    upto = F.when(F.array_position(follow, True) > 0, F.array_position(follow, True).cast("int") - 1).otherwise(F.size(said))
-    whole = F.array_join(F.filter(F.slice(said, F.lit(1), upto), lambda x: ~labels.has_fill(x)), " — ")
-    return F.when(F.char_length(whole) > OPTION_MOST, F.concat(F.rtrim(F.left(whole, F.lit(OPTION_MOST - 3)), F.lit(" ,;:-")), F.lit("…"))).otherwise(whole)
+    upto = lambda s: F.array_position(F.transform(s, lambda x: x.rlike(labels.FOLLOW_UP)), True).cast("int")
+    before = _bound(said, lambda s: _bound(upto(s), lambda n: F.slice(s, F.lit(1), F.when(n > 0, n - 1).otherwise(F.size(s)))))
+    whole = F.array_join(F.filter(before, lambda x: ~labels.has_fill(x)), " — ")
+    return _bound(whole, lambda x: F.when(F.char_length(x) > OPTION_MOST, F.concat(F.rtrim(F.left(x, F.lit(OPTION_MOST - 3)), F.lit(" ,;:-")), F.lit("…"))).otherwise(x))
 
 
 def marker_cells(records: DataFrame) -> DataFrame:
     """One row per cell: the paragraph ``at`` which a lone marker stands, its ``mode`` (paragraph or text_span) and its span in the
-    text, or nulls; whether the cell is ``blank`` (no text, no object); its option text, and whether that looks like an option.
+    text, or nulls; whether the cell is ``blank`` (no text, no object); its ``lines``, and whether they look like an option.
 
     The first paragraph with a check box control decides: a named one is a field already and no marker. Then the only text counts,
     a box or a check mark; then the first symbol or drawing of a paragraph without text.
@@ -55,26 +60,26 @@ def marker_cells(records: DataFrame) -> DataFrame:
     named = (F.col("named_boxes") > 0) | ((F.col("bare_boxes") != 1) & (F.col("named_legacy") > 0))
     decides = named | (F.col("bare_boxes") == 1) | (F.col("bare_legacy") == 1)
     first = lambda when, *what: F.min(F.when(when, F.struct("k", *what)))
-    authority = F.col("text").rlike(labels.TAG) | F.col("has_field")
-    spot = F.when(alone(F.col("text"), labels.BOX), F.regexp_instr("text", F.lit(labels.BOX))).when(alone(F.col("text"), CHECKS), F.regexp_instr("text", F.lit(CHECKS)))
-    wide = F.char_length(F.regexp_extract("text", f"({labels.BOX}|{CHECKS})", 1))
-    lead = first(F.col("said") != "", F.col("said").alias("said"), "is_numbered", "runs", "bold_runs")
+    wide = F.char_length(F.regexp_extract("lead.text", f"({labels.BOX}|{CHECKS})", 1))
+    lead = first(F.col("said") != "", "said", "is_numbered", "runs", "bold_runs", "text", "has_field")
     c = r.groupBy(*_CELL).agg(
-        F.min("block").alias("block"), first(decides, named.alias("named")).alias("control"), F.count(F.when(F.col("said") != "", 1)).alias("filled"), first(F.col("said") != "", authority.alias("authority"), (spot - 1).alias("begin"), (spot - 1 + wide).alias("end")).alias("only"),
+        F.min("block").alias("block"), first(decides, named.alias("named")).alias("control"), F.count(F.when(F.col("said") != "", 1)).alias("filled"),
         first((F.col("said") == "") & F.col("glyph").isNotNull(), "glyph").alias("drawn"), (~F.bool_or(F.col("has_object") | (F.col("said") != ""))).alias("blank"), F.min_by("width", "k").alias("width"), F.min("k").alias("first"),
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("lines"), lead.alias("lead"),
-    )
-    text = (F.col("filled") == 1) & ~F.col("only.authority") & F.col("only.begin").isNotNull()
-    # A single text with a tag or a control in it settles the cell.
-    settled = (F.col("filled") == 1) & F.col("only.authority")
-    mark = (
-        F.when(F.col("control").isNotNull(), F.when(~F.col("control.named"), F.struct(F.col("control.k").alias("at"), F.lit("paragraph").alias("mode"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"))))
-        .when(text, F.struct(F.col("only.k").alias("at"), F.lit("text_span").alias("mode"), F.col("only.begin").alias("begin"), F.col("only.end").alias("end")))
-        .when(~settled & F.col("drawn").isNotNull(), F.struct(F.col("drawn.k").alias("at"), F.lit("paragraph").alias("mode"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end")))
+        F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("lines"), lead.alias("lead"),
     )
+    # A single text with a tag or a control in it settles the cell; one that is a box or a check mark is a marker.
+    lone = F.col("filled") == 1
+    settled = lone & (F.col("lead.text").rlike(labels.TAG) | F.col("lead.has_field"))
+    spot = lambda p: F.when(alone(F.col("lead.text"), p), F.regexp_instr("lead.text", F.lit(p)))
+    at = F.when(lone & ~settled, F.coalesce(spot(labels.BOX), spot(CHECKS)) - 1)
+    none = F.lit(None).cast("int")
+    place = lambda at, mode, begin, end: F.struct(at.alias("at"), F.lit(mode).alias("mode"), begin.alias("begin"), end.alias("end"))
+    drawn = F.when(~settled & F.col("drawn").isNotNull(), place(F.col("drawn.k"), "paragraph", none, none))
+    text = _bound(at, lambda begin: F.when(begin.isNotNull(), place(F.col("lead.k"), "text_span", begin, begin + wide)).otherwise(drawn))
+    mark = F.when(F.col("control").isNotNull(), F.when(~F.col("control.named"), place(F.col("control.k"), "paragraph", none, none))).otherwise(text)
     bold = (F.char_length("lead.said") <= LEAD_MOST) & (F.col("lead.runs") > 0) & (F.col("lead.bold_runs") == F.col("lead.runs"))
     like = F.coalesce(F.col("lead.said").rlike(r"^\d{1,3}[.)]\s*\S") | F.col("lead.is_numbered") | bold, F.lit(False))
-    return c.select(*_CELL, "block", mark.alias("mark"), "blank", "width", "first", option_text(F.col("lines")).alias("option"), like.alias("like"))
+    return c.select(*_CELL, "block", mark.alias("mark"), "blank", "width", "first", "lines", like.alias("like"))
 
 
 def marked_rows(records: DataFrame) -> DataFrame:
@@ -86,7 +91,9 @@ def marked_rows(records: DataFrame) -> DataFrame:
     row = W.partitionBy("doc", "table_index", "row_index").orderBy("start")
     c = marker_cells(records)
     beside = lambda n: F.when(F.lead("start").over(row) == F.col("start") + 1, F.lead(n).over(row))
-    c = c.withColumn("says", beside("option")).withColumn("looks", beside("like")).withColumn("room", beside("width")).filter("says <> ''")
+    c = c.withColumn("beside", beside("lines")).withColumn("looks", beside("like")).withColumn("room", beside("width"))
+    # Only a marker or a blank cell can have an option beside it; its text is made once for each of these.
+    c = c.filter("beside IS NOT NULL AND (mark IS NOT NULL OR blank)").withColumn("says", F.explode(F.array(option_text(F.col("beside"))))).filter("says <> ''").drop("beside", "lines")
     structural = F.col("mark").isNotNull()
     least = F.min(F.when(structural, F.col("start"))).over(W.partitionBy("doc", "table_index", "row_index"))
     c = c.withColumn("chosen", least)
@@ -101,27 +108,30 @@ def marked_rows(records: DataFrame) -> DataFrame:
     return c.select("doc", "block", "table_index", "row_index", "start", "found.at", "found.mode", "found.begin", "found.end", F.col("says").alias("option"))
 
 
-def prompts(records: DataFrame) -> DataFrame:
-    """(doc, block, prompt): what a group of boxes in a block is asked about, by the blocks before it.
+def prompts(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` (doc, block and more) with ``prompt``: what a group of boxes in a block is asked about, by the blocks before it.
 
     The nearest text before that asks for one of known things, has a number or ends in a colon names it; prose of more than 110
     characters ends the search, and then the latest numbered or colon title holds; null where nothing is found.
     """
-    said = labels.space(F.col("text"))
-    asked = casefold(F.regexp_extract(said, PROMPT, 1))
+    said = F.col("said")
     known = F.create_map(*[F.lit(x) for pair in PROMPTS.items() for x in pair])
+    # The pattern runs on texts that hold its first word; a section's title is any short text with a number in front or a colon behind.
+    asked = F.when(F.contains(F.lower(said), F.lit("seguinte")), F.regexp_extract(said, PROMPT, 1)).otherwise("")
     number = said.rlike(r"^\d") & (F.char_length(said) <= SECTION_MOST)
-    label = (
-        F.when(asked != "", F.coalesce(known[F.replace(asked, F.lit("ocorrencia"), F.lit("ocorrência"))], labels.clean(F.regexp_extract(said, PROMPT, 1)))).when(number, labels.clean(said))
-        .when(said.rlike("[:：]$") & (F.char_length(said) <= PROMPT_MOST), labels.clean(said)).when(F.char_length(said) > PROMPT_MOST, "")
-    )
-    title = F.when(number | labels.is_section(said), labels.clean(said))
+    told = lambda a: F.when(a != "", F.coalesce(known[F.replace(casefold(a), F.lit("ocorrencia"), F.lit("ocorrência"))], labels.clean(a)))
+    label = _bound(asked, told)
+    label = F.when(asked != "", label).when(number, labels.clean(said)).when(said.rlike("[:：]$") & (F.char_length(said) <= PROMPT_MOST), labels.clean(said)).when(F.char_length(said) > PROMPT_MOST, "")
+    title = F.when(number | ((said.rlike(r"^\d") | said.endswith(":")) & labels.is_section(said)), labels.clean(said))
     place = F.struct(F.coalesce("row_index", F.lit(-1)).alias("r"), F.coalesce("start", F.lit(-1)).alias("s"), "k")
-    pick = lambda v: F.max(F.when(v.isNotNull(), F.struct(place.alias("p"), v.alias("v"))))["v"]
-    blocks = records.groupBy("doc", "block").agg(pick(label).alias("label"), pick(title).alias("title"))
-    before = W.partitionBy("doc").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    # Few texts name or title anything; only these are gathered, and the groups stand among them in the order of blocks.
+    r = records.withColumn("said", F.explode(F.array(labels.space(F.col("text")))))
+    r = r.filter(said.rlike("^\\d|[:：]$") | (F.char_length(said) > PROMPT_MOST) | F.contains(F.lower(said), F.lit("seguinte")))
+    blocks = r.select("doc", "block", place.alias("p"), label.alias("l"), title.alias("t")).groupBy("doc", "block").agg(F.max(F.when(F.col("l").isNotNull(), F.struct("p", "l")))["l"].alias("label"), F.max(F.when(F.col("t").isNotNull(), F.struct("p", "t")))["t"].alias("title"))
+    of = blocks.select("doc", "block", "label", "title").unionByName(groups.select("doc", "block", F.struct(*groups.columns).alias("group")), allowMissingColumns=True)
+    before = W.partitionBy("doc").orderBy("block").rangeBetween(W.unboundedPreceding, -1)
     last = lambda n: F.last(n, ignorenulls=True).over(before)
-    return blocks.select("doc", "block", F.coalesce(F.nullif(last("label"), F.lit("")), F.nullif(last("title"), F.lit(""))).alias("prompt"))
+    return of.withColumn("prompt", F.coalesce(F.nullif(last("label"), F.lit("")), F.nullif(last("title"), F.lit("")))).filter("group IS NOT NULL").select("group.*", "prompt")
 
 
 def marker_groups(records: DataFrame) -> DataFrame:
@@ -134,7 +144,7 @@ def marker_groups(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("doc", "table_index", "island").orderBy("row_index"))).filter(F.col("n") <= GROUP_MOST)
     place = F.struct("row_index", "start", "at", "mode", "begin", "end", "option")
     g = rows.groupBy("doc", "block", "table_index", "island").agg(F.array_sort(F.collect_list(place)).alias("places")).filter(F.size("places") >= 2)
-    g = g.join(prompts(records), ["doc", "block"], "left")
+    g = prompts(records, g)
     inferred = F.size(F.filter("places", lambda p: p["mode"] == "inferred_blank"))
     return g.select(
         "doc", "table_index", F.get("places", F.lit(0))["row_index"].alias("first_row"), F.coalesce("prompt", F.lit(NO_PROMPT)).alias("label"), F.transform("places", lambda p: p["option"]).alias("options"),

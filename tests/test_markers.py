@@ -85,3 +85,16 @@ def test_packages_feed_layout_inference(spark):
     assert [tuple(r) for r in paragraphs.select("text", "runs", "bold_runs").collect()] == [("Título:", 1, 1)]
     (r,) = inference.infer(paragraphs, cells).collect()
     assert (r.section, r.layout_column_index, r.layout_grid_columns, r.detected_label, r.layout_group) == ("1. Dados", 1, 3, "Nome", "doc_table_1_segment_1")
+
+
+def test_lines_are_read_and_dealt_once(spark):
+    from quillform.plans import markers as plan
+
+    p = plan.marked_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert p.count("FileScan") == 1 and p.count("Exchange hashpartitioning") == 1
+
+
+def test_prompts_by_blocks_before(spark):
+    pair = [[cell(p(run("☐"))), cell(p(run("Um")))], [cell(p(run("☐"))), cell(p(run("Dois")), p(run("  ____ ")), p(run("Observação: x")), p(run("Três")))]]
+    got = groups(spark, p(run("1.  Prazo de  entrega")), pair, p(run("Nada a dizer")), pair, p(run("prosa " * 30)), pair, p(run("As SEGUINTES ocorrências:")), p(), pair)
+    assert [g.label for g in got] == ["Prazo de entrega", "Prazo de entrega", "Prazo de entrega", "Ocorrências verificadas"] and {tuple(g.options) for g in got} == {("Um", "Dois")}
