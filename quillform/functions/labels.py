@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import casefold, context_text, detection_slug, fold, semantic_slug, text
+from .text import bound, casefold, context_text, detection_slug, fold, semantic_slug, text
 from .types import suggest
 
 #: Patterns of visual masks (``operators/detect.py`` names them in its list), boxes, instructions and prompts.
@@ -105,8 +105,7 @@ def clean_context(x: Column) -> Column:
 
 def clean_choice(x: Column) -> Column:
     """A label of a native choice, or an empty text: 140 characters at most and no tag in it."""
-    t = F.btrim(space(x), F.lit(_EDGES))
-    return F.when((F.char_length(t) > 140) | F.contains(t, F.lit("{{")) | F.contains(t, F.lit("}}")), "").otherwise(t)
+    return bound(F.btrim(space(x), F.lit(_EDGES)), lambda t: F.when((F.char_length(t) > 140) | F.contains(t, F.lit("{{")) | F.contains(t, F.lit("}}")), "").otherwise(t))
 
 
 def before_tag(x: Column) -> Column:
@@ -204,9 +203,8 @@ def legacy_id(x: Column) -> Column:
 
 
 def context_slug(x: Column) -> Column:
-    t = F.replace(context_text(x), F.lit(" "), F.lit("_"))
-    t = F.when(t.rlike("^[0-9]"), F.concat(F.lit("campo_"), t)).otherwise(t)
-    return F.rtrim(F.left(t, F.lit(72)), F.lit("_"))
+    whole = bound(F.replace(context_text(x), F.lit(" "), F.lit("_")), lambda t: F.when(t.rlike("^[0-9]"), F.concat(F.lit("campo_"), t)).otherwise(t))
+    return F.rtrim(F.left(whole, F.lit(72)), F.lit("_"))
 
 
 def _section_slug(x: Column) -> Column:
@@ -215,17 +213,22 @@ def _section_slug(x: Column) -> Column:
 
 def profile_identity(label: Column, section: Column, kind: Column) -> Column:
     """``section.label:type``, without the section where there is none; empty without a label."""
-    a, b, t = context_slug(label), _section_slug(section), context_slug(kind)
-    said = F.concat(F.when(b != "", F.concat(b, F.lit("."))).otherwise(""), a, F.lit(":"), F.when(t == "", "text").otherwise(t))
-    return F.when(a == "", "").otherwise(said)
+    front = bound(_section_slug(section), lambda b: F.when(b != "", F.concat(b, F.lit("."))).otherwise(""))
+    behind = bound(context_slug(kind), lambda t: F.when(t == "", "text").otherwise(t))
+    return bound(context_slug(label), lambda a: F.when(a == "", "").otherwise(F.concat(front, a, F.lit(":"), behind)))
 
 
 def context_ids(label: Column, section: Column, kind: Column, index: Column) -> Column:
     """The ids that a field can have, by preference: a general label takes its section in front first."""
-    a, b, t = context_slug(label), _section_slug(section), context_slug(kind)
-    both = F.concat(b, F.lit("."), a)
-    none = F.concat(F.lit("auto_word."), F.when(t == "", "campo").otherwise(t), F.lit("_"), F.lpad(F.greatest(F.lit(1), index).cast("string"), 2, "0"))
-    return F.when(a == "", F.array(none)).when(b == "", F.array(a)).when(context_text(label).isin(*GENERIC), F.array(both, a)).otherwise(F.array(a, both))
+    number = F.lpad(F.greatest(F.lit(1), index).cast("string"), 2, "0")
+    none = bound(context_slug(kind), lambda t: F.concat(F.lit("auto_word."), F.when(t == "", "campo").otherwise(t), F.lit("_"), number))
+
+    def ids(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        both = F.concat(b, F.lit("."), a)
+        return F.when(a == "", F.array(none)).when(b == "", F.array(a)).when(context_text(label).isin(*GENERIC), F.array(both, a)).otherwise(F.array(a, both))
+
+    return bound(F.struct(context_slug(label).alias("a"), _section_slug(section).alias("b")), ids)
 
 
 def suggest_section(field_id_: Column) -> Column:

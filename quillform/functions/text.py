@@ -10,6 +10,11 @@ ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍ
 PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
 
 
+def bound(x: Column, then) -> Column:
+    """``then`` of a value that is evaluated once, however often ``then`` reads it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def text(x: Column) -> Column:
     """Null as the empty string."""
     return F.coalesce(x.cast("string"), F.lit(""))

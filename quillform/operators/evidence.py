@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import labels
-from ..functions.text import context_text
+from ..functions.text import bound, context_text
 from .records import unique_ids
 
 #: Where a label may come from, shapes of samples, words of labels with the type that they tell, and confidences.
@@ -77,13 +77,15 @@ def resolve(fields: DataFrame) -> DataFrame:
     text = lambda n: F.trim(F.coalesce(F.col(n), F.lit("")))
     places = F.array(*[F.struct(F.col(place).alias("said"), F.lit(source).alias("source"), F.lit(sure).alias("sure")) for place, source, sure in LABELS])
     cleaned = F.transform(places, lambda p: _found(labels.clean_choice(p["said"]), p["source"], p["sure"]))
-    own = F.when(text("label") == "", F.get(F.filter(cleaned, lambda p: p["value"] != ""), F.lit(0)))
-    f = _once(fields, "e_label", own).withColumn("x_label", F.coalesce("e_label.value", text("label")))
+    own = F.when(text("label") == "", bound(cleaned, lambda c: F.get(F.filter(c, lambda p: p["value"] != ""), F.lit(0))))
+    labelled = lambda df: _once(df, "e_label", own).withColumn("x_label", F.coalesce("e_label.value", text("label")))
+    # Only fields without an id go through the search for one.
+    sure, f = labelled(fields.filter(text("field_id") != "")), labelled(fields.filter(text("field_id") == ""))
     # What follows is bound as lambda variables: written out, the expressions would be too large to compile.
     one = F.array(F.struct(F.col("x_label").alias("label"), F.coalesce("section", F.lit("")).alias("section"), F.coalesce("type", F.lit("text")).alias("type")))
     ids = F.get(F.transform(one, lambda v: labels.context_ids(v["label"], v["section"], v["type"], F.lit(1))), F.lit(0))
-    f = f.withColumn("x_ids", F.when((text("field_id") == "") & (F.col("x_label") != ""), ids))
-    named = f.filter(text("field_id") != "").select("doc", text("field_id").alias("name")).distinct()
+    f = f.withColumn("x_ids", F.when(F.col("x_label") != "", ids))
+    named = fields.filter(text("field_id") != "").select("doc", text("field_id").alias("name")).distinct()
     wants = f.filter("x_ids IS NOT NULL").select("doc", "pos", F.get("x_ids", F.lit(0)).alias("name"), F.element_at("x_ids", -1).alias("base"))
     wants = wants.join(named.withColumn("taken", F.lit(True)), ["doc", "name"], "left")
     wants = wants.withColumn("n", F.row_number().over(W.partitionBy("doc", "name").orderBy("pos")))
@@ -92,6 +94,7 @@ def resolve(fields: DataFrame) -> DataFrame:
     held = named.unionByName(first.select("doc", "name")).select("doc", F.col("name").alias("base"))
     ids = first.unionByName(unique_ids(rest, "base", ["pos"], "doc", taken=held, name="name").select("doc", "pos", "name"))
     j = f.join(ids.select(F.col("doc").alias("n_doc"), F.col("pos").alias("n_pos"), "name"), f.doc.eqNullSafe(F.col("n_doc")) & (f.pos == F.col("n_pos")), "left")
+    j = sure.withColumn("name", F.lit(None).cast("string")).unionByName(j.select(*sure.columns, "name"))
     j = j.withColumn("x_id", F.coalesce("name", text("field_id")))
     kind = inferred_type(F.col("x_label"), F.col("x_id"), [F.col("placeholder"), F.col("default_value")], F.col("options"), F.col("type"))
     j = _once(j, "e_type", F.when(~F.lower(text("type_source")).isin(*SETTLED), kind)).withColumn("x_type", F.coalesce("e_type.value", "type"))
@@ -101,8 +104,8 @@ def resolve(fields: DataFrame) -> DataFrame:
     every = {"label": F.col("e_label"), "id": F.when(F.col("name").isNotNull(), _found(F.col("name"), "label_and_section", ID_SURE)), "type": F.col("e_type"), "profile_identity": F.col("e_identity")}
     told = F.map_filter(F.create_map(*[x for k, v in every.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     j = _once(j, "evidence", told)
-    sure = F.transform(F.map_values("evidence"), lambda x: x["confidence"])
-    mean = F.round(F.aggregate(sure, F.lit(0.0), lambda a, x: a + x) / F.size(sure), 3)
+    each = F.transform(F.map_values("evidence"), lambda x: x["confidence"])
+    mean = F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(each), 3)
     value = {
         "label": F.when(F.col("e_label").isNotNull(), F.col("x_label")).otherwise(F.col("label")), "label_source": F.coalesce("label_source", F.when(F.col("e_label").isNotNull(), "context_resolver")), "field_id": F.coalesce("name", "field_id"),
         "type": F.col("x_type"), "type_source": F.when(F.col("e_type").isNotNull(), "context_resolver").otherwise(F.col("type_source")), "profile_identity": F.coalesce("e_identity.value", "profile_identity"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import labels
-from ..functions.text import casefold
+from ..functions.text import bound, casefold
 
 #: Check marks, widths of marker cells, limits of options and groups, confidences, prompts and their labels.
 CHECKS = "✓|✔|√"
@@ -34,18 +34,13 @@ def alone(text: Column, pattern: str) -> Column:
     return text.rlike(rf"(?U)^\s*(?:{pattern})\s*$") & (F.regexp_count(text, F.lit(pattern)) == 1)
 
 
-def _bound(x: Column, then) -> Column:
-    """``then`` of a value that is evaluated once, however often ``then`` reads it."""
-    return F.get(F.transform(F.array(x), then), F.lit(0))
-
-
 def option_text(lines: Column) -> Column:
     """The option that a cell's paragraphs spell: joined by dashes up to a follow-up prompt, without places to fill in, cut at 360."""
     said = F.filter(F.transform(lines, labels.space), lambda x: x != "")
     upto = lambda s: F.array_position(F.transform(s, lambda x: x.rlike(labels.FOLLOW_UP)), True).cast("int")
-    before = _bound(said, lambda s: _bound(upto(s), lambda n: F.slice(s, F.lit(1), F.when(n > 0, n - 1).otherwise(F.size(s)))))
+    before = bound(said, lambda s: bound(upto(s), lambda n: F.slice(s, F.lit(1), F.when(n > 0, n - 1).otherwise(F.size(s)))))
     whole = F.array_join(F.filter(before, lambda x: ~labels.has_fill(x)), " — ")
-    return _bound(whole, lambda x: F.when(F.char_length(x) > OPTION_MOST, F.concat(F.rtrim(F.left(x, F.lit(OPTION_MOST - 3)), F.lit(" ,;:-")), F.lit("…"))).otherwise(x))
+    return bound(whole, lambda x: F.when(F.char_length(x) > OPTION_MOST, F.concat(F.rtrim(F.left(x, F.lit(OPTION_MOST - 3)), F.lit(" ,;:-")), F.lit("…"))).otherwise(x))
 
 
 def marker_cells(records: DataFrame) -> DataFrame:
@@ -75,7 +70,7 @@ def marker_cells(records: DataFrame) -> DataFrame:
     none = F.lit(None).cast("int")
     place = lambda at, mode, begin, end: F.struct(at.alias("at"), F.lit(mode).alias("mode"), begin.alias("begin"), end.alias("end"))
     drawn = F.when(~settled & F.col("drawn").isNotNull(), place(F.col("drawn.k"), "paragraph", none, none))
-    text = _bound(at, lambda begin: F.when(begin.isNotNull(), place(F.col("lead.k"), "text_span", begin, begin + wide)).otherwise(drawn))
+    text = bound(at, lambda begin: F.when(begin.isNotNull(), place(F.col("lead.k"), "text_span", begin, begin + wide)).otherwise(drawn))
     mark = F.when(F.col("control").isNotNull(), F.when(~F.col("control.named"), place(F.col("control.k"), "paragraph", none, none))).otherwise(text)
     bold = (F.char_length("lead.said") <= LEAD_MOST) & (F.col("lead.runs") > 0) & (F.col("lead.bold_runs") == F.col("lead.runs"))
     like = F.coalesce(F.col("lead.said").rlike(r"^\d{1,3}[.)]\s*\S") | F.col("lead.is_numbered") | bold, F.lit(False))
@@ -120,7 +115,7 @@ def prompts(records: DataFrame, groups: DataFrame) -> DataFrame:
     asked = F.when(F.contains(F.lower(said), F.lit("seguinte")), F.regexp_extract(said, PROMPT, 1)).otherwise("")
     number = said.rlike(r"^\d") & (F.char_length(said) <= SECTION_MOST)
     told = lambda a: F.when(a != "", F.coalesce(known[F.replace(casefold(a), F.lit("ocorrencia"), F.lit("ocorrência"))], labels.clean(a)))
-    label = _bound(asked, told)
+    label = bound(asked, told)
     label = F.when(asked != "", label).when(number, labels.clean(said)).when(said.rlike("[:：]$") & (F.char_length(said) <= PROMPT_MOST), labels.clean(said)).when(F.char_length(said) > PROMPT_MOST, "")
     title = F.when(number | ((said.rlike(r"^\d") | said.endswith(":")) & labels.is_section(said)), labels.clean(said))
     place = F.struct(F.coalesce("row_index", F.lit(-1)).alias("r"), F.coalesce("start", F.lit(-1)).alias("s"), "k")

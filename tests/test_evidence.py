@@ -38,3 +38,10 @@ def test_ids_are_free_in_their_document(spark):
     got = resolve(spark, {"label": "Nome", "section": "1. Sócio"}, {"field_id": "cidade", "label": "x"}, {"label": "Cidade", "section": "2. Sede"}, {"label": "Cidade", "section": "2. Sede"}, {"label": "Bairro"}, {"label": "Bairro"}, {"label": "Bairro"})
     # A general label takes its section first.
     assert [r.field_id for r in got] == ["socio.nome", "cidade", "sede.cidade", "sede.cidade_2", "bairro", "bairro_2", "bairro_3"]
+
+
+def test_fields_with_ids_are_not_joined(spark):
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    fields = spark.createDataFrame([(1, k, *[None] * (len(names) - 2)) for k in range(3)], SCHEMA).selectExpr(*["'f' AS field_id" if n == "field_id" else n for n in names])
+    out = evidence.resolve(fields)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and {r.field_id for r in out.collect()} == {"f"}
