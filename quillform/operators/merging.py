@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import labels
-from ..functions.text import casefold, fold
+from ..functions.text import bound, casefold, fold
 
 #: Attributes that a document can give a field, in groups: what a migration or a rehoming takes away, and the rest.
 STALE = ("layout", "layout_group", "layout_group_label", "layout_row", "layout_row_label", "layout_column", "layout_column_index", "layout_column_span", "layout_grid_columns", "layout_order")
@@ -118,11 +118,16 @@ def _all(conditions: list[Column]) -> Column:
 
 def describes(static: Column, label: Column) -> Column:
     """Whether a fixed text is a field's own label, or the label with a prompt to choose behind its colon."""
-    said, named = labels.space(static), labels.space(label)
-    a, b = F.rtrim(casefold(said), F.lit(" :：–—-")), F.rtrim(casefold(named), F.lit(" :：–—-"))
-    low, prefix = F.trim(F.replace(casefold(said), F.lit("："), F.lit(":"))), F.concat(b, F.lit(":"))
-    tail = F.rtrim(F.trim(F.substring(low, F.char_length(prefix) + 1, F.lit(1 << 20))), F.lit("."))
-    return (said != "") & (named != "") & ((a == b) | (F.startswith(low, prefix) & tail.rlike(r"(?i)^(?:escolher|selecione|selecionar)\s+(?:um|uma)\s+(?:item|op[cç][aã]o)$")))
+    bare = lambda x: F.rtrim(x, F.lit(" :：–—-"))
+
+    def names(v: Column) -> Column:
+        b = v["b"]
+        low = F.trim(F.replace(v["said"], F.lit("："), F.lit(":")))
+        tail = F.rtrim(F.trim(F.substring(low, F.char_length(b) + 2, F.lit(1 << 20))), F.lit("."))
+        return (v["said"] != "") & (v["named"] != "") & ((bare(v["said"]) == b) | (F.startswith(low, F.concat(b, F.lit(":"))) & tail.rlike(r"(?i)^(?:escolher|selecione|selecionar)\s+(?:um|uma)\s+(?:item|op[cç][aã]o)$")))
+
+    said, named = casefold(labels.space(static)), casefold(labels.space(label))
+    return bound(bound(F.struct(said.alias("said"), named.alias("named")), lambda v: F.struct(v["said"].alias("said"), v["named"].alias("named"), bare(v["named"]).alias("b"))), names)
 
 
 def without_duplicates(fields: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def normalized(fields: DataFrame) -> DataFrame:
         over = lambda x: (s["start"] < x["start"] + x["span"]) & (x["start"] < s["start"] + width) & describes(s["label"], x["label"])
         at = F.array_position(F.transform(acc["items"], lambda x: beside(x) | over(x)), True)
         grown = lambda x: F.struct(x["pos"].alias("pos"), s["start"].alias("start"), F.least(acc["g"] - s["start"], width + x["span"]).alias("span"), x["label"].alias("label"), x["locked"].alias("locked"))
-        return F.struct(F.transform(acc["items"], lambda x, k: F.when((k == at - 1) & beside(x), grown(x)).otherwise(x)).alias("items"), F.when(at > 0, F.array_append(acc["gone"], s)).otherwise(acc["gone"]).alias("gone"), acc["g"].alias("g"))
+        return bound(at, lambda n: F.struct(F.transform(acc["items"], lambda x, k: F.when((k == n - 1) & beside(x), grown(x)).otherwise(x)).alias("items"), F.when(n > 0, F.array_append(acc["gone"], s)).otherwise(acc["gone"]).alias("gone"), acc["g"].alias("g")))
 
     done = F.aggregate(given, F.struct("items", none.alias("gone"), F.col("g").alias("g")), step)
     rows = rows.withColumn("done", done).withColumn("left", F.filter(given, lambda s: ~F.array_contains(F.col("done.gone"), s)))

@@ -76,3 +76,10 @@ def test_explicit_fields_win_over_assisted_duplicates(spark):
     schema = "doc int, layout_group string, layout_row string, pos int, start int, span int, label string, detection_source string, field_id string"
     f = [(1, "g", "r", 0, 0, 2, "1. Descrição", None, "auto.descricao"), (1, "g", "r", 1, 1, 1, "Descricao:", None, "desc"), (1, "g", "r", 2, 2, 1, "Descrição", "automatic", "d"), (1, "g", "q", 3, 0, 1, "Descrição", "automatic", "e"), (1, "g", "r", 4, 1, 1, "descrição", "word_control", "f"), (1, None, "r", 5, 0, 2, "Descrição", "automatic", "h")]
     assert sorted(r.pos for r in merging.without_duplicates(spark.createDataFrame(f, schema)).collect()) == [2, 3, 4, 5]
+
+
+def test_a_fixed_text_and_a_label_are_read_once(spark):
+    df = spark.createDataFrame([("Tipo : ", "tipo"), ("TIPO: Selecione  uma opção.", "Tipo"), ("Tipo: outro", "Tipo"), ("", "Tipo"), (None, None)], "a string, b string")
+    out = df.select(merging.describes(df.a, df.b).alias("x"))
+    assert [r.x for r in out.collect()] == [True, True, False, False, False]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
