@@ -31,11 +31,12 @@ def matrices(rows: DataFrame, drift: int = DRIFT, gap: int = ROW_GAP) -> DataFra
     """(doc, first_y, n_rows, options): runs of two or more rows (doc, y, x, options) of as many options at nearly the same place.
 
     Rows at one place are taken by their options, and equal rows are in one run, so that results don't depend on the order of rows.
+    A row without a place or options comes last at its place, is in no run and ends the one before it.
     """
-    w = W.partitionBy("doc").orderBy("y", "x", "options")
+    w = W.partitionBy("doc").orderBy(*[F.asc_nulls_last(c) for c in ("y", "x", "options")])
     same = (F.col("options") == F.lag("options").over(w)) & (F.abs(F.col("x") - F.lag("x").over(w)) <= drift) & (F.col("y") - F.lag("y").over(w) <= gap)
     r = rows.withColumn("m_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    r = r.withColumn("m_id", F.sum("m_new").over(w.rangeBetween(W.unboundedPreceding, 0)))
+    r = r.withColumn("m_id", F.sum("m_new").over(w.rangeBetween(W.unboundedPreceding, 0))).dropna(subset=["y", "x", "options"])
     return r.groupBy("doc", "m_id").agg(F.min("y").alias("first_y"), F.count("*").alias("n_rows"), F.first("options").alias("options")).filter("n_rows >= 2").drop("m_id")
 
 
