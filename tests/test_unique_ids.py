@@ -18,3 +18,18 @@ def test_no_row_of_one_base_goes_to_python(spark, monkeypatch):
     monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: seen.append(self._df.count()) or real(self, f, schema))
     assert sorted(r.unique_id for r in records.unique_ids(rows, "base", ["pos"], taken=taken).collect()) == ["a_2", "a_3", "a_4"]
     assert seen == [0]
+
+
+def test_what_gives_the_rows_runs_once_though_callers_drop_columns(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def base(i):
+        seen.add(1)
+        return f"b_{i % 3}" if i % 2 else "b"
+
+    rows = spark.range(0, 40, 1, 2).select(F.col("id").alias("pos"), base("id").alias("base"), (F.col("id") * 3).alias("unread"))
+    got = records.unique_ids(rows, "base", ["pos"]).select("pos", "unique_id").collect()
+    assert len({r.unique_id for r in got}) == 40 and seen.value == 40
